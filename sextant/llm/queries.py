@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sextant.llm import decontaminate, media
+from sextant.llm import decontaminate, media, packing
 from sextant.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op7_decontamination(spark, sf_dir):
     return decontaminate.digest(decontaminate.match_items(docs, items))
 
 
-QUERIES = {f.__name__: f for f in (op5_audio_features, op7_decontamination)}
+def op8_harmonic_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op5_audio_features, op7_decontamination, op8_harmonic_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
