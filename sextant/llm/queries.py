@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from sextant.llm import decontaminate, media, packing
+from sextant.llm import decontaminate, html_text, media, packing, pii, urls
 from sextant.llm.common import table
 
 
+def op1_personal_data(spark, sf_dir):
+    return pii.digest(pii.find(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op5_audio_features(spark, sf_dir):
     return media.digest(media.audio_columns(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op6_url_filters(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages", "page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op7_decontamination(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
     return decontaminate.digest(decontaminate.match_items(docs, items))
@@ -19,6 +27,10 @@ def op8_harmonic_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op5_audio_features, op7_decontamination, op8_harmonic_packing)}
+def op10_html_extraction(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+QUERIES = {f.__name__: f for f in (op1_personal_data, op5_audio_features, op6_url_filters, op7_decontamination, op8_harmonic_packing, op10_html_extraction)}
 
 ORACLE_SQL: dict[str, str] = {}
