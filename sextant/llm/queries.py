@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from sextant.llm import decontaminate, html_text, media, packing, pii, urls
+from pyspark.sql import functions as F
+
+from sextant.llm import decontaminate, html_text, media, packing, pii, toxicity, urls
 from sextant.llm.common import table
 
 
@@ -10,6 +12,13 @@ def op1_personal_data(spark, sf_dir):
     return pii.digest(pii.find(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.trained(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_audio_features(spark, sf_dir):
     return media.digest(media.audio_columns(table(spark, sf_dir, "documents", "doc_id", "text")))
 
@@ -31,6 +40,6 @@ def op10_html_extraction(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op5_audio_features, op6_url_filters, op7_decontamination, op8_harmonic_packing, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_toxicity, op5_audio_features, op6_url_filters, op7_decontamination, op8_harmonic_packing, op10_html_extraction)}
 
 ORACLE_SQL: dict[str, str] = {}
