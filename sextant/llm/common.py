@@ -6,9 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes to bytes: A-Z lower-cased, every other ASCII byte that is no digit or letter a space, all else kept.
 WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -67,3 +69,58 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a few numbers that may be broadcast, about 32 MB; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a table already written, marked for a broadcast join if it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+_WORD_POWERS = np.random.default_rng(8).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit numbers scattered over all 64 bits."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def hashed_words(texts: list[list[bytes]]) -> list[np.ndarray]:
+    """A 64-bit number for each word of each text, the same for the same word everywhere."""
+    coded = pa.array([w for t in texts for w in t], pa.binary()).dictionary_encode()
+    if not len(coded):
+        return [np.zeros(0, np.uint64) for _ in texts]
+    distinct = coded.dictionary
+    lengths = np.diff(np.frombuffer(distinct.buffers()[1], np.int32)[: len(distinct) + 1])
+    buffer = np.frombuffer(distinct.buffers()[2], np.uint8)[: lengths.sum()].astype(np.uint64) + np.uint64(1)
+    starts = np.cumsum(lengths) - lengths
+    place = np.arange(len(buffer)) - np.repeat(starts, lengths)
+    h = mixed(np.add.reduceat(mixed(buffer + (place.astype(np.uint64) << np.uint64(9))) * _WORD_POWERS[place % 64], starts))
+    return np.split(h[coded.indices.to_numpy()], np.cumsum([len(t) for t in texts])[:-1])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """The connected components of edges (a, b): each node once, with ``root``, the smallest node of its component.
+
+    Alternating large and small stars: each round hangs a node's neighbours on the smallest of them, so the diameter halves, until
+    every node hangs on its root. Minima are found by aggregation and joined back, so a node with very many neighbours is split.
+    Each round is a written table; an empty table of edges has no components.
+    """
+    edges = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    seen = None
+    while True:
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if tuple(state) == seen:
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+        seen = tuple(state)
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(least, "b").select(F.explode(F.array("a", "b")).alias("b"), F.col("m").alias("a")).where("a < b").select("a", "b").distinct()
+        edges = materialise(small)

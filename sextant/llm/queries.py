@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sextant.llm import decontaminate, html_text, media, packing, pii, toxicity, urls
+from sextant.llm import decontaminate, html_text, media, near_dedup, packing, pii, toxicity, urls
 from sextant.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op2_toxicity(spark, sf_dir):
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_near_dedup(spark, sf_dir):
+    found = near_dedup.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op5_audio_features(spark, sf_dir):
     return media.digest(media.audio_columns(table(spark, sf_dir, "documents", "doc_id", "text")))
 
@@ -40,6 +45,6 @@ def op10_html_extraction(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op2_toxicity, op5_audio_features, op6_url_filters, op7_decontamination, op8_harmonic_packing, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_toxicity, op4_near_dedup, op5_audio_features, op6_url_filters, op7_decontamination, op8_harmonic_packing, op10_html_extraction)}
 
 ORACLE_SQL: dict[str, str] = {}
