@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sextant.llm import decontaminate, html_text, media, near_dedup, packing, pii, toxicity, urls
+from sextant.llm import decontaminate, html_text, media, near_dedup, packing, pii, substrings, toxicity, urls
 from sextant.llm.common import table
 
 
@@ -41,10 +41,14 @@ def op8_harmonic_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_suffix_arrays(spark, sf_dir):
+    return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op10_html_extraction(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op2_toxicity, op4_near_dedup, op5_audio_features, op6_url_filters, op7_decontamination, op8_harmonic_packing, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_toxicity, op4_near_dedup, op5_audio_features, op6_url_filters, op7_decontamination, op8_harmonic_packing, op9_suffix_arrays, op10_html_extraction)}
 
 ORACLE_SQL: dict[str, str] = {}
