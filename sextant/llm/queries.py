@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sextant.llm import decontaminate, html_text, media, near_dedup, packing, pii, substrings, toxicity, urls
+from sextant.llm import decontaminate, html_text, line_dedup, media, near_dedup, packing, pii, substrings, toxicity, urls
 from sextant.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_toxicity(spark, sf_dir):
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.digest(line_dedup.deduplicate(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op4_near_dedup(spark, sf_dir):
     found = near_dedup.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
@@ -49,6 +53,6 @@ def op10_html_extraction(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op2_toxicity, op4_near_dedup, op5_audio_features, op6_url_filters, op7_decontamination, op8_harmonic_packing, op9_suffix_arrays, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_toxicity, op3_line_dedup, op4_near_dedup, op5_audio_features, op6_url_filters, op7_decontamination, op8_harmonic_packing, op9_suffix_arrays, op10_html_extraction)}
 
 ORACLE_SQL: dict[str, str] = {}
