@@ -28,32 +28,39 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Distinct words as one buffer, with the slots of each word and of its character runs (of 3 to 6 bytes, a space at either end)."""
 
-    def __init__(self, distinct: pa.Array):
-        lengths = np.diff(np.frombuffer(distinct.buffers()[1], np.int32)[distinct.offset : distinct.offset + len(distinct) + 1])
-        self.n = len(lengths)
+    def __init__(self, distinct: pa.Array, part: int = 1 << 15):
+        self.n = len(distinct)
+        made = [self._part(distinct.slice(a, part)) for a in range(0, self.n, part)]
+        self.word, self.slots, self.counts = (np.concatenate([m[k] for m in made]) if made else np.zeros(0, np.int32) for k in range(3))
+        self.starts = np.cumsum(self.counts, dtype=np.int64) - self.counts  # each word has a run at least: a letter between spaces
+
+    @staticmethod
+    def _part(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raw = b" ".join([b"", *distinct.to_pylist(), b""])
         buffer = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
-        starts = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1]  # the space before the word
-        word = np.repeat(np.arange(self.n), lengths + 1)
+        spaces = np.flatnonzero(buffer == 33)
+        starts, lengths = spaces[:-1], np.diff(spaces)  # the space before each word and the word
+        word = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         place = np.arange(len(word)) - starts[word]
         h = np.add.reduceat(buffer[: len(word)] * _POWERS[place % 64] + place.astype(np.uint64), starts)
-        self.word = (_mixed(h) % np.uint64(SLOTS)).astype(np.int64)
         slots, owner = [], []
-        room = (lengths + 2)[word] - place  # bytes from here to the space after the word
-        h = np.zeros(len(word), np.uint64)
+        room = (lengths + 1)[word] - place  # bytes from here to the space after the word
+        rolled = np.zeros(len(word), np.uint64)
         for k in range(max(GRAMS)):
             shifted = buffer[k : k + len(word)]
-            h[: len(shifted)] += shifted * _POWERS[k]
+            rolled[: len(shifted)] += shifted * _POWERS[k]
             if k + 1 in GRAMS:
                 ok = np.flatnonzero(room >= k + 1)
-                slots.append((_mixed(h[ok] + np.uint64(k)) % np.uint64(SLOTS)).astype(np.int64))
+                slots.append((_mixed(rolled[ok] + np.uint64(k)) % np.uint64(SLOTS)).astype(np.int32))
                 owner.append(word[ok])
         slots, owner = np.concatenate(slots), np.concatenate(owner)
-        order = np.argsort(owner, kind="stable")
-        self.slots = slots[order]
-        self.counts = np.bincount(owner, minlength=self.n)
-        self.starts = np.concatenate(([0], np.cumsum(self.counts)))[:-1]  # each word has a run at least: a letter between spaces
-        self.owner = owner[order]
+        return (_mixed(h) % np.uint64(SLOTS)).astype(np.int32), slots[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(lengths)).astype(np.int32)
+
+    def runs(self, words_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slots of the runs of some words, and which of these words each is from."""
+        n = self.counts[words_]
+        owner = np.repeat(np.arange(len(words_)), n)
+        return self.slots[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + self.starts[words_][owner]], owner
 
 
 class Evidence:
@@ -61,7 +68,7 @@ class Evidence:
 
     def __init__(self, strength: float = 4.0):
         self.counts = np.zeros((2, 2, SLOTS), np.float32)  # word or run, label, slot
-        self.rate, self.strength = 0.1, strength
+        self.totals, self.rate, self.strength = np.ones(2, np.float32), 0.3, strength
 
     def odds(self, kind: int, slots: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
         """own: the labels of the texts the slots are from, to leave each text out of its own evidence."""
@@ -72,17 +79,12 @@ class Evidence:
         a, p = self.strength, self.rate
         return np.clip(np.log((toxic + a * p) / (other * n[1] / n[0] * (1 - p) / p + a * (1 - p))) - np.log(p / (1 - p)), -3, 5).astype(np.float32) / 2
 
-    def learn(self, kind: int, slots: np.ndarray, labels: np.ndarray) -> None:
-        for y in (0, 1):
-            self.counts[kind][y] += np.bincount(slots[labels == y], minlength=SLOTS)
-
-    @property
-    def totals(self) -> np.ndarray:
-        return self._totals
+    def learn(self, kind: int, slots: np.ndarray, label: int) -> None:
+        """slots: of one text, each once."""
+        self.counts[kind][label][slots] += 1
 
     def begin(self, labels: np.ndarray) -> None:
-        self._totals = np.maximum(1, np.bincount(labels, minlength=2)).astype(np.float32)
-        self.rate = 0.3
+        self.totals = np.maximum(1, np.bincount(labels, minlength=2)).astype(np.float32)
 
 
 class Network:
@@ -101,15 +103,17 @@ class Network:
     def inputs(self, v: Vocabulary, own_word: np.ndarray | None = None) -> np.ndarray:
         """A row for each word; own_word: the label of the text each word is from, in training."""
         x = np.empty((v.n, INPUTS), np.float32)
-        if not v.n:
-            return x
-        own_run = None if own_word is None else own_word[v.owner]
-        x[:, 0] = self.evidence.odds(0, v.word, own_word)
-        runs = self.evidence.odds(1, v.slots, own_run)
-        x[:, 1] = np.add.reduceat(runs, v.starts) / v.counts
-        x[:, 2] = np.maximum.reduceat(runs, v.starts)
-        x[:, 3 : 3 + WIDTH] = self.p["ew"][v.word % EMBEDDED]
-        x[:, 3 + WIDTH :] = np.add.reduceat(self.p["ec"][v.slots % EMBEDDED], v.starts) / v.counts[:, None]
+        for a in range(0, v.n, 1 << 14):
+            some = slice(a, a + (1 << 14))
+            n = v.counts[some]
+            slots, starts = v.slots[v.starts[a] : v.starts[a] + n.sum()], np.cumsum(n) - n
+            own = None if own_word is None else own_word[some]
+            x[some, 0] = self.evidence.odds(0, v.word[some], own)
+            found = self.evidence.odds(1, slots, None if own is None else np.repeat(own, n))
+            x[some, 1] = np.add.reduceat(found, starts) / n
+            x[some, 2] = np.maximum.reduceat(found, starts)
+            x[some, 3 : 3 + WIDTH] = self.p["ew"][v.word[some] % EMBEDDED]
+            x[some, 3 + WIDTH :] = np.add.reduceat(self.p["ec"][slots % EMBEDDED], starts) / n[:, None]
         return x
 
     def _layer(self, pre: np.ndarray, index: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
@@ -129,10 +133,13 @@ class Network:
             out[k] = h
         return out
 
-    def logits(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Of windows: index has each window's words as rows of x, mask where there is a word."""
+    def projected(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        return {d: x @ self.p[f"x{d}"] + self.p[f"b{d}"] for d in "fb"}
+
+    def logits(self, pre: dict[str, np.ndarray], index: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """Of windows: index has each window's words as rows of the projected inputs, mask where there is a word."""
         kept: dict[str, list | None] = {"f": None, "b": None} if keep is None else {"f": [], "b": []}
-        s = np.concatenate([self._layer(x @ self.p[f"x{d}"] + self.p[f"b{d}"], index, mask, d, kept[d]) for d in "fb"], 2)  # time, window, state
+        s = np.concatenate([self._layer(pre[d], index, mask, d, kept[d]) for d in "fb"], 2)  # time, window, state
         q = np.tanh(s @ self.p["a"] + self.p["ab"])
         e = q @ self.p["v"] + np.where(mask.T > 0, 0, -30).astype(np.float32)
         e = np.exp(e - e.max(0))
@@ -145,7 +152,7 @@ class Network:
     def gradient(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the weighted logistic loss by each parameter but the embeddings, and by x."""
         k: dict = {}
-        dz = (1 / (1 + np.exp(-self.logits(x, index, mask, k))) - y) * weight / weight.sum()
+        dz = (1 / (1 + np.exp(-self.logits(self.projected(x), index, mask, k))) - y) * weight / weight.sum()
         s, q, e = k["s"], k["q"], k["e"]
         g = {"o": k["pooled"].T @ dz, "ob": dz.sum(keepdims=True)}
         dpool = dz[:, None] * self.p["o"]
@@ -173,7 +180,7 @@ class Network:
             np.add.at(dx, flat, dpre @ self.p[f"x{d}"].T)
         return g, dx
 
-    def fit(self, texts: list[bytes], labels: list[int], rate_of_toxic: float, rounds: int = 10, size: int = 256, seed: int = 6) -> Network:
+    def fit(self, texts: list[bytes], labels: list[int], rate_of_toxic: float, rounds: int = 10, size: int = 192, seed: int = 6) -> Network:
         """Each text is a bag of windows that is as toxic as its most toxic one, which alone is learned from, again and again (Adam)."""
         y = np.array(labels, np.int64)
         split = [words(t) for t in texts]
@@ -186,12 +193,12 @@ class Network:
         v = Vocabulary(pa.concat_arrays([c.dictionary for c in coded]))
         sizes = np.array([len(c.dictionary) for c in coded])
         base = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        own = np.repeat(y, sizes)
-        text_of_word = np.repeat(np.arange(len(y)), sizes)
+        own = np.repeat(y.astype(np.int8), sizes)
         self.evidence.begin(y)
-        for kind, slots, owner in ((0, v.word, text_of_word), (1, v.slots, text_of_word[v.owner])):
-            pairs = np.unique(owner * SLOTS + slots)  # a slot counts once in a text
-            self.evidence.learn(kind, pairs % SLOTS, y[pairs // SLOTS])
+        for t, (a, n) in enumerate(zip(base.tolist(), sizes.tolist(), strict=True)):  # a slot counts once in a text
+            if n:
+                self.evidence.learn(0, np.unique(v.word[a : a + n]), y[t])
+                self.evidence.learn(1, np.unique(v.slots[v.starts[a] : v.starts[a + n - 1] + v.counts[a + n - 1]]), y[t])
         index, mask, bag = windows([c.indices.to_numpy() + b for c, b in zip(coded, base, strict=True)])
         first = np.searchsorted(bag, np.arange(len(y)))
         weight = np.where(y == 1, len(y) / (2 * (y == 1).sum()), len(y) / (2 * (y == 0).sum())).astype(np.float32)
@@ -209,8 +216,8 @@ class Network:
                 g, dx = self.gradient(x[used], at.reshape(len(chosen), -1), mask[chosen], y[batch].astype(np.float32), weight[batch])
                 ew, ec = np.zeros_like(self.p["ew"]), np.zeros_like(self.p["ec"])
                 np.add.at(ew, v.word[used] % EMBEDDED, dx[:, 3 : 3 + WIDTH])
-                runs = np.concatenate([np.arange(a, a + n) for a, n in zip(v.starts[used], v.counts[used], strict=True)])
-                np.add.at(ec, v.slots[runs] % EMBEDDED, np.repeat(dx[:, 3 + WIDTH :] / v.counts[used][:, None], v.counts[used], 0))
+                slots, owner = v.runs(used)
+                np.add.at(ec, slots % EMBEDDED, (dx[:, 3 + WIDTH :] / v.counts[used][:, None])[owner])
                 g |= {"ew": ew, "ec": ec}
                 step += 1
                 for k, d in g.items():
@@ -222,8 +229,9 @@ class Network:
         self.shift = float(np.log(rate_of_toxic / (1 - rate_of_toxic))) / 2  # learned at even weights; half way to the true rate
         return self
 
-    def _all(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, size: int = 4096) -> np.ndarray:
-        return np.concatenate([self.logits(x, index[a : a + size], mask[a : a + size]) for a in range(0, len(index), size)])
+    def _all(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, size: int = 2048) -> np.ndarray:
+        pre = self.projected(x)
+        return np.concatenate([self.logits(pre, index[a : a + size], mask[a : a + size]) for a in range(0, len(index), size)])
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """The largest probability among each text's windows; a text without words is one empty window."""
@@ -290,7 +298,7 @@ def score(docs: DataFrame, model: Network, *, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, f"{fields}score double")
 
 
-def trained(docs: DataFrame, labels: DataFrame, *, toxic: int = 1200, other: int = 2400) -> Network:
+def trained(docs: DataFrame, labels: DataFrame, *, toxic: int = 500, other: int = 1000) -> Network:
     """A network from a bounded sample of the labelled documents: ``toxic`` and ``other`` are the bounds."""
     texts, y, rate = training_rows(docs, labels, toxic=toxic, other=other)
     return Network().fit(texts, y, rate)
