@@ -7,6 +7,7 @@ hash; where only parts are the same, the bytes go to shards, each with a suffix
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ CHOICE = LENGTH - GRAM + 1
 PART = 1 << 20
 #: Bytes of a shard's array; occurrences of an anchor that are dealt to several shards if there are more.
 SHARD = 3 << 20
-SPLIT = 10_000
+SPLIT = 40_000
 _RANDOM = np.random.default_rng(17)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = _RANDOM.integers(1, 1 << 63, (8, 2), dtype=np.uint64) | np.uint64(1)
@@ -136,11 +137,12 @@ def suffix_array(buffer: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, n
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = key << np.uint64(8) | wide[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key).astype(np.int32)
     ordered = key[order]
     fresh = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    rank = np.empty(n + 1, np.int64)
-    rank[order] = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    del key, ordered, wide
+    rank = np.empty(n + 1, np.int32)
+    rank[order] = np.flatnonzero(fresh)[np.cumsum(fresh, dtype=np.int32) - 1]
     rank[n] = -1
     h = 8
     while h < depth:
@@ -152,13 +154,13 @@ def suffix_array(buffer: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, n
         slots = np.flatnonzero(np.repeat(many, size))  # places in the order that are not settled
         member = order[slots]
         group = rank[member]
-        follow = rank[np.minimum(member + h, n)]
-        by = np.lexsort((follow, group))
-        member, group, follow = member[by], group[by], follow[by]
+        both = group.astype(np.int64) << 32 | (rank[np.minimum(member + h, n)] + 1)
+        by = np.argsort(both)
+        member, both = member[by], both[by]
         order[slots] = member
-        new = np.concatenate(([True], (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])))
+        new = np.concatenate(([True], both[1:] != both[:-1]))
         fresh[slots] = new
-        rank[member] = slots[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        rank[member] = slots[np.flatnonzero(new)[np.cumsum(new, dtype=np.int32) - 1]]
         h *= 2
     return order, rank[:n]
 
@@ -171,8 +173,8 @@ def common_prefixes(buffer: np.ndarray, order: np.ndarray, starts: np.ndarray, l
     looked up. All stretches of the text (from ``starts``, of ``lengths``) are gone through side by side.
     """
     n = len(buffer)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     padded = np.concatenate((buffer.astype(np.int16), np.array([-1], np.int16)))
     out = np.zeros(n, np.int32)
     by_length = np.argsort(-lengths, kind="stable")
@@ -207,8 +209,8 @@ def shard_repeats(texts: list[bytes], counts: np.ndarray, doc: np.ndarray, offse
     begin = np.cumsum(lengths) - lengths
     buffer = np.frombuffer(b"".join(texts), np.uint8)
     order, _ = suffix_array(buffer)
-    group = np.empty(len(buffer), np.int64)
-    group[order] = np.cumsum(common_prefixes(buffer, order, begin, lengths) < LENGTH)
+    group = np.empty(len(buffer), np.int32)
+    group[order] = np.cumsum(common_prefixes(buffer, order, begin, lengths) < LENGTH, dtype=np.int32)
     context = np.repeat(np.arange(len(texts)), counts)
     place = np.arange(len(context)) - np.repeat(np.cumsum(counts) - counts, counts)
     own = group[begin[context] + place]
@@ -221,7 +223,7 @@ def shard_repeats(texts: list[bytes], counts: np.ndarray, doc: np.ndarray, offse
 
 
 def _sharded(rows: DataFrame) -> DataFrame:
-    """Rows of context (shard, split, doc_id, spot, bytes) as starts that repeat; of split anchors also the strings that stay, for the merge."""
+    """Rows of context (shard, split, doc_id, spot, bytes) as starts that repeat; of split anchors also 128-bit hashes of the strings that stay, for the merge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = pa.Table.from_batches(list(batches))
@@ -235,7 +237,7 @@ def _sharded(rows: DataFrame) -> DataFrame:
         leads = (doc[context] == doc[context[first]]) & (at == at[first])  # the earliest, or a repeated row of it
         d, o, c = _stretches(doc[context[~leads]], at[~leads], np.ones(int((~leads).sum()), np.int64))
         stay = np.flatnonzero(leads & split[context])
-        strings = [texts[k][p : p + LENGTH] for k, p in zip(context[stay].tolist(), place[stay].tolist(), strict=True)]
+        strings = [blake2b(texts[k][p : p + LENGTH], digest_size=16).digest() for k, p in zip(context[stay].tolist(), place[stay].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((d, doc[context[stay]]))), pa.array(np.concatenate((o << 24 | c, at[stay] << 24 | 1))), pa.array([None] * len(d) + strings, pa.binary())], names=["doc_id", "spot", "string"])
 
     return rows.groupBy("shard").applyInArrow(_whole(run), "doc_id long, spot long, string binary")
@@ -254,12 +256,7 @@ def _whole(run):
 
 def merge_runs(strings: list[bytes], shard: np.ndarray, doc: np.ndarray, offset: np.ndarray) -> np.ndarray:
     """Which strings of several shards' sorted runs stand earlier in another: each run is looked up in the others by binary search."""
-    value = np.array(strings, f"S{LENGTH}") if strings else np.zeros(0, f"S{LENGTH}")
-    value = np.frombuffer(b"".join(strings), f"V{LENGTH}").view(np.uint8).reshape(-1, LENGTH) if strings else value
-    rank = np.lexsort(value.T[::-1]) if strings else np.zeros(0, np.int64)
-    code = np.empty(len(rank), np.int64)
-    same = np.concatenate(([True], (value[rank[1:]] != value[rank[:-1]]).any(1))) if strings else np.zeros(0, bool)
-    code[rank] = np.cumsum(same)
+    code = np.unique(np.array(strings, object), return_inverse=True)[1] if strings else np.zeros(0, np.int64)
     repeats = np.zeros(len(code), bool)
     runs = {}
     for s in np.unique(shard):
@@ -295,21 +292,32 @@ def _merged(strings: DataFrame, buckets: int) -> DataFrame:
     return first.union(rest)
 
 
+def _parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with these ids, and the others, where the ids are few enough to broadcast; else all of them, and none.
+
+    Only the first then need be shuffled to meet what is known of them.
+    """
+    ids = materialise(ids.distinct())
+    if ids.count() > BROADCAST_ROWS:
+        return docs, None
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi"), docs.join(F.broadcast(ids), "doc_id", "left_anti")
+
+
 def repeats(docs: DataFrame, *, text: str = "text", split: int = SPLIT, shard: int = SHARD) -> DataFrame:
     """Stretches of starts (doc_id, spot) whose LENGTH bytes also start earlier, for all of ``docs``; see remove_repeats."""
     found = _anchored(docs, text)
     same = Window.partitionBy("anchor", "own").orderBy("doc_id", "spot")
     all_ = Window.partitionBy("anchor")
-    ranked = found.withColumn("nth", F.rank().over(same)).select("*", F.count("*").over(all_).alias("n"), F.min("own").over(all_).alias("low"), F.max("own").over(all_).alias("high"))
+    ranked = found.withColumn("nth", F.rank().over(same)).select("*", F.count("*").over(all_).alias("n"), F.sum((F.col("nth") == 1).cast("long")).over(all_).alias("kinds"), F.min("own").over(all_).alias("low"), F.max("own").over(all_).alias("high"))
     open_ = (F.col("nth") == 1) & (F.col("low") != F.col("high")) & ~F.col("known")
-    decided = materialise(ranked.where("n > 1 or known").withColumn("open", open_).where("known or nth > 1 or open").select("doc_id", "spot", "open", F.when(F.col("open"), F.col("anchor")).alias("anchor"), F.when(F.col("open"), F.col("n")).alias("n")))
+    decided = materialise(ranked.where("n > 1 or known").withColumn("open", open_).where("known or nth > 1 or open").select("doc_id", "spot", "open", F.when(F.col("open"), F.col("anchor")).alias("anchor"), F.when(F.col("open"), F.col("kinds")).alias("n")))
     closed = decided.where("not open").select("doc_id", "spot")
     rows = decided.where("open").dropDuplicates(["anchor", "doc_id", "spot"])
     n = decided.where("open").count()
     if not n:
         return closed
     by_doc = rows.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "spot", "n")).alias("spots"))
-    by_doc = F.broadcast(by_doc) if n <= BROADCAST_ROWS else by_doc
+    concerned, _ = _parted(docs.select("doc_id", text), rows.select("doc_id"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text, 2 << 20):
@@ -321,7 +329,7 @@ def repeats(docs: DataFrame, *, text: str = "text", split: int = SPLIT, shard: i
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "n", "doc_id", "spot", "bytes"])
 
-    contexts = docs.select("doc_id", text).join(by_doc, "doc_id").mapInArrow(cut, "anchor long, n long, doc_id long, spot long, bytes binary")
+    contexts = concerned.join(by_doc, "doc_id").mapInArrow(cut, "anchor long, n long, doc_id long, spot long, bytes binary")
     shards = max(1, -(-n * (LENGTH + CHOICE // 2) // shard))
     salt = F.when(F.col("n") > split, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / split))).otherwise(F.lit(0))
     dealt = contexts.select(F.pmod(F.xxhash64("anchor", salt), F.lit(shards)).alias("shard"), (F.col("n") > split).alias("split"), "doc_id", "spot", "bytes")
@@ -337,9 +345,12 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", split: int = SPLIT, s
     without an id are left as they are. Shorter texts stay whole. Other columns are not used. Shards have ``shard`` bytes or so;
     an anchor with more than ``split`` different surroundings is dealt to several.
     """
-    spots = repeats(docs, text=text, split=split, shard=shard)
+    spots = materialise(repeats(docs, text=text, split=split, shard=shard))
     by_doc = spots.groupBy("doc_id").agg(F.collect_list("spot").alias("spots"))
-    joined = docs.select("doc_id", text).join(by_doc, "doc_id", "left")
+    concerned, others = _parted(docs.select("doc_id", text), spots.select("doc_id"))
+    joined = concerned.join(by_doc, "doc_id", "left")
+    if others is not None:
+        joined = joined.unionByName(others.withColumn("spots", F.lit(None).cast("array<long>")))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
