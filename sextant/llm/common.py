@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Bytes to bytes: A-Z lower-cased, every other ASCII byte that is no digit or letter a space, all else kept.
 WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
@@ -34,8 +37,25 @@ def text_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that a column of strings takes about ``size`` bytes in each; a longer row stands alone."""
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], T]) -> T:
+    """What a worker keeps from task to task; one thing only."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20, uses: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut so that a column of strings takes about ``size`` bytes in each; a longer row stands alone.
+
+    What the worker has kept from tasks of other operators is let go first, unless it is what this task ``uses``.
+    """
+    if uses not in _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
     for batch in batches:
         values = batch.column(column)
         lengths = [0 if x is None else x for x in pc.binary_length(values).to_pylist()]

@@ -7,7 +7,7 @@ import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +15,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import materialise, pieces, text_of
+from sextant.llm.common import kept, materialise, pieces, text_of
 
-#: Chunks whose ids a worker remembers at most, about 150 MB; then it begins anew.
-REMEMBERED = 700_000
+#: Chunks whose ids a worker remembers at most, about 200 MB; then it forgets the newer half: what is frequent came early.
+REMEMBERED = 600_000
 #: Leftover pieces that one task closes at most; more are dealt to several first.
 LAST = 200_000
 MARK = "\x01"
@@ -45,7 +45,7 @@ class ChunkEncoder:
     def learn(self, chunks: set[str]) -> None:
         """Ids of new chunks: many chunks make one text, with a mark between them whose one id comes from nothing else."""
         if len(self.known) + len(chunks) > REMEMBERED:
-            self.known = {"": b""}
+            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
         new = []
         for chunk in chunks:
             if MARK in chunk:
@@ -68,16 +68,16 @@ class ChunkEncoder:
         chunks = text.split(" ")
         if new := set(chunks).difference(self.known):
             self.learn(new)
-            if len(self.known) <= len(new) + 1:  # begun anew: the others are needed again
-                self.learn(set(chunks).difference(self.known))
+            if missed := set(chunks).difference(self.known):  # forgotten just now
+                self.learn(missed)
         return b"".join(map(self.known.__getitem__, chunks))
 
 
-@lru_cache(maxsize=2)
 def encoder(name: str) -> ChunkEncoder:
+    """The worker's encoder, which lasts until another operator's task comes to the worker."""
     import public_tokenizers
 
-    return ChunkEncoder(public_tokenizers.path(name))
+    return kept(f"encoder of {name}", lambda: ChunkEncoder(public_tokenizers.path(name)))
 
 
 def cuts(n: int, capacity: int, waste: float) -> list[int]:
@@ -182,7 +182,7 @@ def pack(docs: DataFrame, *, tokenizer: str = "word_bpe_49k.json", end: int = 1,
         encode = encoder(tokenizer).encode
         tail = struct.pack("<I", end)
         put = fill(TaskContext.get().partitionId(), capacity)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", uses=f"encoder of {tokenizer}"):
             done = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), text_of(batch.column("text")), strict=True):
                 ids = encode(text) + tail
@@ -210,14 +210,15 @@ def pack(docs: DataFrame, *, tokenizer: str = "word_bpe_49k.json", end: int = 1,
 
         return run
 
-    level, out = 0, materialise(docs.mapInArrow(first, ddl))
+    level, before, out = 0, None, materialise(docs.mapInArrow(first, ddl))
     whole, rest = out.where("sequence_id is not null"), out.where("sequence_id is null")
     while True:
         level += 1
-        groups = -(-rest.count() // LAST)
-        if groups <= 1:
-            return whole.unionByName(rest.repartition(1).mapInArrow(again(level, True), ddl))
-        out = materialise(rest.repartition(groups).mapInArrow(again(level, False), ddl))
+        left = rest.count()
+        groups = max(1, -(-left // LAST))
+        if groups == 1 or before is not None and left > before / 2:  # few enough, or no longer fewer: fit them by size
+            return whole.unionByName(rest.repartition(groups).mapInArrow(again(level, True), ddl))
+        before, out = left, materialise(rest.repartition(groups).mapInArrow(again(level, False), ddl))
         whole, rest = whole.unionByName(out.where("sequence_id is not null")), out.where("sequence_id is null")
 
 

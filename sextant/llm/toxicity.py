@@ -284,14 +284,14 @@ def score(docs: DataFrame, model: Network, *, text: str = "text") -> DataFrame:
     """``docs`` with ``score``: the model's probability, 0 to 1, that the text is toxic.
 
     Null and empty texts are scored as one window without words. Each text is scored by itself, whole; nothing is shuffled, and
-    memory is bounded by 4 MB of text or one longer text. A column by the name of the result is replaced.
+    memory is bounded by 2 MB of text or one longer text. A column by the name of the result is replaced.
     """
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text, 4 << 20):
+        for batch in pieces(batches, text, 2 << 20):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(utf8(batch.column(text))), pa.float64())], names=[*kept, "score"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
