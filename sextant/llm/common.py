@@ -69,7 +69,19 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20,
             yield batch.slice(start)
 
 
+#: Bytes of an Arrow batch between Spark and its Python workers; both hold a few of them for each core.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches be cut at BATCH_BYTES rather than at 64 MB; a smaller setting of the session's own stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    small_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -86,6 +98,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """The rows of ``df`` written to the shared folder and read again: lineage ends there, and a lost executor costs nothing that was done before."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -112,16 +125,21 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def hashed_words(texts: list[list[bytes]]) -> list[np.ndarray]:
     """A 64-bit number for each word of each text, the same for the same word everywhere."""
-    coded = pa.array([w for t in texts for w in t], pa.binary()).dictionary_encode()
+    return np.split(hashed_flat([w for t in texts for w in t]), np.cumsum([len(t) for t in texts])[:-1])
+
+
+def hashed_flat(flat: list[bytes]) -> np.ndarray:
+    """hashed_words for one list of words."""
+    coded = pa.array(flat, pa.binary()).dictionary_encode()
     if not len(coded):
-        return [np.zeros(0, np.uint64) for _ in texts]
+        return np.zeros(0, np.uint64)
     distinct = coded.dictionary
     lengths = np.diff(np.frombuffer(distinct.buffers()[1], np.int32)[: len(distinct) + 1])
     buffer = np.frombuffer(distinct.buffers()[2], np.uint8)[: lengths.sum()].astype(np.uint64) + np.uint64(1)
     starts = np.cumsum(lengths) - lengths
     place = np.arange(len(buffer)) - np.repeat(starts, lengths)
     h = mixed(np.add.reduceat(mixed(buffer + (place.astype(np.uint64) << np.uint64(9))) * _WORD_POWERS[place % 64], starts))
-    return np.split(h[coded.indices.to_numpy()], np.cumsum([len(t) for t in texts])[:-1])
+    return h[coded.indices.to_numpy()]
 
 
 def components(edges: DataFrame) -> DataFrame:
