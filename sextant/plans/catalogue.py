@@ -1,26 +1,607 @@
-"""Every query of the core engine by name, with the SQL it is held against."""
+"""Every query of the core engine by name, with the SQL it is held against.
+
+The tables stand in for the engine's inputs: monthly order value by nation is a panel of series, order priorities are another, line
+shipments after an order are vintages of its month, parts are a tagged corpus, market segments are tickers.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FLAGSHIP = "monthly_revenue"
+from sextant.functions.columns import average_rank, pearson, ratio, tidy
+from sextant.functions.periods import YEAR, period_end
+from sextant.functions.transforms import TRANSFORMS, apply_transform, lag
+from sextant.operators import analogues, backtest, events, quality, registry, statistics, strategy, vintage
+from sextant.operators.asof import asof_join
+from sextant.operators.grid import Predictor, build_grid, plan_features
+from sextant.operators.kernels import adf, block_bootstrap, case_bootstrap, correlation, engle_granger, granger, johansen, kpss, ols_hac, per_series, stl, strength
+from sextant.operators.rollup import apply_release_lag, rollup, rollup_audit
+from sextant.sources.nested import p_value
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "signal_backtest"
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, table: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet").select(*columns)
+
+
+def daily(spark, d):
+    """Order value by priority and day."""
+    o = read(spark, d, "orders", "o_orderpriority", "o_orderdate", "o_totalprice")
+    return o.select(F.col("o_orderpriority").alias("series_id"), F.to_date("o_orderdate").alias("obs_date"), F.col("o_totalprice").alias("value"))
+
+
+def panel(spark, d):
+    """Order value by nation and month, whole months."""
+    o, c = read(spark, d, "orders", "o_custkey", "o_orderdate", "o_totalprice"), read(spark, d, "customer", "c_custkey", "c_nationkey")
+    rows = o.join(c, o.o_custkey == c.c_custkey).where(F.to_date("o_orderdate") < "2001-08-01")
+    return rows.groupBy(F.col("c_nationkey").cast("string").alias("series_id"), F.last_day("o_orderdate").alias("obs_date")).agg(F.sum("o_totalprice").alias("value"))
+
+
+def monthly(spark, d):
+    """Order value by priority and month, whole months."""
+    return daily(spark, d).where(F.col("obs_date") < "2001-08-01").groupBy("series_id", F.last_day("obs_date").alias("obs_date")).agg(F.sum("value").alias("value"))
+
+
+def shipped(spark, d):
+    """Shipped value by month."""
+    li = read(spark, d, "lineitem", "l_shipdate", "l_extendedprice")
+    return li.groupBy(F.last_day("l_shipdate").alias("obs_date")).agg(F.sum("l_extendedprice").alias("value"))
+
+
+def pairs(spark, d):
+    """Months of each priority with the month's shipped value."""
+    return monthly(spark, d).withColumnRenamed("value", "p").join(shipped(spark, d).withColumnRenamed("value", "t"), "obs_date")
+
+
+def vintages(spark, d):
+    """Value of a month's orders, as known from shipments month by month."""
+    o, li = read(spark, d, "orders", "o_orderkey", "o_orderdate"), read(spark, d, "lineitem", "l_orderkey", "l_shipdate", "l_extendedprice")
+    rows = o.join(li, o.o_orderkey == li.l_orderkey).where(F.to_date("l_shipdate") >= F.to_date("o_orderdate"))
+    sums = rows.groupBy(F.last_day("o_orderdate").alias("obs_date"), F.last_day("l_shipdate").alias("vintage_date")).agg(F.sum("l_extendedprice").alias("v"))
+    w = Window.partitionBy("obs_date").orderBy("vintage_date")
+    return sums.select(F.lit("all").alias("series_id"), "obs_date", "vintage_date", F.round(F.sum("v").over(w), 2).alias("value"))
+
+
+DAILY = "daily AS (SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS obs_date, o_totalprice AS value FROM orders)"
+PANEL = "panel AS (SELECT CAST(c_nationkey AS VARCHAR) AS series_id, last_day(CAST(o_orderdate AS DATE)) AS obs_date, sum(o_totalprice) AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE CAST(o_orderdate AS DATE) < DATE '2001-08-01' GROUP BY 1, 2)"
+MONTHLY = f"{DAILY}, monthly AS (SELECT series_id, last_day(obs_date) AS obs_date, sum(value) AS value FROM daily WHERE obs_date < DATE '2001-08-01' GROUP BY 1, 2)"
+PAIRS = f"{MONTHLY}, shipped AS (SELECT last_day(CAST(l_shipdate AS DATE)) AS obs_date, sum(l_extendedprice) AS t FROM lineitem GROUP BY 1), pairs AS (SELECT series_id, obs_date, value AS p, t FROM monthly JOIN shipped USING (obs_date))"
+VINTAGES = "vs AS (SELECT last_day(CAST(o_orderdate AS DATE)) AS obs_date, last_day(CAST(l_shipdate AS DATE)) AS vintage_date, sum(l_extendedprice) AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE CAST(l_shipdate AS DATE) >= CAST(o_orderdate AS DATE) GROUP BY 1, 2), vint AS (SELECT obs_date, vintage_date, round(sum(v) OVER (PARTITION BY obs_date ORDER BY vintage_date), 2) AS value FROM vs)"
+
+
+def corr_sql(p: str, t: str, where: str = "TRUE") -> str:
+    """Guarded moments, in SQL; p and t must be null together."""
+    f = f"FILTER (WHERE {where})"
+    return f"CASE WHEN count({p}) {f} >= 3 THEN covar_pop({p}, {t}) {f} / nullif(stddev_pop({p}) {f} * stddev_pop({t}) {f}, 0) END"
+
+
+# Rollup.
+
+END_SQL = {"weekly": "CAST(date_trunc('week', {0}) AS DATE) + 6", "monthly": "last_day({0})", "quarterly": "last_day(CAST(date_trunc('quarter', {0}) AS DATE) + INTERVAL 2 MONTH)", "annual": "make_date(year({0}), 12, 31)"}
+HOW_SQL = {"sum": "sum(value)", "mean": "avg(value)", "last": "sum(value)", "min": "min(value)", "max": "max(value)", "median": "median(value)"}
+
+
+def _rollup(target: str, kind: str, how: str | None):
+    def run(spark, d):
+        got = rollup(daily(spark, d), source="daily", target=target, variable_type=kind, how=how)
+        return got.select("series_id", F.col("obs_date").alias("period_end"), tidy("value", 6 if how in ("mean", "median") else 2).alias("value"), "n")
+
+    return run
+
+
+for _target in END_SQL:
+    for _kind, _how in (("flow", "sum"), ("rate", "mean"), ("price", "max"), ("price", "min"), ("rate", "median")):
+        if _how in ("sum", "mean") or _target == "monthly":
+            _e = END_SQL[_target].format("obs_date")
+            query(
+                f"""WITH {DAILY}, e AS (SELECT series_id, max(obs_date) AS m FROM daily GROUP BY 1)
+                SELECT series_id, CAST({_e} AS DATE) AS period_end, round({HOW_SQL[_how]}, {6 if _how in ('mean', 'median') else 2}) + 0.0 AS value, count(*) AS n
+                FROM daily JOIN e USING (series_id) GROUP BY 1, 2, m HAVING CAST({_e} AS DATE) <= m""",
+                f"rollup_{_target}_{_how}",
+            )(_rollup(_target, _kind, _how))
+
+
+@query(f"""WITH {PANEL}, spans AS (SELECT series_id, CAST(date_trunc('month', min(obs_date)) AS DATE) AS a, CAST(date_trunc('month', max(obs_date)) AS DATE) AS b FROM (SELECT * FROM panel WHERE month(obs_date) % 3 <> 0) GROUP BY 1),
+    spine AS (SELECT series_id, last_day(CAST(unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS DATE)) AS obs_date FROM spans)
+    SELECT s.series_id, s.obs_date, round(coalesce(sum(p.value), 0), 2) + 0.0 AS value, count(p.value) AS n FROM spine s LEFT JOIN (SELECT * FROM panel WHERE month(obs_date) % 3 <> 0) p ON s.series_id = p.series_id AND s.obs_date = p.obs_date GROUP BY 1, 2""")
+def rollup_spine_gaps(spark, d):
+    """Months that a series lacks are there with a sum of zero."""
+    got = rollup(panel(spark, d).where(F.month("obs_date") % 3 != 0), source="daily", target="monthly", variable_type="flow")
+    return got.select("series_id", "obs_date", tidy("value", 2).alias("value"), "n")
+
+
+@query(f"""WITH {DAILY}, m AS (SELECT series_id, last_day(obs_date) AS e, max(max(obs_date)) OVER (PARTITION BY series_id) AS l FROM daily GROUP BY 1, 2)
+    SELECT series_id, 'daily' AS source_cadence, 'monthly' AS target_cadence, 'sum' AS aggregation, count(*) FILTER (WHERE e <= l) AS periods_created, max(e) > max(l) AS partial_dropped, CAST(0 AS BIGINT) AS missing_periods FROM m GROUP BY 1""")
+def rollup_audit_monthly(spark, d):
+    rows = daily(spark, d)
+    got = rollup(rows, source="daily", target="monthly", variable_type="flow")
+    return rollup_audit(rows, got, source="daily", target="monthly", variable_type="flow").select("series_id", "source_cadence", "target_cadence", "aggregation", "periods_created", "partial_dropped", "missing_periods")
+
+
+@query(f"WITH {MONTHLY} SELECT series_id, obs_date + 45 AS obs_date, round(value, 2) + 0.0 AS value FROM monthly")
+def release_lag(spark, d):
+    return apply_release_lag(monthly(spark, d), 45).select("series_id", "obs_date", tidy("value", 2).alias("value"))
+
+
+@query(f"WITH {DAILY} SELECT {', '.join(f'CAST({s.format('obs_date')} AS DATE) AS {c}' for c, s in END_SQL.items())}, count(*) AS n FROM daily GROUP BY ALL")
+def period_snap(spark, d):
+    rows = daily(spark, d)
+    return rows.groupBy(*(period_end("obs_date", c).alias(c) for c in END_SQL)).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Transforms.
+
+W = "OVER (PARTITION BY series_id ORDER BY obs_date)"
+PCT = "value / nullif(lag(value, {0}) {1}, 0) - 1"
+TRANSFORM_SQL = {"raw": "value", "diff": f"value - lag(value, 1) {W}"} | {n: PCT.format(k, W) for n, k in (("pct_change", 1), ("mom_1p", 1), ("mom_3p", 3), ("yoy_1y", YEAR["monthly"]), ("yo2y", 2 * YEAR["monthly"]))}
+for _n in (3, 6, 12, 24):
+    _f = f"OVER (PARTITION BY series_id ORDER BY obs_date ROWS BETWEEN {_n - 1} PRECEDING AND CURRENT ROW)"
+    TRANSFORM_SQL |= {f"rolling_mean_{_n}": f"CASE WHEN count(value) {_f} = {_n} THEN avg(value) {_f} END", f"rolling_sum_{_n}": f"CASE WHEN count(value) {_f} = {_n} THEN sum(value) {_f} END", f"zscore_{_n}": f"CASE WHEN count(value) {_f} = {_n} THEN (value - avg(value) {_f}) / nullif(stddev_pop(value) {_f}, 0) END"}
+
+
+def _transform(name: str):
+    return lambda spark, d: apply_transform(panel(spark, d), name, out="x").select("series_id", "obs_date", tidy("x", 5 if "sum" not in name else 2).alias("x"))
+
+
+for _name in TRANSFORMS:
+    query(f"WITH {PANEL} SELECT series_id, obs_date, round({TRANSFORM_SQL[_name]}, {2 if 'sum' in _name else 5}) + 0.0 AS x FROM panel", f"transform_{_name}")(_transform(_name))
+
+
+@query(f"WITH {PANEL} SELECT series_id, obs_date, round(lag(value, 2) {W}, 2) + 0.0 AS x, round(lead(value, 1) {W}, 2) + 0.0 AS y FROM panel")
+def lag_shift(spark, d):
+    return panel(spark, d).select("series_id", "obs_date", tidy(lag(2), 2).alias("x"), tidy(lag(-1), 2).alias("y"))
+
+
+# Grid and backtest.
+
+
+def _grid(spark, d):
+    rows = monthly(spark, d)
+    names = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+    features, _ = plan_features([Predictor(n, ("raw", "mom_3p", "zscore_12"), (0, 1, 2)) for n in names], 60, 2)
+    return build_grid(rows, features)
+
+
+GRID = f"""{PAIRS}, wide AS (SELECT series_id, obs_date, value AS raw, {TRANSFORM_SQL['mom_3p']} AS mom_3p, {TRANSFORM_SQL['zscore_12']} AS zscore_12 FROM monthly),
+    long AS (SELECT series_id, obs_date, 'raw' AS tf, raw AS v FROM wide UNION ALL SELECT series_id, obs_date, 'mom_3p', mom_3p FROM wide UNION ALL SELECT series_id, obs_date, 'zscore_12', zscore_12 FROM wide),
+    grid AS (SELECT series_id || '::' || tf || '::lag_' || k AS feature_id, obs_date, rn, CASE k WHEN 0 THEN v WHEN 1 THEN l1 ELSE l2 END AS value, k FROM (SELECT *, lag(v, 1) OVER w AS l1, lag(v, 2) OVER w AS l2, row_number() OVER w AS rn FROM long WINDOW w AS (PARTITION BY series_id, tf ORDER BY obs_date)) CROSS JOIN (VALUES (0), (1), (2)) AS ks(k))"""
+
+
+@query(f"WITH {GRID} SELECT feature_id, count(*) AS n, count(value) AS n_known, round(sum(value), 3) + 0.0 AS total FROM grid WHERE rn > k GROUP BY 1")
+def feature_grid_long(spark, d):
+    return _grid(spark, d).groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_known"), tidy(F.sum("value"), 3).alias("total"))
+
+
+@query(f"""WITH {GRID}, j AS (SELECT feature_id, obs_date, CASE WHEN value IS NOT NULL AND t IS NOT NULL THEN value END AS p, CASE WHEN value IS NOT NULL AND t IS NOT NULL THEN t END AS t FROM grid JOIN shipped USING (obs_date)),
+    s AS (SELECT feature_id, {corr_sql('p', 't', "obs_date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31'")} AS a, {corr_sql('p', 't', "obs_date BETWEEN DATE '1999-01-01' AND DATE '2001-07-31'")} AS b, count(p) FILTER (WHERE obs_date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31') AS n_train, count(p) FILTER (WHERE obs_date BETWEEN DATE '1999-01-01' AND DATE '2001-07-31') AS n_test FROM j GROUP BY 1)
+    SELECT feature_id, round(a, 6) + 0.0 AS r_train, round(b, 6) + 0.0 AS r_test, n_train, n_test, CAST(row_number() OVER (ORDER BY round(abs(a), 9) DESC NULLS LAST, feature_id) AS INTEGER) AS rank FROM s""")
+def signal_backtest(spark, d):
+    """The flagship: every feature of the grid against shipped value, ranked by its correlation in the train period."""
+    got = backtest.score_features(_grid(spark, d), shipped(spark, d), ("1995-01-01", "1998-12-31"), ("1999-01-01", "2001-07-31"))
+    rank = F.row_number().over(Window.orderBy(F.round(F.abs("r_train"), 9).desc_nulls_last(), "feature_id"))  # 45 features
+    return got.select("feature_id", tidy("r_train").alias("r_train"), tidy("r_test").alias("r_test"), "n_train", "n_test", rank.alias("rank"))
+
+
+RANKED = "ranked AS (SELECT *, rank() OVER (PARTITION BY series_id ORDER BY p) + (count(*) OVER (PARTITION BY series_id, p) - 1) / 2.0 AS rp, rank() OVER (PARTITION BY series_id ORDER BY t) + (count(*) OVER (PARTITION BY series_id, t) - 1) / 2.0 AS rt FROM pairs)"
+
+
+@query(f"""WITH {PAIRS}, {RANKED} SELECT series_id, count(*) AS n, round({corr_sql('p', 't')}, 6) + 0.0 AS corr, round({corr_sql('rp', 'rt')}, 6) + 0.0 AS rank_corr, round(avg(CASE WHEN sign(p) = sign(t) THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS directional_accuracy, round(avg(abs(p - t)), 2) + 0.0 AS mae,
+    round(CASE WHEN min(t) > 0 THEN avg(abs((p - t) / t)) * 100 END, 6) + 0.0 AS mape, round(sqrt(avg((p - t) * (p - t))), 2) + 0.0 AS rmse FROM ranked GROUP BY 1""")
+def kpi_metrics(spark, d):
+    got = backtest.kpi_metrics(pairs(spark, d), ["series_id"])
+    return got.select("series_id", "n", *(tidy(c, 2 if c in ("mae", "rmse") else 6).alias(c) for c in ("corr", "rank_corr", "directional_accuracy", "mae", "mape", "rmse")))
+
+
+@query(f"WITH {PAIRS}, {RANKED} SELECT series_id, round({corr_sql('rp', 'rt')}, 6) + 0.0 AS rho FROM ranked GROUP BY 1")
+def spearman(spark, d):
+    rows = pairs(spark, d).withColumn("rp", average_rank("p", ["series_id"])).withColumn("rt", average_rank("t", ["series_id"]))
+    return rows.groupBy("series_id").agg(tidy(pearson("rp", "rt")).alias("rho"))
+
+
+@query(f"""WITH {PAIRS}, ks AS (SELECT unnest(range(7)) AS lag), m AS (SELECT series_id, CAST(lag AS INTEGER) AS lag, t, lag(p, CAST(lag AS INTEGER)) OVER (PARTITION BY series_id, lag ORDER BY obs_date) AS p FROM pairs CROSS JOIN ks)
+    SELECT series_id, lag, round(corr(p, t), 3) + 0.0 AS corr FROM m WHERE p IS NOT NULL GROUP BY 1, 2""".replace("lag(p, CAST(lag AS INTEGER))", "lag(p, CAST(ks.lag AS INTEGER))").replace("PARTITION BY series_id, lag ORDER", "PARTITION BY series_id, ks.lag ORDER").replace("CAST(lag AS INTEGER) AS lag", "CAST(ks.lag AS INTEGER) AS lag"))
+def lead_lag_profile(spark, d):
+    rows = pairs(spark, d)
+    w = Window.partitionBy("series_id").orderBy("obs_date")
+    wide = rows.select("series_id", "t", *(F.lag("p", k).over(w).alias(f"p{k}") for k in range(7))).groupBy("series_id").agg(*(pearson(f"p{k}", "t").alias(f"r{k}") for k in range(7)))
+    return wide.select("series_id", F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), tidy(f"r{k}", 3).alias("corr")) for k in range(7)))).alias("x")).select("series_id", "x.*")
+
+
+HALVES = f"{PAIRS}, h AS (SELECT series_id, {corr_sql('p', 't', chr(34) + 'obs_date' + chr(34) + ' < DATE ' + chr(39) + '1998-07-01' + chr(39))} AS a, {corr_sql('p', 't', 'obs_date >= DATE ' + chr(39) + '1998-07-01' + chr(39))} AS b FROM pairs GROUP BY 1)"
+
+
+def _halves(spark, d):
+    early = F.col("obs_date") < "1998-07-01"
+    return pairs(spark, d).groupBy("series_id").agg(pearson("p", "t", early).alias("a"), pearson("p", "t", ~early).alias("b"))
+
+
+@query(f"WITH {HALVES} SELECT series_id, round((a - b) / nullif(a, 0) * 100, 1) + 0.0 AS lost, coalesce(abs(b) >= 0.1 AND (sign(a) = sign(b) OR a = 0) AND ((a - b) / nullif(a, 0) * 100 IS NULL OR round((a - b) / nullif(a, 0) * 100, 2) <= 50), false) AS survives FROM h")
+def oos_degradation(spark, d):
+    return _halves(spark, d).select("series_id", tidy(ratio(F.col("a") - F.col("b"), "a") * 100, 1).alias("lost"), backtest.survives(F.col("a"), F.col("b")).alias("survives"))
+
+
+@query(f"WITH {HALVES} SELECT series_id, round(a, 6) + 0.0 AS before, round(b, 6) + 0.0 AS after, CASE WHEN a * b < 0 THEN 100.0 ELSE round(abs(a - b) / nullif(greatest(abs(a), abs(b)), 0) * 100, 2) END + 0.0 AS dispersion FROM h")
+def regime_split(spark, d):
+    a, b = F.col("a"), F.col("b")
+    spread = F.when(a * b < 0, F.lit(100.0)).otherwise(tidy(ratio(F.abs(a - b), F.greatest(F.abs(a), F.abs(b))) * 100, 2))
+    return _halves(spark, d).select("series_id", tidy("a").alias("before"), tidy("b").alias("after"), spread.alias("dispersion"))
+
+
+@query(f"""WITH {MONTHLY}, r AS (SELECT series_id, obs_date, row_number() OVER w AS rn, first(obs_date) OVER w AS train_start, lag(obs_date) OVER w AS train_end, lead(obs_date, 2) OVER w AS test_end FROM monthly WINDOW w AS (PARTITION BY series_id ORDER BY obs_date))
+    SELECT series_id, train_start, train_end, obs_date AS test_start, test_end FROM r WHERE rn > 24 AND (rn - 25) % 3 = 0 AND test_end IS NOT NULL""")
+def walk_forward_windows(spark, d):
+    return backtest.walk_forward_windows(monthly(spark, d), min_train=24, step=3, by=["series_id"])
+
+
+# Statistics.
+
+RHO = f"{PANEL}, c AS (SELECT *, value - avg(value) OVER (PARTITION BY series_id) AS x FROM panel), l AS (SELECT series_id, x, {', '.join(f'lag(x, {k}) {W} AS x{k}' for k in (1, 2, 3, 4))} FROM c), rho AS (SELECT series_id, count(*) AS n, {', '.join(f'sum(x * x{k}) / sum(x * x) AS r{k}' for k in (1, 2, 3, 4))} FROM l GROUP BY 1)"
+
+
+@query(f"WITH {RHO} SELECT series_id, round(r1, 6) + 0.0 AS r1, round(r2, 6) + 0.0 AS r2, round(r3, 6) + 0.0 AS r3, round(r4, 6) + 0.0 AS r4, n FROM rho")
+def autocorrelations(spark, d):
+    rho = statistics.autocorrelations(panel(spark, d), ["series_id"], 4)
+    return rho.groupBy("series_id", "n").agg(*(tidy(F.max(F.when(F.col("lag") == k, F.col("rho")))).alias(f"r{k}") for k in (1, 2, 3, 4)))
+
+
+@query(f"WITH {RHO} SELECT series_id, round(n * (n + 2) * ({' + '.join(f'r{k} * r{k} / (n - {k})' for k in (1, 2, 3, 4))}), 4) + 0.0 AS q FROM rho")
+def ljung_box_q(spark, d):
+    return statistics.ljung_box(statistics.autocorrelations(panel(spark, d), ["series_id"], 4), ["series_id"]).select("series_id", tidy("q", 4).alias("q"))
+
+
+@query(f"WITH {RHO}, k AS (SELECT series_id, n, 1 + 2 * ({' + '.join(f'(1 - {k} / n) * r{k} * r{k}' for k in (1, 2, 3, 4))}) AS c FROM rho) SELECT series_id, round(CASE WHEN c <= 0 THEN n ELSE greatest(3.0, least(CAST(n AS DOUBLE), n / c)) END, 4) + 0.0 AS n_eff FROM k".replace("1 / n", "1.0 / n").replace("2 / n", "2.0 / n").replace("3 / n", "3.0 / n").replace("4 / n", "4.0 / n"))
+def bartlett_neff(spark, d):
+    rho = statistics.autocorrelations(panel(spark, d), ["series_id"], 4)
+    return statistics.effective_sample_size(rho, rho, ["series_id"]).select("series_id", tidy("n_eff", 4).alias("n_eff"))
+
+
+@query(f"""WITH {PANEL}, g AS (SELECT series_id, obs_date, value - lag(value) {W} AS x FROM panel), s AS (SELECT series_id, sign(x) AS s, lag(sign(x)) {W} AS b FROM g WHERE x IS NOT NULL AND x <> 0),
+    a AS (SELECT series_id, CAST(count(*) FILTER (WHERE s > 0) AS DOUBLE) AS u, CAST(count(*) FILTER (WHERE s < 0) AS DOUBLE) AS w, 1 + count(*) FILTER (WHERE s <> b) AS runs FROM s GROUP BY 1)
+    SELECT series_id, CAST(runs AS BIGINT) AS runs, round((runs - (2 * u * w / (u + w) + 1)) / sqrt(2 * u * w * (2 * u * w - u - w) / ((u + w) * (u + w) * (u + w - 1))), 5) + 0.0 AS z FROM a""")
+def runs_test_z(spark, d):
+    got = statistics.runs_test(apply_transform(panel(spark, d), "diff", out="x"), ["series_id"], value="x")
+    return got.select("series_id", F.col("runs").cast("long").alias("runs"), tidy("z", 5).alias("z"))
+
+
+@query(f"""WITH {PAIRS} SELECT series_id, obs_date, round(CASE WHEN count(p) OVER w = 12 THEN covar_pop(p, t) OVER w / nullif(stddev_pop(p) OVER w * stddev_pop(t) OVER w, 0) END, 5) + 0.0 AS r FROM pairs WINDOW w AS (PARTITION BY series_id ORDER BY obs_date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""")
+def rolling_corr(spark, d):
+    return statistics.rolling_correlation(pairs(spark, d), ["series_id"], 12, out="r").select("series_id", "obs_date", tidy("r", 5).alias("r"))
+
+
+@query(f"WITH {PAIRS}, r AS (SELECT series_id, count(*) AS n, corr(p, t) AS r FROM pairs GROUP BY 1) SELECT series_id, round(tanh(atanh(r) - 1.96 / sqrt(n - 3)), 6) + 0.0 AS ci_low, round(tanh(atanh(r) + 1.96 / sqrt(n - 3)), 6) + 0.0 AS ci_high, round(sqrt((1 - r * r) / (n - 2)), 6) + 0.0 AS se FROM r")
+def corr_ci_fisher(spark, d):
+    r = pairs(spark, d).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), pearson("p", "t").alias("r"))
+    return r.select("series_id", *statistics.correlation_interval("r", "n")).select("series_id", *(tidy(c).alias(c) for c in ("ci_low", "ci_high", "se")))
+
+
+@query(f"""WITH {PAIRS}, x AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY obs_date) AS i FROM pairs), dd AS (SELECT a.series_id, a.i, b.i AS j, abs(a.p - b.p) AS da, abs(a.t - b.t) AS db FROM x a JOIN x b USING (series_id)),
+    c AS (SELECT series_id, da - avg(da) OVER (PARTITION BY series_id, i) - avg(da) OVER (PARTITION BY series_id, j) + avg(da) OVER (PARTITION BY series_id) AS a, db - avg(db) OVER (PARTITION BY series_id, i) - avg(db) OVER (PARTITION BY series_id, j) + avg(db) OVER (PARTITION BY series_id) AS b FROM dd)
+    SELECT series_id, round(sqrt(avg(a * b) / sqrt(avg(a * a) * avg(b * b))), 5) + 0.0 AS dcor FROM c GROUP BY 1""")
+def distance_corr(spark, d):
+    return statistics.distance_correlation(pairs(spark, d), ["series_id"]).select("series_id", tidy("dcor", 5).alias("dcor"))
+
+
+@query(f"WITH {PAIRS}, k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY p) AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM pairs), z AS (SELECT *, CASE WHEN rn <= floor(n * 0.2) THEN 'bottom' WHEN rn > n - floor(n * 0.2) THEN 'top' END AS tail FROM k) SELECT series_id, tail, count(*) AS n, round(corr(p, t), 5) + 0.0 AS r FROM z WHERE tail IS NOT NULL GROUP BY 1, 2")
+def tail_corr(spark, d):
+    return statistics.tails(pairs(spark, d), ["series_id"]).groupBy("series_id", "tail").agg(F.count(F.lit(1)).alias("n"), tidy(pearson("p", "t"), 5).alias("r"))
+
+
+LOGISTIC = "1 / (1 + exp(1.702 * abs(r) * sqrt(n)))"
+
+
+def _tests(spark, d):
+    """A rough p-value of each nation's lag-one autocorrelation, by a logistic curve, in both engines alike."""
+    rho = statistics.autocorrelations(panel(spark, d), ["series_id"], 4).where("lag = 1")
+    return rho.select("series_id", F.round(2 * F.expr(LOGISTIC.replace("r)", "rho)")), 9).alias("p"))
+
+
+TESTS = f"{RHO}, tests AS (SELECT series_id, round(2 * {LOGISTIC.replace('abs(r)', 'abs(r1)')}, 9) AS p FROM rho)"
+
+
+@query(f"WITH {TESTS}, k AS (SELECT *, row_number() OVER (ORDER BY p, series_id) AS i, count(*) OVER () AS m FROM tests), best AS (SELECT coalesce(max(i) FILTER (WHERE p <= i / m * 0.25), 0) AS top FROM k) SELECT series_id, round(p, 6) AS p, i <= top AS rejected FROM k CROSS JOIN best".replace("i / m", "i * 1.0 / m"))
+def benjamini_hochberg(spark, d):
+    return statistics.benjamini_hochberg(_tests(spark, d), q=0.25, order=["series_id"]).select("series_id", F.round("p", 6).alias("p"), "rejected")
+
+
+@query(f"WITH {TESTS} SELECT series_id, round(p, 6) AS p, p <= 0.5 / count(*) OVER () AS rejected FROM tests")
+def bonferroni(spark, d):
+    return statistics.bonferroni(_tests(spark, d), alpha=0.5).select("series_id", F.round("p", 6).alias("p"), "rejected")
+
+
+@query(f"WITH {PAIRS} SELECT series_id, count(*) AS n, round(sum(p), 1) + 0.0 AS sp, round(regr_slope(t, p), 5) + 0.0 AS slope FROM pairs GROUP BY 1")
+def ols_moments(spark, d):
+    m = statistics.moments(pairs(spark, d), ["p", "t"], ["series_id"])
+    slope = ratio(F.col("s_p_t") - F.col("s_p") * F.col("s_t") / F.col("n"), F.col("s_p_p") - F.col("s_p") * F.col("s_p") / F.col("n"))
+    return m.select("series_id", "n", tidy("s_p", 1).alias("sp"), tidy(slope, 5).alias("slope"))
+
+
+# Vintages.
+
+
+@query(f"WITH {VINTAGES} SELECT obs_date, min(vintage_date) AS vintage_date, arg_min(value, vintage_date) AS value FROM vint GROUP BY 1")
+def vintage_first(spark, d):
+    return vintage.first_vintage(vintages(spark, d)).select("obs_date", "vintage_date", "value")
+
+
+@query(f"WITH {VINTAGES} SELECT obs_date, max(vintage_date) AS vintage_date, arg_max(value, vintage_date) AS value FROM vint GROUP BY 1")
+def vintage_final(spark, d):
+    return vintage.final_vintage(vintages(spark, d)).select("obs_date", "vintage_date", "value")
+
+
+@query(f"WITH {VINTAGES}, k AS (SELECT *, row_number() OVER (PARTITION BY obs_date ORDER BY vintage_date) AS i FROM vint) SELECT a.obs_date, round(b.value - a.value, 2) + 0.0 AS value FROM k a JOIN k b USING (obs_date) WHERE a.i = 1 AND b.i = 2")
+def vintage_first_revision(spark, d):
+    return vintage.first_revision(vintages(spark, d)).select("obs_date", tidy("value", 2).alias("value"))
+
+
+@query(f"WITH {VINTAGES} SELECT obs_date, arg_max(value, vintage_date) AS value FROM vint WHERE vintage_date <= DATE '1998-06-30' GROUP BY 1")
+def vintage_as_of(spark, d):
+    return vintage.as_of(vintages(spark, d), "1998-06-30").select("obs_date", "value")
+
+
+@query(f"WITH {VINTAGES}, ds AS (SELECT DISTINCT vintage_date + 15 AS as_of FROM vint) SELECT as_of, arg_max(obs_date, (obs_date, vintage_date)) AS obs_date, arg_max(value, (obs_date, vintage_date)) AS value FROM ds JOIN vint ON vintage_date <= as_of GROUP BY 1")
+def vintage_as_of_series(spark, d):
+    v = vintages(spark, d)
+    return vintage.as_of_series(v, v.select("series_id", F.date_add("vintage_date", 15).alias("as_of")).distinct()).select("as_of", "obs_date", "value")
+
+
+REV = f"""{VINTAGES}, f AS (SELECT obs_date, min(vintage_date) AS d0, arg_min(value, vintage_date) AS v0, lag(obs_date) OVER (ORDER BY obs_date) AS b FROM vint GROUP BY 1),
+    q AS (SELECT f.obs_date, any_value(d0) AS d0, any_value(v0) AS v0, arg_max(v.value, v.vintage_date) FILTER (WHERE v.obs_date = f.obs_date AND v.vintage_date <= d0 + 90) AS vh, arg_max(v.value, v.vintage_date) FILTER (WHERE v.obs_date = b AND v.vintage_date <= d0) AS p0, arg_max(v.value, v.vintage_date) FILTER (WHERE v.obs_date = b AND v.vintage_date <= d0 + 90) AS ph FROM f JOIN vint v ON v.obs_date = f.obs_date OR v.obs_date = b GROUP BY 1),
+    rev AS (SELECT obs_date, d0 AS first_release_date, d0 + 90 AS knowable_date, vh - v0 AS level_rev, (vh - v0) / nullif(abs(v0), 0) AS rel_level_rev, (vh - ph) - (v0 - p0) AS growth_rev FROM q)"""
+
+
+@query(f"WITH {REV} SELECT obs_date, first_release_date, knowable_date, round(level_rev, 2) + 0.0 AS level_rev, round(rel_level_rev, 5) + 0.0 AS rel_level_rev, round(growth_rev, 2) + 0.0 AS growth_rev FROM rev")
+def revisions_fixed_horizon(spark, d):
+    got = vintage.revisions(vintages(spark, d), 90)
+    return got.select("obs_date", "first_release_date", "knowable_date", tidy("level_rev", 2).alias("level_rev"), tidy("rel_level_rev", 5).alias("rel_level_rev"), tidy("growth_rev", 2).alias("growth_rev"))
+
+
+SAFE = f"{REV}, safe AS (SELECT a.obs_date, round(arg_max(b.level_rev, b.obs_date), 2) + 0.0 AS x, round(any_value(a.level_rev), 2) + 0.0 AS y FROM rev a JOIN rev b ON b.obs_date < a.obs_date AND b.knowable_date <= a.first_release_date WHERE a.level_rev IS NOT NULL AND b.level_rev IS NOT NULL GROUP BY 1)"
+
+
+def _safe(spark, d):
+    return vintage.safe_pairs(vintage.revisions(vintages(spark, d), 90), "level_rev").select("obs_date", tidy("x", 2).alias("x"), tidy("y", 2).alias("y"))
+
+
+@query(f"WITH {SAFE} SELECT * FROM safe")
+def pit_safe_pairs(spark, d):
+    return _safe(spark, d)
+
+
+@query(f"WITH {SAFE}, k AS (SELECT *, ntile(3) OVER (ORDER BY obs_date) AS third FROM safe) SELECT CAST(third AS INTEGER) AS third, count(*) AS n, round(corr(x, y), 5) + 0.0 AS r FROM k GROUP BY 1")
+def subsample_stability(spark, d):
+    rows = _safe(spark, d).withColumn("third", F.ntile(3).over(Window.orderBy("obs_date")))  # a row for each month
+    return rows.groupBy("third").agg(F.count(F.lit(1)).alias("n"), tidy(pearson("x", "y"), 5).alias("r"))
+
+
+@query(f"WITH {SAFE}, ds AS (SELECT unnest([DATE '1996-12-31', DATE '1997-12-31', DATE '1998-12-31']) AS split) SELECT split, round(corr(x, y) FILTER (WHERE obs_date <= split), 5) + 0.0 AS r_train, round(corr(x, y) FILTER (WHERE obs_date > split), 5) + 0.0 AS r_test FROM safe CROSS JOIN ds GROUP BY 1")
+def oos_split_sensitivity(spark, d):
+    dates = F.array(*(F.lit(x).cast("date") for x in ("1996-12-31", "1997-12-31", "1998-12-31")))
+    rows = _safe(spark, d).withColumn("split", F.explode(dates))
+    early = F.col("obs_date") <= F.col("split")
+    return rows.groupBy("split").agg(tidy(pearson("x", "y", early), 5).alias("r_train"), tidy(pearson("x", "y", ~early), 5).alias("r_test"))
+
+
+@query(f"""WITH {VINTAGES}, a AS (SELECT obs_date, arg_min(value, vintage_date) AS f, arg_max(value, vintage_date) AS l FROM vint GROUP BY 1), g AS (SELECT obs_date, f / nullif(lag(f) OVER (ORDER BY obs_date), 0) - 1 AS f, l / nullif(lag(l) OVER (ORDER BY obs_date), 0) - 1 AS l FROM a),
+    h AS (SELECT f, l, lag(f) OVER (ORDER BY obs_date) AS fb, lag(l) OVER (ORDER BY obs_date) AS lb FROM g) SELECT round(corr(f, fb), 5) + 0.0 AS ac1_first, round(corr(l, lb), 5) + 0.0 AS ac1_final FROM h WHERE fb IS NOT NULL""")
+def pit_gap(spark, d):
+    """Lag-one autocorrelation of monthly growth, as first released and as it stands now."""
+    v = vintages(spark, d)
+    rows = vintage.first_vintage(v).select("series_id", "obs_date", F.col("value").alias("f")).join(vintage.final_vintage(v).select("series_id", "obs_date", F.col("value").alias("l")), ["series_id", "obs_date"])
+    w = Window.partitionBy("series_id").orderBy("obs_date")
+    g = rows.select("series_id", "obs_date", *((ratio(c, F.lag(c).over(w)) - 1).alias(c) for c in "fl"))
+    h = g.select("f", "l", *(F.lag(c).over(w).alias(c + "b") for c in "fl"))
+    return h.agg(tidy(pearson("f", "fb"), 5).alias("ac1_first"), tidy(pearson("l", "lb"), 5).alias("ac1_final"))
+
+
+# Joins in time.
+
+
+@query("WITH s AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS at, max(o_totalprice) AS v FROM orders GROUP BY 1, 2), e AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) + 30 AS at, o_orderkey FROM orders) SELECT o_orderkey, e.at, s.v FROM e ASOF LEFT JOIN s ON e.k = s.k AND e.at >= s.at")
+def asof_backward(spark, d):
+    """The last order of the customer by 30 days after each order."""
+    o = read(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    known = o.groupBy(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("at")).agg(F.max("o_totalprice").alias("v"))
+    asked = o.select("o_orderkey", F.col("o_custkey").alias("k"), F.date_add(F.to_date("o_orderdate"), 30).alias("at"))
+    return asof_join(asked, known, keys=["k"], left_on="at", right_on="at", values=["v"]).select("o_orderkey", "at", "v")
+
+
+def _prices(spark, d):
+    """Mean order value by segment and day, as prices."""
+    o, c = read(spark, d, "orders", "o_custkey", "o_orderdate", "o_totalprice"), read(spark, d, "customer", "c_custkey", "c_mktsegment")
+    return o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_mktsegment").alias("ticker"), F.to_date("o_orderdate").alias("date")).agg(F.round(F.avg("o_totalprice"), 2).alias("close"))
+
+
+def _events(spark, d):
+    """The days whose order value ends in .x7, as catalysts."""
+    return _prices(spark, d).where(F.day("date") == 7).select(F.concat_ws("-", "ticker", F.col("date").cast("string")).alias("event_id"), "ticker", F.col("date").alias("catalyst_date"))
+
+
+PRICES = "prices AS (SELECT c_mktsegment AS ticker, CAST(o_orderdate AS DATE) AS date, round(avg(o_totalprice), 2) AS close FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), rets AS (SELECT *, row_number() OVER w AS rn, close / nullif(lag(close) OVER w, 0) - 1 AS ret FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY date))"
+FEATURES = f"{PRICES}, ev AS (SELECT ticker || '-' || date AS event_id, ticker, date, rn AS a FROM rets WHERE day(date) = 7), feats AS (SELECT event_id, any_value(e.ticker) AS ticker, {', '.join(f'CASE WHEN count(ret) FILTER (WHERE r.rn - a BETWEEN {a} AND {b}) = {b - a + 1} THEN sum(ret) FILTER (WHERE r.rn - a BETWEEN {a} AND {b}) END AS {n}' for n, (a, b) in events.WINDOWS.items())} FROM ev e JOIN rets r ON e.ticker = r.ticker AND r.rn BETWEEN a - 60 AND a + 21 GROUP BY 1)"
+
+
+@query(f"WITH {FEATURES} SELECT event_id, ticker, {', '.join(f'round({n}, 3) + 0.0 AS {n}' for n in events.WINDOWS)} FROM feats")
+def event_window_cum(spark, d):
+    got = events.event_features(_events(spark, d), _prices(spark, d))
+    return got.select("event_id", "ticker", *(tidy(n, 3).alias(n) for n in events.WINDOWS))
+
+
+@query(f"WITH {FEATURES}, r AS (SELECT ticker, round(pre_runup, 6) AS x, round(event_reaction, 6) AS y, event_id FROM feats WHERE pre_runup IS NOT NULL AND event_reaction IS NOT NULL), c AS (SELECT ticker, quantile_cont(x, 2.0 / 3) AS cut FROM r GROUP BY 1), b AS (SELECT *, ntile(5) OVER (PARTITION BY ticker ORDER BY x, y) AS q FROM r JOIN c USING (ticker)) SELECT ticker, round(avg(y) FILTER (WHERE q = 1), 4) + 0.0 AS q1, round(avg(y) FILTER (WHERE q = 5), 4) + 0.0 AS q5, round(avg(y) FILTER (WHERE q = 5) - avg(y) FILTER (WHERE q = 1), 4) + 0.0 AS spread, round(avg(CASE WHEN y < 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE x >= cut), 4) + 0.0 AS share, count(*) AS n FROM b GROUP BY 1")
+def quintile_spread(spark, d):
+    f = events.event_features(_events(spark, d), _prices(spark, d)).select("ticker", F.round("pre_runup", 6).alias("pre_runup"), F.round("event_reaction", 6).alias("event_reaction"))
+    got = events.cross_section(f, ["ticker"])
+    return got.select("ticker", tidy("q1", 4).alias("q1"), tidy("q5", 4).alias("q5"), tidy("spread", 4).alias("spread"), tidy("top_tercile_share_negative", 4).alias("share"), "n")
+
+
+# Strategies.
+
+STRAT = f"{PRICES}, sg AS (SELECT *, ret AS s, greatest(-1.0, least(1.0, ret / nullif(stddev_samp(ret) OVER (PARTITION BY ticker), 0) / 3)) AS k FROM rets), ps AS (SELECT *, lag(k) OVER (PARTITION BY ticker ORDER BY date) AS pos FROM sg), tn AS (SELECT *, abs(pos - coalesce(lag(pos) OVER (PARTITION BY ticker ORDER BY date), 0)) AS turn FROM ps), net AS (SELECT *, pos * ret - turn * 0.001 AS net FROM tn)"
+
+
+def _strategy(spark, d):
+    rows = events.returns(_prices(spark, d)).withColumnRenamed("ret", "signal")
+    return strategy.strategy_returns(rows, ["ticker"])
+
+
+@query(f"WITH {STRAT} SELECT ticker, count(net) AS n, round(sum(turn), 4) + 0.0 AS turnover, round(avg(net) * 252, 4) + 0.0 AS x1, round(avg(CASE WHEN pos IS NOT NULL THEN pos * ret - turn * 0.005 END) * 252, 4) + 0.0 AS x5 FROM net GROUP BY 1")
+def turnover_cost(spark, d):
+    rows = _strategy(spark, d)
+    sums = rows.groupBy("ticker").agg(F.count("net").alias("n"), tidy(F.sum("turnover"), 4).alias("turnover"))
+    costs = strategy.cost_sensitivity(rows, ["ticker"]).groupBy("ticker").agg(*(tidy(F.max(F.when(F.col("factor") == k, F.col("net_return"))), 4).alias(f"x{k}") for k in (1, 5)))
+    return sums.join(costs, "ticker")
+
+
+@query(f"WITH {STRAT}, v AS (SELECT ticker, net * 0.01 AS r, date FROM net WHERE net IS NOT NULL), c AS (SELECT ticker, quantile_cont(r, 0.05) AS q FROM v GROUP BY 1), e AS (SELECT ticker, date, exp(sum(ln(1 + r)) OVER (PARTITION BY ticker ORDER BY date)) AS e FROM v), dd AS (SELECT ticker, min(e / m - 1) AS dd FROM (SELECT *, max(e) OVER (PARTITION BY ticker ORDER BY date) AS m FROM e) GROUP BY 1) SELECT v.ticker, count(*) AS n, round(stddev_samp(r) * sqrt(252), 5) + 0.0 AS vol, round((avg(r) * 252 - 0.03) / (stddev_samp(r) * sqrt(252)), 5) + 0.0 AS sharpe, round(any_value(q), 6) + 0.0 AS var_95, round(avg(r) FILTER (WHERE r <= q), 6) + 0.0 AS cvar_95, round(any_value(dd), 5) + 0.0 AS max_drawdown FROM v JOIN c USING (ticker) JOIN dd USING (ticker) GROUP BY 1")
+def strategy_metrics(spark, d):
+    got = strategy.metrics(_strategy(spark, d).withColumn("net", F.col("net") * 0.01), ["ticker"])
+    return got.select("ticker", "n", *(tidy(c, k).alias(c) for c, k in (("vol", 5), ("sharpe", 5), ("var_95", 6), ("cvar_95", 6), ("max_drawdown", 5))))
+
+
+# Analogues: parts as events.
+
+
+def _corpus(spark, d):
+    p = read(spark, d, "part", "p_partkey", "p_brand", "p_type", "p_size", "p_retailprice").where("p_partkey <= 400")
+    return p.select(F.col("p_partkey").cast("string").alias("event_id"), F.col("p_brand").alias("moa"), F.concat_ws("-", "p_type", (F.col("p_size") % 10).cast("string")).alias("indication"), F.col("p_type").alias("disease_area"), F.col("p_size").cast("string").alias("target"), (F.col("p_partkey") % 3).cast("string").alias("modality"), (F.col("p_partkey") % 4).cast("string").alias("phase"), F.array((F.col("p_partkey") % 5).cast("string"), (F.col("p_size") % 7).cast("string")).alias("tags"), F.when(F.col("p_partkey") % 7 < 3, "success").when(F.col("p_partkey") % 7 < 5, "failure").when(F.col("p_partkey") % 7 == 5, "mixed").otherwise("unknown").alias("outcome"))
+
+
+CORPUS = """corpus AS (SELECT CAST(p_partkey AS VARCHAR) AS event_id, p_brand AS moa, p_type || '-' || CAST(p_size % 10 AS VARCHAR) AS indication, p_type AS disease_area, CAST(p_size AS VARCHAR) AS target, CAST(p_partkey % 3 AS VARCHAR) AS modality, CAST(p_partkey % 4 AS VARCHAR) AS phase, [CAST(p_partkey % 5 AS VARCHAR), CAST(p_size % 7 AS VARCHAR)] AS tags, CASE WHEN p_partkey % 7 < 3 THEN 'success' WHEN p_partkey % 7 < 5 THEN 'failure' WHEN p_partkey % 7 = 5 THEN 'mixed' ELSE 'unknown' END AS outcome FROM part WHERE p_partkey <= 400),
+    scored AS (SELECT q.event_id AS query_id, c.event_id, q.outcome AS q_outcome, c.outcome, CAST((q.disease_area = c.disease_area) AS INT) * 2 + CAST((q.indication = c.indication) AS INT) * 3 + CASE WHEN q.moa = c.moa THEN 3 WHEN q.target = c.target THEN 2 ELSE 0 END + CAST((q.modality = c.modality) AS INT) + CAST((q.phase = c.phase) AS INT) + len(list_distinct(list_intersect(q.tags, c.tags))) AS score FROM corpus q JOIN corpus c ON q.event_id <> c.event_id AND (q.indication = c.indication OR q.moa = c.moa OR q.target = c.target)), found AS (SELECT * FROM scored WHERE score >= 4)"""
+
+
+@query(f"WITH {CORPUS} SELECT query_id, event_id, CAST(score AS INTEGER) AS score FROM found")
+def refclass_retrieve(spark, d):
+    c = _corpus(spark, d)
+    return analogues.retrieve(c, c).select("query_id", "event_id", F.col("score").cast("int").alias("score"))
+
+
+RATES = "count(*) AS n, {0}round(avg(CASE outcome WHEN 'success' THEN 1.0 WHEN 'failure' THEN 0.0 ELSE 0.5 END), 6) + 0.0 AS weighted_success_rate"
+
+
+@query(f"WITH {CORPUS} SELECT disease_area, moa, {RATES.format('round(avg(CASE WHEN outcome = ' + chr(39) + 'success' + chr(39) + ' THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS p_success, ')}, CASE WHEN count(*) < 3 THEN 'insufficient' WHEN count(*) < 5 THEN 'low' WHEN count(*) < 8 THEN 'medium' ELSE 'high' END AS confidence FROM corpus GROUP BY 1, 2 HAVING count(*) >= 2")
+def refclass_base_rates(spark, d):
+    got = analogues.class_base_rates(_corpus(spark, d), ["disease_area", "moa"])
+    return got.select("disease_area", "moa", "n", tidy("p_success").alias("p_success"), tidy("weighted_success_rate").alias("weighted_success_rate"), "confidence")
+
+
+@query(f"WITH {CORPUS}, pr AS (SELECT query_id, any_value(q_outcome) AS o, avg(CASE outcome WHEN 'success' THEN 1.0 WHEN 'failure' THEN 0.0 ELSE 0.5 END) AS p FROM found WHERE q_outcome IN ('success', 'failure') GROUP BY 1 HAVING count(*) >= 2) SELECT count(*) AS n, round(avg(p) FILTER (WHERE o = 'success'), 5) + 0.0 AS mean_p_success, round(avg(p) FILTER (WHERE o = 'failure'), 5) + 0.0 AS mean_p_failure, round(avg(CASE WHEN (p >= 0.5) = (o = 'success') THEN 1.0 ELSE 0.0 END), 5) + 0.0 AS accuracy, round(avg((p - CAST(o = 'success' AS INT)) ** 2), 5) + 0.0 AS brier FROM pr")
+def refclass_loo(spark, d):
+    got = analogues.leave_one_out(_corpus(spark, d))
+    return got.select("n", *(tidy(c, 5).alias(c) for c in ("mean_p_success", "mean_p_failure", "accuracy", "brier")))
+
+
+# Registry: sources of documents as a catalog.
+
+
+def _catalog(spark, d):
+    """A source for each nation, a dataset for each region and nation."""
+    n = read(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey")
+    arr = lambda *c: F.array(*(F.lit(x) if isinstance(x, str) else x for x in c))
+    k = F.col("n_nationkey")
+    sources = n.select(k.cast("string").alias("id"), F.col("n_name").alias("name"), F.when(k % 2 == 0, "finance-markets").otherwise("economy").alias("domain"), F.when(k % 5 == 0, "panel").when(k % 5 == 1, "registry").otherwise("time-series").alias("entry_kind"), F.concat(F.lit("series of "), F.lower("n_name"), F.when(k % 4 == 0, " with revisions").otherwise("")).alias("description"), F.when(k % 3 == 0, arr("DATE", "ISO_3")).when(k % 3 == 1, arr("TICKER")).otherwise(arr("DATE", "TICKER")).alias("join_keys"), arr("id").alias("primary_keys"), F.when(k % 6 == 0, arr("global")).otherwise(arr("us", "eu")).alias("geography"), arr("monthly prices").alias("use_cases"), F.when(k % 2 == 0, "1 month").alias("lag"), F.when(k % 3 == 0, arr("rest-api")).otherwise(arr("scrape")).alias("type"), F.when(k % 4 == 1, "paid").otherwise("free").alias("cost"), F.when(k % 7 == 0, "api-key").otherwise("none").alias("auth_required"), F.lit("x").alias("license"), F.lit("monthly").alias("frequency"), F.lit("").alias("homepage_url"))
+    listed = n.where(k % 2 == 1).select(F.concat(F.lit("d"), k.cast("string")).alias("id"), k.cast("string").alias("source_id"), F.col("n_name").alias("name"), F.lit("time-series").alias("entry_kind"), F.lit("date").alias("time_index"), F.when(k % 3 == 0, arr("daily", "monthly")).otherwise(arr("annual")).alias("time_grain"), arr("id").alias("primary_keys"), F.when(k % 3 == 0, arr("DATE", "ISO_3")).otherwise(arr("TICKER")).alias("join_keys"), F.lit(True).alias("is_catalog"))
+    fields = listed.select("source_id", F.col("id").alias("dataset_id"), F.lit("value").alias("name"), F.lit("double").alias("type"), F.lit("measure").alias("role"), F.lit(None).cast("string").alias("join_key"), F.lit(1).alias("ordinal"))
+    return registry.Catalog(sources, registry.all_datasets(sources, listed), fields, fields.limit(0))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, CAST(CAST(contains(lower(n_name || ' series of ' || n_name), 'a') AS INT) + CAST(n_nationkey % 4 = 0 AS INT) + CAST(n_nationkey % 3 <> 1 AS INT) AS INTEGER) AS score FROM nation WHERE n_nationkey % 2 = 0 ORDER BY score DESC, lower(n_name), id LIMIT 8")
+def registry_search_topk(spark, d):
+    return registry.search_sources(_catalog(spark, d), "a revisions date", domain="finance-markets", limit=8).select("id", "score")
+
+
+@query("WITH k AS (SELECT n_nationkey AS i, CASE n_nationkey % 3 WHEN 0 THEN ['DATE', 'ISO_3'] WHEN 1 THEN ['TICKER'] ELSE ['DATE', 'TICKER'] END AS ks FROM nation), p AS (SELECT a.i AS a, b.i AS b, a.ks AS ka, b.ks AS kb, list_filter(b.ks, lambda x: list_contains(a.ks, x)) AS dr FROM k a JOIN k b ON a.i < b.i) SELECT CAST(a AS VARCHAR) AS source_id, CAST(b AS VARCHAR) AS target_id, CAST(len(dr) AS INTEGER) AS n, CASE WHEN len(dr) = 0 THEN 'incompatible' WHEN len(dr) = 1 AND NOT list_contains(dr, 'DATE') THEN 'weak' WHEN list_contains(dr, 'DATE') AND NOT list_contains(dr, 'ISO_3') AND (list_contains(ka, 'ISO_3') OR list_contains(kb, 'ISO_3')) THEN 'medium' WHEN list_contains(dr, 'DATE') AND list_contains(dr, 'ISO_3') THEN 'strong' ELSE 'medium' END AS join_quality FROM p")
+def join_path_quality(spark, d):
+    s = _catalog(spark, d).sources.select("id", "join_keys", F.lit(1).alias("_one"))  # 25 sources
+    both = s.select(F.col("id").alias("source_id"), F.col("join_keys").alias("source_keys"), "_one").join(s.select(F.col("id").alias("target_id"), F.col("join_keys").alias("target_keys"), "_one"), "_one").where("cast(source_id as int) < cast(target_id as int)")
+    return registry.assess_joins(both).select("source_id", "target_id", F.size("direct").alias("n"), "join_quality")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, CAST(1 + CAST(n_nationkey % 3 = 0 AS INT) AS INTEGER) AS overlap FROM nation WHERE n_nationkey <> 3 AND n_nationkey % 3 <> 1 ORDER BY overlap DESC, lower(n_name), id LIMIT 10")
+def compatible_overlap(spark, d):
+    return registry.compatible_sources(_catalog(spark, d), "d3", 10).select("id", "overlap")
+
+
+@query("""WITH d AS (SELECT n_nationkey AS k, n_name, CASE WHEN n_nationkey % 2 = 1 THEN 'd' || n_nationkey ELSE CAST(n_nationkey AS VARCHAR) END AS id, CASE WHEN n_nationkey % 2 = 0 THEN 3 WHEN n_nationkey % 3 = 0 THEN 10 ELSE 3 END AS cadence, CASE WHEN n_nationkey % 2 = 0 THEN 5 WHEN n_nationkey % 3 = 0 THEN 10 ELSE 3 END AS cf FROM nation WHERE n_nationkey % 2 = 1 OR n_nationkey % 5 <> 0),
+    a AS (SELECT id, CAST(least(10, 2 + round_even((CAST(contains('monthly prices', 'prices') AS INT) + CAST(contains(lower(n_name), 'zzzz') AS INT)) * 8 / 2.0, 0)) AS INTEGER) AS economic_proximity, CASE WHEN k % 6 = 0 THEN 9 ELSE 7 END AS coverage, cf AS cadence_fit, CASE WHEN k % 2 = 0 THEN 8 ELSE 4 END AS release_lag_clarity, CASE WHEN k % 4 = 0 THEN 3 WHEN k % 5 = 1 THEN 8 WHEN k % 5 = 0 THEN 5 ELSE 6 END AS point_in_time_safety, CASE WHEN k % 2 = 0 AND k % 5 <> 1 THEN 4 ELSE 8 END AS survivorship_bias_risk, CASE WHEN k % 3 = 0 THEN 9 ELSE 4 END AS api_scriptability, CASE WHEN k % 4 = 1 THEN 3 ELSE 10 END - CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS cost_access_practicality FROM d)
+    SELECT id, economic_proximity, coverage, cadence_fit, release_lag_clarity, point_in_time_safety, survivorship_bias_risk, api_scriptability, cost_access_practicality FROM a""")
+def dataset_fit_score(spark, d):
+    got = registry.fitness(_catalog(spark, d), {"statement": "prices zzzz", "target_cadence": "monthly"})
+    return got.drop("fit")
+
+
+# Quality, families, scalars.
+
+
+@query("SELECT 'c_acctbal' AS field, count(*) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS missing FROM customer UNION ALL SELECT 'c_mktsegment', count(*), count(*) FILTER (WHERE c_mktsegment = 'BUILDING') FROM customer")
+def field_audit_missing(spark, d):
+    c = read(spark, d, "customer", "c_acctbal", "c_mktsegment").select(F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("c_acctbal"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).otherwise(" ").alias("c_mktsegment"))
+    return quality.missing_by_field(c).select("field", "n", "missing")
+
+
+@query("WITH s AS (SELECT avg(p_retailprice) AS m, stddev_samp(p_retailprice) AS s FROM part) SELECT p_partkey, 'p_retailprice' AS field, round((p_retailprice - m) / s, 5) + 0.0 AS z FROM part CROSS JOIN s WHERE abs((p_retailprice - m) / s) > 1.5")
+def field_audit_outliers(spark, d):
+    return quality.outliers_by_field(read(spark, d, "part", "p_partkey", "p_retailprice"), "p_partkey", ["p_retailprice"], z=1.5).select("p_partkey", "field", tidy("z", 5).alias("z"))
+
+
+@query(f"WITH {PAIRS}, ks AS (SELECT unnest([0, 1, 2]) AS k), m AS (SELECT series_id, k, obs_date, t, lag(p, CAST(k AS INTEGER)) OVER (PARTITION BY series_id, k ORDER BY obs_date) AS p FROM pairs CROSS JOIN ks) SELECT series_id AS term, CAST(k AS INTEGER) AS lag, round(corr(p, t) FILTER (WHERE obs_date <= DATE '1998-12-31' AND p IS NOT NULL), 5) + 0.0 AS r_train, round(corr(p, t) FILTER (WHERE obs_date > DATE '1998-12-31' AND p IS NOT NULL), 5) + 0.0 AS r_test, count(p) FILTER (WHERE obs_date > DATE '1998-12-31') AS n_test FROM m GROUP BY 1, 2")
+def family_matrix(spark, d):
+    got = quality.family_matrix(pairs(spark, d).withColumnRenamed("series_id", "term"), [0, 1, 2], "1998-12-31")
+    return got.select("term", "lag", tidy("r_train", 5).alias("r_train"), tidy("r_test", 5).alias("r_test"), "n_test")
+
+
+@query(f"WITH {PAIRS}, s AS (SELECT series_id, sign(corr(p, t)) AS s FROM pairs GROUP BY 1) SELECT a.series_id AS a, b.series_id AS b, CASE WHEN a.s = 0 OR b.s = 0 THEN 'neutral' WHEN a.s = b.s THEN 'agree' ELSE 'contradict' END AS verdict FROM s a JOIN s b ON a.series_id < b.series_id")
+def contradiction_matrix(spark, d):
+    signs = pairs(spark, d).groupBy(F.col("series_id").alias("signal_id")).agg(F.signum(pearson("p", "t")).alias("sign"))
+    return quality.contradictions(signs)
+
+
+@query("SELECT o_orderkey, o_totalprice AS p FROM orders WHERE o_orderkey % 3 = 0")
+def pvalue_parse(spark, d):
+    o = read(spark, d, "orders", "o_orderkey", "o_totalprice").where("o_orderkey % 3 = 0")
+    return o.select("o_orderkey", p_value(F.concat(F.lit(" <="), F.col("o_totalprice").cast("string"))).alias("p"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value FROM events")
+def json_first_value(spark, d):
+    e = read(spark, d, "events", "event_id", "props")
+    return e.select("event_id", F.get(F.map_values(F.from_json("props", "map<string,string>")), 0).alias("first_value"))
+
+
+# Kernels: no SQL; held against numpy and published values in tests.
+
+
+def _by_series(kernel, schema):
+    return lambda spark, d: per_series(panel(spark, d), ["series_id"], "obs_date", lambda rows: kernel(rows["value"].to_numpy(float)), schema)
+
 
+query(name="kernel_adf")(_by_series(lambda v: dict(zip(("stat", "p", "lags"), adf(v), strict=True)), "stat double, p double, lags int"))
+query(name="kernel_kpss")(_by_series(lambda v: dict(zip(("stat", "p", "lags"), kpss(v), strict=True)), "stat double, p double, lags int"))
+query(name="kernel_stl")(_by_series(lambda v: strength(stl(v, 12)), "trend_strength double, seasonal_strength double, durbin_watson double"))
 
-def monthly_revenue(spark, sf_dir):
-    """Revenue of each calendar month, at its month end."""
-    return (
-        spark.read.parquet(f"{sf_dir}/orders.parquet")
-        .groupBy(F.last_day("o_orderdate").alias("period_end"))
-        .agg(F.round(F.sum("o_totalprice"), 2).alias("revenue"), F.count("*").alias("n_orders"))
-    )
 
+def _by_pairs(kernel, schema):
+    return lambda spark, d: per_series(pairs(spark, d), ["series_id"], "obs_date", lambda rows: kernel(rows["p"].to_numpy(float), rows["t"].to_numpy(float)), schema)
 
-QUERIES = {"monthly_revenue": monthly_revenue}
 
-ORACLE_SQL = {
-    "monthly_revenue": """
-        SELECT last_day(CAST(o_orderdate AS DATE)) AS period_end, round(sum(o_totalprice), 2) AS revenue, count(*) AS n_orders
-        FROM orders GROUP BY 1
-    """,
-}
+query(name="kernel_granger")(_by_pairs(lambda p, t: {"p": granger(p, t)}, "p double"))
+query(name="kernel_ols_hac")(_by_pairs(lambda p, t: {k: v for k, v in ols_hac(p[:, None], t).items() if k in ("coef", "t", "r2", "f_p")}, "coef array<double>, t array<double>, r2 double, f_p double"))
+query(name="kernel_cointegration")(_by_pairs(lambda p, t: dict(zip(("stat", "p"), engle_granger(p, t), strict=True)) | {"trace": [x["trace"] for x in johansen(np.column_stack([p, t]))]}, "stat double, p double, trace array<double>"))
+query(name="kernel_block_bootstrap")(_by_pairs(lambda p, t: dict(zip(("low", "high"), block_bootstrap(p, t, correlation, reps=500), strict=True)), "low double, high double"))
+query(name="kernel_case_bootstrap")(_by_pairs(lambda p, t: dict(zip(("low", "high"), case_bootstrap(np.column_stack([p * 0 + 1, p]), t, 1, reps=200), strict=True)), "low double, high double"))
