@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -139,26 +139,38 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iter
 SPANS = "n_words long, starts array<int>, ends array<int>, items array<string>"
 
 
-def match_items(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def _last(blocks: Iterator) -> Iterator[tuple]:
+    """Each block, with whether it is the last; one ahead is held."""
+    held = next(blocks)
+    for block in blocks:
+        yield held, False
+        held = block
+    yield held, True
+
+
+def match_items(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 32 << 20, finish: Callable | None = None) -> DataFrame:
     """``docs`` with the runs of words that lie inside a window of some item: n_words, starts, ends, items.
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. Null and empty
     texts have no words and no runs; an empty table of items gives no runs. Columns of ``docs`` by the names of the result
     are replaced. The automaton of a block of items is broadcast; with more than ``block_bytes`` of items, the blocks pass
-    over the documents one after the other, each adding to what the last has found.
+    over the documents one after the other, each adding to what the last has found. With ``finish``, the last of them gives what
+    that function makes of the batch, its texts, and their numbers of words and runs, in the columns of ``docs``.
     """
     names = ("n_words", "starts", "ends", "items")
-    out = docs.drop(*names)
+    out = docs if finish else docs.drop(*names)
     spark, kept = docs.sparkSession, out.columns
-    for k, block in enumerate(_blocks(items, item_id, item_text, block_bytes)):
+    for k, (block, last) in enumerate(_last(_blocks(items, item_id, item_text, block_bytes))):
+        done = finish if last else None
         automaton = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
 
-        def run(batches: Iterator[pa.RecordBatch], automaton=automaton, first=k == 0) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], automaton=automaton, first=k == 0, done=done) -> Iterator[pa.RecordBatch]:
             found = automaton.value
             for batch in pieces(batches, text):
                 n_words, starts, ends, names_of = [], [], [], []
                 before = None if first else [batch.column(c).to_pylist() for c in ("starts", "ends", "items")]
-                for i, value in enumerate(utf8(batch.column(text))):
+                values = utf8(batch.column(text))
+                for i, value in enumerate(values):
                     tokens = words(value)
                     runs, hit = found.matches(tokens)
                     hit = {str(x) for x in hit}
@@ -168,11 +180,14 @@ def match_items(docs: DataFrame, items: DataFrame, *, text: str = "text", item_i
                     starts.append([a for a, _ in runs])
                     ends.append([b for _, b in runs])
                     names_of.append(sorted(hit))
+                if done:
+                    yield done(batch.select(kept), values, n_words, starts, ends)
+                    continue
                 own = [pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(names_of, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + own, names=[*kept, *names])
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name in kept)
-        out = out.mapInArrow(run, f"{fields}, {SPANS}")
+        out = out.mapInArrow(run, fields if done else f"{fields}, {SPANS}")
     return out
 
 
@@ -202,21 +217,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", min_
     A run of hit words goes from the text if it has ``min_words`` words, or all the words of a shorter item; a document goes
     if its hit words are more than ``max_coverage`` of its words. Others stay as they are.
     """
-    found = match_items(docs, items, text=text, window=window)
-    hit = F.coalesce(F.aggregate(F.zip_with("ends", "starts", lambda b, a: b - a), F.lit(0), lambda s, x: s + x), F.lit(0))
-    found = found.where((hit <= F.col("n_words") * F.lit(max_coverage)) | (hit == 0))
     kept = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(text).to_pylist()
-            for i, (a, b) in enumerate(zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)):
-                if a:
-                    runs = [(x, y) for x, y in zip(a, b, strict=True) if y - x >= min(min_words, window)] or list(zip(a, b, strict=True))
-                    values[i] = cut_words(values[i].encode(), runs).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(values, batch.column(c).type) if c == text else batch.column(c) for c in kept], names=kept)
-
-    return found.mapInArrow(run, docs.schema)
+    def finish(batch: pa.RecordBatch, values: list[bytes], n_words: list[int], starts: list[list[int]], ends: list[list[int]]) -> pa.RecordBatch:
+        texts, keep = batch.column(text).to_pylist(), []
+        for i, (n, a, b) in enumerate(zip(n_words, starts, ends, strict=True)):
+            hit = sum(b) - sum(a)
+            keep.append(not hit or hit <= max_coverage * n)
+            if hit and keep[-1]:
+                runs = list(zip(a, b, strict=True))
+                texts[i] = cut_words(values[i], [r for r in runs if r[1] - r[0] >= min(min_words, window)] or runs).decode()
+        columns = [pa.array(texts, batch.column(c).type) if c == text else batch.column(c) for c in kept]
+        return pa.RecordBatch.from_arrays(columns, names=kept).filter(pa.array(keep, pa.bool_()))
+
+    return match_items(docs, items, text=text, window=window, finish=finish)
 
 
 def digest(found: DataFrame) -> DataFrame:
