@@ -80,8 +80,8 @@ def revisions(vintages: DataFrame, horizon: int, keys=KEYS) -> DataFrame:
 def safe_pairs(table: DataFrame, unit: str, keys=KEYS) -> DataFrame:
     """Each revision y with x, the latest earlier observation's whose window had closed by y's first release.
 
-    The latest knowable one by observation order, running over knowable dates; an observation is never its own predictor because
-    its window closes after its release.
+    The latest knowable one by observation order, running over knowable dates, answers nearly all. Where that one is later than
+    the observation itself (knowable dates out of order), the earlier observations of the series are looked through.
     """
     from sextant.operators.asof import asof_join
 
@@ -89,5 +89,9 @@ def safe_pairs(table: DataFrame, unit: str, keys=KEYS) -> DataFrame:
     rows = table.where(F.col(unit).isNotNull()).select(*keys, "obs_date", "first_release_date", "knowable_date", F.col(unit).alias("y"))
     w = Window.partitionBy(*keys).orderBy("knowable_date").rangeBetween(Window.unboundedPreceding, 0)
     latest = rows.withColumn("_b", F.max(F.struct("obs_date", "y")).over(w)).select(*keys, F.col("knowable_date").alias("_k"), F.col("_b.obs_date").alias("x_obs_date"), F.col("_b.y").alias("x")).dropDuplicates([*keys, "_k"])
-    out = asof_join(rows, latest, keys=keys, left_on="first_release_date", right_on="_k", values=["x_obs_date", "x"])
-    return out.where("x is not null and x_obs_date < obs_date").select(*keys, "obs_date", "x", "y", "x_obs_date")
+    out = asof_join(rows, latest, keys=keys, left_on="first_release_date", right_on="_k", values=["x_obs_date", "x"]).where("x is not null")
+    good = out.where("x_obs_date < obs_date").select(*keys, "obs_date", "x", "y", "x_obs_date")
+    other = rows.select(*keys, F.col("obs_date").alias("_o"), F.col("knowable_date").alias("_k"), F.col("y").alias("_x"))
+    found = out.where("x_obs_date >= obs_date").select(*keys, "obs_date", "first_release_date", "y").join(other, keys).where("_o < obs_date and _k <= first_release_date")
+    late = found.groupBy(*keys, "obs_date").agg(F.max_by("_x", "_o").alias("x"), F.first("y").alias("y"), F.max("_o").alias("x_obs_date"))
+    return good.unionByName(late)

@@ -101,7 +101,7 @@ HOW_SQL = {"sum": "sum(value)", "mean": "avg(value)", "last": "sum(value)", "min
 def _rollup(target: str, kind: str, how: str | None):
     def run(spark, d):
         got = rollup(daily(spark, d), source="daily", target=target, variable_type=kind, how=how)
-        return got.select("series_id", F.col("obs_date").alias("period_end"), tidy("value", 6 if how in ("mean", "median") else 2).alias("value"), "n")
+        return got.select("series_id", F.col("obs_date").alias("period_end"), tidy(F.col("value") + 0.000001, 4).alias("value"), "n")  # off the ties, which sums in another order would break
 
     return run
 
@@ -112,7 +112,7 @@ for _target in END_SQL:
             _e = END_SQL[_target].format("obs_date")
             query(
                 f"""WITH {DAILY}, e AS (SELECT series_id, max(obs_date) AS m FROM daily GROUP BY 1)
-                SELECT series_id, CAST({_e} AS DATE) AS period_end, round({HOW_SQL[_how]}, {6 if _how in ('mean', 'median') else 2}) + 0.0 AS value, count(*) AS n
+                SELECT series_id, CAST({_e} AS DATE) AS period_end, round({HOW_SQL[_how]} + 0.000001, 4) + 0.0 AS value, count(*) AS n
                 FROM daily JOIN e USING (series_id) GROUP BY 1, 2, m HAVING CAST({_e} AS DATE) <= m""",
                 f"rollup_{_target}_{_how}",
             )(_rollup(_target, _kind, _how))

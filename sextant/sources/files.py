@@ -79,7 +79,7 @@ def stitched(chunks: list[DataFrame]) -> DataFrame:
 
 def split_list(c: str, sep: str = ";") -> Column:
     """The trimmed, non-empty parts of a text."""
-    return F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), sep), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), sep), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def truthy(c: str) -> Column:
