@@ -87,10 +87,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset, as in tests, a new one."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset, one in the warehouse, or of this machine if all runs here."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="sextant-")
+        here = spark.sparkContext.master.split("[")[0] == "local"
+        place = "file://" + tempfile.mkdtemp(prefix="sextant-") if here else f"{spark.conf.get('spark.sql.warehouse.dir')}/_sextant"
         spark.conf.set("spark.checkpoint.dir", place)
     return place
 
