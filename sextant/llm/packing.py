@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from sextant.llm.common import kept, materialise, pieces, text_of
 
-#: Chunks whose ids a worker remembers at most, about 100 MB; then it forgets the newer half: what is frequent came early.
-REMEMBERED = 300_000
+#: Chunks whose ids a worker remembers at most, about 150 MB; then it forgets the newer half: what is frequent came early.
+REMEMBERED = 500_000
 #: Leftover pieces that one task closes at most; more are dealt to several first.
 LAST = 200_000
 MARK = "\x01"
