@@ -185,6 +185,7 @@ class Network:
         y = np.array(labels, np.int64)
         split = [words(t) for t in texts]
         coded = [pa.array(w, pa.binary()).dictionary_encode() for w in split]
+        del split
         if not len(y) or y.min() == y.max():
             self.p["o"][:] = 0
             self.p["ob"][:] = 4 if len(y) and y[0] else -4
@@ -230,8 +231,16 @@ class Network:
         return self
 
     def _all(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, size: int = 2048) -> np.ndarray:
-        pre = self.projected(x)
-        return np.concatenate([self.logits(pre, index[a : a + size], mask[a : a + size]) for a in range(0, len(index), size)])
+        """The logits of all windows; inputs are projected part by part where there are many of them."""
+        out, pre = [], self.projected(x) if len(x) < 1 << 17 else None
+        for a in range(0, len(index), size):
+            part, m = index[a : a + size], mask[a : a + size]
+            if pre is None:
+                used, at = np.unique(part, return_inverse=True)
+                out.append(self.logits(self.projected(x[used]), at.reshape(part.shape), m))
+            else:
+                out.append(self.logits(pre, part, m))
+        return np.concatenate(out)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """The largest probability among each text's windows; a text without words is one empty window."""
