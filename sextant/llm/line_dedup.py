@@ -1,4 +1,4 @@
-"""Line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, and one occurrence for each connected group."""
+"""Line deduplication: hashes of bytes and of left-out words bring lines together, SimHash, edit similarity, and one occurrence for each connected group."""
 
 from __future__ import annotations
 
@@ -7,20 +7,26 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm.common import BROADCAST_ROWS, WORD_BYTES, components, hashed_flat, materialise, mixed, pieces, utf8
 
-#: Bits in which the SimHashes of two linked lines may differ, blocks, and how many of them then agree at least.
-BITS = 3
-BLOCKS = (13, 13, 13, 13, 12)
-AGREE = len(BLOCKS) - BITS
+#: Bits in which the SimHashes of two linked lines of LONG words or more may differ: unrelated lines differ in some 32.
+BITS = 20
 SIMILARITY = 0.9
 #: Lines of fewer words are only compared as they are: one word more or less makes them another line.
 FEWEST = 4
-#: Neighbours in a bucket's order that a line is compared with, besides the bucket's first.
-NEIGHBOURS = 4
+#: Lines of up to SHORT words meet by what is left without one word, of PAIRED words also without two; lines of LONG words or more
+#: by the least hash of their runs of GRAM bytes in each of ORDERS orders. The ranges overlap, as edits join and split words.
+SHORT, PAIRED, LONG = 13, range(6, 11), 11
+GRAM, ORDERS = 16, 8
+#: Members of a bucket that are compared in one task; larger buckets are dealt in squares of two such parts.
+PART = 2_000
+_RANDOM = np.random.default_rng(33)
+_GRAM = _RANDOM.integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
+_ORDERS = _RANDOM.integers(1, 1 << 63, ORDERS, dtype=np.uint64) | np.uint64(1)
+_PLACES = _RANDOM.integers(1, 1 << 63, SHORT, dtype=np.uint64) | np.uint64(1)
 LINE_BYTES = bytes(10 if b == 10 else c for b, c in enumerate(WORD_BYTES))
 
 
@@ -46,8 +52,37 @@ def signatures(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return key.view(np.int64), np.packbits(2 * ones > sizes[:, None], axis=1).view(np.int64).ravel()
 
 
+def blocks(lines: list[list[bytes]]) -> list[np.ndarray]:
+    """Of each line the numbers of the buckets it is in; lines of fewer words than FEWEST are in none."""
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(lines)
+    own = [i for i, x in enumerate(lines) if FEWEST <= len(x) <= SHORT]
+    flat = hashed_flat([w for i in own for w in lines[i]])
+    at = np.cumsum([0, *(len(lines[i]) for i in own)])
+    sizes = np.diff(at)
+    for n in np.unique(sizes).tolist():
+        which = np.flatnonzero(sizes == n)
+        words = flat[at[which][:, None] + np.arange(n)]
+        for left_out in range(3 if n in PAIRED else 2):
+            stay = np.array(list(combinations(range(n), n - left_out)))
+            found = mixed((words[:, stay] * _PLACES[: n - left_out]).sum(2) + np.uint64(n - left_out)).view(np.int64)
+            for i, x in zip(which.tolist(), found, strict=True):
+                out[own[i]] = np.concatenate((out[own[i]], x))
+    own = [i for i, x in enumerate(lines) if len(x) >= LONG]
+    if own:
+        texts = [b" ".join(lines[i]) for i in own]
+        every = b"".join(texts) + bytes(GRAM)
+        eight = np.ndarray((len(every) - 7,), np.dtype("<u8"), every, strides=(1,))
+        grams = mixed(eight[: len(every) - GRAM + 1] * _GRAM[0] + eight[GRAM - 8 :] * _GRAM[1])
+        ends = np.cumsum([len(x) for x in texts])
+        spans = np.column_stack((np.concatenate(([0], ends[:-1])), ends - GRAM + 1)).ravel()  # every other one lies inside a line
+        least = np.column_stack([mixed(np.minimum.reduceat(grams * o, spans)[::2] + np.uint64(k)) for k, o in enumerate(_ORDERS)]).view(np.int64)
+        for i, x in zip(own, least, strict=True):
+            out[i] = np.concatenate((out[i], x))
+    return out
+
+
 def _listed(docs: DataFrame, text: str) -> DataFrame:
-    """A row for each line with words: document, line number, key, SimHash, number of words, whether the document has the key before."""
+    """A row for each line with words: document, line number, key, SimHash, number of words, bytes, buckets, whether the document has the key before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text, 2 << 20):
@@ -65,9 +100,17 @@ def _listed(docs: DataFrame, text: str) -> DataFrame:
             order = np.lexsort((number, key, doc))
             again = np.zeros(len(doc), bool)
             again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]]) & (number[order[1:]] != number[order[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number), pa.array(key), pa.array(sim), pa.array([len(x) for x in lines], pa.int32()), pa.array(again)], names=["doc_id", "line", "key", "sim", "n", "again"])
+            # the same line in these documents is in buckets once
+            first = np.unique(key, return_index=True)[1]
+            found = blocks([lines[i] for i in first.tolist()])
+            counts = np.zeros(len(doc), np.int64)
+            counts[first] = [len(x) for x in found]
+            ordered = np.argsort(first)
+            buckets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(np.concatenate([found[i] for i in ordered.tolist()])))
+            own = [pa.array(doc), pa.array(number), pa.array(key), pa.array(sim), pa.array([len(x) for x in lines], pa.int32()), pa.array([sum(map(len, x)) + len(x) - 1 for x in lines], pa.int32()), buckets, pa.array(again)]
+            yield pa.RecordBatch.from_arrays(own, names=["doc_id", "line", "key", "sim", "n", "bytes", "blocks", "again"])
 
-    return docs.select("doc_id", text).where("doc_id is not null").mapInArrow(run, "doc_id long, line int, key long, sim long, n int, again boolean")
+    return docs.select("doc_id", text).where("doc_id is not null").mapInArrow(run, "doc_id long, line int, key long, sim long, n int, bytes int, blocks array<long>, again boolean")
 
 
 def differing(a: bytes, b: bytes) -> tuple[bytes, bytes]:
@@ -123,16 +166,106 @@ def alike(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
     return max(len(a), len(b)) <= most or distance(a, b, most) <= most
 
 
-def _blocks(sim: str) -> list:
-    """For each choice of AGREE blocks: a number of the choice and of what the SimHash has there."""
-    shifts = np.cumsum([0, *BLOCKS])[:-1]
-    out = []
-    for k, chosen in enumerate(combinations(range(len(BLOCKS)), AGREE)):
-        key = F.lit(k).cast("long")
-        for c in chosen:
-            key = F.shiftleft(key, BLOCKS[c]).bitwiseOR(F.shiftrightunsigned(F.col(sim), int(shifts[c])).bitwiseAND(F.lit((1 << BLOCKS[c]) - 1).cast("long")))
-        out.append(key)
-    return out
+#: ``size`` is the number of bytes, negative for lines of fewer words than LONG.
+COLUMNS = ("block", "key", "sim", "size")
+PAIRS = "a long, b long, block long, sim long, size int, part int"
+
+
+def _near(rows: list[np.ndarray], i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Which of the pairs of rows can be alike: another key, lengths that differ little, and SimHashes if both are long."""
+    _, key, sim, signed = rows
+    size = np.abs(signed)
+    longer = np.maximum(size[i], size[j])
+    differ = np.bitwise_count(sim[i].view(np.uint64) ^ sim[j].view(np.uint64))
+    return (key[i] != key[j]) & (longer - np.minimum(size[i], size[j]) <= (1 - least) * longer + 1e-9) & ((differ <= BITS) | (np.minimum(signed[i], signed[j]) < 0))
+
+
+def _together(rows: list[np.ndarray], least: float, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of all pairs of one bucket that can be alike, of rows in the order of their buckets; with ``group``, of different groups only."""
+    i = np.arange(len(rows[0]))
+    for step in range(1, len(i)):
+        i = i[: np.searchsorted(i, len(rows[0]) - step)]
+        i = i[rows[0][i] == rows[0][i + step]]
+        if not len(i):
+            return
+        near = _near(rows, i, i + step, least)
+        if group is not None:
+            near &= group[i] != group[i + step]
+        yield rows[1][i[near]], rows[1][i[near] + step]
+
+
+def _as_pairs(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for x, y in found:
+        if len(x):
+            none = [pa.nulls(len(x), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), *none], names=["a", "b", *COLUMNS[:1], *COLUMNS[2:], "part"])
+
+
+def _pairs(dealt: DataFrame, least: float) -> DataFrame:
+    """All pairs of keys (a, b) in a common bucket that can be alike. A bucket of more than PART rows is dealt to several tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, dealt_before = None, 0  # the rows of the last bucket, and how many of them are dealt out already
+
+        def done(rows: list[np.ndarray], before: int) -> Iterator[pa.RecordBatch]:
+            edges = np.concatenate(([0], np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1, [len(rows[0])]))
+            large = np.diff(edges) > PART
+            large[0] |= before > 0
+            inside = np.repeat(large, np.diff(edges))
+            place = np.arange(len(inside)) - np.repeat(edges[:-1], np.diff(edges))
+            place[: edges[1]] += before
+            yield from _as_pairs(_together([c[~inside] for c in rows], least))
+            if inside.any():
+                block, key, sim, size = (c[inside] for c in rows)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.nulls(len(key), pa.int64()), *map(pa.array, (block, sim, size)), pa.array((place[inside] // PART).astype(np.int32))], names=["a", "b", *COLUMNS[:1], *COLUMNS[2:], "part"])
+
+        for batch in batches:
+            rows = [batch.column(c).to_numpy() for c in COLUMNS]
+            if not len(rows[0]):
+                continue
+            again = np.concatenate(([False], (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1])))
+            rows = [c[~again] for c in rows]
+            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            start = int(np.searchsorted(rows[0], rows[0][-1]))
+            if start:
+                yield from done([c[:start] for c in rows], dealt_before)
+                dealt_before = 0
+            held = [c[start:] for c in rows]
+            if len(held[0]) > PART:
+                yield from done(held, dealt_before)
+                dealt_before += len(held[0])
+                held = [c[:0] for c in held]
+        if held is not None and len(held[0]):
+            yield from done(held, dealt_before)
+
+    found = materialise(dealt.repartition("block").sortWithinPartitions("block", "key").select(*COLUMNS).mapInArrow(run, PAIRS))
+    large = found.where("b is null").select("block", F.col("a").alias("key"), "sim", "size", "part")
+    parts = large.groupBy("block").agg(F.max("part").alias("parts"))
+    squares = large.join(parts, "block").select(*COLUMNS, "part", F.explode(F.sequence(F.lit(0), "parts")).alias("other"))
+    squares = squares.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+
+    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for batch in batches:
+            rows = [batch.column(c).to_numpy() for c in (*COLUMNS, "part", "low", "high")]
+            edges = np.concatenate(([0], np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[5][1:] != rows[5][:-1]) | (rows[6][1:] != rows[6][:-1])) + 1, [len(rows[0])]))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if a == b:
+                    continue
+                square = tuple(int(rows[k][a]) for k in (0, 5, 6))
+                if square != at:
+                    yield from square_of(held, at)
+                    held, at = [], square
+                held.append([c[a:b] for c in rows[:5]])
+        yield from square_of(held, at)
+
+    def square_of(held: list, at: tuple | None) -> Iterator[pa.RecordBatch]:
+        if held:
+            *rows, part = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield from _as_pairs(_together(rows, least, None if at[1] == at[2] else part))
+
+    more = squares.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high").select(*COLUMNS, "part", "low", "high").mapInArrow(crossed, PAIRS)
+    return found.where("b is not null").select("a", "b").union(more.select("a", "b")).distinct()
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
@@ -155,14 +288,9 @@ def _texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     return docs.select("doc_id", text).join(by_doc, "doc_id").mapInArrow(run, "key long, words binary").dropDuplicates(["key"])
 
 
-def _links(distinct: DataFrame, docs: DataFrame, text: str, least: float) -> DataFrame:
-    """Pairs of keys (a, b) of lines that are alike, among those whose SimHashes differ in few bits."""
-    dealt = distinct.where(F.col("n") >= FEWEST).select("key", "sim", F.explode(F.array(*_blocks("sim"))).alias("block"))
-    order = Window.partitionBy("block").orderBy("sim", "key")
-    beside = [F.lag(F.struct("key", "sim"), k).over(order).alias(f"p{k}") for k in range(1, NEIGHBOURS + 1)] + [F.first(F.struct("key", "sim")).over(order).alias("p0")]
-    near = dealt.select("key", "sim", *beside).where("p1 is not null").select("key", "sim", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(NEIGHBOURS + 1))))).alias("p"))
-    near = near.where(F.col("p").isNotNull() & (F.col("p.key") != F.col("key")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("p.sim"))) <= BITS))
-    pairs = materialise(near.select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct())
+def _links(listed: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, least: float) -> DataFrame:
+    """Pairs of keys (a, b) of lines that are alike, among those that have a bucket in common."""
+    pairs = materialise(_pairs(listed.select("key", "sim", F.when(F.col("n") < LONG, -F.col("bytes")).otherwise(F.col("bytes")).alias("size"), F.explode("blocks").alias("block")), least))
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     wanted = materialise(distinct.join(ends, "key", "left_semi").select("doc_id", "line", "key"))
     texts = materialise(_texts(docs, wanted, text))
@@ -179,8 +307,8 @@ def _links(distinct: DataFrame, docs: DataFrame, text: str, least: float) -> Dat
 def repeated_lines(docs: DataFrame, *, text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The lines (doc_id, line) that are not their group's first occurrence; see deduplicate."""
     listed = materialise(_listed(docs, text))
-    distinct = materialise(listed.where("not again").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by("line", "doc_id").alias("line"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.count("*").alias("copies")))
-    roots = components(_links(distinct, docs, text, least))
+    distinct = materialise(listed.where("not again").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by("line", "doc_id").alias("line"), F.count("*").alias("copies")))
+    roots = components(_links(listed, distinct, docs, text, least))
     grouped = distinct.join(roots, distinct.key == roots.node).select("key", "root", "doc_id", "line")
     first = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("kept"))
     fuzzy = grouped.join(first, "root").select("key", "kept")
@@ -194,9 +322,8 @@ def deduplicate(docs: DataFrame, *, text: str = "text", least: float = SIMILARIT
     """``docs`` with the lines of ``text`` that are left, and ``n_lines``, the lines before, and ``n_removed``, the lines that went.
 
     Lines are normalised to their words (lower case for A-Z, punctuation as white space). Lines of the same words are copies; lines
-    of FEWEST words or more whose SimHashes differ in up to BITS of 64 bits are linked if their edit similarity is ``least`` or more.
-    Blocks of the SimHash bring candidates together: with BITS of them spoilt at most, AGREE of len(BLOCKS) are the same. Within
-    a bucket, in the order of the SimHash, a line is compared with its neighbours and the first. Of a connected group the
+    of FEWEST words or more are linked if their edit similarity is ``least`` or more. Candidates are all pairs that share a
+    bucket (see SHORT), whatever its size, apart from long lines whose SimHashes differ in more than BITS of 64 bits. Of a connected group the
     occurrence with the smallest document id, and there the smallest line number, stays. Lines without words stay. Null stays
     null, with no lines; rows without an id stay whole, rows of one id count as one document. Columns by the names of the
     result are replaced.

@@ -224,6 +224,35 @@ def test_lines_against_all_pairs(spark):
     assert line_dedup.deduplicate(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_lines_alike_meet(spark):
+    """Copies with a letter more in one word or with another word, against the edit similarity alone, without buckets and SimHash."""
+    r = random.Random(12)
+    texts, want = [], set()
+    for _ in range(400):
+        line = prose(r, r.randint(4, 60)).split()
+        copy = list(line)
+        at = r.randrange(len(copy))
+        copy[at] = copy[at] + r.choice("aeiou") if r.random() < 0.5 else prose(r, 1)
+        if copy != line and line_dedup.alike(" ".join(line).encode(), " ".join(copy).encode()):
+            want.add((len(texts) + 1, 0))
+        texts += [" ".join(line), " ".join(copy)]
+    gone = {tuple(x) for x in line_dedup.repeated_lines(docs_of(spark, texts)).collect()}
+    assert len(want) > 300 and len(gone & want) >= 0.99 * len(want)
+    assert all(texts[d] == texts[d - 1] for d, _ in gone - want)
+
+
+def test_lines_of_one_bucket(spark, monkeypatch):
+    """All pairs of a bucket meet, also where it is dealt to several tasks and runs over batches."""
+    monkeypatch.setattr(line_dedup, "PART", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+    try:
+        rows = [(b, k, 0, 100) for b, n in ((1, 230), (2, 3), (3, 1), (4, 41)) for k in range(1000 * b, 1000 * b + n)]
+        got = [tuple(x) for x in line_dedup._pairs(spark.createDataFrame(rows + rows[:50], "block long, key long, sim long, size int"), 0.9).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == sorted((a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1])
+
+
 # 4
 
 
