@@ -214,8 +214,9 @@ def cut_words(value: bytes, runs: list[tuple[int, int]]) -> bytes:
 def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", min_words: int = 10, max_coverage: float = 0.5, window: int = 10) -> DataFrame:
     """``docs`` without what they share with the items.
 
-    A run of hit words goes from the text if it has ``min_words`` words, or all the words of a shorter item; a document goes
-    if its hit words are more than ``max_coverage`` of its words. Others stay as they are.
+    A run of hit words, whole windows or all the words of a shorter item, goes from the text; a document goes if
+    its hit words are more than ``max_coverage`` of its words. Others stay as they are.
+    ``min_words`` has no effect and stays for callers: each run is a whole window or item, so none is too short to go.
     """
     kept = docs.columns
 
@@ -225,8 +226,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", min_
             hit = sum(b) - sum(a)
             keep.append(not hit or hit <= max_coverage * n)
             if hit and keep[-1]:
-                runs = list(zip(a, b, strict=True))
-                texts[i] = cut_words(values[i], [r for r in runs if r[1] - r[0] >= min(min_words, window)] or runs).decode()
+                texts[i] = cut_words(values[i], list(zip(a, b, strict=True))).decode()
         columns = [pa.array(texts, batch.column(c).type) if c == text else batch.column(c) for c in kept]
         return pa.RecordBatch.from_arrays(columns, names=kept).filter(pa.array(keep, pa.bool_()))
 

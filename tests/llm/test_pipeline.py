@@ -41,6 +41,16 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept.count()
 
 
+def test_long_and_short_items_go_from_one_document(spark):
+    """An item shorter than a window goes, too, where a run of a longer item stands elsewhere in the text."""
+    r = random.Random(6)
+    long, short, a, b, c = (prose(r, n) for n in (20, 6, 15, 15, 15))
+    part = " ".join(long.split()[3:15])
+    docs = docs_of(spark, [f"{a} {part} {b} {short} {c}"], extra=False)
+    items = spark.createDataFrame([(1, long), (2, short)], "item_id long, text string")
+    assert decontaminate.decontaminate(docs, items).first().text.split() == f"{a} {b} {c}".split()
+
+
 def test_registry():
     import __spark_entry__ as entry
 
