@@ -306,3 +306,12 @@ def test_queries_against_sql(spark, name):
     for a, b in zip(sorted(rows, key=key), sorted(want, key=key), strict=True):
         for x, y in zip(map(norm, a), map(norm, b), strict=True):
             assert x == y or isinstance(x, float) and math.isclose(x, y, rel_tol=1e-6, abs_tol=2e-4), (name, a, b)
+
+
+def test_whole_tables(spark):
+    """All parts are in the classes of the whole table, also those that the queries with a condition leave out."""
+    where = SF.replace("0.001", "0.01")
+    assert "p_partkey <=" not in "".join(catalogue.ORACLE_SQL[f"refclass_{n}_whole"] for n in ("retrieve", "base_rates", "loo"))
+    got = {r.query_id for r in catalogue.QUERIES["refclass_retrieve_whole"](spark, where).select("query_id").distinct().collect()}
+    assert any(int(x) > 400 for x in got)
+    assert catalogue.QUERIES["refclass_base_rates_whole"](spark, where).agg({"n": "sum"}).first()[0] > 400
