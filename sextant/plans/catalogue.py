@@ -584,11 +584,14 @@ def contradiction_matrix(spark, d):
 
 
 @query("SELECT o_orderkey, o_totalprice AS p FROM orders WHERE o_orderkey % 3 = 0")
-def pvalue_parse(spark, d):
-    o = read(spark, d, "orders", "o_orderkey", "o_totalprice").where("o_orderkey % 3 = 0")
+def pvalue_parse(spark, d, orders="o_orderkey % 3 = 0"):
+    o = read(spark, d, "orders", "o_orderkey", "o_totalprice").where(orders)
     return o.select("o_orderkey", p_value(F.concat(F.lit(" <="), F.col("o_totalprice").cast("string"))).alias("p"))
 
 
+query("SELECT o_orderkey, o_totalprice AS p FROM orders", "pvalue_parse_whole")(_whole(pvalue_parse))
+
+
 @query("SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value FROM events")
 def json_first_value(spark, d):
     e = read(spark, d, "events", "event_id", "props")

@@ -315,3 +315,4 @@ def test_whole_tables(spark):
     got = {r.query_id for r in catalogue.QUERIES["refclass_retrieve_whole"](spark, where).select("query_id").distinct().collect()}
     assert any(int(x) > 400 for x in got)
     assert catalogue.QUERIES["refclass_base_rates_whole"](spark, where).agg({"n": "sum"}).first()[0] > 400
+    assert catalogue.QUERIES["pvalue_parse_whole"](spark, where).count() == spark.read.parquet(f"{where}/orders.parquet").count()
