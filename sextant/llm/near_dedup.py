@@ -165,8 +165,8 @@ def classes(docs: DataFrame, *, text: str = "text", least: float = SIMILARITY) -
     that share a sketch are candidates: each is compared with the bucket's centre, the member that shares most sketches with
     others, with its neighbours in the order of the next sketch, and, where the centre is in another class, with the BEST members;
     so a bucket of n members gives few times n pairs, however large. Later comparisons are only made between different classes. Linked are pairs with an aligned similarity (see
-    similarity) of ``least`` or more; classes are connected components of the links. Nothing is capped: buckets of any size are
-    split over tasks. Rows without an id are in no class; an empty table has none. Other columns are not used.
+    similarity) of ``least`` or more; classes are connected components of the links. Other pairs of a bucket are not compared,
+    so sparsely linked classes of large buckets can come out in parts. Buckets of any size are split over tasks. Rows without an id are in no class; an empty table has none. Other columns are not used.
     """
     sketched = materialise(_sketched(docs, text))
     copies = materialise(sketched.groupBy("key").agg(F.min("doc_id").alias("rep")))
