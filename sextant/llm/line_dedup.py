@@ -22,7 +22,7 @@ FEWEST = 4
 SHORT, PAIRED, LONG = 13, range(6, 11), 11
 GRAM, ORDERS = 16, 8
 #: Members of a bucket that are compared in one task; larger buckets are dealt in squares of two such parts.
-PART = 2_000
+PART = 4_000
 _RANDOM = np.random.default_rng(33)
 _GRAM = _RANDOM.integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
 _ORDERS = _RANDOM.integers(1, 1 << 63, ORDERS, dtype=np.uint64) | np.uint64(1)
@@ -166,106 +166,212 @@ def alike(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
     return max(len(a), len(b)) <= most or distance(a, b, most) <= most
 
 
+#: Bands of up to so many 64-bit numbers are worked on side by side for many pairs; wider ones (lines of over 2,500 bytes) pair by pair.
+WORDS_WIDE = 8
+
+
+def _within(a: list[bytes], b: list[bytes], most: np.ndarray, wide: int) -> np.ndarray:
+    """Whether the edit distance of a[k] and b[k] is ``most[k]`` or less, for all pairs side by side; b[k] is no longer than a[k].
+
+    Of the table of distances only a band around the diagonal is followed, one bit for a place, ``wide`` numbers of 64 bits for a
+    column; the distance is read along the diagonal that ends in the last cell, and a pair is left as soon as it is over ``most``.
+    """
+    order = np.argsort([-len(x) for x in b], kind="stable")
+    a, b, most = [a[k] for k in order.tolist()], [b[k] for k in order.tolist()], most[order]
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    n, front, bits = len(a), 32 * wide, 64 * wide
+    held = np.zeros((n, front + int(la.max()) + bits), np.uint8)
+    held[np.repeat(np.arange(n), la), np.arange(la.sum()) - np.repeat(np.cumsum(la) - la, la) + front] = np.frombuffer(b"".join(a), np.uint8)
+    other = np.zeros((int(lb.max(initial=0)), n), np.uint8)
+    other[np.arange(lb.sum()) - np.repeat(np.cumsum(lb) - lb, lb), np.repeat(np.arange(n), lb)] = np.frombuffer(b"".join(b), np.uint8)
+    far, which = la - lb, np.arange(n)
+    word, shift = (front + far) // 64, ((front + far) % 64).astype(np.uint64)
+    full, one, top = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(1), np.uint64(63)
+    up = [np.full(n, (0 if 64 * w + 63 < front else 0xFFFFFFFFFFFFFFFF << max(0, front - 64 * w)) & 0xFFFFFFFFFFFFFFFF, np.uint64) for w in range(wide)]
+    down = [np.zeros(n, np.uint64) for _ in range(wide)]
+    out = np.zeros(n, bool)
+    for c in range(len(other)):
+        live = int(np.searchsorted(-lb, -c, side="left"))  # those with a byte at c
+        keep = None
+        if live < len(lb):
+            out[which[live:]] = far[live:] <= most[live:]
+            keep = slice(live)
+        elif c % 16 == 15 and (dead := far > most).sum() * 4 > len(far):
+            keep = ~dead
+        if keep is not None:
+            held, other, far, most, lb, which, word, shift = held[keep], other[:, keep], far[keep], most[keep], lb[keep], which[keep], word[keep], shift[keep]
+            up, down = [x[keep] for x in up], [x[keep] for x in down]
+            if not len(far):
+                return out[np.argsort(order)]
+        same = np.packbits(held[:, c : c + bits] == other[c][:, None], axis=1, bitorder="little").view(np.uint64)
+        zeros, rises, falls, carry = [], [], [], None
+        for w in range(wide):
+            x, v = same[:, w], up[w]
+            s = (x & v) + v
+            if wide > 1:
+                over = s < v
+                if carry is not None:
+                    s = s + carry
+                    over |= s < carry
+                carry = over.astype(np.uint64)
+            zero = s ^ v | x | down[w]
+            zeros.append(zero)
+            rises.append(down[w] | ~(zero | v))
+            falls.append(zero & v)
+        hit = zeros[0] if wide == 1 else np.choose(word, zeros)
+        far = far + 1 - (hit >> shift & one).astype(np.int64)
+        for w in range(wide):
+            moved = zeros[w] >> one
+            if w + 1 < wide:
+                moved |= zeros[w + 1] << top
+            up[w] = falls[w] | ~(moved | rises[w]) & full
+            down[w] = moved & rises[w]
+    out[which] = far <= most
+    return out[np.argsort(order)]
+
+
+def alike_pairs(texts: list[bytes], i: np.ndarray, j: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """alike for the pairs texts[i[k]], texts[j[k]]."""
+    size = np.array([len(x) for x in texts])
+    swap = size[i] < size[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    most = ((1 - least) * size[i] + 1e-9).astype(np.int64)
+    out = np.zeros(len(i), bool)
+    left = np.flatnonzero(size[i] - size[j] <= most)
+    wide = most[left] // 32 + 1
+    for w in np.unique(wide).tolist():
+        own = left[wide == w]
+        if w > WORDS_WIDE:
+            out[own] = [alike(texts[x], texts[y], least) for x, y in zip(i[own].tolist(), j[own].tolist(), strict=True)]
+            continue
+        own = own[np.argsort(size[j[own]], kind="stable")]
+        for at in range(0, len(own), 4096 // w):
+            part = own[at : at + 4096 // w]
+            out[part] = _within([texts[k] for k in i[part].tolist()], [texts[k] for k in j[part].tolist()], most[part], w)
+    return out
+
+
 #: ``size`` is the number of bytes, negative for lines of fewer words than LONG.
 COLUMNS = ("block", "key", "sim", "size")
-PAIRS = "a long, b long, block long, sim long, size int, part int"
 
 
-def _near(rows: list[np.ndarray], i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
-    """Which of the pairs of rows can be alike: another key, lengths that differ little, and SimHashes if both are long."""
-    _, key, sim, signed = rows
+def _near(sim: np.ndarray, signed: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs can be alike: their lengths differ little, and their SimHashes if both are long."""
     size = np.abs(signed)
     longer = np.maximum(size[i], size[j])
     differ = np.bitwise_count(sim[i].view(np.uint64) ^ sim[j].view(np.uint64))
-    return (key[i] != key[j]) & (longer - np.minimum(size[i], size[j]) <= (1 - least) * longer + 1e-9) & ((differ <= BITS) | (np.minimum(signed[i], signed[j]) < 0))
+    return (longer - np.minimum(size[i], size[j]) <= (1 - least) * longer + 1e-9) & ((differ <= BITS) | (np.minimum(signed[i], signed[j]) < 0))
 
 
-def _together(rows: list[np.ndarray], least: float, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys of all pairs of one bucket that can be alike, of rows in the order of their buckets; with ``group``, of different groups only."""
-    i = np.arange(len(rows[0]))
-    for step in range(1, len(i)):
-        i = i[: np.searchsorted(i, len(rows[0]) - step)]
-        i = i[rows[0][i] == rows[0][i + step]]
-        if not len(i):
-            return
-        near = _near(rows, i, i + step, least)
-        if group is not None:
-            near &= group[i] != group[i + step]
-        yield rows[1][i[near]], rows[1][i[near] + step]
+def _edges(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin, and the end."""
+    n = len(columns[0])
+    fresh = np.zeros(max(0, n - 1), bool)
+    for c in columns:
+        fresh |= c[1:] != c[:-1]
+    return np.concatenate(([0], np.flatnonzero(fresh) + 1, [n])) if n else np.zeros(1, np.int64)
 
 
-def _as_pairs(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    for x, y in found:
-        if len(x):
-            none = [pa.nulls(len(x), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), *none], names=["a", "b", *COLUMNS[:1], *COLUMNS[2:], "part"])
+def spanning(group: np.ndarray, key: np.ndarray, sim: np.ndarray, signed: np.ndarray, texts: list[bytes], least: float, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what all alike pairs within groups connect: as many as there are rows at most.
 
-
-def _pairs(dealt: DataFrame, least: float) -> DataFrame:
-    """All pairs of keys (a, b) in a common bucket that can be alike. A bucket of more than PART rows is dealt to several tasks."""
+    Rows are in the order of their groups; with ``part``, pairs are of different parts. In each group the first row meets all others, then
+    the next two do, then the next four: pairs that links found before already connect needn't be compared.
+    """
+    _, first_row, node = np.unique(key, return_index=True, return_inverse=True)
+    parent = list(range(len(first_row)))
+    root = np.arange(len(first_row))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    edges = _edges(group)
+    begin = np.repeat(edges[:-1], np.diff(edges))
+    rank = np.arange(len(group)) - begin
+    found: list[tuple[int, int]] = []
+    waiting: list[np.ndarray] = []
+    rows, p, upto = np.arange(len(group)), 0, 1
+    while True:
+        rows = rows[rank[rows] > p]
+        if len(rows):
+            pivot = begin[rows] + p
+            x, y = node[pivot], node[rows]
+            ok = (root[x] != root[y]) & _near(sim, signed, pivot, rows, least)
+            if part is not None:
+                ok &= part[pivot] != part[rows]
+            if ok.any():
+                waiting.append(np.minimum(x[ok], y[ok]) << 32 | np.maximum(x[ok], y[ok]))
+        p += 1
+        if waiting and (not len(rows) or p >= upto or sum(map(len, waiting)) > 100_000):
+            both = np.unique(np.concatenate(waiting))
+            waiting.clear()
+            x, y = both >> 32, both & 0xFFFFFFFF
+            linked = alike_pairs(texts, first_row[x], first_row[y], least)
+            for a, b in zip(x[linked].tolist(), y[linked].tolist(), strict=True):
+                ra, rb = top(a), top(b)
+                if ra != rb:
+                    parent[ra] = rb
+                    found.append((a, b))
+            root = np.array([top(k) for k in range(len(parent))]) if linked.any() else root
+        if not len(rows):
+            break
+        if p >= upto:
+            upto = 2 * upto + 1
+    ends = key[first_row[np.array(found, np.int64).reshape(-1, 2)]]
+    return ends.min(1), ends.max(1)
+
+
+def _candidates(dealt: DataFrame, least: float) -> DataFrame:
+    """Of rows (COLUMNS) those that can be alike to another of their bucket: (COLUMNS, part), part being null but in a bucket of more than PART rows, all of which are there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, dealt_before = None, 0  # the rows of the last bucket, and how many of them are dealt out already
 
-        def done(rows: list[np.ndarray], before: int) -> Iterator[pa.RecordBatch]:
-            edges = np.concatenate(([0], np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1, [len(rows[0])]))
-            large = np.diff(edges) > PART
+        def done(rows: list[np.ndarray], before: int) -> pa.RecordBatch:
+            edges = _edges(rows[0])
+            sizes = np.diff(edges)
+            large = sizes > PART
             large[0] |= before > 0
-            inside = np.repeat(large, np.diff(edges))
-            place = np.arange(len(inside)) - np.repeat(edges[:-1], np.diff(edges))
+            place = np.arange(len(rows[0])) - np.repeat(edges[:-1], sizes)
             place[: edges[1]] += before
-            yield from _as_pairs(_together([c[~inside] for c in rows], least))
-            if inside.any():
-                block, key, sim, size = (c[inside] for c in rows)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.nulls(len(key), pa.int64()), *map(pa.array, (block, sim, size)), pa.array((place[inside] // PART).astype(np.int32))], names=["a", "b", *COLUMNS[:1], *COLUMNS[2:], "part"])
+            inside = np.repeat(large, sizes)
+            keep = inside.copy()
+            small = ~inside
+            i, steps = np.flatnonzero(small), 1
+            while True:
+                i = i[np.searchsorted(i, 0) : np.searchsorted(i, len(inside) - steps)]
+                i = i[rows[0][i] == rows[0][i + steps]]
+                if not len(i):
+                    break
+                near = _near(rows[2], rows[3], i, i + steps, least)
+                keep[i[near]] = keep[i[near] + steps] = True
+                steps += 1
+            part = pa.array((place[keep] // PART).astype(np.int32), mask=~inside[keep])
+            return pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in rows), part], names=[*COLUMNS, "part"])
 
         for batch in batches:
             rows = [batch.column(c).to_numpy() for c in COLUMNS]
             if not len(rows[0]):
                 continue
+            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
             again = np.concatenate(([False], (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1])))
             rows = [c[~again] for c in rows]
-            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
             start = int(np.searchsorted(rows[0], rows[0][-1]))
             if start:
-                yield from done([c[:start] for c in rows], dealt_before)
+                yield done([c[:start] for c in rows], dealt_before)
                 dealt_before = 0
             held = [c[start:] for c in rows]
-            if len(held[0]) > PART:
-                yield from done(held, dealt_before)
-                dealt_before += len(held[0])
-                held = [c[:0] for c in held]
+            if len(held[0]) > PART + 1:  # the last row stays, so that a repetition of it is seen
+                yield done([c[:-1] for c in held], dealt_before)
+                dealt_before += len(held[0]) - 1
+                held = [c[-1:] for c in held]
         if held is not None and len(held[0]):
-            yield from done(held, dealt_before)
-
-    found = materialise(dealt.repartition("block").sortWithinPartitions("block", "key").select(*COLUMNS).mapInArrow(run, PAIRS))
-    large = found.where("b is null").select("block", F.col("a").alias("key"), "sim", "size", "part")
-    parts = large.groupBy("block").agg(F.max("part").alias("parts"))
-    squares = large.join(parts, "block").select(*COLUMNS, "part", F.explode(F.sequence(F.lit(0), "parts")).alias("other"))
-    squares = squares.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
-
-    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = [], None
-        for batch in batches:
-            rows = [batch.column(c).to_numpy() for c in (*COLUMNS, "part", "low", "high")]
-            edges = np.concatenate(([0], np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[5][1:] != rows[5][:-1]) | (rows[6][1:] != rows[6][:-1])) + 1, [len(rows[0])]))
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if a == b:
-                    continue
-                square = tuple(int(rows[k][a]) for k in (0, 5, 6))
-                if square != at:
-                    yield from square_of(held, at)
-                    held, at = [], square
-                held.append([c[a:b] for c in rows[:5]])
-        yield from square_of(held, at)
-
-    def square_of(held: list, at: tuple | None) -> Iterator[pa.RecordBatch]:
-        if held:
-            *rows, part = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield from _as_pairs(_together(rows, least, None if at[1] == at[2] else part))
+            yield done(held, dealt_before)
 
-    more = squares.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high").select(*COLUMNS, "part", "low", "high").mapInArrow(crossed, PAIRS)
-    return found.where("b is not null").select("a", "b").union(more.select("a", "b")).distinct()
+    return dealt.repartition("block").sortWithinPartitions("block", "key").select(*COLUMNS).mapInArrow(run, "block long, key long, sim long, size int, part int")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
@@ -288,20 +394,57 @@ def _texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     return docs.select("doc_id", text).join(by_doc, "doc_id").mapInArrow(run, "key long, words binary").dropDuplicates(["key"])
 
 
-def _links(listed: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, least: float) -> DataFrame:
-    """Pairs of keys (a, b) of lines that are alike, among those that have a bucket in common."""
-    pairs = materialise(_pairs(listed.select("key", "sim", F.when(F.col("n") < LONG, -F.col("bytes")).otherwise(F.col("bytes")).alias("size"), F.explode("blocks").alias("block")), least))
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = materialise(distinct.join(ends, "key", "left_semi").select("doc_id", "line", "key"))
-    texts = materialise(_texts(docs, wanted, text))
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("words").alias("of_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("words").alias("of_b")), "b")
+#: Rows and bytes of lines that a task holds at once; one bucket, or square of a larger one, is held whole.
+HELD_ROWS, HELD_BYTES = 20_000, 16 << 20
+
+
+def _linked(found: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs of keys (a, b) that connect what alike pairs of a common bucket connect. Buckets of more than PART rows are dealt in squares of two parts."""
+    large = found.where("part is not null")
+    parts = large.groupBy("block").agg(F.max("part").alias("parts"))
+    squares = large.join(parts, "block").withColumn("other", F.explode(F.sequence(F.lit(0), "parts")))
+    squares = squares.select(*COLUMNS, "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    whole = found.where("part is null").select(*COLUMNS, F.lit(0).alias("part"), F.lit(0).alias("low"), F.lit(0).alias("high"))
+    names = (*COLUMNS, "part", "low", "high", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            block, key, sim, size, part, low, high = (table.column(c).to_numpy() for c in names[:-1])
+            edges = _edges(block, low, high)
+            group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+            words = table.column("words").to_pylist()
+            for crossed in (False, True):
+                own = np.flatnonzero((low != high) == crossed)
+                if len(own):
+                    a, b = spanning(group[own], key[own], sim[own], size[own], [words[k] for k in own.tolist()], least, part[own] if crossed else None)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
         for batch in batches:
-            keep = [alike(x, y, least) for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= HELD_ROWS or sum(x.nbytes for x in held) >= HELD_BYTES:
+                table = pa.Table.from_batches(held)
+                edges = _edges(*(table.column(c).to_numpy() for c in ("block", "low", "high")))
+                if len(edges) > 2:
+                    yield from done(table.slice(0, edges[-2]))
+                held = table.slice(edges[-2]).combine_chunks().to_batches()
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    dealt = whole.union(squares).join(texts, "key").select(*names)
+    return dealt.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "part", "key").mapInArrow(run, "a long, b long")
 
-    return both.mapInArrow(run, "a long, b long")
+
+def _links(listed: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, least: float) -> DataFrame:
+    """Pairs of keys (a, b) of alike lines, which connect all alike lines that have a bucket in common."""
+    signed = F.when(F.col("n") < LONG, -F.col("bytes")).otherwise(F.col("bytes")).alias("size")
+    found = materialise(_candidates(listed.select("key", "sim", signed, F.explode("blocks").alias("block")), least))
+    wanted = materialise(distinct.join(found.select("key").distinct(), "key", "left_semi").select("doc_id", "line", "key"))
+    texts = materialise(_texts(docs, wanted, text))
+    return _linked(found, texts, least)
 
 
 def repeated_lines(docs: DataFrame, *, text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -325,18 +468,19 @@ def deduplicate(docs: DataFrame, *, text: str = "text", least: float = SIMILARIT
     of FEWEST words or more are linked if their edit similarity is ``least`` or more. Candidates are all pairs that share a
     bucket (see SHORT), whatever its size, apart from long lines whose SimHashes differ in more than BITS of 64 bits. Of a connected group the
     occurrence with the smallest document id, and there the smallest line number, stays. Lines without words stay. Null stays
-    null, with no lines; rows without an id stay whole, rows of one id count as one document. Columns by the names of the
-    result are replaced.
+    null, with no lines; rows without an id stay whole, rows of one id (a long) count as one document, so that repeated rows lose
+    the same lines. An empty table gives an empty table. Columns by the names of the result are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    gone = repeated_lines(docs, text=text, least=least).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
+    mark = "_gone" + "_" * max(map(len, docs.columns))  # no column of docs
+    gone = repeated_lines(docs, text=text, least=least).groupBy("doc_id").agg(F.collect_set("line").alias(mark))
     joined = docs.join(gone, "doc_id", "left")
     kept = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
             values, n_lines, n_removed = [], [], []
-            for value, own in zip(batch.column(text).to_pylist(), batch.column("_gone").to_pylist(), strict=True):
+            for value, own in zip(batch.column(text).to_pylist(), batch.column(mark).to_pylist(), strict=True):
                 lines = [] if value is None else value.split("\n")
                 n_lines.append(len(lines))
                 drop = set(own or ())
@@ -346,7 +490,7 @@ def deduplicate(docs: DataFrame, *, text: str = "text", least: float = SIMILARIT
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=[*kept, "n_lines", "n_removed"])
 
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
-    return joined.select(*kept, "_gone").mapInArrow(run, f"{fields}n_lines long, n_removed long")
+    return joined.select(*kept, mark).mapInArrow(run, f"{fields}n_lines long, n_removed long")
 
 
 def digest(done: DataFrame) -> DataFrame:

@@ -180,15 +180,13 @@ def test_edit_distance():
 
 
 def slow_lines(texts):
-    """Links between all pairs of distinct lines, one occurrence for each component."""
-    first, sims = {}, {}
+    """Links between all pairs of distinct lines by edit similarity alone, one occurrence for each component."""
+    first = {}
     for d, t in enumerate(texts):
         for k, line in enumerate(line_dedup.split_lines((t or "").encode())):
             if line:
                 first.setdefault(tuple(line), (d, k))
     keys = list(first)
-    for key in keys:
-        sims[key] = int(line_dedup.signatures([list(key)])[1][0]) & (1 << 64) - 1
     root = {k: k for k in keys}
 
     def top(k):
@@ -198,7 +196,7 @@ def slow_lines(texts):
 
     for i, a in enumerate(keys):
         for b in keys[:i]:
-            if min(len(a), len(b)) >= line_dedup.FEWEST and (sims[a] ^ sims[b]).bit_count() <= line_dedup.BITS and line_dedup.alike(b" ".join(a), b" ".join(b)):
+            if min(len(a), len(b)) >= line_dedup.FEWEST and line_dedup.alike(b" ".join(a), b" ".join(b)):
                 root[top(a)] = top(b)
     keep = {}
     for k in keys:
@@ -241,16 +239,71 @@ def test_lines_alike_meet(spark):
     assert all(texts[d] == texts[d - 1] for d, _ in gone - want)
 
 
+def test_band_equals_edit_distance():
+    r = random.Random(15)
+    texts = []
+    for n in (1, 3, 20, 60, 200, 310, 320, 700, 1300, 2700):
+        for _ in range(30):
+            line = r.choices(b"abcde ", k=n)
+            copy = list(line)
+            for _ in range(r.randint(0, int(n * 0.13) + 1)):
+                at = r.randrange(len(copy) + 1)
+                copy[at : at + r.randint(0, 1)] = r.choices(b"abcdefg", k=r.randint(0, 1))
+            texts += [bytes(line), bytes(copy)]
+    i = np.arange(0, len(texts), 2)
+    got = line_dedup.alike_pairs(texts, i, i + 1)
+    assert got.tolist() == [line_dedup.alike(texts[k], texts[k + 1]) for k in i.tolist()] and 0.3 < got.mean() < 1
+
+
+def partition(n, links):
+    """The sets of more than one member that the links make of 0..n-1."""
+    root = list(range(n))
+
+    def top(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for a, b in links:
+        root[top(a)] = top(b)
+    groups = {}
+    for k in range(n):
+        groups.setdefault(top(k), set()).add(k)
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
 def test_lines_of_one_bucket(spark, monkeypatch):
-    """All pairs of a bucket meet, also where it is dealt to several tasks and runs over batches."""
-    monkeypatch.setattr(line_dedup, "PART", 40)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+    """In buckets of 2,000 lines all alike pairs are connected, and no others, also where a bucket is dealt to several tasks and runs over batches."""
+    r = random.Random(21)
+    bases = [prose(r, 7)[:32].strip() for _ in range(300)]
+    lines = set()
+    while len(lines) < 2000:
+        line = list(r.choice(bases))
+        for _ in range(r.randint(0, 5)):
+            line[r.randrange(len(line))] = r.choice("aeiourn")
+        lines.add("".join(line))
+    lines = sorted(x.encode() for x in lines)
+    n = len(lines)
+    i, j = np.triu_indices(n, 1)
+    alike = line_dedup.alike_pairs(lines, i, j)
+    want = partition(n, zip(i[alike].tolist(), j[alike].tolist(), strict=True))
+    assert len(want) > 20 and max(map(len, want)) > 5
+    zeros, sizes = np.zeros(n, np.int64), -np.array([len(x) for x in lines])
+    a, b = line_dedup.spanning(zeros, np.arange(n), zeros, sizes, lines, 0.9)
+    assert len(a) < n and partition(n, zip(a.tolist(), b.tolist(), strict=True)) == want
+    monkeypatch.setattr(line_dedup, "PART", 300)
+    monkeypatch.setattr(line_dedup, "HELD_ROWS", 500)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
     try:
-        rows = [(b, k, 0, 100) for b, n in ((1, 230), (2, 3), (3, 1), (4, 41)) for k in range(1000 * b, 1000 * b + n)]
-        got = [tuple(x) for x in line_dedup._pairs(spark.createDataFrame(rows + rows[:50], "block long, key long, sim long, size int"), 0.9).collect()]
+        rows = [(block, k, 0, int(sizes[k])) for block, own in ((1, range(n)), (2, range(50)), (3, range(3)), (4, [7])) for k in own]
+        found = line_dedup._candidates(spark.createDataFrame(rows + rows[:500], "block long, key long, sim long, size int"), 0.9)
+        assert found.where("part is not null").select("block").distinct().count() == 1
+        texts = spark.createDataFrame(list(enumerate(lines)), "key long, words binary")
+        got = [tuple(x) for x in line_dedup._linked(found, texts, 0.9).collect()]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert sorted(got) == sorted((a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1])
+    assert partition(n, got) == want
 
 
 # 4
