@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import BROADCAST_ROWS, WORD_BYTES, components, hashed_flat, materialise, mixed, pieces, utf8
+from sextant.llm.common import BROADCAST_ROWS, WORD_BYTES, components, hashed_coded, hashed_flat, materialise, mixed, pieces, utf8
 
 #: Bits in which the SimHashes of two linked lines of LONG words or more may differ: unrelated lines differ in some 32.
 BITS = 20
@@ -18,14 +18,13 @@ SIMILARITY = 0.9
 #: Lines of fewer words are only compared as they are: one word more or less makes them another line.
 FEWEST = 4
 #: Lines of up to SHORT words meet by what is left without one word, of PAIRED words also without two; lines of LONG words or more
-#: by the least hash of their runs of GRAM bytes in each of ORDERS orders. The ranges overlap, as edits join and split words.
+#: by the least hash of their runs of GRAM bytes in each of BINS bins of hashes. The ranges overlap, as edits join and split words.
 SHORT, PAIRED, LONG = 13, range(6, 11), 11
-GRAM, ORDERS = 16, 8
+GRAM, BINS = 16, 8
 #: Members of a bucket that are compared in one task; larger buckets are dealt in squares of two such parts.
 PART = 4_000
 _RANDOM = np.random.default_rng(33)
-_GRAM = _RANDOM.integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
-_ORDERS = _RANDOM.integers(1, 1 << 63, ORDERS, dtype=np.uint64) | np.uint64(1)
+_GRAM = _RANDOM.integers(1, 1 << 63, 3, dtype=np.uint64) | np.uint64(1)
 _PLACES = _RANDOM.integers(1, 1 << 63, SHORT, dtype=np.uint64) | np.uint64(1)
 LINE_BYTES = bytes(10 if b == 10 else c for b, c in enumerate(WORD_BYTES))
 
@@ -38,11 +37,11 @@ def split_lines(text: bytes) -> list[list[bytes]]:
 def signatures(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Of lines that have words: a key of the words in their order, and the SimHash of the words."""
     sizes = np.array([len(x) for x in lines])
-    flat = hashed_flat([w for x in lines for w in x])
+    distinct, index = hashed_coded([w for x in lines for w in x])
+    flat = distinct[index]
     starts = np.cumsum(sizes) - sizes
     place = (np.arange(len(flat)) - np.repeat(starts, sizes)).astype(np.uint64)
     key = mixed(np.add.reduceat(mixed(flat + place * np.uint64(0x9E3779B97F4A7C15)), starts) + sizes.astype(np.uint64))
-    distinct, index = np.unique(flat, return_inverse=True)
     bits = np.unpackbits(distinct.view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)  # a byte for each bit, eight to a number
     parts = -(-sizes // 255)  # of up to 255 words, so that no byte runs over
     first = np.cumsum(parts) - parts
@@ -52,33 +51,46 @@ def signatures(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return key.view(np.int64), np.packbits(2 * ones > sizes[:, None], axis=1).view(np.int64).ravel()
 
 
-def blocks(lines: list[list[bytes]]) -> list[np.ndarray]:
-    """Of each line the numbers of the buckets it is in; lines of fewer words than FEWEST are in none."""
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(lines)
-    own = [i for i, x in enumerate(lines) if FEWEST <= len(x) <= SHORT]
-    flat = hashed_flat([w for i in own for w in lines[i]])
-    at = np.cumsum([0, *(len(lines[i]) for i in own)])
-    sizes = np.diff(at)
-    for n in np.unique(sizes).tolist():
-        which = np.flatnonzero(sizes == n)
-        words = flat[at[which][:, None] + np.arange(n)]
+def blocks(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of lines, as number of the line and of the bucket, in the order of lines; lines of fewer words than FEWEST are in none."""
+    sizes = np.array([len(x) for x in lines])
+    which, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    own = np.flatnonzero((sizes >= FEWEST) & (sizes <= SHORT))
+    flat = hashed_flat([w for i in own.tolist() for w in lines[i]])
+    at = np.cumsum(sizes[own]) - sizes[own]
+    for n in np.unique(sizes[own]).tolist():
+        some = np.flatnonzero(sizes[own] == n)
+        words = flat[at[some][:, None] + np.arange(n)]
         for left_out in range(3 if n in PAIRED else 2):
             stay = np.array(list(combinations(range(n), n - left_out)))
-            found = mixed((words[:, stay] * _PLACES[: n - left_out]).sum(2) + np.uint64(n - left_out)).view(np.int64)
-            for i, x in zip(which.tolist(), found, strict=True):
-                out[own[i]] = np.concatenate((out[own[i]], x))
-    own = [i for i, x in enumerate(lines) if len(x) >= LONG]
-    if own:
-        texts = [b" ".join(lines[i]) for i in own]
+            values = mixed((words[:, stay] * _PLACES[: n - left_out]).sum(2) + np.uint64(n - left_out))
+            which.append(np.repeat(own[some], values.shape[1]))
+            found.append(values.ravel())
+    own = np.flatnonzero(sizes >= LONG)
+    if len(own):
+        texts = [b" ".join(lines[i]) for i in own.tolist()]
         every = b"".join(texts) + bytes(GRAM)
         eight = np.ndarray((len(every) - 7,), np.dtype("<u8"), every, strides=(1,))
-        grams = mixed(eight[: len(every) - GRAM + 1] * _GRAM[0] + eight[GRAM - 8 :] * _GRAM[1])
-        ends = np.cumsum([len(x) for x in texts])
-        spans = np.column_stack((np.concatenate(([0], ends[:-1])), ends - GRAM + 1)).ravel()  # every other one lies inside a line
-        least = np.column_stack([mixed(np.minimum.reduceat(grams * o, spans)[::2] + np.uint64(k)) for k, o in enumerate(_ORDERS)]).view(np.int64)
-        for i, x in zip(own, least, strict=True):
-            out[i] = np.concatenate((out[i], x))
-    return out
+        grams = eight[: len(every) - GRAM + 1] * _GRAM[0]
+        grams += eight[GRAM - 8 :] * _GRAM[1]
+        grams ^= grams >> np.uint64(29)
+        grams *= _GRAM[2]
+        lengths = np.array([len(x) for x in texts])
+        line = np.repeat(np.arange(len(own), dtype=np.int32), lengths)
+        ends = np.cumsum(lengths)
+        kind = (grams[: len(line)] >> np.uint64(40)).astype(np.uint8) % np.uint8(BINS)
+        for k in range(GRAM - 1):  # runs that reach into the next line
+            kind[ends - 1 - k] = BINS
+        for k in range(BINS):
+            spots = np.flatnonzero(kind == k)
+            if len(spots):
+                of = line[spots]
+                first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+                which.append(own[of[first]])
+                found.append(mixed(np.minimum.reduceat(grams[spots], first) + np.uint64(k)))
+    which, found = np.concatenate(which), np.concatenate(found).view(np.int64)
+    order = np.argsort(which, kind="stable")
+    return which[order], found[order]
 
 
 def _listed(docs: DataFrame, text: str) -> DataFrame:
@@ -102,11 +114,11 @@ def _listed(docs: DataFrame, text: str) -> DataFrame:
             again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]]) & (number[order[1:]] != number[order[:-1]])
             # the same line in these documents is in buckets once
             first = np.unique(key, return_index=True)[1]
-            found = blocks([lines[i] for i in first.tolist()])
+            first.sort()
+            which, found = blocks([lines[i] for i in first.tolist()])
             counts = np.zeros(len(doc), np.int64)
-            counts[first] = [len(x) for x in found]
-            ordered = np.argsort(first)
-            buckets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(np.concatenate([found[i] for i in ordered.tolist()])))
+            counts[first] = np.bincount(which, minlength=len(first))
+            buckets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(found))
             own = [pa.array(doc), pa.array(number), pa.array(key), pa.array(sim), pa.array([len(x) for x in lines], pa.int32()), pa.array([sum(map(len, x)) + len(x) - 1 for x in lines], pa.int32()), buckets, pa.array(again)]
             yield pa.RecordBatch.from_arrays(own, names=["doc_id", "line", "key", "sim", "n", "bytes", "blocks", "again"])
 
@@ -166,7 +178,7 @@ def alike(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
     return max(len(a), len(b)) <= most or distance(a, b, most) <= most
 
 
-#: Bands of up to so many 64-bit numbers are worked on side by side for many pairs; wider ones (lines of over 2,500 bytes) pair by pair.
+#: Bands of up to so many 64-bit numbers are worked on side by side for many pairs; wider ones (lines of over 2,500 bytes) and few ones pair by pair.
 WORDS_WIDE = 8
 
 
@@ -241,13 +253,19 @@ def alike_pairs(texts: list[bytes], i: np.ndarray, j: np.ndarray, least: float =
     wide = most[left] // 32 + 1
     for w in np.unique(wide).tolist():
         own = left[wide == w]
-        if w > WORDS_WIDE:
+        if w > WORDS_WIDE or len(own) < 24 * w:  # too few for working side by side to pay
             out[own] = [alike(texts[x], texts[y], least) for x, y in zip(i[own].tolist(), j[own].tolist(), strict=True)]
             continue
         own = own[np.argsort(size[j[own]], kind="stable")]
         for at in range(0, len(own), 4096 // w):
             part = own[at : at + 4096 // w]
-            out[part] = _within([texts[k] for k in i[part].tolist()], [texts[k] for k in j[part].tolist()], most[part], w)
+            a, b = zip(*(differing(texts[x], texts[y]) for x, y in zip(i[part].tolist(), j[part].tolist(), strict=True)), strict=True)
+            longer = np.array([len(x) for x in a])
+            same = longer <= most[part]  # what differs is short enough, however it differs
+            out[part[same]] = True
+            rest = np.flatnonzero(~same)
+            if len(rest):
+                out[part[rest]] = _within([a[k] for k in rest.tolist()], [b[k] for k in rest.tolist()], most[part[rest]], w)
     return out
 
 
@@ -272,15 +290,18 @@ def _edges(*columns: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(fresh) + 1, [n])) if n else np.zeros(1, np.int64)
 
 
-def spanning(group: np.ndarray, key: np.ndarray, sim: np.ndarray, signed: np.ndarray, texts: list[bytes], least: float, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def spanning(group: np.ndarray, key: np.ndarray, sim: np.ndarray, signed: np.ndarray, texts: list[bytes], least: float, part: np.ndarray | None = None, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what all alike pairs within groups connect: as many as there are rows at most.
 
-    Rows are in the order of their groups; with ``part``, pairs are of different parts. In each group the first row meets all others, then
+    Rows are in the order of their groups; with ``part``, pairs are of different parts; rows of one number in ``known`` are connected already. In each group the first row meets all others, then
     the next two do, then the next four: pairs that links found before already connect needn't be compared.
     """
     _, first_row, node = np.unique(key, return_index=True, return_inverse=True)
-    parent = list(range(len(first_row)))
     root = np.arange(len(first_row))
+    if known is not None:
+        _, one, of = np.unique(known[first_row], return_index=True, return_inverse=True)
+        root = one[of]
+    parent = root.tolist()
 
     def top(x: int) -> int:
         while parent[x] != x:
@@ -324,33 +345,67 @@ def spanning(group: np.ndarray, key: np.ndarray, sim: np.ndarray, signed: np.nda
     return ends.min(1), ends.max(1)
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """Of rows (block, key) those whose bucket has several keys, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sent = None, False  # the last row, and whether it went out already
+        for batch in batches:
+            block, key = batch.column("block").to_numpy(), batch.column("key").to_numpy()
+            if not len(block):
+                continue
+            if last is not None:
+                block, key = np.append(last[0], block), np.append(last[1], key)
+            fresh = np.concatenate(([True], (block[1:] != block[:-1]) | (key[1:] != key[:-1])))
+            block, key = block[fresh], key[fresh]
+            sizes = np.diff(_edges(block))
+            shared = sizes > 1
+            shared[0] |= sent
+            last = block[-1], key[-1]
+            many = np.repeat(shared, sizes)
+            many[0] &= not sent
+            sent = bool(shared[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(block[many]), pa.array(key[many])], names=["block", "key"])
+
+    return rows.repartition("block").sortWithinPartitions("block", "key").mapInArrow(run, "block long, key long")
+
+
 def _candidates(dealt: DataFrame, least: float) -> DataFrame:
-    """Of rows (COLUMNS) those that can be alike to another of their bucket: (COLUMNS, part), part being null but in a bucket of more than PART rows, all of which are there."""
+    """Of rows (COLUMNS) those that can be alike to another of their bucket: (COLUMNS, part, centre).
+
+    ``centre`` is the key that can be alike to most others; ``part`` is null but in a bucket of more than PART rows, all of which
+    are there, in parts with a centre each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, dealt_before = None, 0  # the rows of the last bucket, and how many of them are dealt out already
 
-        def done(rows: list[np.ndarray], before: int) -> pa.RecordBatch:
+        def done(rows: list[np.ndarray], before: int, more: bool = False) -> pa.RecordBatch:
             edges = _edges(rows[0])
             sizes = np.diff(edges)
             large = sizes > PART
-            large[0] |= before > 0
+            large[0] |= more or before > 0
             place = np.arange(len(rows[0])) - np.repeat(edges[:-1], sizes)
             place[: edges[1]] += before
             inside = np.repeat(large, sizes)
-            keep = inside.copy()
-            small = ~inside
-            i, steps = np.flatnonzero(small), 1
+            partners = np.zeros(len(inside), np.int32)
+            i, steps = np.flatnonzero(~inside), 1
             while True:
-                i = i[np.searchsorted(i, 0) : np.searchsorted(i, len(inside) - steps)]
+                i = i[: np.searchsorted(i, len(inside) - steps)]
                 i = i[rows[0][i] == rows[0][i + steps]]
                 if not len(i):
                     break
                 near = _near(rows[2], rows[3], i, i + steps, least)
-                keep[i[near]] = keep[i[near] + steps] = True
+                partners[i[near]] += 1
+                partners[i[near] + steps] += 1
                 steps += 1
-            part = pa.array((place[keep] // PART).astype(np.int32), mask=~inside[keep])
-            return pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in rows), part], names=[*COLUMNS, "part"])
+            part = place // PART
+            group = np.cumsum(np.concatenate(([0], (rows[0][1:] != rows[0][:-1]) | (inside[1:] & (part[1:] != part[:-1])))))
+            best = np.lexsort((rows[1], -partners, group))
+            centre = best[np.flatnonzero(np.concatenate(([True], group[best][1:] != group[best][:-1])))][group]
+            keep = inside | (partners > 0)
+            columns = [*(pa.array(c[keep]) for c in rows), pa.array(part[keep].astype(np.int32), mask=~inside[keep]), pa.array(rows[1][centre[keep]])]
+            return pa.RecordBatch.from_arrays(columns, names=[*COLUMNS, "part", "centre"])
 
         for batch in batches:
             rows = [batch.column(c).to_numpy() for c in COLUMNS]
@@ -364,14 +419,14 @@ def _candidates(dealt: DataFrame, least: float) -> DataFrame:
                 yield done([c[:start] for c in rows], dealt_before)
                 dealt_before = 0
             held = [c[start:] for c in rows]
-            if len(held[0]) > PART + 1:  # the last row stays, so that a repetition of it is seen
-                yield done([c[:-1] for c in held], dealt_before)
-                dealt_before += len(held[0]) - 1
-                held = [c[-1:] for c in held]
+            while len(held[0]) > PART + 1:  # a row more stays, so that a repetition of it is seen
+                yield done([c[:PART] for c in held], dealt_before, more=True)
+                dealt_before += PART
+                held = [c[PART:] for c in held]
         if held is not None and len(held[0]):
             yield done(held, dealt_before)
 
-    return dealt.repartition("block").sortWithinPartitions("block", "key").select(*COLUMNS).mapInArrow(run, "block long, key long, sim long, size int, part int")
+    return dealt.repartition("block").sortWithinPartitions("block", "key").select(*COLUMNS).mapInArrow(run, "block long, key long, sim long, size int, part int, centre long")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
@@ -395,30 +450,44 @@ def _texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 
 
 #: Rows and bytes of lines that a task holds at once; one bucket, or square of a larger one, is held whole.
-HELD_ROWS, HELD_BYTES = 20_000, 16 << 20
+HELD_ROWS, HELD_BYTES = 50_000, 32 << 20
+
+
+def _starred(found: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The links (a, b) of rows with the centres of their buckets, whose pairs are mostly the same in all buckets of a group of lines."""
+    pairs = found.where("key != centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
+    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("words").alias("of_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("words").alias("of_b")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            linked = alike_pairs(batch.column("of_a").to_pylist() + batch.column("of_b").to_pylist(), np.arange(n), np.arange(n, 2 * n), least)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(linked))
+
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
 def _linked(found: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs of keys (a, b) that connect what alike pairs of a common bucket connect. Buckets of more than PART rows are dealt in squares of two parts."""
+    """Pairs of keys (a, b) that connect what alike pairs of a common bucket connect, beyond rows of one ``root``. Buckets of more than PART rows are dealt in squares of two parts."""
     large = found.where("part is not null")
     parts = large.groupBy("block").agg(F.max("part").alias("parts"))
     squares = large.join(parts, "block").withColumn("other", F.explode(F.sequence(F.lit(0), "parts")))
-    squares = squares.select(*COLUMNS, "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    whole = found.where("part is null").select(*COLUMNS, F.lit(0).alias("part"), F.lit(0).alias("low"), F.lit(0).alias("high"))
-    names = (*COLUMNS, "part", "low", "high", "words")
+    squares = squares.select(*COLUMNS, "root", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    whole = found.where("part is null").select(*COLUMNS, "root", F.lit(0).alias("part"), F.lit(0).alias("low"), F.lit(0).alias("high"))
+    names = (*COLUMNS, "root", "part", "low", "high", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            block, key, sim, size, part, low, high = (table.column(c).to_numpy() for c in names[:-1])
+            block, key, sim, size, root, part, low, high = (table.column(c).to_numpy() for c in names[:-1])
             edges = _edges(block, low, high)
             group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
             words = table.column("words").to_pylist()
             for crossed in (False, True):
                 own = np.flatnonzero((low != high) == crossed)
                 if len(own):
-                    a, b = spanning(group[own], key[own], sim[own], size[own], [words[k] for k in own.tolist()], least, part[own] if crossed else None)
+                    a, b = spanning(group[own], key[own], sim[own], size[own], [words[k] for k in own.tolist()], least, part[own] if crossed else None, root[own])
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
@@ -440,17 +509,22 @@ def _linked(found: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 def _links(listed: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, least: float) -> DataFrame:
     """Pairs of keys (a, b) of alike lines, which connect all alike lines that have a bucket in common."""
+    shared = _shared(listed.select("key", F.explode("blocks").alias("block")).select("block", "key"))
     signed = F.when(F.col("n") < LONG, -F.col("bytes")).otherwise(F.col("bytes")).alias("size")
-    found = materialise(_candidates(listed.select("key", "sim", signed, F.explode("blocks").alias("block")), least))
+    found = materialise(_candidates(shared.join(distinct.select("key", "sim", signed), "key"), least))
     wanted = materialise(distinct.join(found.select("key").distinct(), "key", "left_semi").select("doc_id", "line", "key"))
     texts = materialise(_texts(docs, wanted, text))
-    return _linked(found, texts, least)
+    links = materialise(_starred(found, texts, least))
+    rooted = found.join(components(links).select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = materialise(rooted.select(*COLUMNS, "part", "root"))
+    open_ = rooted.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("block")
+    return links.union(_linked(materialise(rooted.join(open_, "block", "left_semi")), texts, least))
 
 
 def repeated_lines(docs: DataFrame, *, text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The lines (doc_id, line) that are not their group's first occurrence; see deduplicate."""
     listed = materialise(_listed(docs, text))
-    distinct = materialise(listed.where("not again").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by("line", "doc_id").alias("line"), F.count("*").alias("copies")))
+    distinct = materialise(listed.where("not again").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by("line", "doc_id").alias("line"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("sim", "n", "bytes"))))
     roots = components(_links(listed, distinct, docs, text, least))
     grouped = distinct.join(roots, distinct.key == roots.node).select("key", "root", "doc_id", "line")
     first = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("kept"))
