@@ -12,20 +12,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import text_of
+from sextant.llm.common import hash_share, text_of
 
 #: The contract's rules: verdict, host, path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _rest(url: Column) -> Column:
+    """What follows the first ://."""
+    return F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1)
+
+
 def host_of(url: Column) -> Column:
     """What follows the first :// up to a slash, question mark, hash or the end, in lower case; null and other texts have none."""
-    return F.coalesce(F.translate(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), UPPER, LOWER), F.lit(""))
+    return F.coalesce(F.translate(F.regexp_extract(_rest(url), r"^[^/?#]*", 0), UPPER, LOWER), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    """What follows the host up to a question mark, hash or the end."""
+    return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
 def with_rules(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
@@ -180,13 +186,18 @@ def made_urls(n: int, seed: int = 4) -> list[tuple[str, int]]:
     return out
 
 
-def train(labelled: DataFrame, *, sample: int = 20_000, made: int = 2_000) -> UrlModel:
+def train(labelled: DataFrame, *, sample: int = 20_000, made: int = 2_000, longest: int = 4096) -> UrlModel:
     """A model from ``labelled`` (url, label: 1 to block) and ``made`` URLs made by rule.
 
     Of ``labelled``, the ``sample`` distinct rows with the smallest hashes are used: a bound on what the driver sees, the same
-    rows at each run.
+    rows at each run. Hashes that are too large for that, by the number of URLs, go before any row is sent anywhere. URLs of over
+    ``longest`` code points are not learned from.
     """
-    rows = labelled.select("url", "label").where("url is not null").distinct().orderBy(F.xxhash64("url"), "url", "label").limit(sample).collect()
+    labelled = labelled.select("url", "label").where((F.length("url") <= longest) & F.col("label").isNotNull())
+    spread = F.pmod(F.xxhash64("url"), F.lit(1 << 32))
+    n = labelled.agg(F.approx_count_distinct("url", 0.02)).first()[0]
+    share = hash_share(sample, 0.9 * n)
+    rows = labelled.where(spread < share).distinct().orderBy(spread, "url", "label").limit(sample).collect()
     more = made_urls(made)
     return UrlModel().fit([r.url for r in rows] + [u for u, _ in more], [int(r.label) for r in rows] + [y for _, y in more])
 
@@ -195,7 +206,8 @@ def judge(pages: DataFrame, *, url: str = "url", rules=RULES, labelled: DataFram
     """``pages`` with host, path, rule, verdict (allow or block) and the model's score for every URL.
 
     A rule's verdict stands; else a score of 0.5 or more blocks. Null URLs and those without :// have an empty host and path, fit
-    no rule and are scored as they stand. ``labelled`` defaults to the URLs that rules decide. Scores are computed row by row;
+    no rule and are scored as they stand. Each row is judged by its own URL, so repeated rows get equal verdicts; of rules of one
+    length the first by name counts. An empty table gives an empty table. ``labelled`` defaults to the URLs that rules decide. Scores are computed row by row;
     the model has a fixed size. Columns by the names of the result are replaced.
     """
     ruled = with_rules(pages.drop("host", "path", "rule", "verdict", "score"), url, rules)
