@@ -37,7 +37,10 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = {t.content: struct.pack("<I", k) for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = special and re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
+        self.special_ids = special
+        self.tokenizer.encode_special_tokens = True  # they are cut out before; what lower case makes look like one is text
         self.known: dict[str, bytes] = {"": b""}
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.between = f" {MARK} "
@@ -62,6 +65,12 @@ class ChunkEncoder:
             self.known.update(zip(part, map(flat.__getitem__, map(slice, starts, [*(4 * ends).tolist(), len(flat)])), strict=True))
 
     def encode(self, text: str) -> bytes:
+        if self.special and len(cut := self.special.split(text)) > 1:
+            return b"".join(self.special_ids[x] if k % 2 else self._plain(x) for k, x in enumerate(cut))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
         text = text.replace("\n", " ")
         if LATIN.fullmatch(text):  # lower case goes by single letters there, and a mark after a letter is a token of its own: fewer chunks differ
             text = STOP.sub(r" \g<0>", text.lower())
