@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -18,76 +20,139 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 class SuffixAutomaton:
-    """Every substring of every item, by word number.
+    """Every substring of every item, by word number, in flat arrays: about 30 bytes for each word of the items.
 
-    ``step[state][word]`` is the next state; a state stands for the substrings of lengths ``length[link]+1`` to ``length``
-    that end at the same places. ``long_at[state]`` is the state that holds the last ``window`` words of a match there;
-    ``items[state]`` the items with that window; ``short[state]`` the items of fewer words that end there, by length.
+    A state stands for the substrings of lengths ``length[link]+1`` to ``length`` that end at the same places. Most states have one
+    next word: ``word`` and ``step``; further ones are ``more`` (state and word as one number, sorted) and ``more_step``, those of the
+    start are ``root``. ``owner`` has the item whose window ends a match in that state (-1: none; -2 and less: ``several``, for windows
+    of several items). ``short_at`` is the nearest state up the links in which an item of fewer words than a window ends (``short``).
     """
 
     def __init__(self, items: list[tuple[object, bytes]], window: int):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        self.step: list[dict[int, int]] = [{}]
-        self.length, self.link = [0], [-1]
-        texts = []
+        length, link, word, step, branches = array("i", [0]), array("i", [-1]), array("i", [-1]), array("i", [0]), {0: {}}
+
+        def get(p: int, c: int) -> int | None:
+            if word[p] == c:
+                return step[p]
+            return branches[p].get(c) if p in branches else None
+
+        def put(p: int, c: int, q: int) -> None:
+            if p and word[p] in (-1, c):
+                word[p], step[p] = c, q
+            else:
+                branches.setdefault(p, {})[c] = q
+
+        def new(n: int, up: int) -> int:
+            length.append(n)
+            link.append(up)
+            word.append(-1)
+            step.append(0)
+            return len(length) - 1
+
+        def split(p: int, c: int, q: int) -> int:
+            """A state for the substrings of q that are no longer than p's longest and c; p's transitions lead there."""
+            clone = new(length[p] + 1, link[q])
+            word[clone], step[clone] = word[q], step[q]
+            if q in branches:
+                branches[clone] = dict(branches[q])
+            link[q] = clone
+            while p >= 0 and get(p, c) == q:
+                put(p, c, clone)
+                p = link[p]
+            return clone
+
+        def extend(last: int, c: int) -> int:
+            q = get(last, c)
+            if q is not None:
+                return q if length[q] == length[last] + 1 else split(last, c, q)
+            own, p = new(length[last] + 1, 0), last
+            while p >= 0 and get(p, c) is None:
+                put(p, c, own)
+                p = link[p]
+            if p >= 0:
+                q = get(p, c)
+                link[own] = q if length[q] == length[p] + 1 else split(p, c, q)
+            return own
+
+        self.names, texts = [], []
         for item, text in items:
-            numbers = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
+            numbers = array("i", [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)])
             if numbers:
-                texts.append((item, numbers))
+                self.names.append(str(item))
+                texts.append(numbers)
                 last = 0
                 for c in numbers:
-                    last = self._extend(last, c)
-        self.shortest = min((min(window, len(n)) for _, n in texts), default=0)
-        order = sorted(range(1, len(self.length)), key=self.length.__getitem__)
-        self.long_at = [0] * len(self.length)
-        for s in order:
-            if self.length[s] >= window:
-                self.long_at[s] = s if self.length[self.link[s]] < window else self.long_at[self.link[s]]
-        self.items: dict[int, set] = {}
-        own: dict[int, list[tuple[int, object]]] = {}
-        for item, numbers in texts:
+                    last = extend(last, c)
+        self.shortest = min((min(window, len(n)) for n in texts), default=0)
+        self.length, self.link, self.word, self.step = (np.array(x, np.int32) for x in (length, link, word, step))
+        self.root = np.zeros(len(self.vocabulary), np.int32)
+        for c, q in branches.pop(0).items():
+            self.root[c] = q
+        further = np.fromiter((x for p, own in branches.items() for c, q in own.items() for x in (p << 32 | c, q)), np.int64).reshape(-1, 2)
+        further = further[np.argsort(further[:, 0])]
+        self.more, self.more_step = further[:, 0].copy(), further[:, 1].astype(np.int32)
+        del length, link, word, step, branches, further
+        self._owners(texts)
+
+    def _owners(self, texts: list[array]) -> None:
+        up = np.maximum(self.link, 0)
+        n, least = len(up), self.length
+        at = np.where(least >= self.window, np.where(least[up] < self.window, np.arange(n), up), 0).astype(np.int32)
+        while not np.array_equal(nxt := at[at], at):
+            at = nxt
+        owner, several, short = np.full(n, -1, np.int32), {}, {}
+        for k, numbers in enumerate(texts):
             state = 0
             for i, c in enumerate(numbers):
-                state = self.step[state][c]
-                if i + 1 >= window:
-                    self.items.setdefault(self.long_at[state], set()).add(item)
-            if len(numbers) < window:
-                own.setdefault(state, []).append((len(numbers), item))
-        self.short: dict[int, list[tuple[int, object]]] = {}
-        if own:
-            for s in order:
-                if found := self.short.get(self.link[s], []) + own.get(s, []):
-                    self.short[s] = sorted(found, key=lambda x: x[0])
-
-    def _new(self, step: dict[int, int], length: int, link: int) -> int:
-        self.step.append(step)
-        self.length.append(length)
-        self.link.append(link)
-        return len(self.length) - 1
-
-    def _split(self, p: int, c: int, q: int) -> int:
-        """A state for the substrings of q that are no longer than p's longest and c; p's transitions lead there."""
-        clone = self._new(dict(self.step[q]), self.length[p] + 1, self.link[q])
-        self.link[q] = clone
-        while p >= 0 and self.step[p].get(c) == q:
-            self.step[p][c] = clone
-            p = self.link[p]
-        return clone
-
-    def _extend(self, last: int, c: int) -> int:
-        q = self.step[last].get(c)
-        if q is not None:
-            return q if self.length[q] == self.length[last] + 1 else self._split(last, c, q)
-        new = self._new({}, self.length[last] + 1, 0)
-        p = last
-        while p >= 0 and c not in self.step[p]:
-            self.step[p][c] = new
-            p = self.link[p]
-        if p >= 0:
-            q = self.step[p][c]
-            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
-        return new
+                state = self.next(state, c)
+                if i + 1 >= self.window:
+                    s = int(at[state])
+                    if owner[s] == -1:
+                        owner[s] = k
+                    elif owner[s] != k:
+                        several.setdefault(s, {int(owner[s])}).add(k)
+            if len(numbers) < self.window:
+                short.setdefault(state, (len(numbers), []))[1].append(k)
+        self.several = []
+        for s, who in several.items():
+            self.several.append(tuple(sorted(who)))
+            owner[s] = -1 - len(self.several)
+        self.owner = np.where(at > 0, owner[at], -1)
+        self.short, self.short_at = short, None
+        if short:
+            at = up.copy()
+            own = np.fromiter(short, np.int64)
+            at[own] = own
+            while not np.array_equal(nxt := at[at], at):
+                at = nxt
+            self.short_at = at
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "views"}
+
+    def __getattr__(self, name: str):
+        """Views of the arrays, which give plain numbers faster."""
+        if name != "views":
+            raise AttributeError(name)
+        self.views = tuple(memoryview(x) for x in (self.root, self.word, self.step, self.more, self.more_step, self.link, self.length))
+        return self.views
+
+    def next(self, state: int, c: int) -> int:
+        """The state after one more word, 0 for none."""
+        root, word, step, more, more_step, _, _ = self.views
+        if not state:
+            return root[c]
+        if word[state] == c:
+            return step[state]
+        key = state << 32 | c
+        k = bisect_left(more, key)
+        return more_step[k] if k < len(more) and more[k] == key else 0
+
+    def nbytes(self) -> int:
+        """Bytes of the arrays."""
+        return sum(x.nbytes for x in self.__dict__.values() if isinstance(x, np.ndarray))
 
     def matches(self, tokens: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """The runs of words inside windows, as start and end, and the items whose windows occur."""
@@ -99,25 +164,33 @@ class SuffixAutomaton:
         edges = np.flatnonzero(np.diff(np.concatenate(([0], numbers >= 0, [0])).astype(np.int8)))
         starts, ends = edges[::2], edges[1::2]
         enough = ends - starts >= self.shortest
+        root, word, step, _, _, link, length = self.views
+        window, names, owner = self.window, self.names, self.owner
         for a, b in zip(starts[enough].tolist(), ends[enough].tolist(), strict=True):
             state = matched = 0
             for i, c in enumerate(numbers[a:b].tolist(), a):
-                while state and c not in self.step[state]:
-                    state = self.link[state]
-                    matched = self.length[state]
-                nxt = self.step[state].get(c)
-                if nxt is None:
-                    state = matched = 0
-                    continue
-                state, matched = nxt, matched + 1
+                while state:
+                    if nxt := step[state] if word[state] == c else self.next(state, c):
+                        matched += 1
+                        break
+                    state = link[state]
+                    matched = length[state]
+                else:
+                    nxt, matched = root[c], 1
+                state = nxt
                 reach = 0
-                if matched >= self.window:
+                if matched >= window:
                     reach = matched
-                    found |= self.items[self.long_at[state]]
-                for n, item in self.short.get(state, ()):
-                    if n <= matched:
-                        reach = max(reach, n)
-                        found.add(item)
+                    who = int(owner[state])
+                    found.update([names[who]] if who >= 0 else (names[k] for k in self.several[-2 - who]))
+                if self.short:
+                    at = int(self.short_at[state])
+                    while at:
+                        n, who = self.short[at]
+                        if n <= matched:
+                            reach = max(reach, n)
+                            found.update(names[k] for k in who)
+                        at = int(self.short_at[link[at]])
                 if reach:
                     start = i + 1 - reach
                     while runs and runs[-1][1] >= start:
@@ -148,12 +221,13 @@ def _last(blocks: Iterator) -> Iterator[tuple]:
     yield held, True
 
 
-def match_items(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 32 << 20, finish: Callable | None = None) -> DataFrame:
+def match_items(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 16 << 20, finish: Callable | None = None) -> DataFrame:
     """``docs`` with the runs of words that lie inside a window of some item: n_words, starts, ends, items.
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. Null and empty
     texts have no words and no runs; an empty table of items gives no runs. Columns of ``docs`` by the names of the result
-    are replaced. The automaton of a block of items is broadcast; with more than ``block_bytes`` of items, the blocks pass
+    are replaced. Each row is matched by itself, so repeated rows give equal rows; repeated items, and items of one id, count once.
+    The automaton of a block of items, of some 30 bytes a word, is broadcast; with more than ``block_bytes`` of items, the blocks pass
     over the documents one after the other, each adding to what the last has found. With ``finish``, the last of them gives what
     that function makes of the batch, its texts, and their numbers of words and runs, in the columns of ``docs``.
     """
@@ -173,7 +247,6 @@ def match_items(docs: DataFrame, items: DataFrame, *, text: str = "text", item_i
                 for i, value in enumerate(values):
                     tokens = words(value)
                     runs, hit = found.matches(tokens)
-                    hit = {str(x) for x in hit}
                     if before:
                         runs, hit = union(runs + list(zip(before[0][i], before[1][i], strict=True))), hit | set(before[2][i])
                     n_words.append(len(tokens))
