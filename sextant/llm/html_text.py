@@ -18,7 +18,9 @@ from sextant.llm.common import pieces, text_of
 # Fixed sets of HTML: elements whose start or end breaks a line of text, those without content, those whose content is no text.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea title iframe svg math object head xmp noembed noframes".split())
+RAW = frozenset("script style template noscript textarea title iframe svg head noembed noframes".split())
+#: Of those, the ones that take the rest of the page where nobody closes them; the others' content then counts as text.
+ENDLESS = frozenset(("script", "style"))
 #: A start of the first closes an open element of the second, up to the nearest of the third.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
@@ -26,7 +28,37 @@ LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[a-z]+")
 
-Block = tuple[tuple[str, ...], str, int]
+INLINE = frozenset("b i em strong span a u font small".split())
+#: Steps that say little of the part of the page that holds a block.
+PLAIN = INLINE | frozenset("p h1 h2 h3 li ul ol".split())
+
+
+class Path:
+    """Where a block stands: a step (tag and words of its names) below another place. What the labeller reads of all steps is kept as a mask of slots, so a place takes the same room at any depth."""
+
+    __slots__ = ("depth", "holder", "inside", "kids", "slots", "step", "tag")
+
+    def __init__(self, above: Path | None = None, step: str = ""):
+        self.step, self.tag = step, step.split(" ", 1)[0]
+        self.kids: dict[str, Path] = {}
+        if above is None:
+            self.depth, self.inside, self.holder, self.slots = 0, 0, 0, ()
+            return
+        self.depth = above.depth + 1
+        inside, leaf, holder = _step_masks(step)
+        self.inside = above.inside | inside
+        self.holder = above.holder if self.tag in PLAIN else holder
+        both = self.inside | leaf | self.holder | 1 << _path_slot(f"pair {above.tag} > {self.tag}" if above.depth else f"pair {self.tag}")
+        self.slots = tuple(k for k in range(PATHS) if both >> k & 1)
+
+    def below(self, step: str) -> Path:
+        """The place one step further; the same one for the same step."""
+        if (found := self.kids.get(step)) is None:
+            found = self.kids[step] = Path(self, step)
+        return found
+
+
+Block = tuple[Path, str, int]
 
 
 @lru_cache(maxsize=1 << 13)
@@ -37,15 +69,18 @@ def _described(tag: str, attributes: str) -> str:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's leaf blocks in order: path of steps, text, and how many of its characters are in links.
+    """The page's leaf blocks in order: place, text, and how many of its characters are in links.
 
     Character references are decoded, white space in a block is one space, and blocks without text are left out. Tags that nobody
-    closed end with what holds them; tags that nobody opened are ignored. Time is linear in the page.
+    closed end with what holds them; tags that nobody opened are ignored. Time and memory are linear in the page, however deep its
+    tags are nested.
     """
     out: list[Block] = []
     stack: list[str] = []
-    steps: list[str] = []
+    places: list[Path] = [Path()]
+    open_at: dict[str, list[int]] = {}  # where in the stack each tag is
     parts: list[str] = []
+    endless: set[str] = set()  # tags that nobody closes from here on
     links = linked = at = 0
 
     def flush() -> None:
@@ -53,14 +88,20 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((tuple(steps), text, min(linked, len(text))))
+                out.append((places[-1], text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
     def pop_to(k: int) -> None:
         nonlocal links
-        links -= stack[k:].count("a")
-        del stack[k:], steps[k:]
+        for tag in stack[k:]:
+            open_at[tag].pop()
+            links -= tag == "a"
+        del stack[k:], places[k + 1 :]
+
+    def last(tags) -> int:
+        """Where in the stack the innermost of these tags is, or -1."""
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=-1)
 
     n = len(page)
     while at < n:
@@ -93,20 +134,24 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag in BLOCK:
                 flush()
-            if tag in stack:
-                pop_to(len(stack) - 1 - stack[::-1].index(tag))
+            if (k := last((tag,))) >= 0:
+                pop_to(k)
             elif tag == "br":
                 parts.append(" ")
             continue
         if tag in RAW:
-            if m[3].endswith("/") and tag in ("svg", "math"):
+            if m[3].endswith("/") and tag == "svg":
                 continue
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            close = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if tag == "head":
-                close = close or re.compile("<body", re.I).search(page, at)
-                at = (close.end() if close and close[0][:2] == "</" else close.start()) if close else at
-            else:
-                at = close.end() if close else n
+                close = close or (None if tag in endless else re.compile("<body", re.I).search(page, at))
+                at = (close.end() if close[0][:2] == "</" else close.start()) if close else at
+            elif close:
+                at = close.end()
+            elif tag in ENDLESS:
+                at = n
+            if not close:
+                endless.add(tag)
             continue
         if tag in VOID:
             if tag == "hr":
@@ -116,17 +161,15 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            if "p" in stack:
-                pop_to(len(stack) - 1 - stack[::-1].index("p"))
+            if (k := last("p")) >= 0:
+                pop_to(k)
             if tag in CLOSES:
                 shut, until = CLOSES[tag]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k] in until:
-                        break
-                    if stack[k] in shut:
-                        pop_to(k)
+                while (k := last(shut)) > last(until):
+                    pop_to(k)
+        open_at.setdefault(tag, []).append(len(stack))
         stack.append(tag)
-        steps.append(_described(tag, m[3]))
+        places.append(places[-1].below(_described(tag, m[3])))
         links += tag == "a"
     flush()
     return out
@@ -138,15 +181,18 @@ PATHS, WORDS, MEASURES = 256, 128, 8
 INPUTS = PATHS + WORDS + MEASURES
 
 
+def _path_slot(name: str) -> int:
+    return zlib.crc32(name.encode()) % PATHS
+
+
 @lru_cache(maxsize=1 << 14)
-def _path_slots(path: tuple[str, ...]) -> tuple[int, ...]:
-    names = {f"in {w}" for step in path for w in step.split()}
-    if path:
-        names |= {f"leaf {w}" for w in path[-1].split()} | {f"pair {' > '.join(s.split()[0] for s in path[-2:])}"}
-    inline = {"b", "i", "em", "strong", "span", "a", "u", "font", "small"}
-    holder = next((s for s in reversed(path) if s.split()[0] not in inline and s.split()[0] not in ("p", "h1", "h2", "h3", "li", "ul", "ol")), "")
-    names |= {f"holder {w}" for w in holder.split()}
-    return tuple(sorted({zlib.crc32(x.encode()) % PATHS for x in names}))
+def _step_masks(step: str) -> tuple[int, int, int]:
+    """Slots of a step's words as one that holds a block, as the innermost one, and as the innermost that isn't plain."""
+    masks = [0, 0, 0]
+    for w in step.split():
+        for k, kind in enumerate(("in", "leaf", "holder")):
+            masks[k] |= 1 << _path_slot(f"{kind} {w}")
+    return masks[0], masks[1], masks[2]
 
 
 @lru_cache(maxsize=1 << 16)
@@ -154,16 +200,17 @@ def _word_slot(word: str) -> int:
     return PATHS + zlib.crc32(word.encode()) % WORDS
 
 
-def features(page: list[Block]) -> np.ndarray:
-    x = np.zeros((len(page), INPUTS), np.float32)
+def features(page: list[Block], first: int = 0, upto: int | None = None) -> np.ndarray:
+    """A row for each block from ``first`` on, with all its words and with the whole page in view."""
     n = len(page)
-    for k, (path, text, linked) in enumerate(page):
-        x[k, list(_path_slots(path))] = 1
-        found = text[:400].lower().split()[:24]
-        for w in found:
-            x[k, _word_slot(w)] += 1 / len(found)
+    some = page[first:upto]
+    x = np.zeros((len(some), INPUTS), np.float32)
+    for k, (place, text, linked) in enumerate(some):
+        x[k, place.slots] = 1
+        found = [_word_slot(w) for w in text.lower().split()]
+        np.add.at(x[k], found, 1 / len(found))
         size = len(text)
-        x[k, -MEASURES:] = (np.log1p(size) / 5, linked / size, text.count(" ") / size * 5, sum(map(text.count, ".,;")) / size * 10, text[-1:] in ".!?", len(path) / 10, k / n, min(n, 200) / 200)
+        x[k, -MEASURES:] = (np.log1p(size) / 5, linked / size, text.count(" ") / size * 5, sum(map(text.count, ".,;")) / size * 10, text[-1:] in ".!?", min(place.depth, 50) / 10, (first + k) / n, min(n, 200) / 200)
     return x
 
 
@@ -252,11 +299,35 @@ class BiLSTM:
                     self.p[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
         return self
 
+    def _long(self, page: list[Block], cells: int) -> np.ndarray:
+        """scores for one long page, ``cells`` blocks at a time: what goes from one part to the next is the state, what stays of each block is a number."""
+        n, h = len(page), self.h
+        z = np.full(n, self.p["ob"][0], np.float32)
+        starts = range(0, n, cells)
+        for half, d in enumerate("fb"):
+            u, o = self.p[f"h{d}"], self.p["o"][half * h : (half + 1) * h]
+            s = c = np.zeros(h, np.float32)
+            for a in starts if d == "f" else reversed(starts):
+                x = features(page, a, a + cells)
+                pre = x @ self.p[f"x{d}"] + self.p[f"c{d}"]
+                for k in range(len(pre)) if d == "f" else range(len(pre) - 1, -1, -1):
+                    y = pre[k] + s @ u
+                    g = 1 / (1 + np.exp(-y[: 3 * h]))
+                    c = g[h : 2 * h] * c + g[:h] * np.tanh(y[3 * h :])
+                    s = g[2 * h :] * np.tanh(c)
+                    pre[k, :h] = s
+                z[a : a + len(pre)] += pre[:, :h] @ o
+        return z
+
     def labels(self, pages: list[list[Block]], cells: int = 40_000) -> list[np.ndarray]:
-        """Whether each block is main text; pages of like length run together, in groups of ``cells`` blocks or one page."""
+        """Whether each block is main text; pages of like length run together, in groups of ``cells`` blocks, longer ones alone and part by part."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
         while order:
+            if len(pages[order[-1]]) > cells:
+                k = order.pop()
+                out[k] = self._long(pages[k], cells // 4) > 0
+                continue
             take = max(1, min(256, cells // len(pages[order[-1]])))
             group, order = order[-take:], order[:-take]
             x, mask, _ = padded([(features(pages[k]), np.zeros(len(pages[k]))) for k in group])
@@ -350,8 +421,9 @@ def extract(pages: DataFrame, *, column: str = "html", model: BiLSTM | None = No
     """``pages`` with ``text`` and ``n_chars`` in place of the html: the main blocks in page order, joined by newlines.
 
     Null and empty pages, and pages without main blocks, give an empty text of 0 code points. Each page is read whole and labelled
-    with all its blocks in view; nothing is shuffled. The model has a fixed size and is trained on the driver on a fixed number
-    of made pages. Columns by the names of the result are replaced.
+    with all its blocks in view; nothing is shuffled. Each row is read by itself, so repeated rows give equal rows, and an empty
+    table an empty table. Memory is in proportion to the longest page. The model has a fixed size and is trained on the driver on a
+    fixed number of made pages. Columns by the names of the result are replaced.
     """
     pages = pages.drop("text", "n_chars")
     kept = [c for c in pages.columns if c != column]
