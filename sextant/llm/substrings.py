@@ -1,7 +1,8 @@
 """Suffix-array deduplication: bytes covered by long strings that also start earlier, found shard by shard.
 
-Sampled places (anchors) that the bytes around them decide bring equal strings together. What is the same around an anchor is decided by
-hash; where only parts are the same, the bytes go to shards, each with a suffix array, and arrays that an anchor is split over are merged.
+Sampled places (anchors) that the bytes around them decide bring equal strings together: the strings around one anchor are a context. Each
+batch of texts is a shard of its own, whose array settles what repeats within it. Contexts of anchors that several batches have are dealt
+to shards by anchor, each with a suffix array; what an anchor spread over several shards has left is merged by binary search.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm.common import BROADCAST_ROWS, materialise, mixed, pieces, utf8
@@ -24,7 +25,9 @@ CHOICE = LENGTH - GRAM + 1
 PART = 1 << 20
 #: Bytes of a shard's array; occurrences of an anchor that are dealt to several shards if there are more.
 SHARD = 3 << 20
-SPLIT = 40_000
+SPLIT = 20_000
+#: Starts that one number has room for, beside the offset of the first.
+MOST = (1 << 24) - 1
 _RANDOM = np.random.default_rng(17)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = _RANDOM.integers(1, 1 << 63, (8, 2), dtype=np.uint64) | np.uint64(1)
@@ -90,11 +93,62 @@ def _stretches(doc: np.ndarray, offset: np.ndarray, count: np.ndarray) -> tuple[
     return doc[first], offset[first], np.add.reduceat(count, first) if len(first) else count
 
 
+def _spots(offset: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Offset and number of starts, of at most MOST, as one number."""
+    return offset << 24 | count
+
+
+def _packed(doc: np.ndarray, offset: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and spots of stretches, those of over MOST starts in parts."""
+    n = -(-count // MOST)
+    part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(doc, n), _spots(np.repeat(offset, n) + part * MOST, np.minimum(np.repeat(count, n) - part * MOST, MOST))
+
+
+def _fresh(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = False
+        for c in columns:
+            out[1:] |= c[1:] != c[:-1]
+    return out
+
+
 FOUND = "anchor long, own long, doc_id long, spot long, known boolean"
 
 
+def _settled(texts: dict[int, bytes], anchor: np.ndarray, lead: np.ndarray, text: np.ndarray, doc: np.ndarray, offset: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch's rows, in the order of anchor, context, document and offset, the stretches of starts that repeat others of the batch.
+
+    ``lead`` are the first rows of their contexts, whose bytes go to an array; the other rows have the strings of their lead.
+    """
+    first = np.flatnonzero(_fresh(anchor))
+    many = np.repeat(np.diff(np.append(first, len(anchor))) > 1, np.diff(np.append(first, len(anchor))))
+    own = np.flatnonzero(many & lead)
+    ends = np.cumsum(count[own] + LENGTH - 1)
+    out = [[], [], []]
+    at = 0
+    while at < len(own):
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SHARD, side="right"))
+        upto = max(at + 1, upto)
+        while upto < len(own) and anchor[own[upto]] == anchor[own[upto - 1]]:
+            upto += 1
+        some = own[at:upto]
+        cut = [texts[t][o : o + c + LENGTH - 1] for t, o, c in zip(text[some].tolist(), offset[some].tolist(), count[some].tolist(), strict=True)]
+        context, place, earliest = shard_repeats(cut, count[some], doc[some], offset[some])
+        start = offset[some][context] + place
+        later = (doc[some][context] != doc[some][context[earliest]]) | (start != start[earliest])
+        for x, y in zip(out, (doc[some][context[later]], start[later], np.ones(int(later.sum()), np.int64)), strict=True):
+            x.append(y)
+        at = upto
+    leader = np.flatnonzero(lead)[np.cumsum(lead) - 1]
+    rest = ~lead & ((doc != doc[leader]) | (offset != offset[leader]))  # the others are of repeated rows of the lead's document
+    return _stretches(*(np.concatenate([*x, y[rest]]) for x, y in zip(out, (doc, offset, count), strict=True)))
+
+
 def _anchored(docs: DataFrame, text: str) -> DataFrame:
-    """Anchor rows, and rows of starts that repeat something earlier in the same batch (known), which are not sent on one by one.
+    """Rows of contexts, each once for a batch, and stretches of starts that repeat something earlier in the same batch (known).
 
     ``spot`` has the offset of the first start, and in its low 24 bits the number of starts.
     """
@@ -104,25 +158,74 @@ def _anchored(docs: DataFrame, text: str) -> DataFrame:
             ids = batch.column("doc_id").to_pylist()
             texts = utf8(batch.column(text))
             order = sorted(range(len(ids)), key=lambda k: (ids[k], k))
-            made = [anchors(*x) for x in _parts([ids[k] for k in order], [texts[k] for k in order])]
+            made = [anchors(*x) for x in _parts(order, [texts[k] for k in order])]
             if not made:
                 continue
-            anchor, own, doc, offset, count = (np.concatenate([m[k] for m in made]) for k in range(5))
+            anchor, own, which, offset, count = (np.concatenate([m[k] for m in made]) for k in range(5))
+            doc = np.array(ids, np.int64)[which]
             order = np.lexsort((offset, doc, own, anchor))
-            anchor, own, doc, offset, count = (x[order] for x in (anchor, own, doc, offset, count))
-            fresh = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1])))
-            leader = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-            known = (doc != doc[leader]) | (offset != offset[leader])
-            again = ~known & ~fresh  # a repeated row of the same document
-            d, o, c = _stretches(doc[known], offset[known], count[known])
-            keep = ~known & ~again
-            n, m = int(keep.sum()), len(d)
-            columns = [np.concatenate((anchor[keep], mixed((d * 31 + o).astype(np.uint64)).view(np.int64))), np.concatenate((own[keep], np.zeros(m, np.int64))), np.concatenate((doc[keep], d)), np.concatenate((offset[keep] << 24 | count[keep], o << 24 | c)), np.arange(n + m) >= n]
+            anchor, own, which, doc, offset, count = (x[order] for x in (anchor, own, which, doc, offset, count))
+            lead = _fresh(anchor, own)
+            d, spot = _packed(*_settled(texts, anchor, lead, which, doc, offset, count))
+            n, m = int(lead.sum()), len(d)
+            columns = [np.concatenate((anchor[lead], mixed((d * 31 + spot).astype(np.uint64)).view(np.int64))), np.concatenate((own[lead], np.zeros(m, np.int64))), np.concatenate((doc[lead], d)), np.concatenate((_spots(offset, count)[lead], spot)), np.arange(n + m) >= n]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "own", "doc_id", "spot", "known"])
 
     return docs.select("doc_id", text).where(F.col("doc_id").isNotNull() & (F.octet_length(text) >= LENGTH)).mapInArrow(run, FOUND)
 
 
+REPEATED = "anchor long, own long, doc_id long, spot long, part long, split boolean, lead boolean"
+
+
+def _repeated(found: DataFrame, split: int) -> DataFrame:
+    """The rows of anchors that several rows have, in parts of ``split`` rows; ``lead`` are the first of their contexts in a part, ``split`` are rows of anchors in parts.
+
+    Known stretches are there, too, without an anchor. A partition is gone through in the order of anchors, and at most ``split``
+    rows of one are held.
+    """
+    names = ("anchor", "own", "doc_id", "spot", "known")
+
+    def out(rows: list[np.ndarray], part: np.ndarray, parted: np.ndarray, fresh: np.ndarray) -> pa.RecordBatch:
+        anchor, own, doc, spot, known = rows
+        lead = (fresh | _fresh(anchor, own)) & ~known
+        return pa.RecordBatch.from_arrays([pa.array(anchor, mask=known), pa.array(own), pa.array(doc), pa.array(spot), pa.array(part), pa.array(parted), pa.array(lead)], names=["anchor", "own", "doc_id", "spot", "part", "split", "lead"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts = None, 0  # rows of the last anchor, and how many parts of it are done
+
+        def done(rows: list[np.ndarray], parts: int) -> pa.RecordBatch:
+            """Whole anchors, of the first the rest."""
+            fresh = _fresh(rows[0])
+            first = np.flatnonzero(fresh)
+            sizes = np.diff(np.append(first, len(fresh)))
+            place = np.arange(len(fresh)) - np.repeat(first, sizes)
+            part = place // split
+            part[: sizes[0]] += parts
+            parted = np.repeat(sizes > split, sizes)
+            parted[: sizes[0]] |= parts > 0
+            keep = np.repeat(sizes > 1, sizes) | parted | rows[4]
+            return out([c[keep] for c in rows], part[keep], parted[keep], (place % split == 0)[keep])
+
+        for batch in batches:
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            rows = [c[_fresh(*rows[:4])] for c in rows]
+            if not len(rows[0]):
+                continue
+            start = int(np.searchsorted(rows[0], rows[0][-1]))
+            if start:
+                yield done([c[:start] for c in rows], parts)
+                parts = 0
+            held = [c[start:] for c in rows]
+            while len(held[0]) > split + 1:  # a row more stays, so that a repetition of it is seen
+                yield out([c[:split] for c in held], np.full(split, parts, np.int64), np.ones(split, bool), np.arange(split) == 0)
+                held, parts = [c[split:] for c in held], parts + 1
+        if held is not None and len(held[0]):
+            yield done(held, parts)
+
+    return found.repartition("anchor").sortWithinPartitions("anchor", "own", "doc_id", "spot").select(*names).mapInArrow(run, REPEATED)
+
+
 # Suffix arrays.
 
 
@@ -223,73 +326,85 @@ def shard_repeats(texts: list[bytes], counts: np.ndarray, doc: np.ndarray, offse
 
 
 def _sharded(rows: DataFrame) -> DataFrame:
-    """Rows of context (shard, split, doc_id, spot, bytes) as starts that repeat; of split anchors also 128-bit hashes of the strings that stay, for the merge."""
+    """Rows (shard, anchor, own, split, doc_id, spot, bytes) as starts that repeat; of split anchors also 128-bit hashes of the strings that stay, for the merge.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = pa.Table.from_batches(list(batches))
-        if not found.num_rows:
-            return
-        texts = utf8(found.column("bytes"))
-        doc, spot, split = (found.column(c).to_numpy() for c in ("doc_id", "spot", "split"))
-        offset, counts = spot >> 24, spot & 0xFFFFFF
-        context, place, first = shard_repeats(texts, counts, doc, offset)
+    Rows without bytes are of a context that another row of the shard leads: they repeat it.
+    """
+    names = ["doc_id", "spot", "string", "shard"]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64())
+
+    def of_shard(found: pa.Table) -> pa.Table:
+        shard = found.column("shard")[0].as_py()
+        doc, spot, split, anchor, own = (found.column(c).to_numpy() for c in ("doc_id", "spot", "split", "anchor", "own"))
+        held = found.column("bytes").is_valid().to_numpy()
+        texts = utf8(found.column("bytes").filter(pa.array(held)))
+        same = mixed(mixed(anchor.view(np.uint64)) + own.view(np.uint64))
+        rest = ~held & np.isin(same, same[held])
+        doc_of, offset, counts, parted = doc[held], spot[held] >> 24, spot[held] & MOST, split[held]
+        context, place, first = shard_repeats(texts, counts, doc_of, offset)
         at = offset[context] + place
-        leads = (doc[context] == doc[context[first]]) & (at == at[first])  # the earliest, or a repeated row of it
-        d, o, c = _stretches(doc[context[~leads]], at[~leads], np.ones(int((~leads).sum()), np.int64))
-        stay = np.flatnonzero(leads & split[context])
+        leads = (doc_of[context] == doc_of[context[first]]) & (at == at[first])  # the earliest, or a repeated row of it
+        d, o, c = _stretches(np.concatenate((doc_of[context[~leads]], doc[rest])), np.concatenate((at[~leads], spot[rest] >> 24)), np.concatenate((np.ones(int((~leads).sum()), np.int64), spot[rest] & MOST)))
+        d, s = _packed(d, o, c)
+        stay = np.flatnonzero((first == np.arange(len(first))) & parted[context])
         strings = [blake2b(texts[k][p : p + LENGTH], digest_size=16).digest() for k, p in zip(context[stay].tolist(), place[stay].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((d, doc[context[stay]]))), pa.array(np.concatenate((o << 24 | c, at[stay] << 24 | 1))), pa.array([None] * len(d) + strings, pa.binary())], names=["doc_id", "spot", "string"])
-
-    return rows.groupBy("shard").applyInArrow(_whole(run), "doc_id long, spot long, string binary")
+        columns = (np.concatenate((d, doc_of[context[stay]])), np.concatenate((s, _spots(at[stay], np.ones(len(stay), np.int64)))), [None] * len(d) + strings, np.full(len(d) + len(stay), shard))
+        return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
 
+    return rows.groupBy("shard").applyInArrow(of_shard, "doc_id long, spot long, string binary, shard long")
 
-def _whole(run):
-    """A function of batches as one of tables."""
-    empty = pa.table({"doc_id": pa.array([], pa.int64()), "spot": pa.array([], pa.int64()), "string": pa.array([], pa.binary())})
 
-    def of_table(table: pa.Table) -> pa.Table:
-        made = list(run(iter(table.to_batches())))
-        return pa.Table.from_batches(made) if made else empty
+Run = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    return of_table
 
+def merge_two(a: Run, b: Run) -> tuple[Run, np.ndarray, np.ndarray]:
+    """Two sorted runs of strings (string, document, spot), no string twice in one, as one: each of ``b`` is looked up in ``a`` by binary search.
 
-def merge_runs(strings: list[bytes], shard: np.ndarray, doc: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    """Which strings of several shards' sorted runs stand earlier in another: each run is looked up in the others by binary search."""
-    code = np.unique(np.array(strings, object), return_inverse=True)[1] if strings else np.zeros(0, np.int64)
-    repeats = np.zeros(len(code), bool)
-    runs = {}
-    for s in np.unique(shard):
-        own = np.flatnonzero(shard == s)
-        runs[s] = own[np.argsort(code[own], kind="stable")]
-    for s, own in runs.items():
-        for t, other in runs.items():
-            if s == t:
-                continue
-            spot = np.searchsorted(code[other], code[own])
-            hit = (spot < len(other)) & (code[other[np.minimum(spot, len(other) - 1)]] == code[own])
-            there = other[np.minimum(spot, len(other) - 1)]
-            repeats[own] |= hit & ((doc[there] < doc[own]) | ((doc[there] == doc[own]) & (offset[there] < offset[own])))
-    return repeats
+    Of a string of both the earlier place stays; the later ones are returned beside the merged run.
+    """
+    at = np.searchsorted(a[0], b[0])
+    hit = np.zeros(len(b[0]), bool)
+    inside = at < len(a[0])
+    hit[inside] = a[0][at[inside]] == b[0][inside]
+    mine, other = at[hit], np.flatnonzero(hit)
+    swap = (b[1][other] < a[1][mine]) | ((b[1][other] == a[1][mine]) & (b[2][other] < a[2][mine]))
+    same = (b[1][other] == a[1][mine]) & (b[2][other] == a[2][mine])  # of repeated rows of one document
+    doc, spot = a[1].copy(), a[2].copy()
+    doc[mine[swap]], spot[mine[swap]] = b[1][other[swap]], b[2][other[swap]]
+    late_doc = np.where(swap, a[1][mine], b[1][other])[~same]
+    late_spot = np.where(swap, a[2][mine], b[2][other])[~same]
+    new = ~hit
+    return (np.insert(a[0], at[new], b[0][new]), np.insert(doc, at[new], b[1][new]), np.insert(spot, at[new], b[2][new])), late_doc, late_spot
+
+
+def merge_runs(runs: list[Run]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted runs of several shards, merged two by two; the places whose string also stands earlier in another run."""
+    docs, spots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(runs) > 1:
+        merged = []
+        for k in range(0, len(runs) - 1, 2):
+            both, doc, spot = merge_two(runs[k], runs[k + 1])
+            merged.append(both)
+            docs.append(doc)
+            spots.append(spot)
+        runs = merged + runs[len(runs) // 2 * 2 :]
+    return np.concatenate(docs), np.concatenate(spots)
 
 
 def _merged(strings: DataFrame, buckets: int) -> DataFrame:
-    """Of the strings that shards kept, the starts that another shard has earlier; strings are dealt to buckets by hash."""
+    """Of the strings that shards kept, the starts that another shard has earlier. Strings are dealt to buckets by hash: a bucket has each string once for each shard at most."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = pa.Table.from_batches(list(batches))
+    def of_bucket(found: pa.Table) -> pa.Table:
         doc, spot, shard = (found.column(c).to_numpy() for c in ("doc_id", "spot", "shard"))
-        again = merge_runs(found.column("string").to_pylist(), shard, doc, spot >> 24)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[again]), pa.array(spot[again]), pa.nulls(int(again.sum()), pa.binary())], names=["doc_id", "spot", "string"])
+        string = np.array(found.column("string").to_pylist(), "S16")
+        order = np.lexsort((string, shard))
+        edges = np.append(np.flatnonzero(_fresh(shard[order])), len(order))
+        runs = [(string[own], doc[own], spot[own]) for own in (order[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))]
+        late_doc, late_spot = merge_runs(runs)
+        return pa.table([pa.array(late_doc), pa.array(late_spot)], names=["doc_id", "spot"])
 
-    dealt = strings.groupBy("string").agg(F.min(F.struct("doc_id", "spot")).alias("m"), F.count("*").alias("n")).where("n > 1")
-    own = strings.join(dealt.select("string"), "string", "left_semi")
-    # the earliest of each string in each of a few runs, so that a string that very many documents have is no task's burden
-    lead = own.groupBy("string", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("shard")).agg(F.min(F.struct("doc_id", "spot")).alias("m")).select("string", "shard", "m.*")
     bucket = F.pmod(F.xxhash64("string"), F.lit(buckets))
-    first = lead.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_whole(run), "doc_id long, spot long, string binary").select("doc_id", "spot")
-    rest = own.join(lead.select("doc_id", "spot", "string"), ["string", "doc_id", "spot"], "left_anti").select("doc_id", "spot")
-    return first.union(rest)
+    return strings.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(of_bucket, "doc_id long, spot long")
 
 
 def _parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -305,36 +420,33 @@ def _parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame | Non
 
 def repeats(docs: DataFrame, *, text: str = "text", split: int = SPLIT, shard: int = SHARD) -> DataFrame:
     """Stretches of starts (doc_id, spot) whose LENGTH bytes also start earlier, for all of ``docs``; see remove_repeats."""
-    found = _anchored(docs, text)
-    same = Window.partitionBy("anchor", "own").orderBy("doc_id", "spot")
-    all_ = Window.partitionBy("anchor")
-    ranked = found.withColumn("nth", F.rank().over(same)).select("*", F.count("*").over(all_).alias("n"), F.sum((F.col("nth") == 1).cast("long")).over(all_).alias("kinds"), F.min("own").over(all_).alias("low"), F.max("own").over(all_).alias("high"))
-    open_ = (F.col("nth") == 1) & (F.col("low") != F.col("high")) & ~F.col("known")
-    decided = materialise(ranked.where("n > 1 or known").withColumn("open", open_).where("known or nth > 1 or open").select("doc_id", "spot", "open", F.when(F.col("open"), F.col("anchor")).alias("anchor"), F.when(F.col("open"), F.col("kinds")).alias("n")))
-    closed = decided.where("not open").select("doc_id", "spot")
-    rows = decided.where("open").dropDuplicates(["anchor", "doc_id", "spot"])
-    n = decided.where("open").count()
-    if not n:
-        return closed
-    by_doc = rows.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "spot", "n")).alias("spots"))
+    decided = materialise(_repeated(_anchored(docs, text), split))
+    known = decided.where("anchor is null").select("doc_id", "spot")
+    rows = decided.where("anchor is not null and lead")
+    size = rows.agg(F.sum(F.col("spot").bitwiseAND(F.lit(MOST)) + LENGTH - 1)).first()[0]
+    if not size:
+        return known
+    by_doc = rows.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "own", "spot", "part", "split")).alias("spots"))
     concerned, _ = _parted(docs.select("doc_id", text), rows.select("doc_id"))
+    context = "anchor long, own long, doc_id long, spot long, part long, split boolean, bytes binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = dict(zip(("anchor", "own", "doc_id", "spot", "part", "split", "bytes"), (*[pa.int64()] * 5, pa.bool_(), pa.binary()), strict=True))
         for batch in pieces(batches, text, 2 << 20):
             out: list[tuple] = []
             for doc, value, spots in zip(batch.column("doc_id").to_pylist(), utf8(batch.column(text)), batch.column("spots").to_pylist(), strict=True):
                 for s in spots:
-                    at, count = s["spot"] >> 24, s["spot"] & 0xFFFFFF
-                    out.append((s["anchor"], s["n"], doc, s["spot"], value[at : at + count + LENGTH - 1]))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "n", "doc_id", "spot", "bytes"])
-
-    contexts = concerned.join(by_doc, "doc_id").mapInArrow(cut, "anchor long, n long, doc_id long, spot long, bytes binary")
-    shards = max(1, -(-n * (LENGTH + CHOICE // 2) // shard))
-    salt = F.when(F.col("n") > split, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / split))).otherwise(F.lit(0))
-    dealt = contexts.select(F.pmod(F.xxhash64("anchor", salt), F.lit(shards)).alias("shard"), (F.col("n") > split).alias("split"), "doc_id", "spot", "bytes")
+                    at = s["spot"] >> 24
+                    out.append((s["anchor"], s["own"], doc, s["spot"], s["part"], s["split"], value[at : at + (s["spot"] & MOST) + LENGTH - 1]))
+            columns = list(zip(*out, strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+    contexts = concerned.join(by_doc, "doc_id").mapInArrow(cut, context)
+    others = decided.where("anchor is not null and not lead").select("anchor", "own", "doc_id", "spot", "part", "split", F.lit(None).cast("binary").alias("bytes"))
+    shards = max(1, -(-size // shard))
+    dealt = contexts.union(others).select(F.pmod(F.xxhash64("anchor", "part"), F.lit(shards)).alias("shard"), "anchor", "own", "split", "doc_id", "spot", "bytes")
     out = materialise(_sharded(dealt))
-    return closed.union(out.where("string is null").select("doc_id", "spot")).union(_merged(out.where("string is not null"), shards))
+    return known.union(out.where("string is null").select("doc_id", "spot")).union(_merged(out.where("string is not null"), shards))
 
 
 def remove_repeats(docs: DataFrame, *, text: str = "text", split: int = SPLIT, shard: int = SHARD) -> DataFrame:
@@ -342,8 +454,9 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", split: int = SPLIT, s
 
     Texts are UTF-8 bytes, null is empty; each byte goes that is inside a string of LENGTH bytes that also starts earlier, in a
     document of a smaller id or before in the same one. Strings are judged in the input; rows of one id are one document, and rows
-    without an id are left as they are. Shorter texts stay whole. Other columns are not used. Shards have ``shard`` bytes or so;
-    an anchor with more than ``split`` different surroundings is dealt to several.
+    without an id (a long) are left as they are. Shorter texts stay whole, repeated rows lose the same bytes, an empty table gives
+    an empty one. Other columns are not used. Shards have ``shard`` bytes or so; an anchor of more than ``split`` rows is dealt to
+    several. Which rows of an anchor have the same context is told by 64-bit hashes; each context's bytes go to an array once.
     """
     spots = materialise(repeats(docs, text=text, split=split, shard=shard))
     by_doc = spots.groupBy("doc_id").agg(F.collect_list("spot").alias("spots"))
@@ -360,7 +473,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", split: int = SPLIT, s
                 sizes.append(len(value))
                 found: list[tuple[int, int]] = []
                 for s in sorted(own or ()):
-                    a, b = s >> 24, (s >> 24) + (s & 0xFFFFFF) + LENGTH - 1
+                    a, b = s >> 24, (s >> 24) + (s & MOST) + LENGTH - 1
                     if found and a <= found[-1][1]:
                         found[-1] = (found[-1][0], max(b, found[-1][1]))
                     else:
