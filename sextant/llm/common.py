@@ -114,6 +114,11 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def hash_share(rows: int, of: float) -> int:
+    """How many of the 2**32 values of a hash to keep, so that of ``of`` rows ``rows`` are left almost surely, and few more."""
+    return min(1 << 32, int((rows + 6 * rows**0.5 + 50) / max(1, of) * (1 << 32)))
+
+
 _WORD_POWERS = np.random.default_rng(8).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -131,16 +136,22 @@ def hashed_words(texts: list[list[bytes]]) -> list[np.ndarray]:
 
 def hashed_flat(flat: list[bytes]) -> np.ndarray:
     """hashed_words for one list of words."""
+    h, index = hashed_coded(flat)
+    return h[index]
+
+
+def hashed_coded(flat: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the different words of a list, and which of them each word has."""
     coded = pa.array(flat, pa.binary()).dictionary_encode()
     if not len(coded):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     distinct = coded.dictionary
     lengths = np.diff(np.frombuffer(distinct.buffers()[1], np.int32)[: len(distinct) + 1])
     buffer = np.frombuffer(distinct.buffers()[2], np.uint8)[: lengths.sum()].astype(np.uint64) + np.uint64(1)
     starts = np.cumsum(lengths) - lengths
     place = np.arange(len(buffer)) - np.repeat(starts, lengths)
     h = mixed(np.add.reduceat(mixed(buffer + (place.astype(np.uint64) << np.uint64(9))) * _WORD_POWERS[place % 64], starts))
-    return h[coded.indices.to_numpy()]
+    return h, coded.indices.to_numpy()
 
 
 def components(edges: DataFrame) -> DataFrame:

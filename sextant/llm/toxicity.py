@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import pieces, utf8, words
+from sextant.llm.common import hash_share, pieces, utf8, words
 
 WINDOW, STRIDE = 48, 32
 SLOTS, EMBEDDED, WIDTH = 1 << 18, 1 << 12, 4
@@ -188,7 +188,7 @@ class Network:
         del split
         if not len(y) or y.min() == y.max():
             self.p["o"][:] = 0
-            self.p["ob"][:] = 4 if len(y) and y[0] else -4
+            self.p["ob"][:] = -4  # one class only: nothing tells toxic texts apart, so none is called toxic
             self.evidence.begin(y)
             return self
         v = Vocabulary(pa.concat_arrays([c.dictionary for c in coded]))
@@ -267,19 +267,22 @@ def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.where(mask, flat[np.where(mask, base[bag][:, None] + place, 0)], 0), mask.astype(np.float32), bag
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, *, toxic: int, other: int) -> tuple[list[bytes], list[int], float]:
+def training_rows(docs: DataFrame, labels: DataFrame, *, toxic: int, other: int, longest: int = 1 << 18) -> tuple[list[bytes], list[int], float]:
     """Texts and labels of at most ``toxic`` and ``other`` labelled documents, those with the smallest hashes, and the rate among all.
 
-    Rows whose crc32(doc_id as text) mod 5 is 0 are held out. Contradicting labels of a document count as toxic.
+    Rows whose crc32(doc_id as text) mod 5 is 0 are held out. Contradicting labels of a document count as toxic; rows without an
+    id or a label are left out. Texts of more than ``longest`` bytes are not learned from, so the driver sees a bounded number of
+    bytes; those of repeated rows of an id count once for each different text. No labels give no rows.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    first = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    first = lambda y, n: known.where((F.col("toxic") == y) & (spread < hash_share(n, counts.get(y, 0)))).orderBy(spread, "doc_id").limit(n)
     chosen = {r.doc_id: r.toxic for r in first(1, toxic).union(first(0, other)).collect()}
     if not chosen:
         return [], [], 0.1
     ids = docs.sparkSession.createDataFrame([(d,) for d in sorted(chosen)], "doc_id long")
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id", "left_semi").collect()  # ids: toxic + other rows at most
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= longest).join(F.broadcast(ids), "doc_id", "left_semi").distinct().collect()  # ids: toxic + other rows at most
     rows.sort(key=lambda r: (r.doc_id, r.text or b""))
     rate = counts.get(1, 0) / max(1, sum(counts.values()))
     return [bytes(r.text or b"") for r in rows], [chosen[r.doc_id] for r in rows], min(0.5, max(0.01, rate))
