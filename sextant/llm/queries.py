@@ -55,4 +55,75 @@ def op10_html_extraction(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_personal_data, op2_toxicity, op3_line_dedup, op4_near_dedup, op5_audio_features, op6_url_filters, op7_decontamination, op8_harmonic_packing, op9_suffix_arrays, op10_html_extraction)}
 
-ORACLE_SQL: dict[str, str] = {}
+
+# Of some queries SQL can say a part: those columns, taken from the same operators.
+
+
+def llm_personal_data_counts(spark, sf_dir):
+    return op1_personal_data(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def llm_media_payload(spark, sf_dir):
+    return op5_audio_features(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes")
+
+
+def llm_url_rules(spark, sf_dir):
+    return op6_url_filters(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+def llm_decontamination_hits(spark, sf_dir):
+    return op7_decontamination(spark, sf_dir)
+
+
+def llm_repeated_bytes(spark, sf_dir):
+    return op9_suffix_arrays(spark, sf_dir).select("doc_id", "n_bytes", "n_removed", "n_spans")
+
+
+PARTS = (llm_personal_data_counts, llm_media_payload, llm_url_rules, llm_decontamination_hits, llm_repeated_bytes)
+QUERIES |= {f.__name__: f for f in PARTS}
+
+LOWERED = f"translate(coalesce({{}}, ''), '{urls.UPPER}', '{urls.LOWER}')"
+WORDS = rf"regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+LUHN = f"list_sum([CASE WHEN k % 2 = 1 THEN d WHEN d > 4 THEN 2 * d - 9 ELSE 2 * d END for d, k in [CAST(c AS INTEGER) for c in string_split(reverse({DIGITS}), '')]]) % 10 = 0"
+
+ORACLE_SQL: dict[str, str] = {
+    "llm_personal_data_counts": rf"""
+        SELECT doc_id,
+               CAST(len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS BIGINT) AS n_email,
+               CAST(len(list_filter(regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), lambda m: list_max([CAST(p AS HUGEINT) for p in string_split(m, '.')]) <= 255)) AS BIGINT) AS n_ip,
+               CAST(len(list_filter(regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+'), lambda m: length({DIGITS}) BETWEEN 16 AND 19 AND {LUHN})) AS BIGINT) AS n_card,
+               CAST(len(list_filter(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), lambda m: length({DIGITS}) BETWEEN 8 AND 15)) AS BIGINT) AS n_phone
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    "llm_media_payload": """
+        SELECT doc_id, n AS n_bytes, p AS payload_bytes, sha256(encode(t) || from_hex(repeat('FF', CAST(p - n AS BIGINT)))) AS payload_sha256, p + 44 AS media_bytes
+        FROM (SELECT doc_id, t, n, greatest(1, (n + 575) // 576) * 576 AS p
+              FROM (SELECT doc_id, coalesce(text, '') AS t, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents))""",
+    "llm_url_rules": f"""
+        WITH split AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+             parts AS (SELECT page_id, {LOWERED.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM split),
+             rules(verdict, rule, rule_host, rule_path) AS (VALUES {", ".join(f"('{v}', '{h}{p}', '{h}', '{p}')" for v, h, p in urls.RULES)}),
+             fit AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+                     FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
+        SELECT page_id, host, path, rule, verdict FROM parts LEFT JOIN fit USING (page_id)""",
+    "llm_decontamination_hits": f"""
+        WITH d AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents),
+             i AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS.format("text")} AS w FROM benchmark),
+             item_windows AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[s : s + least(10, len(w)) - 1], ' ') AS win
+                              FROM (SELECT item, w, unnest(range(1, greatest(2, len(w) - 8))) AS s FROM i WHERE len(w) > 0)),
+             sizes AS (SELECT DISTINCT n FROM item_windows),
+             doc_windows AS (SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS win
+                             FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)),
+             found AS (SELECT doc_id, s, dw.n, item FROM doc_windows dw JOIN item_windows iw ON dw.win = iw.win AND dw.n = iw.n),
+             hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS place FROM (SELECT DISTINCT doc_id, s, n FROM found)) GROUP BY doc_id),
+             who AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN who USING (doc_id)""",
+    "llm_repeated_bytes": f"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+             starts AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, {2 * substrings.LENGTH})) AS win FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {substrings.LENGTH - 1})) AS s FROM d)),
+             later AS (SELECT doc_id, s FROM starts QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, s) > 1),
+             steps AS (SELECT doc_id, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS step FROM later),
+             found AS (SELECT doc_id, sum(coalesce(least(step, {substrings.LENGTH}), {substrings.LENGTH})) AS n_removed, count(*) FILTER (WHERE step IS NULL OR step > {substrings.LENGTH}) AS n_spans FROM steps GROUP BY doc_id)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN found USING (doc_id)""",
+}

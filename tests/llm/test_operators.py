@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sextant.llm import decontaminate, html_text, line_dedup, media, near_dedup, packing, pii, substrings, toxicity, urls
 from sextant.llm.common import components
@@ -300,10 +301,15 @@ def test_lines_of_one_bucket(spark, monkeypatch):
         found = line_dedup._candidates(spark.createDataFrame(rows + rows[:500], "block long, key long, sim long, size int"), 0.9)
         assert found.where("part is not null").select("block").distinct().count() == 1
         texts = spark.createDataFrame(list(enumerate(lines)), "key long, words binary")
-        got = [tuple(x) for x in line_dedup._linked(found, texts, 0.9).collect()]
+        got = [tuple(x) for x in line_dedup._linked(found.withColumn("root", F.col("key")), texts, 0.9).collect()]
+        starred = {tuple(x) for x in line_dedup._starred(found, texts, 0.9).collect()}
+        pairs = [(r[0], r[1]) for r in rows]
+        shared = sorted(tuple(x) for x in line_dedup._shared(spark.createDataFrame(pairs + pairs[:500], "block long, key long")).collect())
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert partition(n, got) == want
+    assert starred <= set(zip(i[alike].tolist(), j[alike].tolist(), strict=True)) and starred
+    assert shared == sorted(p for p in pairs if p[0] != 4)
 
 
 # 4
@@ -434,7 +440,7 @@ def slow_rule(url):
 
 def test_url_rules_and_model(spark):
     r = random.Random(2)
-    made = [None, "", "no scheme", "http://", "HTTP://A.Example.ORG/es/x?y#z", "http://example.org/en/1", "http://org/", "x://a.com?/fr/", "http://notexample.org/es/", "http://é.com/de/\nx", "a://b://c.com/fr/1"]
+    made = [None, "", "no scheme", "http://", "HTTP://A.Example.ORG/es/x?y#z", "http://example.org/en/1", "http://org/", "x://a.com?/fr/", "http://x.com?u=https://y.com/de/z", "http://x.com#https://y.com/de/z", "http://x.com/fr/?u=https://y.com/de/z", "http://x.com/de/\n", "//a://b.com/de/://c.org/", "http://notexample.org/es/", "http://é.com/de/\nx", "a://b://c.com/fr/1"]
     made += [f"http{r.choice(['', 's'])}://{r.choice(['', 'www.', 'A.'])}{r.choice(['example.org', 'org', 'x.com', 'com', 'y.net'])}{r.choice(['', '/', '/es/', '/en/1', '/en/2', '/fr/', '/de/q'])}{r.choice(['', '?a=1', '#t'])}" for _ in range(300)]
     pages = spark.createDataFrame(list(enumerate(made)), "page_id long, url string").selectExpr("*", "'x' as host")
     got = {x.page_id: x for x in urls.judge(pages).collect()}
@@ -477,9 +483,8 @@ def test_packing_keeps_every_id_once(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     r = random.Random(3)
-    texts = [None, "", "It's Über-cool, isn't it...", "a\u00a0b\x01c <|endoftext|> İI ΑΣ \u1e9e", "x" * 5000] + [prose(r, r.choice([1, 10, 200, 3000])) for _ in range(60)]
+    texts = [None, "", "It's Über-cool, isn't it...", "a\u00a0b\x01c <|endoftext|> İI ΑΣ \u1e9e", "a <|endoftext|> b.<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endof\ntext|> é<|endoftext|>.", "<|endoftext|>", "x" * 5000] + [prose(r, r.choice([1, 10, 200, 3000])) for _ in range(60)]
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     want = {k: [*t.encode(x or "", add_special_tokens=False).ids, 1] for k, x in enumerate(texts)}
     for last in (200_000, 40):
         monkeypatch.setattr(packing, "LAST", last)
@@ -564,9 +569,28 @@ def test_suffix_array_and_prefixes():
 
 def test_blocks():
     page = "<head><title>T</title></head><body><!-- x<p> --><script>var a='</p>'</script><p>A &amp; b<br>c<b>d</b><p>two<ul><li>i<li>j</ul><div>x < y &copy; <a href='>'>link</a></div><p>cut <tag att"
-    assert [(p[-1].split()[0], t) for p, t, _ in html_text.blocks(page)] == [("p", "A & b cd"), ("p", "two"), ("li", "i"), ("li", "j"), ("div", "x < y © link"), ("p", "cut")]
+    assert [(p.tag, t) for p, t, _ in html_text.blocks(page)] == [("p", "A & b cd"), ("p", "two"), ("li", "i"), ("li", "j"), ("div", "x < y © link"), ("p", "cut")]
     assert html_text.blocks("") == [] and html_text.blocks("<" * 5000)[0][1] == "<" * 5000
     html_text.blocks("<!--" * 20_000 + "<a " * 20_000 + "<script>" * 20_000)
+    kept = "<article><p>sum <math><mi>x</mi></math> of <object data=a>an image</object></p><iframe src=b><p>after it</article>"
+    assert [t for _, t, _ in html_text.blocks(kept)] == ["sum x of an image", "after it"]
+
+
+def test_deep_and_long_pages():
+    """100,000 nested tags and a million blocks: time and memory in proportion to the page."""
+    import resource
+
+    for inner in ("<div>x", "<ul><li>x", "<b>x<li></li>", "<div class=a>x", "<p><span>x"):
+        page = inner * 100_000 + "</div></li></ul></span>" * 100_000
+        assert sum(len(t) for _, t, _ in html_text.blocks(page)) >= 100_000
+    net = html_text.BiLSTM()
+    made = html_text.blocks("<div><p>a bc<p class=x>d.</div>" * 60)
+    x, mask, _ = html_text.padded([(html_text.features(made), np.zeros(len(made)))])
+    assert np.allclose(net.scores(x, mask)[0], net._long(made, 17), atol=1e-5)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = html_text.blocks("<p>a" * 1_000_000)
+    assert len(found) == 1_000_000 and len(net.labels([found])[0]) == 1_000_000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000
 
 
 def test_lstm_gradient_and_accuracy():
