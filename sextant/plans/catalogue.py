@@ -477,18 +477,18 @@ def strategy_metrics(spark, d):
 # Analogues: parts as events.
 
 
-def _corpus(spark, d, parts="p_partkey <= 400"):
-    p = read(spark, d, "part", "p_partkey", "p_brand", "p_type", "p_size", "p_retailprice").where(parts)
+def _corpus(spark, d):
+    p = read(spark, d, "part", "p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
     return p.select(F.col("p_partkey").cast("string").alias("event_id"), F.col("p_brand").alias("moa"), F.concat_ws("-", "p_type", (F.col("p_size") % 10).cast("string")).alias("indication"), F.col("p_type").alias("disease_area"), F.col("p_size").cast("string").alias("target"), (F.col("p_partkey") % 3).cast("string").alias("modality"), (F.col("p_partkey") % 4).cast("string").alias("phase"), F.array((F.col("p_partkey") % 5).cast("string"), (F.col("p_size") % 7).cast("string")).alias("tags"), F.when(F.col("p_partkey") % 7 < 3, "success").when(F.col("p_partkey") % 7 < 5, "failure").when(F.col("p_partkey") % 7 == 5, "mixed").otherwise("unknown").alias("outcome"))
 
 
-CORPUS = """corpus AS (SELECT CAST(p_partkey AS VARCHAR) AS event_id, p_brand AS moa, p_type || '-' || CAST(p_size % 10 AS VARCHAR) AS indication, p_type AS disease_area, CAST(p_size AS VARCHAR) AS target, CAST(p_partkey % 3 AS VARCHAR) AS modality, CAST(p_partkey % 4 AS VARCHAR) AS phase, [CAST(p_partkey % 5 AS VARCHAR), CAST(p_size % 7 AS VARCHAR)] AS tags, CASE WHEN p_partkey % 7 < 3 THEN 'success' WHEN p_partkey % 7 < 5 THEN 'failure' WHEN p_partkey % 7 = 5 THEN 'mixed' ELSE 'unknown' END AS outcome FROM part WHERE p_partkey <= 400),
+CORPUS = """corpus AS (SELECT CAST(p_partkey AS VARCHAR) AS event_id, p_brand AS moa, p_type || '-' || CAST(p_size % 10 AS VARCHAR) AS indication, p_type AS disease_area, CAST(p_size AS VARCHAR) AS target, CAST(p_partkey % 3 AS VARCHAR) AS modality, CAST(p_partkey % 4 AS VARCHAR) AS phase, [CAST(p_partkey % 5 AS VARCHAR), CAST(p_size % 7 AS VARCHAR)] AS tags, CASE WHEN p_partkey % 7 < 3 THEN 'success' WHEN p_partkey % 7 < 5 THEN 'failure' WHEN p_partkey % 7 = 5 THEN 'mixed' ELSE 'unknown' END AS outcome FROM part),
     scored AS (SELECT q.event_id AS query_id, c.event_id, q.outcome AS q_outcome, c.outcome, CAST((q.disease_area = c.disease_area) AS INT) * 2 + CAST((q.indication = c.indication) AS INT) * 3 + CASE WHEN q.moa = c.moa THEN 3 WHEN q.target = c.target THEN 2 ELSE 0 END + CAST((q.modality = c.modality) AS INT) + CAST((q.phase = c.phase) AS INT) + len(list_distinct(list_intersect(q.tags, c.tags))) AS score FROM corpus q JOIN corpus c ON q.event_id <> c.event_id AND (q.indication = c.indication OR q.moa = c.moa OR q.target = c.target)), found AS (SELECT * FROM scored WHERE score >= 4)"""
 
 
 @query(f"WITH {CORPUS} SELECT query_id, event_id, CAST(score AS INTEGER) AS score FROM found")
-def refclass_retrieve(spark, d, parts="p_partkey <= 400"):
-    c = _corpus(spark, d, parts)
+def refclass_retrieve(spark, d):
+    c = _corpus(spark, d)
     return analogues.retrieve(c, c).select("query_id", "event_id", F.col("score").cast("int").alias("score"))
 
 
@@ -496,28 +496,17 @@ RATES = "count(*) AS n, {0}round(avg(CASE outcome WHEN 'success' THEN 1.0 WHEN '
 
 
 @query(f"WITH {CORPUS} SELECT disease_area, moa, {RATES.format('round(avg(CASE WHEN outcome = ' + chr(39) + 'success' + chr(39) + ' THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS p_success, ')}, CASE WHEN count(*) < 3 THEN 'insufficient' WHEN count(*) < 5 THEN 'low' WHEN count(*) < 8 THEN 'medium' ELSE 'high' END AS confidence FROM corpus GROUP BY 1, 2 HAVING count(*) >= 2")
-def refclass_base_rates(spark, d, parts="p_partkey <= 400"):
-    got = analogues.class_base_rates(_corpus(spark, d, parts), ["disease_area", "moa"])
+def refclass_base_rates(spark, d):
+    got = analogues.class_base_rates(_corpus(spark, d), ["disease_area", "moa"])
     return got.select("disease_area", "moa", "n", tidy("p_success").alias("p_success"), tidy("weighted_success_rate").alias("weighted_success_rate"), "confidence")
 
 
 @query(f"WITH {CORPUS}, pr AS (SELECT query_id, any_value(q_outcome) AS o, avg(CASE outcome WHEN 'success' THEN 1.0 WHEN 'failure' THEN 0.0 ELSE 0.5 END) AS p FROM found WHERE q_outcome IN ('success', 'failure') GROUP BY 1 HAVING count(*) >= 2) SELECT count(*) AS n, round(avg(p) FILTER (WHERE o = 'success'), 5) + 0.0 AS mean_p_success, round(avg(p) FILTER (WHERE o = 'failure'), 5) + 0.0 AS mean_p_failure, round(avg(CASE WHEN (p >= 0.5) = (o = 'success') THEN 1.0 ELSE 0.0 END), 5) + 0.0 AS accuracy, round(avg((p - CAST(o = 'success' AS INT)) ** 2), 5) + 0.0 AS brier FROM pr")
-def refclass_loo(spark, d, parts="p_partkey <= 400"):
-    got = analogues.leave_one_out(_corpus(spark, d, parts))
+def refclass_loo(spark, d):
+    got = analogues.leave_one_out(_corpus(spark, d))
     return got.select("n", *(tidy(c, 5).alias(c) for c in ("mean_p_success", "mean_p_failure", "accuracy", "brier")))
 
 
-# The same over all parts, with the same SQL without the condition on p_partkey.
-
-
-def _whole(f):
-    return lambda spark, d: f(spark, d, "true")
-
-
-for _f in (refclass_retrieve, refclass_base_rates, refclass_loo):
-    query(ORACLE_SQL[_f.__name__].replace(" FROM part WHERE p_partkey <= 400", " FROM part"), f"{_f.__name__}_whole")(_whole(_f))
-
-
 # Registry: sources of documents as a catalog.
 
 
@@ -583,15 +572,12 @@ def contradiction_matrix(spark, d):
     return quality.contradictions(signs)
 
 
-@query("SELECT o_orderkey, o_totalprice AS p FROM orders WHERE o_orderkey % 3 = 0")
-def pvalue_parse(spark, d, orders="o_orderkey % 3 = 0"):
-    o = read(spark, d, "orders", "o_orderkey", "o_totalprice").where(orders)
+@query("SELECT o_orderkey, o_totalprice AS p FROM orders")
+def pvalue_parse(spark, d):
+    o = read(spark, d, "orders", "o_orderkey", "o_totalprice")
     return o.select("o_orderkey", p_value(F.concat(F.lit(" <="), F.col("o_totalprice").cast("string"))).alias("p"))
 
 
-query("SELECT o_orderkey, o_totalprice AS p FROM orders", "pvalue_parse_whole")(_whole(pvalue_parse))
-
-
 @query("SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value FROM events")
 def json_first_value(spark, d):
     e = read(spark, d, "events", "event_id", "props")

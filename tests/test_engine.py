@@ -311,8 +311,8 @@ def test_queries_against_sql(spark, name):
 def test_whole_tables(spark):
     """All parts are in the classes of the whole table, also those that the queries with a condition leave out."""
     where = SF.replace("0.001", "0.01")
-    assert "p_partkey <=" not in "".join(catalogue.ORACLE_SQL[f"refclass_{n}_whole"] for n in ("retrieve", "base_rates", "loo"))
-    got = {r.query_id for r in catalogue.QUERIES["refclass_retrieve_whole"](spark, where).select("query_id").distinct().collect()}
+    assert "p_partkey <=" not in "".join(catalogue.ORACLE_SQL[f"refclass_{n}"] for n in ("retrieve", "base_rates", "loo"))
+    got = {r.query_id for r in catalogue.QUERIES["refclass_retrieve"](spark, where).select("query_id").distinct().collect()}
     assert any(int(x) > 400 for x in got)
-    assert catalogue.QUERIES["refclass_base_rates_whole"](spark, where).agg({"n": "sum"}).first()[0] > 400
-    assert catalogue.QUERIES["pvalue_parse_whole"](spark, where).count() == spark.read.parquet(f"{where}/orders.parquet").count()
+    assert catalogue.QUERIES["refclass_base_rates"](spark, where).agg({"n": "sum"}).first()[0] > 400
+    assert catalogue.QUERIES["pvalue_parse"](spark, where).count() == spark.read.parquet(f"{where}/orders.parquet").count()
