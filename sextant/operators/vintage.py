@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.columns import ratio
@@ -56,8 +56,8 @@ def timely(vintages: DataFrame, keys=KEYS) -> DataFrame:
     return vintages.join(good, [*keys, "obs_date"], "left_semi")
 
 
-def revisions(vintages: DataFrame, horizon: int, keys=KEYS) -> DataFrame:
-    """Each observation's revision within ``horizon`` days of its first release: in level, relative to the level, and in growth.
+def revisions(vintages: DataFrame, horizon: int | Column, keys=KEYS) -> DataFrame:
+    """Each observation's revision within ``horizon`` days (a number, or a key's column) of its first release: in level, relative to the level, and in growth.
 
     Growth is against the observation before, as known on the same two days. Two as-of reads of each observation and of the one
     before it: four probes in one union and one window.

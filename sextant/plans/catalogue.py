@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sextant.functions.columns import average_rank, pearson, ratio, tidy
 from sextant.functions.periods import YEAR, period_end
 from sextant.functions.transforms import TRANSFORMS, apply_transform, lag
-from sextant.operators import analogues, backtest, events, quality, registry, statistics, strategy, vintage
+from sextant.operators import analogues, backtest, events, quality, registry, statistics, strategy, studies, vintage
 from sextant.operators.asof import asof_join
 from sextant.operators.grid import Predictor, build_grid, plan_features
 from sextant.operators.kernels import adf, block_bootstrap, case_bootstrap, correlation, engle_granger, granger, johansen, kpss, ols_hac, per_series, stl, strength
@@ -583,6 +583,44 @@ def json_first_value(spark, d):
     e = read(spark, d, "events", "event_id", "props")
     return e.select("event_id", F.get(F.map_values(F.from_json("props", "map<string,string>")), 0).alias("first_value"))
 
+# Studies: families of trials.
+
+
+def _rev(horizon: int, name: str) -> str:
+    return REV.replace("90", str(horizon)).replace(" q AS", f" q{name} AS").replace("FROM q)", f"FROM q{name})").replace("rev AS (", f"rev{name} AS (").replace(f"{VINTAGES}, ", "").replace("f AS (SELECT obs_date, min", f"f{name} AS (SELECT obs_date, min").replace("FROM f JOIN", f"FROM f{name} f JOIN")
+
+
+TRIALS = f"""{VINTAGES}, {_rev(30, "_30")}, {_rev(90, "_90")}, rv AS (SELECT 30 AS horizon, * FROM rev_30 UNION ALL SELECT 90, * FROM rev_90), lv AS (SELECT horizon, 'level_rev' AS unit, obs_date, first_release_date, knowable_date, round(level_rev, 2) AS v FROM rv WHERE level_rev IS NOT NULL UNION ALL SELECT horizon, 'growth_rev', obs_date, first_release_date, knowable_date, round(growth_rev, 2) FROM rv WHERE growth_rev IS NOT NULL),
+    tp AS (SELECT a.horizon, a.unit, a.obs_date, arg_max(b.v, b.obs_date) AS x, any_value(a.v) AS y FROM lv a JOIN lv b ON a.horizon = b.horizon AND a.unit = b.unit AND b.obs_date < a.obs_date AND b.knowable_date <= a.first_release_date GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {TRIALS} SELECT 'all' AS series_id, unit, CAST(horizon AS INTEGER) AS horizon, count(*) AS full_n, count(*) FILTER (WHERE obs_date >= DATE '1999-01-01') AS oos_n, round(corr(x, y), 4) + 0.0 AS full_r, round(corr(x, y) FILTER (WHERE obs_date >= DATE '1999-01-01'), 4) + 0.0 AS oos_r, unit = 'growth_rev' AND horizon = 90 AS \"primary\" FROM tp GROUP BY unit, horizon")
+def momentum_trials(spark, d):
+    v = vintages(spark, d)
+    trials = studies.momentum_trials(studies.momentum_pairs(v, horizons=(30, 90), units=("level_rev", "growth_rev")), split="1999-01-01", reps=50)
+    return trials.select("series_id", "unit", "horizon", "full_n", "oos_n", tidy("full_r", 4).alias("full_r"), tidy("oos_r", 4).alias("oos_r"), "primary")
+
+
+@query(f"""WITH {PANEL}, g AS (SELECT series_id, obs_date, value - lag(value) {W} AS x FROM panel), s AS (SELECT series_id, sign(x) AS s, lag(sign(x)) {W} AS b FROM g WHERE x IS NOT NULL AND x <> 0)
+    SELECT series_id, count(b) AS n_pairs, round(avg(CAST(s = b AS INT)), 5) + 0.0 AS same_sign_share, CAST(1 + count(*) FILTER (WHERE s <> b) AS BIGINT) AS runs FROM s GROUP BY 1 HAVING count(b) >= 23""")
+def sign_persistence(spark, d):
+    got = studies.sign_persistence(apply_transform(panel(spark, d), "diff", out="x"), "x", reps=50)
+    return got.select("series_id", "n_pairs", tidy("same_sign_share", 5).alias("same_sign_share"), F.col("runs").cast("long").alias("runs"))
+
+
+@query(f"""WITH {PAIRS}, x AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY obs_date) AS i FROM pairs), dd AS (SELECT o.series_id, o.obs_date, a.i, b.i AS j, abs(a.p - b.p) AS da, abs(a.t - b.t) AS db FROM x o JOIN x a ON a.series_id = o.series_id AND a.i BETWEEN o.i - 12 AND o.i - 1 JOIN x b ON b.series_id = o.series_id AND b.i BETWEEN o.i - 12 AND o.i - 1 WHERE o.i > 12),
+    c AS (SELECT series_id, obs_date, da - avg(da) OVER (PARTITION BY series_id, obs_date, i) - avg(da) OVER (PARTITION BY series_id, obs_date, j) + avg(da) OVER (PARTITION BY series_id, obs_date) AS a, db - avg(db) OVER (PARTITION BY series_id, obs_date, i) - avg(db) OVER (PARTITION BY series_id, obs_date, j) + avg(db) OVER (PARTITION BY series_id, obs_date) AS b FROM dd)
+    SELECT series_id, obs_date, round(sqrt(greatest(0, avg(a * b) / sqrt(avg(a * a) * avg(b * b)))), 4) + 0.0 AS dcor FROM c GROUP BY 1, 2""")
+def rolling_distance_corr(spark, d):
+    return studies.rolling_distance_correlation(pairs(spark, d), 12).select("series_id", "obs_date", tidy("dcor", 4).alias("dcor"))
+
+
+@query(f"""WITH {PAIRS}, ks AS (SELECT unnest([1, 2, 5]) AS k), m AS (SELECT series_id, CAST(k AS INTEGER) AS lag, obs_date, t, lag(p, CAST(k AS INTEGER)) OVER (PARTITION BY series_id, k ORDER BY obs_date) AS p FROM pairs CROSS JOIN ks), w AS (SELECT *, count(*) OVER r AS n, corr(p, t) OVER r AS c FROM m WHERE p IS NOT NULL WINDOW r AS (PARTITION BY series_id, lag ORDER BY obs_date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
+    g AS (SELECT series_id, lag, count(*) AS n, round(corr(p, t), 5) + 0.0 AS r, avg(CASE WHEN n = 12 AND c > 0 THEN 1.0 ELSE 0.0 END) AS share FROM w GROUP BY 1, 2) SELECT series_id, lag, n, r, round(share, 5) + 0.0 AS rolling_pct_positive, CASE WHEN share > 0.8 THEN 'stable' WHEN share > 0.6 THEN 'moderate' ELSE 'unstable' END AS stability FROM g""")
+def lag_stability(spark, d):
+    got = studies.lag_stability(pairs(spark, d), [1, 2, 5], window=12)
+    return got.select("series_id", "lag", "n", tidy("r", 5).alias("r"), tidy("rolling_pct_positive", 5).alias("rolling_pct_positive"), "stability")
+
 
 # Kernels: no SQL; held against numpy and published values in tests.
 

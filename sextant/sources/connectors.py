@@ -12,16 +12,36 @@ import json
 import time
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RETRIED = frozenset((429, 500, 502, 503, 504))
 
 
-def fingerprint(source: str, arguments: dict) -> str:
-    """The cache key: the first 16 hex digits of the hash of the source and its sorted arguments."""
-    return hashlib.sha256(json.dumps([source, arguments], sort_keys=True, default=str).encode()).hexdigest()[:16]
+class BodyCache:
+    """Bodies by address in a folder that the tasks share, for ``hours`` (for ever if None): a second run asks the service for nothing."""
+
+    def __init__(self, folder: str, hours: float | None = None):
+        self.folder, self.hours = Path(folder), hours
+
+    def _file(self, url: str) -> Path:
+        name = hashlib.blake2b(url.encode(), digest_size=20).hexdigest()
+        return self.folder / name[:2] / name
+
+    def get(self, url: str, load: Callable[[str], bytes]) -> bytes:
+        """The body that is kept, or else what ``load`` brings, which is kept from then on; readers never see half a file."""
+        kept = self._file(url)
+        if kept.exists() and (self.hours is None or time.time() - kept.stat().st_mtime < 3600 * self.hours):
+            return kept.read_bytes()
+        body = load(url)
+        kept.parent.mkdir(parents=True, exist_ok=True)
+        fresh = kept.with_suffix(f".{uuid.uuid4().hex}")
+        fresh.write_bytes(body)
+        fresh.replace(kept)
+        return body
 
 
 def fetch(url: str, tries: int = 3, opener: Callable = urllib.request.urlopen, wait: Callable = time.sleep) -> bytes:
@@ -56,7 +76,8 @@ class _Reader(DataSourceReader):
         import datetime
 
         date, value = self.options.get("date", "date"), self.options.get("value", "value")
-        body = fetch(partition.url).decode()
+        folder, hours = self.options.get("cache"), self.options.get("cache_hours")
+        body = (BodyCache(folder, float(hours) if hours else None).get(partition.url, fetch) if folder else fetch(partition.url)).decode()
         rows = json.loads(body) if self.options.get("form", "csv") == "json" else csv.DictReader(io.StringIO(body))
         for row in rows:
             try:
@@ -67,7 +88,7 @@ class _Reader(DataSourceReader):
 
 
 class WebSeries(DataSource):
-    """spark.read.format("web_series").option("url", ".../{series}.csv").option("series", "a,b"): a partition for each series."""
+    """spark.read.format("web_series").option("url", ".../{series}.csv").option("series", "a,b"): a partition for each series. option("cache", folder) keeps bodies, see BodyCache."""
 
     @classmethod
     def name(cls) -> str:

@@ -106,3 +106,17 @@ def load_hypothesis(path: str | Path) -> dict[str, Any]:
     if not re.match(r"HYP-", str(d["hypothesis_id"])):
         raise SpecError("hypothesis: hypothesis_id does not begin with HYP-")
     return d
+
+
+def load_weights(path: str | Path) -> dict[str, float]:
+    """Weights of the axes of fitness, by name; the others keep theirs."""
+    from sextant.operators.registry import WEIGHTS
+
+    d = yaml.safe_load(Path(path).read_text()) or {}
+    if not isinstance(d, dict):
+        raise SpecError("weights: not a map of axes")
+    for name, value in d.items():
+        _one_of(name, WEIGHTS, "weights")
+        if isinstance(value, bool) or not isinstance(value, (int, float)) or value < 0:
+            raise SpecError(f"weights.{name}: {value!r} is no weight")
+    return {k: float(v) for k, v in d.items()}

@@ -264,7 +264,10 @@ def test_other_sources(spark, tmp_path):
         return open(tmp_path / "A.csv", "rb")
 
     assert connectors.fetch("http://x", opener=opener, wait=lambda s: None).startswith(b"date") and len(calls) == 3
-    assert connectors.fingerprint("a", {"x": 1, "y": 2}) == connectors.fingerprint("a", {"y": 2, "x": 1})
+    cache, loads = connectors.BodyCache(str(tmp_path / "kept")), []
+    load = lambda u: loads.append(u) or u.encode()
+    assert [cache.get(u, load) for u in ("http://a", "http://b", "http://a")] == [b"http://a", b"http://b", b"http://a"] and loads == ["http://a", "http://b"]
+    assert connectors.BodyCache(str(tmp_path / "kept"), 0).get("http://a", load) == b"http://a" and len(loads) == 3
     connectors.register(spark)
     web = spark.read.format("web_series").option("url", f"file://{tmp_path}/{{series}}.csv").option("series", "A,B").option("value", "close").load()
     assert {(r.series_id, str(r.obs_date), r.value) for r in web.collect()} == {("A", "2024-01-01", 1.0), ("B", "2024-01-01", 1.0)}
@@ -316,3 +319,60 @@ def test_whole_tables(spark):
     assert any(int(x) > 400 for x in got)
     assert catalogue.QUERIES["refclass_base_rates"](spark, where).agg({"n": "sum"}).first()[0] > 400
     assert catalogue.QUERIES["pvalue_parse"](spark, where).count() == spark.read.parquet(f"{where}/orders.parquet").count()
+
+
+def test_studies(spark, tmp_path):
+    """Planted momentum is found and survives, noise doesn't; the bootstrap, the corrections and the runners' files."""
+    from sextant.operators import studies
+
+    r = np.random.default_rng(3)
+    rows = []
+    days = [dt.date(1990 + k // 12, k % 12 + 1, 28) for k in range(240)]
+    for name, phi in (("kept", 0.8), ("noise", 0.0)):
+        x = np.zeros(240)
+        for k in range(1, 240):
+            x[k] = phi * x[k - 1] + r.normal()
+        rows += [(name, d, 90, "growth_rev", float(a), float(b)) for d, a, b in zip(days[1:], x[:-1], x[1:], strict=True)]
+    pairs = spark.createDataFrame(rows, "series_id string, obs_date date, horizon int, unit string, x double, y double")
+    got = {t.series_id: t for t in studies.momentum_trials(pairs, split="2005-01-01", reps=200).collect()}
+    assert got["kept"].primary_survives and not got["noise"].primary_survives and got["kept"].ci_low > 0.5
+    assert got["noise"].full_p_bonferroni == min(1, 2 * got["noise"].full_p) and got["kept"].oos_n == 60
+    table = pairs.select("series_id", "obs_date", F.col("y").alias("growth_rev"))
+    kept = {t.series_id: t for t in studies.sign_persistence(table, reps=200).collect()}
+    assert kept["kept"].share_ci_low > 0.5 and kept["kept"].runs_p < 0.001 < kept["noise"].runs_p and kept["noise"].n_pairs == 238
+    family = {t.term: t for t in studies.family_test(pairs.select(F.col("series_id").alias("term"), "obs_date", F.col("x").alias("p"), F.col("y").alias("t")), [0], "2003-12-31").collect()}
+    assert family["kept"].survives_train and family["kept"].survives_test and not family["noise"].survives_test
+
+
+def test_study_commands(spark, tmp_path, capsys):
+    from sextant import cli
+
+    days = [f"{2000 + k // 12}-{k % 12 + 1:02}-28" for k in range(120)]
+    (tmp_path / "t.csv").write_text("date,a,b\n" + "".join(f"{d},{k % 7},{k % 5 + k % 7}\n" for k, d in enumerate(days)))
+    run = lambda *a: cli.main([str(x) for x in a])
+    for mode in ("correlation", "regression", "lags", "distance", "granger", "cointegration"):
+        assert run("analyse", mode, "--input", tmp_path / "t.csv", "--x", "a", "--y", "b") == 0
+    for mode in ("stationarity", "decomposition", "quality"):
+        assert run("analyse", mode, "--input", tmp_path / "t.csv", "--x", "a") == 0
+    assert run("analyse", "lags", "--input", tmp_path / "t.csv", "--x", "a") == 2 and "--y" in capsys.readouterr().err
+    assert run("analyse", "lags", "--input", tmp_path / "t.csv", "--x", "a", "--y", "zz") == 2 and "zz" in capsys.readouterr().err
+    assert run("analyse", "nothing", "--input", tmp_path / "t.csv") == 2
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text("date,value\n" + "".join(f"{d},{(k * 7 + ord(name)) % 11}\n" for k, d in enumerate(days)))
+    assert run("run-family", "--predictor", f"a={tmp_path / 'a.csv'}", "--target", tmp_path / "b.csv", "--train-end", "2005-12-31", "--out", tmp_path / "family") == 0
+    assert (tmp_path / "family" / "summary.md").read_text().startswith("# A family") and any((tmp_path / "family" / "family.csv").glob("part-*"))
+    assert run("run-family", "--predictor", "a", "--target", tmp_path / "b.csv", "--train-end", "2005-12-31", "--out", tmp_path / "family") == 2
+    (tmp_path / "v.csv").write_text("observation_date,vintage_date,value\n" + "".join(f"{d},{days[min(119, k + j + 1)]},{(k * 13 + j * 5) % 17}\n" for k, d in enumerate(days[:100]) for j in range(3)))
+    assert run("run-revision-momentum", "--vintages", f"v={tmp_path / 'v.csv'}", "--split", "2005-01-01", "--reps", 20, "--out", tmp_path / "revisions") == 0
+    (tmp_path / "c.csv").write_text("event_id,disease_area,indication,moa,target,modality,phase,outcome,tags\n" + "".join(f"e{k},d,i{k % 2},m,t,x,3,{'success' if k % 3 else 'failure'},a;b\n" for k in range(9)))
+    assert run("run-reference-class", "--corpus", tmp_path / "c.csv", "--like", "e1", "--moa", "M", "--out", tmp_path / "classes") == 0
+    assert run("run-reference-class", "--corpus", tmp_path / "c.csv", "--like", "zz", "--out", tmp_path / "classes") == 2
+
+
+def test_weights_from_a_file(tmp_path):
+    (tmp_path / "w.yaml").write_text("coverage: 3\n")
+    assert specs.load_weights(tmp_path / "w.yaml") == {"coverage": 3.0}
+    for text in ("nothing: 1\n", "coverage: high\n", "[1]\n"):
+        (tmp_path / "w.yaml").write_text(text)
+        with pytest.raises(specs.SpecError):
+            specs.load_weights(tmp_path / "w.yaml")
