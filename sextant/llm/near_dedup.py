@@ -166,7 +166,9 @@ def classes(docs: DataFrame, *, text: str = "text", least: float = SIMILARITY) -
     others, with its neighbours in the order of the next sketch, and, where the centre is in another class, with the BEST members;
     so a bucket of n members gives few times n pairs, however large. Later comparisons are only made between different classes. Linked are pairs with an aligned similarity (see
     similarity) of ``least`` or more; classes are connected components of the links. Other pairs of a bucket are not compared,
-    so sparsely linked classes of large buckets can come out in parts. Buckets of any size are split over tasks. Rows without an id are in no class; an empty table has none. Other columns are not used.
+    so sparsely linked classes of large buckets can come out in parts. Buckets of any size are split over tasks. Ids are longs; rows
+    without one are in no class, and rows of one id with different texts are a row each. An empty table has no classes. Other
+    columns are not used.
     """
     sketched = materialise(_sketched(docs, text))
     copies = materialise(sketched.groupBy("key").agg(F.min("doc_id").alias("rep")))
@@ -210,7 +212,16 @@ def classes(docs: DataFrame, *, text: str = "text", least: float = SIMILARITY) -
 
 
 def deduplicate(docs: DataFrame, *, text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class, the one with the smallest id; rows without an id stay."""
+    """``docs`` with one document of each class, the one with the smallest id, and of repeated rows of an id one, that with the smallest text.
+
+    Rows without an id stay. Of the rest only ids are shuffled, and the rows of ids that are there several times.
+    """
     found = classes(docs, text=text, least=least)
-    gone = materialise(found.where("doc_id != class_id").select("doc_id"))
-    return docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
+    gone = materialise(found.where("doc_id != class_id").select("doc_id").distinct())
+    kept = docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
+    repeated = materialise(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    nth = "_nth" + "_" * max(map(len, docs.columns))  # no column of docs
+    again = kept.join(small_side(repeated), "doc_id", "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col(text).asc_nulls_first())))
+    return kept.join(small_side(repeated), "doc_id", "left_anti").select(*docs.columns).union(again.where(F.col(nth) == 1).select(*docs.columns))

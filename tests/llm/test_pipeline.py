@@ -56,3 +56,47 @@ def test_registry():
 
     names = entry.queries().keys()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def written(spark, tmp_path, texts, labels, items=(), ids=None):
+    """Tables in a folder; documents have columns that clash with the operators' own."""
+    ids = ids or list(range(len(texts)))
+    docs = docs_of(spark, texts, extra=False).selectExpr("doc_id as _k", "* except (doc_id)")
+    docs = docs.join(spark.createDataFrame(list(enumerate(ids)), "_k long, doc_id long"), "_k").selectExpr("doc_id", "text", "lang", "source", "n_chars", "'x' as score", "7 as n_removed", "'y' as _gone", "1 as starts", "'z' as key")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    docs = written(spark, tmp_path, [], [])
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0 and (name == "packing" or docs.columns == list(corpus_pipeline.COLUMNS))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_repeated_rows_nulls_and_one_class_of_labels(spark, tmp_path):
+    r = random.Random(7)
+    text = prose(r, 60)
+    texts, ids = [text, text, text, None, None, "", prose(r, 40), prose(r, 30)], [1, 1, 1, 2, None, 3, 4, None]
+    docs = written(spark, tmp_path, texts, [(1, 1), (2, 1), (4, 1)], ids=ids)
+    count = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        count[name] = sorted((str(x.doc_id) for x in docs.select("doc_id").collect()))
+    assert count["toxicity"] == sorted(map(str, ids)) == count["line_dedup"]
+    # null and empty texts have no words and are copies of one another; rows without an id stay
+    assert count["near_dedup"] == count["decontamination"] == ["1", "2", "4", "None", "None"] and set(count["packing"]) == {"1", "2", "4", "None"}
+
+
+def test_what_is_left_of_near_copies_goes(spark, tmp_path):
+    """A document with most of its lines in others goes with them; one with a shared line among its own stays."""
+    r = random.Random(8)
+    lines = [prose(r, 12) for _ in range(10)]
+    changed = [*lines[:9], prose(r, 12)]
+    own = [prose(r, 12) for _ in range(5)]
+    docs = written(spark, tmp_path, ["\n".join(lines), "\n".join(changed), "\n".join([*own, lines[0]])], [])
+    left = {x.doc_id: x.text for x in corpus_pipeline.without_repeated_lines(spark, docs, str(tmp_path)).collect()}
+    assert left == {0: "\n".join(lines), 2: "\n".join(own)}
