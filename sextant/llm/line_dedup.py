@@ -20,11 +20,11 @@ FEWEST = 4
 #: Lines of up to SHORT words meet by what is left without one word, of PAIRED words also without two; lines of LONG words or more
 #: by the least hash of their runs of GRAM bytes in each of BINS bins of hashes. The ranges overlap, as edits join and split words.
 SHORT, PAIRED, LONG = 13, range(6, 11), 11
-GRAM, BINS = 16, 8
+GRAM, BINS = 16, 6
 #: Members of a bucket that are compared in one task; larger buckets are dealt in squares of two such parts.
 PART = 4_000
 _RANDOM = np.random.default_rng(33)
-_GRAM = _RANDOM.integers(1, 1 << 63, 3, dtype=np.uint64) | np.uint64(1)
+_GRAM = _RANDOM.integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
 _PLACES = _RANDOM.integers(1, 1 << 63, SHORT, dtype=np.uint64) | np.uint64(1)
 LINE_BYTES = bytes(10 if b == 10 else c for b, c in enumerate(WORD_BYTES))
 
@@ -51,6 +51,28 @@ def signatures(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return key.view(np.int64), np.packbits(2 * ones > sizes[:, None], axis=1).view(np.int64).ravel()
 
 
+def least_runs(texts: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lines of ``sizes`` words the least hash of their runs in each bin, and where there is one. A run is the GRAM bytes from a word's first on."""
+    every = b" " + b" ".join(texts) + bytes(GRAM + 8)
+    at = np.flatnonzero(np.frombuffer(every, np.uint8) == 0x20)[: sizes.sum()] + 1
+    line = np.repeat(np.arange(len(texts)), sizes)
+    ends = 1 + np.cumsum([len(x) + 1 for x in texts]) - 1
+    inside = at + GRAM <= ends[line]
+    at, line = at[inside], line[inside]
+    eight = np.ndarray((len(every) - 7,), np.dtype("<u8"), every, strides=(1,))
+    runs = mixed(eight[at] * _GRAM[0] + eight[at + 8] * _GRAM[1])
+    kind = (runs >> np.uint64(40)).astype(np.uint8) % np.uint8(BINS)
+    least, some = np.zeros((len(texts), BINS), np.uint64), np.zeros((len(texts), BINS), bool)
+    for k in range(BINS):
+        spots = np.flatnonzero(kind == k)
+        if len(spots):
+            of = line[spots]
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            least[of[first], k] = mixed(np.minimum.reduceat(runs[spots], first) + np.uint64(k))
+            some[of[first], k] = True
+    return least, some
+
+
 def blocks(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of lines, as number of the line and of the bucket, in the order of lines; lines of fewer words than FEWEST are in none."""
     sizes = np.array([len(x) for x in lines])
@@ -68,26 +90,10 @@ def blocks(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
             found.append(values.ravel())
     own = np.flatnonzero(sizes >= LONG)
     if len(own):
-        texts = [b" ".join(lines[i]) for i in own.tolist()]
-        every = b"".join(texts) + bytes(GRAM)
-        eight = np.ndarray((len(every) - 7,), np.dtype("<u8"), every, strides=(1,))
-        grams = eight[: len(every) - GRAM + 1] * _GRAM[0]
-        grams += eight[GRAM - 8 :] * _GRAM[1]
-        grams ^= grams >> np.uint64(29)
-        grams *= _GRAM[2]
-        lengths = np.array([len(x) for x in texts])
-        line = np.repeat(np.arange(len(own), dtype=np.int32), lengths)
-        ends = np.cumsum(lengths)
-        kind = (grams[: len(line)] >> np.uint64(40)).astype(np.uint8) % np.uint8(BINS)
-        for k in range(GRAM - 1):  # runs that reach into the next line
-            kind[ends - 1 - k] = BINS
-        for k in range(BINS):
-            spots = np.flatnonzero(kind == k)
-            if len(spots):
-                of = line[spots]
-                first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-                which.append(own[of[first]])
-                found.append(mixed(np.minimum.reduceat(grams[spots], first) + np.uint64(k)))
+        least, some = least_runs([b" ".join(lines[i]) for i in own.tolist()], sizes[own])
+        line, kind = np.nonzero(some)
+        which.append(own[line])
+        found.append(least[some])
     which, found = np.concatenate(which), np.concatenate(found).view(np.int64)
     order = np.argsort(which, kind="stable")
     return which[order], found[order]
@@ -139,6 +145,20 @@ def differing(a: bytes, b: bytes) -> tuple[bytes, bytes]:
     return a[: len(a) - end], b[: len(b) - end]
 
 
+def at_most(a: bytes, b: bytes, reach: int) -> int:
+    """A number that the edit distance doesn't exceed: what differs, cut at pieces that both have at most ``reach`` bytes apart. Fast where edits are few."""
+    a, b = differing(a, b)
+    longer, n = max(len(a), len(b)), len(a)
+    if longer <= 24 or not a or not b:
+        return longer
+    for at in (n // 2, n // 4, 3 * n // 4):
+        piece = a[at : at + 12]
+        k = b.find(piece, max(0, at - reach), at + reach + len(piece))
+        if k >= 0 and len(piece) >= 8:
+            return at_most(a[:at], b[:k], reach) + at_most(a[at:], b[k:], reach)
+    return longer
+
+
 def distance(a: bytes, b: bytes, most: int = 1 << 60) -> int:
     """Edit distance: insertions, deletions and substitutions; a column of the table is two numbers with a bit for each place.
 
@@ -253,19 +273,17 @@ def alike_pairs(texts: list[bytes], i: np.ndarray, j: np.ndarray, least: float =
     wide = most[left] // 32 + 1
     for w in np.unique(wide).tolist():
         own = left[wide == w]
-        if w > WORDS_WIDE or len(own) < 24 * w:  # too few for working side by side to pay
-            out[own] = [alike(texts[x], texts[y], least) for x, y in zip(i[own].tolist(), j[own].tolist(), strict=True)]
+        if w > WORDS_WIDE:
+            out[own] = [at_most(texts[x], texts[y], m) <= m or alike(texts[x], texts[y], least) for x, y, m in zip(i[own].tolist(), j[own].tolist(), most[own].tolist(), strict=True)]
             continue
         own = own[np.argsort(size[j[own]], kind="stable")]
         for at in range(0, len(own), 4096 // w):
             part = own[at : at + 4096 // w]
-            a, b = zip(*(differing(texts[x], texts[y]) for x, y in zip(i[part].tolist(), j[part].tolist(), strict=True)), strict=True)
-            longer = np.array([len(x) for x in a])
-            same = longer <= most[part]  # what differs is short enough, however it differs
-            out[part[same]] = True
-            rest = np.flatnonzero(~same)
+            few = [at_most(texts[x], texts[y], most_) <= most_ for x, y, most_ in zip(i[part].tolist(), j[part].tolist(), most[part].tolist(), strict=True)]
+            out[part[few]] = True
+            rest = part[~np.array(few, bool)]
             if len(rest):
-                out[part[rest]] = _within([a[k] for k in rest.tolist()], [b[k] for k in rest.tolist()], most[part[rest]], w)
+                out[rest] = _within([texts[k] for k in i[rest].tolist()], [texts[k] for k in j[rest].tolist()], most[rest], w) if len(rest) >= 24 * w else [alike(texts[x], texts[y], least) for x, y in zip(i[rest].tolist(), j[rest].tolist(), strict=True)]
     return out
 
 
@@ -290,10 +308,11 @@ def _edges(*columns: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(fresh) + 1, [n])) if n else np.zeros(1, np.int64)
 
 
-def spanning(group: np.ndarray, key: np.ndarray, sim: np.ndarray, signed: np.ndarray, texts: list[bytes], least: float, part: np.ndarray | None = None, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def spanning(group: np.ndarray, key: np.ndarray, sim: np.ndarray, signed: np.ndarray, texts: list[bytes], least: float, part: np.ndarray | None = None, known: np.ndarray | None = None, bins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what all alike pairs within groups connect: as many as there are rows at most.
 
-    Rows are in the order of their groups; with ``part``, pairs are of different parts; rows of one number in ``known`` are connected already. In each group the first row meets all others, then
+    Rows are in the order of their groups; with ``part``, pairs are of different parts; rows of one number in ``known`` are connected already. With ``bins``, the rows' buckets, pairs
+    of long lines that an earlier bin's bucket has as well are left to that. In each group the first row meets all others, then
     the next two do, then the next four: pairs that links found before already connect needn't be compared.
     """
     _, first_row, node = np.unique(key, return_index=True, return_inverse=True)
@@ -312,6 +331,13 @@ def spanning(group: np.ndarray, key: np.ndarray, sim: np.ndarray, signed: np.nda
     edges = _edges(group)
     begin = np.repeat(edges[:-1], np.diff(edges))
     rank = np.arange(len(group)) - begin
+    if bins is not None:
+        own = np.flatnonzero(signed[first_row] > 0)  # long lines
+        mins, some = np.zeros((len(first_row), BINS), np.uint64), np.zeros((len(first_row), BINS), bool)
+        if len(own):
+            chosen = [texts[k] for k in first_row[own].tolist()]
+            mins[own], some[own] = least_runs(chosen, np.array([x.count(b" ") + 1 for x in chosen]))
+        at_bin = np.where(some[node] & (mins[node] == bins.view(np.uint64)[:, None]), np.arange(BINS), BINS).min(1) % BINS  # 0: by left-out words, or first
     found: list[tuple[int, int]] = []
     waiting: list[np.ndarray] = []
     rows, p, upto = np.arange(len(group)), 0, 1
@@ -323,6 +349,10 @@ def spanning(group: np.ndarray, key: np.ndarray, sim: np.ndarray, signed: np.nda
             ok = (root[x] != root[y]) & _near(sim, signed, pivot, rows, least)
             if part is not None:
                 ok &= part[pivot] != part[rows]
+            if bins is not None and ok.any():  # those that meet in an earlier bin, too, are compared there
+                late = np.flatnonzero(ok & (at_bin[rows] > 0))
+                x2, y2 = x[late], y[late]
+                ok[late[((mins[x2] == mins[y2]) & some[x2] & some[y2] & (np.arange(BINS) < at_bin[rows[late]][:, None])).any(1)]] = False
             if ok.any():
                 waiting.append(np.minimum(x[ok], y[ok]) << 32 | np.maximum(x[ok], y[ok]))
         p += 1
@@ -487,7 +517,7 @@ def _linked(found: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             for crossed in (False, True):
                 own = np.flatnonzero((low != high) == crossed)
                 if len(own):
-                    a, b = spanning(group[own], key[own], sim[own], size[own], [words[k] for k in own.tolist()], least, part[own] if crossed else None, root[own])
+                    a, b = spanning(group[own], key[own], sim[own], size[own], [words[k] for k in own.tolist()], least, part[own] if crossed else None, root[own], block[own])
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
@@ -507,6 +537,14 @@ def _linked(found: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return dealt.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "part", "key").mapInArrow(run, "a long, b long")
 
 
+def _hubs(links: DataFrame) -> DataFrame:
+    """Each linked key with ``root``, itself or the key linked with it that has most links: keys of one root are connected."""
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = both.groupBy("a").agg(F.count("*").alias("links"))
+    ends = both.union(degree.select("a", F.col("a").alias("b"))).join(degree.withColumnRenamed("a", "b"), "b")
+    return ends.groupBy(F.col("a").alias("key")).agg(F.max_by("b", F.struct("links", "b")).alias("root"))
+
+
 def _links(listed: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, least: float) -> DataFrame:
     """Pairs of keys (a, b) of alike lines, which connect all alike lines that have a bucket in common."""
     shared = _shared(listed.select("key", F.explode("blocks").alias("block")).select("block", "key"))
@@ -515,7 +553,7 @@ def _links(listed: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, l
     wanted = materialise(distinct.join(found.select("key").distinct(), "key", "left_semi").select("doc_id", "line", "key"))
     texts = materialise(_texts(docs, wanted, text))
     links = materialise(_starred(found, texts, least))
-    rooted = found.join(components(links).select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = found.join(_hubs(links), "key", "left").withColumn("root", F.coalesce("root", "key"))
     rooted = materialise(rooted.select(*COLUMNS, "part", "root"))
     open_ = rooted.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("block")
     return links.union(_linked(materialise(rooted.join(open_, "block", "left_semi")), texts, least))
