@@ -26,6 +26,8 @@ PART = 1 << 20
 #: Bytes of a shard's array; occurrences of an anchor that are dealt to several shards if there are more.
 SHARD = 3 << 20
 SPLIT = 20_000
+#: Places that are gone through one after the other by common_prefixes.
+STRETCH = 512
 #: Starts that one number has room for, beside the offset of the first.
 MOST = (1 << 24) - 1
 _RANDOM = np.random.default_rng(17)
@@ -278,8 +280,11 @@ def common_prefixes(buffer: np.ndarray, order: np.ndarray, starts: np.ndarray, l
     n = len(buffer)
     place = np.empty(n, np.int32)
     place[order] = np.arange(n, dtype=np.int32)
-    padded = np.concatenate((buffer.astype(np.int16), np.array([-1], np.int16)))
+    eight = np.ndarray((n + 1,), np.dtype("<u8"), np.concatenate((buffer, np.zeros(8, np.uint8))), strides=(1,))  # eight bytes from each place on
     out = np.zeros(n, np.int32)
+    parts = -(-lengths // STRETCH)  # each begins anew, so that a long one doesn't go on alone
+    part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    starts, lengths = np.repeat(starts, parts) + part * STRETCH, np.minimum(np.repeat(lengths, parts) - part * STRETCH, STRETCH)
     by_length = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[by_length], lengths[by_length]
     h = np.zeros(len(starts), np.int64)
@@ -287,18 +292,20 @@ def common_prefixes(buffer: np.ndarray, order: np.ndarray, starts: np.ndarray, l
     for i in range(int(lengths.max(initial=0))):
         live = int(np.searchsorted(-lengths, -i, side="left"))  # stretches that reach place i
         position = starts[:live] + i
-        before = np.where(place[position] > 0, order[place[position] - 1], n)
+        spot = place[position]
+        before = np.where(spot > 0, order[spot - 1], n)
         follow = partner[:live] + 1
-        kept = (follow < n) & (place[np.minimum(follow, n - 1)] < place[position])
+        kept = (follow < n) & (place[np.minimum(follow, n - 1)] < spot)
         own = np.where(kept, np.maximum(h[:live] - 1, 0), 0)
-        active = np.flatnonzero((before < n) & (own < most))
+        limit = np.minimum(most, n - np.maximum(position, before))
+        active = np.flatnonzero(own < limit)
         while len(active):
-            a, b = position[active] + own[active], before[active] + own[active]
-            same = (a < n) & (b < n) & (padded[np.minimum(a, n)] == padded[np.minimum(b, n)])
-            active = active[same]
-            own[active] += 1
-            active = active[own[active] < most]
-        out[place[position]] = own
+            x = eight[np.minimum(position[active] + own[active], n)] ^ eight[np.minimum(before[active] + own[active], n)]
+            same = np.where(x == 0, 8, np.bitwise_count((x & -x) - np.uint64(1)) >> 3)  # bytes until the first that differs
+            own[active] += same
+            active = active[(same == 8) & (own[active] < limit[active])]
+        own = np.minimum(own, limit)
+        out[spot] = own
         h[:live], partner[:live] = own, before
     return out
 

@@ -538,6 +538,44 @@ def test_repeats_against_all_strings(spark):
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_one_anchor_over_several_shards(spark):
+    """A passage that more documents have than one shard takes, at the default sizes: what its parts have left is merged."""
+    r = random.Random(10)
+    passage = prose(r, 60)[:130]
+    letters = "abcdefghij"
+    texts = ["".join(r.choices(letters, k=35)) + passage + "".join(r.choices(letters, k=35)) for _ in range(substrings.SPLIT + 2_000)]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, spot int").repartition(2)
+    parts = substrings._repeated(substrings._anchored(docs, "text"), substrings.SPLIT).where("split").groupBy("anchor").agg(F.max("part").alias("part"))
+    assert parts.agg({"part": "max"}).first()[0] == 1
+    seen, want = set(), {}
+    for k, t in enumerate(x.encode() for x in texts):
+        gone = end = 0
+        for at in range(len(t) - 99):
+            if (h := hash(t[at : at + 100])) in seen:
+                gone += at + 100 - max(end, at)
+                end = at + 100
+            seen.add(h)
+        want[k] = gone
+    assert table(substrings.digest(substrings.remove_repeats(docs)).select("doc_id", "n_removed")) == {k: (k, v) for k, v in want.items()}
+
+
+def test_merging_sorted_runs():
+    r = random.Random(11)
+    for _ in range(60):
+        places = r.sample(range(200), 60)
+        runs, everything = [], []
+        for k in range(r.randint(1, 7)):
+            strings = sorted(r.sample([b"%02d" % x for x in range(20)], r.randint(0, 8)))
+            own = [(s, places.pop(), 7) for s in strings]
+            everything += own
+            runs.append((np.array([s for s, _, _ in own], "S16"), np.array([d for _, d, _ in own], np.int64), np.array([p for _, _, p in own], np.int64)))
+        first = {}
+        for s, d, _ in sorted(everything, key=lambda x: x[1]):
+            first.setdefault(s, d)
+        doc, _ = substrings.merge_runs(runs)
+        assert sorted(doc.tolist()) == sorted(d for s, d, _ in everything if d != first[s])
+
+
 def test_long_texts_in_parts(monkeypatch):
     r = random.Random(2)
     text = (prose(r, 300) + " " + prose(random.Random(99), 60)).encode()
