@@ -174,3 +174,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.explode(F.array("a", "b")).alias("b"), F.col("m").alias("a")).where("a < b").select("a", "b").distinct()
         edges = materialise(small)
+
+
+def hubs(links: DataFrame) -> DataFrame:
+    """Each node of links (a, b) as ``key`` with ``root``, itself or the one linked with it that has most links: nodes of one root are connected."""
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = both.groupBy("a").agg(F.count("*").alias("links"))
+    ends = both.union(degree.select("a", F.col("a").alias("b"))).join(degree.withColumnRenamed("a", "b"), "b")
+    return ends.groupBy(F.col("a").alias("key")).agg(F.max_by("b", F.struct("links", "b")).alias("root"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import BROADCAST_ROWS, WORD_BYTES, components, hashed_coded, hashed_flat, materialise, mixed, pieces, utf8
+from sextant.llm.common import BROADCAST_ROWS, WORD_BYTES, components, hashed_coded, hashed_flat, hubs, materialise, mixed, pieces, utf8
 
 #: Bits in which the SimHashes of two linked lines of LONG words or more may differ: unrelated lines differ in some 32.
 BITS = 20
@@ -537,14 +537,6 @@ def _linked(found: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return dealt.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "part", "key").mapInArrow(run, "a long, b long")
 
 
-def _hubs(links: DataFrame) -> DataFrame:
-    """Each linked key with ``root``, itself or the key linked with it that has most links: keys of one root are connected."""
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy("a").agg(F.count("*").alias("links"))
-    ends = both.union(degree.select("a", F.col("a").alias("b"))).join(degree.withColumnRenamed("a", "b"), "b")
-    return ends.groupBy(F.col("a").alias("key")).agg(F.max_by("b", F.struct("links", "b")).alias("root"))
-
-
 def _links(listed: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, least: float) -> DataFrame:
     """Pairs of keys (a, b) of alike lines, which connect all alike lines that have a bucket in common."""
     shared = _shared(listed.select("key", F.explode("blocks").alias("block")).select("block", "key"))
@@ -553,7 +545,7 @@ def _links(listed: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, l
     wanted = materialise(distinct.join(found.select("key").distinct(), "key", "left_semi").select("doc_id", "line", "key"))
     texts = materialise(_texts(docs, wanted, text))
     links = materialise(_starred(found, texts, least))
-    rooted = found.join(_hubs(links), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = found.join(hubs(links), "key", "left").withColumn("root", F.coalesce("root", "key"))
     rooted = materialise(rooted.select(*COLUMNS, "part", "root"))
     open_ = rooted.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("block")
     return links.union(_linked(materialise(rooted.join(open_, "block", "left_semi")), texts, least))

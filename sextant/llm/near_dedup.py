@@ -1,4 +1,4 @@
-"""Near-duplicate documents by Order MinHash: sketches of the smallest labelled word runs in text order, verified by banded alignment."""
+"""Near-duplicate documents by Order MinHash: sketches of the smallest labelled word runs in text order, verified by banded alignment of the words."""
 
 from __future__ import annotations
 
@@ -11,17 +11,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import components, hashed_words, materialise, mixed, pieces, small_side, utf8, words
+from sextant.llm.common import components, hashed_words, hubs, materialise, mixed, pieces, small_side, utf8, words
 
 RUN = 5
 SIMILARITY = 0.8
-#: Sketches by the number of runs a text has: from, below, minima in a sketch, sketches. The ranges overlap by 1/SIMILARITY, so two
-#: texts that are similar enough have a range in common; at a similarity of 0.8 all sketches differ with a chance of 1e-5 or less.
-LEVELS = ((4, 15, 1, 10), (12, 50, 3, 20), (40, 1 << 62, 6, 40))
-#: Members that one task puts in order, of a bucket with more.
+#: Sketches by the number of runs a text has: from, below, minima in a sketch, sketches. The ranges overlap by more than 1/SIMILARITY, so
+#: two texts that are similar enough have a range in common.
+LEVELS = ((4, 18, 1, 10), (11, 60, 2, 20), (40, 1 << 62, 3, 40))
+#: Members of a bucket that are compared in one task; larger buckets are dealt in squares of two such parts.
 PART = 2_000
-#: Neighbours in a bucket's order that a text is compared with, and members that share most sketches, for texts not linked with the centre.
-NEIGHBOURS, BEST = 4, 12
+#: Counters of a text's words by hash, whose differences bound what two texts have in common.
+COUNTERS = 128
 _RANDOM = np.random.default_rng(21)
 _RUN_POWERS = _RANDOM.integers(1, 1 << 63, RUN, dtype=np.uint64) | np.uint64(1)
 _SEEDS = _RANDOM.integers(1, 1 << 63, (2, 40), dtype=np.uint64) | np.uint64(1)
@@ -69,7 +69,7 @@ def sketches(runs: np.ndarray) -> list[int]:
 
 
 def _sketched(docs: DataFrame, text: str) -> DataFrame:
-    """A row for each document: its id, a key of its words (of its text, if that has none), its number of runs, its sketches."""
+    """A row for each document: its id, a key of its words (of its text, if that has none), its number of words, its sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
@@ -79,16 +79,15 @@ def _sketched(docs: DataFrame, text: str) -> DataFrame:
             for raw, own, hashes in zip(texts, split, hashed_words(split), strict=True):
                 key = hashlib.blake2b(b" ".join(own) if own else b"\x00" + raw, digest_size=16).digest()
                 keys.append(key)
-                runs = runs_of(hashes)
-                counts.append(len(runs))
-                found.append(sketches(runs))
+                counts.append(len(own))
+                found.append(sketches(runs_of(hashes)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "sketches"])
 
     return docs.select("doc_id", text).where("doc_id is not null").mapInArrow(run, "doc_id long, key binary, n int, sketches array<long>")
 
 
-def common_runs(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """The longest common subsequence of two lists of runs whose partners stand at most ``most`` places apart: banded alignment, a bit for each place."""
+def aligned(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """The longest common subsequence of two lists whose partners stand at most ``most`` places apart: banded alignment, a bit for each place."""
     a, b = a.tolist(), b.tolist()
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
@@ -113,10 +112,11 @@ def common_runs(a: np.ndarray, b: np.ndarray, most: int) -> int:
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Aligned runs over all runs of two texts, 0 to 1; below ``least`` it may come out lower than it is.
+    """Aligned words over all words of two texts, 0 to 1; below ``least`` it may come out lower than it is.
 
-    With c aligned runs it is c / (|a| + |b| - c): the Jaccard similarity of the runs, told apart by occurrence, where only
-    those in the same order count. At ``least`` or more, partners are no further apart than the runs that have none.
+    With c aligned words it is c / (|a| + |b| - c): of the words that a copy and its text have between them, those that edits left
+    in place. Texts that have as many of their runs of five words in the same order have at least as many of their words. At ``least`` or more,
+    partners are no further apart than the words that have none.
     """
     n = len(a) + len(b)
     if not n or min(len(a), len(b)) < least * max(len(a), len(b)):
@@ -124,7 +124,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     bound = sum((Counter(a.tolist()) & Counter(b.tolist())).values())
     if bound < least * (n - bound):
         return 0.0
-    c = common_runs(a, b, int(n * (1 - least) / (1 + least)) + 1)
+    c = aligned(a, b, int(n * (1 - least) / (1 + least)) + 1)
     return c / (n - c)
 
 
@@ -136,19 +136,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True):
-                x, y = (runs_of(np.frombuffer(w, np.uint16).astype(np.uint64)) for w in (x, y))
-                keep.append(similarity(x, y, least) >= least)
+                keep.append(similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), least) >= least)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
 def _word_numbers(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
-    """A 16-bit number for each word of the documents in ``ids``; a run of five has 80 bits."""
+    """A 32-bit number for each word of the documents in ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
-            found = [(h >> np.uint64(48)).astype(np.uint16).tobytes() for h in hashed_words([words(t) for t in utf8(batch.column(text))])]
+            found = [(h >> np.uint64(32)).astype(np.uint32).tobytes() for h in hashed_words([words(t) for t in utf8(batch.column(text))])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "hashes"])
 
     return docs.select("doc_id", text).join(small_side(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, hashes binary").dropDuplicates(["doc_id"])
@@ -158,56 +157,129 @@ def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def connecting(group: np.ndarray, doc: np.ndarray, root: np.ndarray, numbers: list[np.ndarray], least: float, part: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what all similar pairs within groups connect, beyond documents of one ``root``: fewer than there are rows.
+
+    Rows are in the order of their groups; with ``part``, pairs are of different parts. Each row of a group meets all later ones, but
+    not those it is connected with by then, nor those that lengths or counts of words rule out.
+    """
+    ids, first, node = np.unique(doc, return_index=True, return_inverse=True)
+    _, one, of = np.unique(root[first], return_index=True, return_inverse=True)
+    parent = one[of].tolist()
+    top_of = np.array(parent)
+    size = np.array([len(numbers[k]) for k in first.tolist()])
+    counts = np.stack([np.bincount(numbers[k] % COUNTERS, minlength=COUNTERS) for k in first.tolist()]).astype(np.int32)
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    fresh = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    sizes = np.diff(np.append(fresh, len(group)))
+    begin = np.repeat(fresh, sizes)
+    rank = np.arange(len(group)) - begin
+    found: list[tuple[int, int]] = []
+    tested: set[tuple[int, int]] = set()
+    rows, p = np.arange(len(group)), 0
+    while True:
+        rows = rows[rank[rows] > p]
+        if not len(rows):
+            return found
+        pivot = begin[rows] + p
+        x, y = node[pivot], node[rows]
+        ok = (top_of[x] != top_of[y]) & (np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y]))
+        if part is not None:
+            ok &= part[pivot] != part[rows]
+        x, y = x[ok], y[ok]
+        for at in range(0, len(x), 4096):
+            u, v = x[at : at + 4096], y[at : at + 4096]
+            both = size[u] + size[v]
+            common = (both - np.abs(counts[u] - counts[v]).sum(1)) // 2  # words in common at most
+            near = common >= least * (both - common)
+            for a, b in zip(u[near].tolist(), v[near].tolist(), strict=True):
+                pair = (a, b) if a < b else (b, a)
+                if pair in tested or (ra := top(a)) == (rb := top(b)):
+                    continue
+                tested.add(pair)
+                if similarity(numbers[first[a]], numbers[first[b]], least) >= least:
+                    parent[ra] = rb
+                    found.append((int(ids[a]), int(ids[b])))
+        p += 1
+        if len(x):
+            top_of = np.array([top(k) for k in range(len(parent))])
+
+
+def _connected(rows: DataFrame, numbers: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) that connect what similar pairs of a common bucket connect, beyond rows of one ``root``. Buckets of more than PART rows are dealt in squares of two parts."""
+    dealt = rows.withColumn("parts", F.ceil(F.col("size") / PART)).withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    names = ("bucket", "low", "high", "doc_id", "root", "part", "hashes")
+    dealt = dealt.select("bucket", "doc_id", "root", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")).join(numbers, "doc_id").select(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            group, low, high, doc, root, part = (table.column(c).to_numpy() for c in ("group", *names[1:6]))
+            words_of = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
+            for crossed in (False, True):
+                own = np.flatnonzero((low != high) == crossed)
+                if len(own):
+                    pairs = connecting(group[own], doc[own], root[own], [words_of[k] for k in own.tolist()], least, part[own] if crossed else None)
+                    yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in pairs], pa.int64()), pa.array([max(x) for x in pairs], pa.int64())], names=["a", "b"])
+
+        def grouped(table: pa.Table) -> tuple[pa.Table, int]:
+            """The table with a number for each square, and where the last one begins."""
+            keys = [table.column(c).to_numpy() for c in names[:3]]
+            fresh = np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0)))
+            return table.append_column("group", pa.array(np.cumsum(fresh))), int(np.flatnonzero(fresh)[-1])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= PART or sum(x.nbytes for x in held) >= HELD_BYTES:
+                table, last = grouped(pa.Table.from_batches(held))
+                if last:
+                    yield from done(table.slice(0, last))
+                    held = table.slice(last).drop_columns(["group"]).combine_chunks().to_batches()
+        if held:
+            yield from done(grouped(pa.Table.from_batches(held))[0])
+
+    return dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "doc_id").mapInArrow(run, "a long, b long")
+
+
+#: Bytes of words that a task holds at once; one bucket, or square of a larger one, is held whole.
+HELD_BYTES = 32 << 20
+
+
 def classes(docs: DataFrame, *, text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """A row for each document id: its class, named by the smallest id in it.
 
     Texts of the same words, or without words the same text (null is empty), are copies, and one of them stands for all. Texts
-    that share a sketch are candidates: each is compared with the bucket's centre, the member that shares most sketches with
-    others, with its neighbours in the order of the next sketch, and, where the centre is in another class, with the BEST members;
-    so a bucket of n members gives few times n pairs, however large. Later comparisons are only made between different classes. Linked are pairs with an aligned similarity (see
-    similarity) of ``least`` or more; classes are connected components of the links. Other pairs of a bucket are not compared,
-    so sparsely linked classes of large buckets can come out in parts. Buckets of any size are split over tasks. Ids are longs; rows
-    without one are in no class, and rows of one id with different texts are a row each. An empty table has no classes. Other
-    columns are not used.
+    that share a sketch are candidates. Each is first compared with the bucket's centre, the member that shares most sketches with
+    others; then all pairs of a bucket that this hasn't connected are, whatever its size. Linked are pairs with an aligned
+    similarity (see similarity) of ``least`` or more; classes are connected components of the links. Buckets of more than PART members are
+    dealt to several tasks. Ids are longs; rows without one are in no class, and rows of one id with different texts are a row
+    each. An empty table has no classes. Other columns are not used.
     """
     sketched = materialise(_sketched(docs, text))
     copies = materialise(sketched.groupBy("key").agg(F.min("doc_id").alias("rep")))
     members = sketched.select("doc_id", "key").distinct().join(copies, "key").select("doc_id", "rep")
     reps = sketched.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    following = F.arrays_zip(F.col("sketches").alias("bucket"), F.concat(F.slice("sketches", 2, 64), F.slice("sketches", 1, 1)).alias("next"))
-    listed = reps.where(F.size("sketches") > 0).select("doc_id", "n", F.explode(following).alias("s")).select("doc_id", "n", "s.*")
+    listed = reps.where(F.size("sketches") > 0).select("doc_id", "n", F.explode("sketches").alias("bucket"))
     sizes = listed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = materialise(listed.join(sizes, "bucket"))
     score = shared.groupBy("doc_id").agg(F.sum("size").alias("score"))
-    shared = materialise(shared.join(score, "doc_id"))
-    centres = shared.groupBy("bucket").agg(F.max_by(F.struct("doc_id", "n"), F.struct("score", -F.col("doc_id"))).alias("c"))
-    near = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")
-    pairs = materialise(shared.join(centres, "bucket").withColumn("m", F.col("c.n")).where(near & (F.col("doc_id") != F.col("c.doc_id"))).select(*_ordered(F.col("doc_id"), F.col("c.doc_id"))).distinct())
-    order = Window.partitionBy("bucket", "part").orderBy("next", "doc_id")
-    before = [F.lag(F.struct("doc_id", "n"), k).over(order).alias(f"p{k}") for k in range(1, NEIGHBOURS + 1)]
-    shared = shared.withColumn("part", F.pmod(F.xxhash64("next"), F.ceil(F.col("size") / PART)))
-    lagged = shared.select("doc_id", "n", *before).select("doc_id", "n", F.explode(F.array(*(f"p{k}" for k in range(1, NEIGHBOURS + 1)))).alias("p")).where("p is not null").withColumn("m", F.col("p.n"))
-    more = materialise(lagged.where(near).select(*_ordered(F.col("doc_id"), F.col("p.doc_id"))).distinct().join(pairs, ["a", "b"], "left_anti"))
-    everyone = pairs.union(more)
-    ids = materialise(everyone.select(F.col("a").alias("doc_id")).union(everyone.select("b")).distinct())
-    numbers = materialise(_word_numbers(docs, ids, text))
+    centres = shared.join(score, "doc_id").groupBy("bucket").agg(F.max_by(F.struct("doc_id", "n"), F.struct("score", -F.col("doc_id"))).alias("c"))
+    near = F.least("n", "c.n") >= F.lit(least) * F.greatest("n", "c.n")
+    pairs = shared.join(centres, "bucket").where(near & (F.col("doc_id") != F.col("c.doc_id"))).select(*_ordered(F.col("doc_id"), F.col("c.doc_id"))).distinct()
+    numbers = materialise(_word_numbers(docs, materialise(shared.select("doc_id").distinct()), text))
     links = materialise(_verified(pairs, numbers, least))
-    roots = components(links)
-    root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-    apart = more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    links = materialise(links.union(_verified(apart, numbers, least)))
-    roots = components(links)
-    # texts that a bucket's centre isn't linked with meet more of the bucket's best, where its order may have kept them apart
-    rooted = shared.where(F.col("size") > NEIGHBOURS + 1).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    best = rooted.withColumn("_nth", F.row_number().over(Window.partitionBy("bucket", "part").orderBy(F.desc("score"), "doc_id"))).where(F.col("_nth") <= BEST)
-    best = best.select("bucket", F.col("doc_id").alias("d"), F.col("n").alias("m"), F.col("root").alias("r"))
-    main = centres.select("bucket", F.col("c.doc_id").alias("doc_id")).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", F.coalesce("root", "doc_id").alias("main"))
-    lone = rooted.join(main, "bucket").where("root != main").select("bucket", "doc_id", "n", "root").join(best, "bucket").where(near & (F.col("root") != F.col("r")))
-    rest = materialise(lone.select(*_ordered(F.col("doc_id"), F.col("d"))).distinct().join(pairs, ["a", "b"], "left_anti").join(more, ["a", "b"], "left_anti"))
-    known = numbers.select("doc_id")
-    new = materialise(rest.select(F.col("a").alias("doc_id")).union(rest.select("b")).distinct().join(known, "doc_id", "left_anti"))
-    numbers = numbers.union(materialise(_word_numbers(docs, new, text)))
-    roots = components(links.union(_verified(rest, numbers, least)))
+    rooted = materialise(shared.join(hubs(links).withColumnRenamed("key", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")))
+    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    roots = components(links.union(_connected(rooted.join(open_, "bucket", "left_semi"), numbers, least)))
     return members.join(roots, members.rep == roots.node, "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
 
 

@@ -342,11 +342,19 @@ def near_copies(r, base, n, edits):
     return out
 
 
+def common_words(a, b):
+    """The longest common subsequence, by its table."""
+    row = np.zeros(len(b) + 1, int)
+    for x in a:
+        hit = np.array([x == y for y in b], bool)
+        new = np.maximum(row[1:], np.where(hit, row[:-1] + 1, 0))
+        row = np.concatenate(([0], np.maximum.accumulate(new)))
+    return int(row[-1])
+
+
 def slow_classes(texts):
-    shingles = []
-    for t in texts:
-        w = re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower())
-        shingles.append([tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else [])
+    """All pairs by words in the same order, over all words."""
+    split = [re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower()) for t in texts]
     root = list(range(len(texts)))
 
     def top(k):
@@ -356,10 +364,10 @@ def slow_classes(texts):
 
     for i in range(len(texts)):
         for j in range(i):
-            a, b = shingles[i], shingles[j]
-            c = sum((Counter(a) & Counter(b)).values())
+            a, b = split[i], split[j]
             same = a == b and (bool(a) or (texts[i] or "") == (texts[j] or ""))
-            if same or a and b and c / (len(a) + len(b) - c) >= 0.8:
+            bag, n = sum((Counter(a) & Counter(b)).values()), len(a) + len(b)
+            if same or a and b and bag >= 0.8 * (n - bag) and (c := common_words(a, b)) >= 0.8 * (n - c):
                 x, y = top(i), top(j)
                 root[max(x, y)] = min(x, y)
     return {k: top(k) for k in range(len(texts))}
@@ -384,6 +392,34 @@ def test_near_copies_against_all_pairs(spark):
     assert near_dedup.classes(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_looser_copies_and_large_buckets(spark, monkeypatch):
+    """Copies with one word in twenty changed; and members of buckets that are dealt to several tasks, all of which meet."""
+    r = random.Random(14)
+    texts = []
+    for _ in range(60):
+        base = prose(r, r.choice([60, 150, 400])).split()
+        copy = [w if r.random() > 0.05 else r.choice(WORDS) + "x" for w in base]
+        texts += [" ".join(base), " ".join(copy)]
+    got = {x.doc_id: x.class_id for x in near_dedup.classes(docs_of(spark, texts)).collect()}
+    pairs = [k for k in range(0, len(texts), 2) if near_dedup.similarity(np.array([hash(w) for w in texts[k].split()]), np.array([hash(w) for w in texts[k + 1].split()])) >= 0.8]
+    assert len(pairs) > 50 and sum(got[k] == got[k + 1] for k in pairs) >= 0.95 * len(pairs) and len(set(got.values())) >= 60
+    monkeypatch.setattr(near_dedup, "PART", 30)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        chain = [[f"w{k}" for k in range(60)]]
+        for step in range(80):  # each is like the one before and, in the end, unlike the first
+            chain.append([w if k % 20 != step % 20 else f"v{step}" for k, w in enumerate(chain[-1])])
+        numbers = [np.array([zlib.crc32(w.encode()) for w in t], np.uint32) for t in chain]
+        order = list(range(len(chain)))
+        r.shuffle(order)
+        rows = spark.createDataFrame([(7, order[k], k, 60, len(chain)) for k in range(len(chain))] + [(8, 500 + k, 500 + k, 60, 2) for k in range(2)], "bucket long, doc_id long, root long, n int, size long")
+        words_ = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(numbers)] + [(500 + k, numbers[50 * k].tobytes()) for k in range(2)], "doc_id long, hashes binary")
+        found = [tuple(x) for x in near_dedup._connected(rows, words_, 0.8).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert partition(600, found) == {frozenset(range(len(chain)))}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(10, 40)] + [(5, 3), (3, 5), (7, 7), (100, 50), (100, 60)]
     got = {tuple(x) for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
