@@ -114,6 +114,17 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with these values of doc_id, and the others, where they are few enough to broadcast; else all of them, and none.
+
+    Only the first then need be shuffled to meet what is known of them.
+    """
+    ids = materialise(ids.distinct())
+    if ids.count() > BROADCAST_ROWS:
+        return docs, None
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi").select(*docs.columns), docs.join(F.broadcast(ids), "doc_id", "left_anti").select(*docs.columns)
+
+
 def hash_share(rows: int, of: float) -> int:
     """How many of the 2**32 values of a hash to keep, so that of ``of`` rows ``rows`` are left almost surely, and few more."""
     return min(1 << 32, int((rows + 6 * rows**0.5 + 50) / max(1, of) * (1 << 32)))

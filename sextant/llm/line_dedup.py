@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import BROADCAST_ROWS, WORD_BYTES, components, hashed_coded, hashed_flat, hubs, materialise, mixed, pieces, utf8
+from sextant.llm.common import BROADCAST_ROWS, WORD_BYTES, components, hashed_coded, hashed_flat, hubs, materialise, mixed, parted, pieces, utf8
 
 #: Bits in which the SimHashes of two linked lines of LONG words or more may differ: unrelated lines differ in some 32.
 BITS = 20
@@ -20,7 +20,7 @@ FEWEST = 4
 #: Lines of up to SHORT words meet by what is left without one word, of PAIRED words also without two; lines of LONG words or more
 #: by the least hash of their runs of GRAM bytes in each of BINS bins of hashes. The ranges overlap, as edits join and split words.
 SHORT, PAIRED, LONG = 13, range(6, 11), 11
-GRAM, BINS = 16, 6
+GRAM, BINS = 16, 5
 #: Members of a bucket that are compared in one task; larger buckets are dealt in squares of two such parts.
 PART = 4_000
 _RANDOM = np.random.default_rng(33)
@@ -287,6 +287,9 @@ def alike_pairs(texts: list[bytes], i: np.ndarray, j: np.ndarray, least: float =
     return out
 
 
+#: Counters of a line's pairs of bytes.
+COUNTERS = 96
+
 #: ``size`` is the number of bytes, negative for lines of fewer words than LONG.
 COLUMNS = ("block", "key", "sim", "size")
 
@@ -308,6 +311,18 @@ def _edges(*columns: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(fresh) + 1, [n])) if n else np.zeros(1, np.int64)
 
 
+def pair_counts(texts: list[bytes]) -> np.ndarray:
+    """How many of each text's pairs of neighbouring bytes there are, by hash in COUNTERS counters."""
+    lengths = np.array([len(x) for x in texts])
+    every = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+    inside = np.ones(len(every), bool)
+    inside[np.cumsum(lengths)[lengths > 0] - 1] = False
+    spots = np.flatnonzero(inside)
+    slots = (every[spots] * 31 + every[spots + 1] * 7) % COUNTERS
+    owner = np.repeat(np.arange(len(texts)), lengths)[spots]
+    return np.bincount(owner * COUNTERS + slots, minlength=len(texts) * COUNTERS).reshape(-1, COUNTERS).astype(np.int32)
+
+
 def spanning(group: np.ndarray, key: np.ndarray, sim: np.ndarray, signed: np.ndarray, texts: list[bytes], least: float, part: np.ndarray | None = None, known: np.ndarray | None = None, bins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what all alike pairs within groups connect: as many as there are rows at most.
 
@@ -338,6 +353,8 @@ def spanning(group: np.ndarray, key: np.ndarray, sim: np.ndarray, signed: np.nda
             chosen = [texts[k] for k in first_row[own].tolist()]
             mins[own], some[own] = least_runs(chosen, np.array([x.count(b" ") + 1 for x in chosen]))
         at_bin = np.where(some[node] & (mins[node] == bins.view(np.uint64)[:, None]), np.arange(BINS), BINS).min(1) % BINS  # 0: by left-out words, or first
+    counts = pair_counts([texts[k] for k in first_row.tolist()])
+    most = (1 - least) * np.abs(signed[first_row]) + 1e-9
     found: list[tuple[int, int]] = []
     waiting: list[np.ndarray] = []
     rows, p, upto = np.arange(len(group)), 0, 1
@@ -353,8 +370,11 @@ def spanning(group: np.ndarray, key: np.ndarray, sim: np.ndarray, signed: np.nda
                 late = np.flatnonzero(ok & (at_bin[rows] > 0))
                 x2, y2 = x[late], y[late]
                 ok[late[((mins[x2] == mins[y2]) & some[x2] & some[y2] & (np.arange(BINS) < at_bin[rows[late]][:, None])).any(1)]] = False
-            if ok.any():
-                waiting.append(np.minimum(x[ok], y[ok]) << 32 | np.maximum(x[ok], y[ok]))
+            x, y = x[ok], y[ok]
+            for at in range(0, len(x), 4096):
+                u, v = x[at : at + 4096], y[at : at + 4096]
+                few = np.abs(counts[u] - counts[v]).sum(1, dtype=np.int32) <= 4 * np.maximum(most[u], most[v])  # an edit is in two pairs of bytes before and after
+                waiting.append(np.minimum(u[few], v[few]) << 32 | np.maximum(u[few], v[few]))
         p += 1
         if waiting and (not len(rows) or p >= upto or sum(map(len, waiting)) > 100_000):
             both = np.unique(np.concatenate(waiting))
@@ -577,9 +597,9 @@ def deduplicate(docs: DataFrame, *, text: str = "text", least: float = SIMILARIT
     """
     docs = docs.drop("n_lines", "n_removed")
     mark = "_gone" + "_" * max(map(len, docs.columns))  # no column of docs
-    gone = repeated_lines(docs, text=text, least=least).groupBy("doc_id").agg(F.collect_set("line").alias(mark))
-    joined = docs.join(gone, "doc_id", "left")
-    kept = docs.columns
+    gone = materialise(repeated_lines(docs, text=text, least=least).groupBy("doc_id").agg(F.collect_set("line").alias(mark)))
+    concerned, others = parted(docs, gone.select("doc_id"))
+    joined, kept = concerned.join(gone, "doc_id", "left"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
@@ -594,7 +614,9 @@ def deduplicate(docs: DataFrame, *, text: str = "text", least: float = SIMILARIT
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=[*kept, "n_lines", "n_removed"])
 
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
-    return joined.select(*kept, mark).mapInArrow(run, f"{fields}n_lines long, n_removed long")
+    joined = joined.select(*kept, mark)
+    joined = joined if others is None else joined.union(others.withColumn(mark, F.lit(None).cast("array<int>")))
+    return joined.mapInArrow(run, f"{fields}n_lines long, n_removed long")
 
 
 def digest(done: DataFrame) -> DataFrame:

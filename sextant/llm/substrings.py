@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import BROADCAST_ROWS, materialise, mixed, pieces, utf8
+from sextant.llm.common import materialise, mixed, parted, pieces, utf8
 
 LENGTH = 100
 #: Bytes of an anchor, and how many starts of one each string of LENGTH bytes has: the anchor with the least hash stands for the string.
@@ -414,17 +414,6 @@ def _merged(strings: DataFrame, buckets: int) -> DataFrame:
     return strings.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(of_bucket, "doc_id long, spot long")
 
 
-def _parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """``docs`` with these ids, and the others, where the ids are few enough to broadcast; else all of them, and none.
-
-    Only the first then need be shuffled to meet what is known of them.
-    """
-    ids = materialise(ids.distinct())
-    if ids.count() > BROADCAST_ROWS:
-        return docs, None
-    return docs.join(F.broadcast(ids), "doc_id", "left_semi"), docs.join(F.broadcast(ids), "doc_id", "left_anti")
-
-
 def repeats(docs: DataFrame, *, text: str = "text", split: int = SPLIT, shard: int = SHARD) -> DataFrame:
     """Stretches of starts (doc_id, spot) whose LENGTH bytes also start earlier, for all of ``docs``; see remove_repeats."""
     decided = materialise(_repeated(_anchored(docs, text), split))
@@ -434,7 +423,7 @@ def repeats(docs: DataFrame, *, text: str = "text", split: int = SPLIT, shard: i
     if not size:
         return known
     by_doc = rows.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "own", "spot", "part", "split")).alias("spots"))
-    concerned, _ = _parted(docs.select("doc_id", text), rows.select("doc_id"))
+    concerned, _ = parted(docs.select("doc_id", text), rows.select("doc_id"))
     context = "anchor long, own long, doc_id long, spot long, part long, split boolean, bytes binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,7 +456,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", split: int = SPLIT, s
     """
     spots = materialise(repeats(docs, text=text, split=split, shard=shard))
     by_doc = spots.groupBy("doc_id").agg(F.collect_list("spot").alias("spots"))
-    concerned, others = _parted(docs.select("doc_id", text), spots.select("doc_id"))
+    concerned, others = parted(docs.select("doc_id", text), spots.select("doc_id"))
     joined = concerned.join(by_doc, "doc_id", "left")
     if others is not None:
         joined = joined.unionByName(others.withColumn("spots", F.lit(None).cast("array<long>")))
