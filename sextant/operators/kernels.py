@@ -28,13 +28,20 @@ def ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     return b, e, float(e @ e)
 
 
+def inverse(m: np.ndarray) -> np.ndarray:
+    """The inverse of a matrix of products, of columns of whatever scale; generalised where columns depend on each other."""
+    d = np.sqrt(np.clip(np.diag(m), 0, None))
+    d = np.where(d > 0, d, 1)
+    return np.linalg.pinv(m / np.outer(d, d)) / np.outer(d, d)
+
+
 def _adf_fit(v: np.ndarray, lags: int, rows: int, constant: bool) -> tuple[float, float]:
     """The t value of the level and the information criterion, over the last ``rows`` rows."""
     d = np.diff(v)
     x = np.column_stack([v[:-1][-rows:], *(d[len(d) - rows - k : len(d) - k] for k in range(1, lags + 1)), *([np.ones(rows)] if constant else [])])
     y = d[-rows:]
     b, _, ss = ols(x, y)
-    cov = np.linalg.pinv(x.T @ x) * ss / max(1, rows - x.shape[1])
+    cov = inverse(x.T @ x) * ss / max(1, rows - x.shape[1])
     likelihood = -rows / 2 * (np.log(2 * np.pi) + np.log(max(ss, 1e-300) / rows) + 1)
     return float(b[0] / np.sqrt(max(cov[0, 0], 1e-300))), -2 * likelihood + 2 * x.shape[1]
 
@@ -132,13 +139,13 @@ def ols_hac(x: np.ndarray, y: np.ndarray, lags: int = 12) -> dict:
     for k in range(1, min(lags, len(y) - 1) + 1):
         g = u[k:].T @ u[:-k]
         meat += (1 - k / (lags + 1)) * (g + g.T)
-    bread = np.linalg.pinv(x.T @ x)
+    bread = inverse(x.T @ x)
     cov = bread @ meat @ bread
     se = np.sqrt(np.clip(np.diag(cov), 1e-300, None))
     t, df = b / se, len(y) - x.shape[1]
     r2 = 1 - ss / max(1e-300, ((y - y.mean()) ** 2).sum())
     k = x.shape[1] - 1
-    f = float(b[1:] @ np.linalg.pinv(cov[1:, 1:]) @ b[1:] / k) if k else 0.0
+    f = float(b[1:] @ inverse(cov[1:, 1:]) @ b[1:] / k) if k else 0.0
     return {"coef": b.tolist(), "t": t.tolist(), "p": [student_two_sided(v, df) for v in t], "ci_low": (b - 1.96 * se).tolist(), "ci_high": (b + 1.96 * se).tolist(), "r2": float(r2), "f": f, "f_p": f_tail(f, k, df) if k else 1.0}
 
 

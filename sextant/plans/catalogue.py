@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from sextant.functions.columns import average_rank, pearson, ratio, tidy
 from sextant.functions.periods import YEAR, period_end
 from sextant.functions.transforms import TRANSFORMS, apply_transform, lag
-from sextant.operators import analogues, backtest, events, quality, registry, statistics, strategy, studies, vintage
+from sextant.operators import analogues, asof, backtest, events, quality, registry, statistics, strategy, studies, vintage
 from sextant.operators.asof import asof_join
 from sextant.operators.grid import Predictor, build_grid, plan_features
 from sextant.operators.kernels import adf, block_bootstrap, case_bootstrap, correlation, engle_granger, granger, johansen, kpss, ols_hac, per_series, stl, strength
 from sextant.operators.rollup import apply_release_lag, rollup, rollup_audit
+from sextant.sources import files
 from sextant.sources.nested import p_value
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -621,6 +622,65 @@ def lag_stability(spark, d):
     got = studies.lag_stability(pairs(spark, d), [1, 2, 5], window=12)
     return got.select("series_id", "lag", "n", tidy("r", 5).alias("r"), tidy("rolling_pct_positive", 5).alias("rolling_pct_positive"), "stability")
 
+# More joins in time, event studies, and what kernels give where a fixed number of lags has a relational form.
+
+
+@query(f"WITH {PRICES}, ask AS (SELECT ticker, date + 3 AS at FROM prices WHERE day(date) % 10 = 4) SELECT a.ticker, a.at, min(r.rn) AS anchor_rn FROM ask a LEFT JOIN rets r ON a.ticker = r.ticker AND r.date >= a.at GROUP BY 1, 2")
+def anchor_forward(spark, d):
+    """The first trading row at or after a day, which need not be one."""
+    asked = _prices(spark, d).where(F.day("date") % 10 == 4).select("ticker", F.date_add("date", 3).alias("at"))
+    return events.anchored(asked, events.returns(_prices(spark, d)), event_date="at", forward=True).select("ticker", "at", F.col("anchor_rn").cast("long").alias("anchor_rn"))
+
+
+@query(f"WITH {PRICES}, ev AS (SELECT ticker || '-' || date AS event_id, ticker, date FROM prices WHERE day(date) = 7) SELECT event_id, count(*) AS days, round(avg(close), 2) + 0.0 AS mean_close FROM ev e JOIN prices p ON e.ticker = p.ticker AND p.date BETWEEN e.date - 30 AND e.date - 2 GROUP BY 1")
+def calendar_window(spark, d):
+    rows = asof.calendar_window(_events(spark, d), _prices(spark, d), key="ticker", event_date="catalyst_date", date="date", low=-30, high=-2)
+    return rows.groupBy("event_id").agg(F.count(F.lit(1)).alias("days"), tidy(F.avg("close"), 2).alias("mean_close"))
+
+
+@query(f"""WITH {PRICES}, market AS (SELECT CAST(o_orderdate AS DATE) AS date, round(avg(o_totalprice), 2) AS close FROM orders GROUP BY 1), mr AS (SELECT date, close / nullif(lag(close) OVER (ORDER BY date), 0) - 1 AS m FROM market), ar AS (SELECT ticker, r.date, ret - m AS ar, row_number() OVER (PARTITION BY ticker ORDER BY r.date) AS rn FROM rets r JOIN mr ON r.date = mr.date),
+    ev AS (SELECT p.ticker || '-' || p.date AS event_id, p.ticker, min(a.rn) AS a FROM prices p JOIN ar a ON a.ticker = p.ticker AND a.date >= p.date WHERE day(p.date) = 7 GROUP BY 1, 2), w AS (SELECT event_id, rn - a AS offset_, ar FROM ev JOIN ar ON ev.ticker = ar.ticker AND rn BETWEEN a - 5 AND a + 5), f AS (SELECT * FROM w QUALIFY count(ar) OVER (PARTITION BY event_id) = 11), dd AS (SELECT offset_, avg(ar) AS m FROM f GROUP BY 1)
+    SELECT CAST(offset_ AS INTEGER) AS "offset", round(m, 4) + 0.0 AS mean_ar, round(sum(m) OVER (ORDER BY offset_), 4) + 0.0 AS caar, (SELECT round(avg(c) / (stddev_samp(c) / sqrt(count(c))), 4) + 0.0 FROM (SELECT sum(ar) AS c FROM f GROUP BY event_id)) AS t FROM dd""")
+def event_study_caar(spark, d):
+    o = read(spark, d, "orders", "o_orderdate", "o_totalprice")
+    market = o.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.round(F.avg("o_totalprice"), 2).alias("close"))
+    got = events.abnormal_returns(_events(spark, d), _prices(spark, d), market, -5, 5)
+    return got.select(F.col("offset").cast("int").alias("offset"), tidy("mean_ar", 4).alias("mean_ar"), tidy("caar", 4).alias("caar"), tidy("t", 4).alias("t"))
+
+
+@query(f"WITH {FEATURES} SELECT event_id, round(coalesce((event_reaction - avg(event_reaction) OVER w) / nullif(stddev_samp(event_reaction) OVER w, 0), CASE WHEN event_reaction IS NOT NULL THEN 0.0 END), 4) + 0.0 AS z FROM feats WINDOW w AS (PARTITION BY ticker)")
+def event_zscore(spark, d):
+    got = events.zscore(events.event_features(_events(spark, d), _prices(spark, d)), "event_reaction", ["ticker"])
+    return got.select("event_id", tidy("z_event_reaction", 4).alias("z"))
+
+
+@query(f"WITH {MONTHLY}, c AS (SELECT 0 AS k, * FROM monthly WHERE obs_date < DATE '1999-01-01' UNION ALL SELECT 1, series_id, obs_date, value + 1 FROM monthly WHERE obs_date > DATE '1998-01-01') SELECT series_id, obs_date, round(arg_min(value, k), 2) + 0.0 AS value FROM c GROUP BY 1, 2")
+def stitched_keep_first(spark, d):
+    m = monthly(spark, d)
+    later = m.where(F.col("obs_date") > "1998-01-01").withColumn("value", F.col("value") + 1)
+    return files.stitched([m.where(F.col("obs_date") < "1999-01-01"), later]).select("series_id", "obs_date", tidy("value", 2).alias("value"))
+
+
+@query("WITH n AS (SELECT n_nationkey AS k FROM nation), s AS (SELECT count(*) AS sources, count(*) FILTER (WHERE k % 2 = 1) AS listed, count(*) FILTER (WHERE k % 2 = 0 AND k % 5 <> 0) AS made FROM n) SELECT 'sources' AS view, sources AS n FROM s UNION ALL SELECT 'fields', listed FROM s UNION ALL SELECT 'join_keys', 0 FROM s UNION ALL SELECT 'datasets without a source', 0 FROM s UNION ALL SELECT 'datasets', listed + made FROM s")
+def registry_healthcheck(spark, d):
+    return registry.healthcheck(_catalog(spark, d)).select("view", "n")
+
+
+@query(f"""WITH {PAIRS}, s AS (SELECT series_id, count(*) AS n, sum(p) AS sx, sum(p * p) AS sxx, regr_slope(t, p) AS b, regr_intercept(t, p) AS a, regr_r2(t, p) AS r2 FROM pairs GROUP BY 1), u AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY obs_date) AS i, (t - a - b * p) * (n * p - sx) / (n * sxx - sx * sx) AS u FROM pairs JOIN s USING (series_id)),
+    v AS (SELECT x.series_id, sum(CASE WHEN x.i = y.i THEN 1 ELSE 2 * (1 - (x.i - y.i) / 13.0) END * x.u * y.u) AS var FROM u x JOIN u y ON x.series_id = y.series_id AND x.i - y.i BETWEEN 0 AND 12 GROUP BY 1) SELECT series_id, round(b, 5) + 0.0 AS slope, round(b / sqrt(var), 4) + 0.0 AS t, round(r2, 5) + 0.0 AS r2 FROM s JOIN v USING (series_id)""")
+def ols_hac_slope(spark, d):
+    got = per_series(pairs(spark, d), ["series_id"], "obs_date", lambda rows: {"slope": (m := ols_hac(rows["p"].to_numpy(float)[:, None], rows["t"].to_numpy(float)))["coef"][1], "t": m["t"][1], "r2": m["r2"]}, "slope double, t double, r2 double")
+    return got.select("series_id", tidy("slope", 5).alias("slope"), tidy("t", 4).alias("t"), tidy("r2", 5).alias("r2"))
+
+
+@query(f"""WITH {PANEL}, e AS (SELECT series_id, obs_date, value - avg(value) OVER (PARTITION BY series_id) AS e, row_number() {W} AS i, count(*) OVER (PARTITION BY series_id) AS n FROM panel), g AS (SELECT x.series_id, x.i - y.i AS k, any_value(x.n) AS n, sum(x.e * y.e) AS g FROM e x JOIN e y ON x.series_id = y.series_id AND x.i >= y.i GROUP BY 1, 2),
+    b AS (SELECT series_id, any_value(n) AS n, sum(CASE WHEN k = 0 THEN g / n WHEN k <= floor(pow(n, 2.0 / 9)) THEN 2 * g / n ELSE 0 END) AS s0, sum(CASE WHEN k BETWEEN 1 AND floor(pow(n, 2.0 / 9)) THEN 2 * k * g / n ELSE 0 END) AS s1 FROM g GROUP BY 1), l AS (SELECT series_id, n, least(n - 1, CAST(floor(1.1447 * pow(pow(s1 / s0, 2), 1.0 / 3) * pow(n, 1.0 / 3)) AS BIGINT)) AS lags FROM b),
+    r AS (SELECT series_id, any_value(lags) AS lags, sum(CASE WHEN k = 0 THEN g / l.n WHEN k <= lags THEN 2 * (1 - k / (lags + 1.0)) * g / l.n ELSE 0 END) AS long_run FROM g JOIN l USING (series_id) GROUP BY 1), c AS (SELECT series_id, sum(s * s) / any_value(n * n) AS ss FROM (SELECT series_id, n, sum(e) OVER (PARTITION BY series_id ORDER BY i) AS s FROM e) GROUP BY 1)
+    SELECT series_id, round(ss / long_run, 5) + 0.0 AS stat, CAST(lags AS INTEGER) AS lags FROM r JOIN c USING (series_id)""")
+def kpss_statistic(spark, d):
+    got = per_series(panel(spark, d), ["series_id"], "obs_date", lambda rows: dict(zip(("stat", "p", "lags"), kpss(rows["value"].to_numpy(float)), strict=True)), "stat double, p double, lags int")
+    return got.select("series_id", tidy("stat", 5).alias("stat"), "lags")
+
 
 # Kernels: no SQL; held against numpy and published values in tests.
 

@@ -376,3 +376,12 @@ def test_weights_from_a_file(tmp_path):
         (tmp_path / "w.yaml").write_text(text)
         with pytest.raises(specs.SpecError):
             specs.load_weights(tmp_path / "w.yaml")
+
+
+def test_kernels_do_not_depend_on_units():
+    r = np.random.default_rng(5)
+    x = r.normal(size=90).cumsum()
+    y = 0.3 * x + r.normal(size=90)
+    a, b = kernels.ols_hac(x[:, None], y), kernels.ols_hac(1e9 + 1e7 * x[:, None], 1e7 * y)
+    assert math.isclose(a["t"][1], b["t"][1], rel_tol=1e-5) and math.isclose(a["f"], b["f"], rel_tol=1e-5)
+    assert math.isclose(kernels.adf(x)[0], kernels.adf(1e8 * x)[0], rel_tol=1e-6)
