@@ -85,7 +85,12 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p", q: float = 0.05, by: list
 
 
 def bonferroni(tests: DataFrame, p: str = "p", alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
-    return tests.withColumn("rejected", F.coalesce(F.col(p) <= F.lit(alpha) / F.count(F.lit(1)).over(Window.partitionBy(*(by or [F.lit(0)]))), F.lit(False)))
+    """``tests`` with ``rejected``: p within alpha over the number of tests of the group; groups are counted, never gathered."""
+    by = by or []
+    keyed = tests.withColumn("_all", F.lit(0))
+    counts = keyed.groupBy("_all", *by).agg(F.count(F.lit(1)).alias("_m"))
+    joined = keyed.join(F.broadcast(counts) if not by else counts, ["_all", *by])  # without groups one row
+    return joined.withColumn("rejected", F.coalesce(F.col(p) <= F.lit(alpha) / F.col("_m"), F.lit(False))).select(*tests.columns, "rejected")
 
 
 def moments(rows: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
