@@ -133,7 +133,7 @@ def audio_columns(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``docs`` with ``n_bytes``, ``media`` (a WAV file of the text's bytes) and ``tensors`` (Arrow stream, see to_tensors) for ``text``.
 
     The text's UTF-8 bytes, null as none, are the samples, with bytes of 255 appended up to a positive multiple of 576; so an
-    empty text gives 576 samples. Each row depends on its own text alone; equal texts get equal bytes. Memory is bounded by
+    empty text gives 576 samples; an empty table gives an empty table. Each row depends on its own text alone; equal texts get equal bytes. Memory is bounded by
     4 MB of text, or one text if longer. Columns by the names of the result are replaced.
     """
     docs = docs.drop("n_bytes", "media", "tensors")

@@ -295,7 +295,8 @@ def held_out(doc_id: str = "doc_id"):
 def score(docs: DataFrame, model: Network, *, text: str = "text") -> DataFrame:
     """``docs`` with ``score``: the model's probability, 0 to 1, that the text is toxic.
 
-    Null and empty texts are scored as one window without words. Each text is scored by itself, whole; nothing is shuffled, and
+    Null and empty texts are scored as one window without words, rows without an id like others; repeated rows get equal scores and
+    an empty table gives an empty one. Each text is scored by itself, whole; nothing is shuffled, and
     memory is bounded by 2 MB of text or one longer text. A column by the name of the result is replaced.
     """
     docs = docs.drop("score")

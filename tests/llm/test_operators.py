@@ -91,6 +91,16 @@ def test_crf_finds_held_out_entities_and_its_sums_are_right():
     assert [(spans[k][0], spans[k][1], y) for k, y in best] == crf._best(4, spans, scores)
 
 
+def test_many_spans_take_linear_time():
+    """Base and added spans by the thousand: each added one is held against what is near it only."""
+    text = "write a.b@c.de or call 743-555-3824 now, jo (at) anmita (dot) info\n" * 3000
+    base = pii.base_spans(text)
+    added = pii.added_spans(text, pii.trained(), base)
+    assert len(base) == 3000 and len(added) >= 3000
+    spans = sorted((a, b) for _, a, b in base + added)
+    assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+
+
 def test_personal_data_query(spark):
     texts = [None, "", "mail a.b@c.de now", "write to jo (at) anmita (dot) info or call 743-555-3824 ok", "é" * 50_000 + " 10.1.2.3"]
     got = table(pii.digest(pii.find(docs_of(spark, texts))))
@@ -153,6 +163,30 @@ def test_toxicity_held_out(spark):
     assert one.scores([b"anything", b""]).max() < 0.5
 
 
+def test_training_rows_and_query(spark, tmp_path):
+    """No held-out row is learned from; labels that are missing, repeated or contradict each other; the query on whole tables."""
+    from sextant.llm.queries import op2_toxicity
+
+    made = make_toxic(300, 4)
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(made)] + [(0, made[0][0]), (900, None), (901, ""), (None, "no id"), (902, "y" * 300_000)], "doc_id long, text string")
+    known = [(k, y) for k, (_, y) in enumerate(made)] + [(7, 1), (7, 0), (8, None), (None, 1), (900, 0), (902, 1), (5000, 1)]
+    labels = spark.createDataFrame(known, "doc_id long, toxic int")
+    out_of = {k for k in range(6000) if zlib.crc32(str(k).encode()) % 5 == 0}
+    texts, y, rate = toxicity.training_rows(docs, labels, toxic=500, other=1000)
+    allowed = {t.encode(): v for k, (t, v) in enumerate(made) if k not in out_of}
+    assert set(texts) - {b""} <= set(allowed) and len(texts) == len(set(texts)) + texts.count(b"") - (b"" in texts) and 0.2 < rate < 0.5
+    assert all(v == allowed[t] for t, v in zip(texts, y, strict=True) if t and t != made[7][0].encode()) and 7 not in out_of and dict(zip(texts, y, strict=True))[made[7][0].encode()] == 1
+    few, _, _ = toxicity.training_rows(docs, labels, toxic=9, other=11)
+    assert len(few) <= 20 and set(few) <= set(texts)
+    assert toxicity.training_rows(docs, labels.limit(0), toxic=9, other=9)[:2] == ([], [])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = op2_toxicity(spark, str(tmp_path)).collect()
+    assert len(rows) == docs.count() and all(r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
+    assert {r.doc_id for r in rows if r.held_out} == out_of & {r.doc_id for r in rows} and [r.held_out for r in rows if r.doc_id is None] == [None]
+    assert np.mean([(r.predicted == made[r.doc_id][1]) for r in rows if r.held_out and r.doc_id < 300]) > 0.9
+
+
 def test_every_window_is_scored():
     index, mask, bag = toxicity.windows([np.arange(n) for n in (0, 1, 48, 49, 200)])
     for k, n in enumerate((0, 1, 48, 49, 200)):
