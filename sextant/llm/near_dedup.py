@@ -283,12 +283,13 @@ def classes(docs: DataFrame, *, text: str = "text", least: float = SIMILARITY) -
     return members.join(roots, members.rep == roots.node, "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
 
 
-def deduplicate(docs: DataFrame, *, text: str = "text", least: float = SIMILARITY) -> DataFrame:
+def deduplicate(docs: DataFrame, *, text: str = "text", least: float = SIMILARITY, judged: DataFrame | None = None) -> DataFrame:
     """``docs`` with one document of each class, the one with the smallest id, and of repeated rows of an id one, that with the smallest text.
 
-    Rows without an id stay. Of the rest only ids are shuffled, and the rows of ids that are there several times.
+    ``judged`` (doc_id, text) has other texts of the same ids, by which classes are found. Rows without an id stay. Of the rest
+    only ids are shuffled, and the rows of ids that are there several times.
     """
-    found = classes(docs, text=text, least=least)
+    found = classes(docs if judged is None else judged, text=text, least=least)
     gone = materialise(found.where("doc_id != class_id").select("doc_id").distinct())
     kept = docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
     repeated = materialise(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))

@@ -91,12 +91,15 @@ def test_stages_on_repeated_rows_nulls_and_one_class_of_labels(spark, tmp_path):
     assert count["near_dedup"] == count["decontamination"] == ["1", "2", "4", "None", "None"] and set(count["packing"]) == {"1", "2", "4", "None"}
 
 
-def test_what_is_left_of_near_copies_goes(spark, tmp_path):
-    """A document with most of its lines in others goes with them; one with a shared line among its own stays."""
+def test_near_copies_go_by_their_whole_texts(spark, tmp_path):
+    """What line dedup leaves of a near copy is unlike the rest, yet goes as a near copy; a document with a line of another's stays."""
     r = random.Random(8)
     lines = [prose(r, 12) for _ in range(10)]
     changed = [*lines[:9], prose(r, 12)]
     own = [prose(r, 12) for _ in range(5)]
     docs = written(spark, tmp_path, ["\n".join(lines), "\n".join(changed), "\n".join([*own, lines[0]])], [])
-    left = {x.doc_id: x.text for x in corpus_pipeline.without_repeated_lines(spark, docs, str(tmp_path)).collect()}
-    assert left == {0: "\n".join(lines), 2: "\n".join(own)}
+    left = corpus_pipeline.without_repeated_lines(spark, docs, str(tmp_path))
+    assert {x.doc_id: x.text for x in left.collect()} == {0: "\n".join(lines), 1: changed[9], 2: "\n".join(own)}
+    other = spark.createDataFrame([(50, changed[9], "en", "x", 1), (51, changed[9] + "!", "en", "x", 1)], left.schema)
+    kept = corpus_pipeline.without_near_copies(spark, left.union(other), str(tmp_path))
+    assert {x.doc_id: x.text for x in kept.collect()} == {0: "\n".join(lines), 2: "\n".join(own), 50: changed[9]}
