@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import BROADCAST_ROWS, WORD_BYTES, components, hashed_coded, hashed_flat, hubs, materialise, mixed, parted, pieces, utf8
+from sextant.llm.common import BROADCAST_ROWS, WORD_BYTES, components, hubs, materialise, mixed, parted, pieces, utf8
 
 #: Bits in which the SimHashes of two linked lines of LONG words or more may differ: unrelated lines differ in some 32.
-BITS = 20
+BITS = 18
 SIMILARITY = 0.9
 #: Lines of fewer words are only compared as they are: one word more or less makes them another line.
 FEWEST = 4
@@ -29,40 +29,71 @@ _PLACES = _RANDOM.integers(1, 1 << 63, SHORT, dtype=np.uint64) | np.uint64(1)
 LINE_BYTES = bytes(10 if b == 10 else c for b, c in enumerate(WORD_BYTES))
 
 
-def split_lines(text: bytes) -> list[list[bytes]]:
-    """The words of each line; lower case, punctuation is white space."""
-    return [line.split() for line in text.translate(LINE_BYTES).split(b"\n")]
+class Lines:
+    """The lines with words of some texts, as flat arrays: texts follow one another with a newline between."""
+
+    def __init__(self, texts: list[bytes]):
+        raw = np.frombuffer(b"\n".join(texts).translate(LINE_BYTES) + b"\n", np.uint8)
+        word = raw > 32
+        before = np.concatenate(([False], word[:-1]))
+        starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(~word & before)
+        newline = np.flatnonzero(raw == 10)
+        number = np.searchsorted(newline, starts)  # of the line in all texts
+        first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1]))) if len(number) else np.zeros(0, np.int64)
+        #: Words of each line, and its number among all lines; bytes of each line, with one space between words.
+        self.sizes, self.number = np.diff(np.append(first, len(starts))), number[first]
+        lengths = ends - starts
+        self.bytes = (np.add.reduceat(lengths, first) + self.sizes - 1) if len(first) else np.zeros(0, np.int64)
+        #: All words with a byte after each, and where words begin.
+        self.buffer = np.concatenate((raw[word | before], np.zeros(GRAM + 8, np.uint8)))
+        self.starts = np.cumsum(lengths + 1) - lengths - 1
+        self.first = first
+        self.words = word_numbers(self.buffer, self.starts, lengths)
+
+    def of_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The text of each line, and its number there."""
+        counts = np.array([x.count(b"\n") + 1 for x in texts])
+        base = np.cumsum(counts) - counts
+        owner = np.searchsorted(base, self.number, side="right") - 1
+        return owner, self.number - base[owner]
+
+
+def word_numbers(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each word, eight bytes of all words at a time."""
+    eight = np.ndarray((len(buffer) - 7,), np.dtype("<u8"), buffer, strides=(1,))
+    out = lengths.astype(np.uint64) * _GRAM[0]
+    left, which = lengths, np.arange(len(starts))
+    at = starts
+    while len(which):
+        keep = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.minimum(left, 8).astype(np.uint64) * np.uint64(8))
+        out[which] = mixed(out[which] * _GRAM[1] + (eight[at] & keep))
+        longer = left > 8
+        which, at, left = which[longer], at[longer] + 8, left[longer] - 8
+    return out
 
 
-def signatures(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Of lines that have words: a key of the words in their order, and the SimHash of the words."""
-    sizes = np.array([len(x) for x in lines])
-    distinct, index = hashed_coded([w for x in lines for w in x])
-    flat = distinct[index]
-    starts = np.cumsum(sizes) - sizes
+def signatures(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line a key of its words in their order, and the SimHash of the words."""
+    sizes, starts, flat = lines.sizes, lines.first, lines.words
     place = (np.arange(len(flat)) - np.repeat(starts, sizes)).astype(np.uint64)
     key = mixed(np.add.reduceat(mixed(flat + place * np.uint64(0x9E3779B97F4A7C15)), starts) + sizes.astype(np.uint64))
-    bits = np.unpackbits(distinct.view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)  # a byte for each bit, eight to a number
+    bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)  # a byte for each bit, eight to a number
     parts = -(-sizes // 255)  # of up to 255 words, so that no byte runs over
     first = np.cumsum(parts) - parts
     at = (np.arange(parts.sum()) - np.repeat(first, parts)) * 255 + np.repeat(starts, parts)
-    ones = np.add.reduceat(bits[index], at, axis=0).view(np.uint8).astype(np.int32)
+    ones = np.add.reduceat(bits, at, axis=0).view(np.uint8).astype(np.int32)
     ones = ones if len(ones) == len(sizes) else np.add.reduceat(ones, first, axis=0)
     return key.view(np.int64), np.packbits(2 * ones > sizes[:, None], axis=1).view(np.int64).ravel()
 
 
-def least_runs(texts: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of lines of ``sizes`` words the least hash of their runs in each bin, and where there is one. A run is the GRAM bytes from a word's first on."""
-    every = b" " + b" ".join(texts) + bytes(GRAM + 8)
-    at = np.flatnonzero(np.frombuffer(every, np.uint8) == 0x20)[: sizes.sum()] + 1
-    line = np.repeat(np.arange(len(texts)), sizes)
-    ends = 1 + np.cumsum([len(x) + 1 for x in texts]) - 1
+def least_in_bins(buffer: np.ndarray, at: np.ndarray, line: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of n lines the least hash of their runs in each bin, and where there is one. A run is the GRAM bytes from a word's first (``at``, of ``line``) on, inside the line."""
     inside = at + GRAM <= ends[line]
     at, line = at[inside], line[inside]
-    eight = np.ndarray((len(every) - 7,), np.dtype("<u8"), every, strides=(1,))
+    eight = np.ndarray((len(buffer) - 7,), np.dtype("<u8"), buffer, strides=(1,))
     runs = mixed(eight[at] * _GRAM[0] + eight[at + 8] * _GRAM[1])
     kind = (runs >> np.uint64(40)).astype(np.uint8) % np.uint8(BINS)
-    least, some = np.zeros((len(texts), BINS), np.uint64), np.zeros((len(texts), BINS), bool)
+    least, some = np.zeros((n, BINS), np.uint64), np.zeros((n, BINS), bool)
     for k in range(BINS):
         spots = np.flatnonzero(kind == k)
         if len(spots):
@@ -73,24 +104,32 @@ def least_runs(texts: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     return least, some
 
 
-def blocks(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of lines, as number of the line and of the bucket, in the order of lines; lines of fewer words than FEWEST are in none."""
-    sizes = np.array([len(x) for x in lines])
+def least_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """least_in_bins of normalised lines."""
+    buffer = np.frombuffer(b" ".join(texts) + b" " + bytes(GRAM + 8), np.uint8)
+    lengths = np.array([len(x) + 1 for x in texts])
+    at = np.concatenate(([0], np.flatnonzero(buffer[: lengths.sum() - 1] == 32) + 1))
+    return least_in_bins(buffer, at, np.searchsorted(np.cumsum(lengths), at, side="right"), np.cumsum(lengths) - 1, len(texts))
+
+
+def blocks(lines: Lines, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of chosen lines, as place among those and number of the bucket, in their order; lines of fewer words than FEWEST are in none."""
+    sizes, begin = lines.sizes[chosen], lines.first[chosen]
     which, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     own = np.flatnonzero((sizes >= FEWEST) & (sizes <= SHORT))
-    flat = hashed_flat([w for i in own.tolist() for w in lines[i]])
-    at = np.cumsum(sizes[own]) - sizes[own]
     for n in np.unique(sizes[own]).tolist():
-        some = np.flatnonzero(sizes[own] == n)
-        words = flat[at[some][:, None] + np.arange(n)]
+        some = own[sizes[own] == n]
+        words = lines.words[begin[some][:, None] + np.arange(n)]
         for left_out in range(3 if n in PAIRED else 2):
             stay = np.array(list(combinations(range(n), n - left_out)))
             values = mixed((words[:, stay] * _PLACES[: n - left_out]).sum(2) + np.uint64(n - left_out))
-            which.append(np.repeat(own[some], values.shape[1]))
+            which.append(np.repeat(some, values.shape[1]))
             found.append(values.ravel())
     own = np.flatnonzero(sizes >= LONG)
     if len(own):
-        least, some = least_runs([b" ".join(lines[i]) for i in own.tolist()], sizes[own])
+        word = np.arange(sizes[own].sum()) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own]) + np.repeat(begin[own], sizes[own])
+        ends = lines.starts[begin[own]] + lines.bytes[chosen[own]]
+        least, some = least_in_bins(lines.buffer, lines.starts[word], np.repeat(np.arange(len(own)), sizes[own]), ends, len(own))
         line, kind = np.nonzero(some)
         which.append(own[line])
         found.append(least[some])
@@ -104,28 +143,23 @@ def _listed(docs: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text, 2 << 20):
-            doc, number, lines = [], [], []
-            for d, value in zip(batch.column("doc_id").to_pylist(), utf8(batch.column(text)), strict=True):
-                for k, line in enumerate(split_lines(value)):
-                    if line:
-                        doc.append(d)
-                        number.append(k)
-                        lines.append(line)
-            if not lines:
+            texts = utf8(batch.column(text))
+            lines = Lines(texts)
+            if not len(lines.sizes):
                 continue
             key, sim = signatures(lines)
-            doc, number = np.array(doc, np.int64), np.array(number, np.int32)
+            owner, number = lines.of_texts(texts)
+            doc, number = batch.column("doc_id").to_numpy()[owner], number.astype(np.int32)
             order = np.lexsort((number, key, doc))
             again = np.zeros(len(doc), bool)
             again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]]) & (number[order[1:]] != number[order[:-1]])
             # the same line in these documents is in buckets once
-            first = np.unique(key, return_index=True)[1]
-            first.sort()
-            which, found = blocks([lines[i] for i in first.tolist()])
+            first = np.sort(np.unique(key, return_index=True)[1])
+            which, found = blocks(lines, first)
             counts = np.zeros(len(doc), np.int64)
             counts[first] = np.bincount(which, minlength=len(first))
             buckets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(found))
-            own = [pa.array(doc), pa.array(number), pa.array(key), pa.array(sim), pa.array([len(x) for x in lines], pa.int32()), pa.array([sum(map(len, x)) + len(x) - 1 for x in lines], pa.int32()), buckets, pa.array(again)]
+            own = [pa.array(doc), pa.array(number), pa.array(key), pa.array(sim), pa.array(lines.sizes, pa.int32()), pa.array(lines.bytes, pa.int32()), buckets, pa.array(again)]
             yield pa.RecordBatch.from_arrays(own, names=["doc_id", "line", "key", "sim", "n", "bytes", "blocks", "again"])
 
     return docs.select("doc_id", text).where("doc_id is not null").mapInArrow(run, "doc_id long, line int, key long, sim long, n int, bytes int, blocks array<long>, again boolean")
@@ -288,7 +322,7 @@ def alike_pairs(texts: list[bytes], i: np.ndarray, j: np.ndarray, least: float =
 
 
 #: Counters of a line's pairs of bytes.
-COUNTERS = 96
+COUNTERS = 256
 
 #: ``size`` is the number of bytes, negative for lines of fewer words than LONG.
 COLUMNS = ("block", "key", "sim", "size")
@@ -320,7 +354,7 @@ def pair_counts(texts: list[bytes]) -> np.ndarray:
     spots = np.flatnonzero(inside)
     slots = (every[spots] * 31 + every[spots + 1] * 7) % COUNTERS
     owner = np.repeat(np.arange(len(texts)), lengths)[spots]
-    return np.bincount(owner * COUNTERS + slots, minlength=len(texts) * COUNTERS).reshape(-1, COUNTERS).astype(np.int32)
+    return np.bincount(owner * COUNTERS + slots, minlength=len(texts) * COUNTERS).reshape(-1, COUNTERS).clip(max=30_000).astype(np.int16)
 
 
 def spanning(group: np.ndarray, key: np.ndarray, sim: np.ndarray, signed: np.ndarray, texts: list[bytes], least: float, part: np.ndarray | None = None, known: np.ndarray | None = None, bins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -351,7 +385,7 @@ def spanning(group: np.ndarray, key: np.ndarray, sim: np.ndarray, signed: np.nda
         mins, some = np.zeros((len(first_row), BINS), np.uint64), np.zeros((len(first_row), BINS), bool)
         if len(own):
             chosen = [texts[k] for k in first_row[own].tolist()]
-            mins[own], some[own] = least_runs(chosen, np.array([x.count(b" ") + 1 for x in chosen]))
+            mins[own], some[own] = least_runs(chosen)
         at_bin = np.where(some[node] & (mins[node] == bins.view(np.uint64)[:, None]), np.arange(BINS), BINS).min(1) % BINS  # 0: by left-out words, or first
     counts = pair_counts([texts[k] for k in first_row.tolist()])
     most = (1 - least) * np.abs(signed[first_row]) + 1e-9
@@ -599,7 +633,7 @@ def deduplicate(docs: DataFrame, *, text: str = "text", least: float = SIMILARIT
     mark = "_gone" + "_" * max(map(len, docs.columns))  # no column of docs
     gone = materialise(repeated_lines(docs, text=text, least=least).groupBy("doc_id").agg(F.collect_set("line").alias(mark)))
     concerned, others = parted(docs, gone.select("doc_id"))
-    joined, kept = concerned.join(gone, "doc_id", "left"), docs.columns
+    joined, kept = concerned.join(gone.hint("merge"), "doc_id", "left"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):

@@ -214,11 +214,34 @@ def test_edit_distance():
         assert line_dedup.distance(a, b) == slow(a, b)
 
 
+def words_of_lines(text):
+    """The words of each line, lower case, punctuation as white space."""
+    return [re.findall(rb"[0-9a-z\x80-\xff]+", line) for line in re.sub(rb"[A-Z]", lambda m: m[0].lower(), text).split(b"\n")]
+
+
+def test_lines_as_arrays():
+    r = random.Random(17)
+    for _ in range(200):
+        texts = ["".join(r.choices(["a", "B c", "é", " ", ".", "\n", "\r\n", "word of, words", "x" * 30], k=r.randint(0, 12))).encode() for _ in range(r.randint(1, 5))]
+        lines = line_dedup.Lines(texts)
+        owner, number = lines.of_texts(texts)
+        want = [(t, k, line) for t, x in enumerate(texts) for k, line in enumerate(words_of_lines(x)) if line]
+        assert list(zip(owner.tolist(), number.tolist(), lines.sizes.tolist(), lines.bytes.tolist(), strict=True)) == [(t, k, len(w), len(b" ".join(w))) for t, k, w in want]
+        for k, (_, _, w) in enumerate(want):
+            at = lines.starts[lines.first[k]]
+            assert bytes(lines.buffer[at : at + lines.bytes[k]]).replace(b"\n", b" ").split() == w
+        if want:
+            key, sim = line_dedup.signatures(lines)
+            for a in range(len(want)):
+                for b in range(a):
+                    assert (key[a] == key[b]) == (want[a][2] == want[b][2]) and (sim[a] == sim[b] or want[a][2] != want[b][2])
+
+
 def slow_lines(texts):
     """Links between all pairs of distinct lines by edit similarity alone, one occurrence for each component."""
     first = {}
     for d, t in enumerate(texts):
-        for k, line in enumerate(line_dedup.split_lines((t or "").encode())):
+        for k, line in enumerate(words_of_lines((t or "").encode())):
             if line:
                 first.setdefault(tuple(line), (d, k))
     keys = list(first)
@@ -236,7 +259,7 @@ def slow_lines(texts):
     keep = {}
     for k in keys:
         keep[top(k)] = min(keep.get(top(k), first[k]), first[k])
-    return {(d, k) for d, t in enumerate(texts) for k, line in enumerate(line_dedup.split_lines((t or "").encode())) if line and keep[top(tuple(line))] != (d, k)}
+    return {(d, k) for d, t in enumerate(texts) for k, line in enumerate(words_of_lines((t or "").encode())) if line and keep[top(tuple(line))] != (d, k)}
 
 
 def test_lines_against_all_pairs(spark):
