@@ -35,7 +35,7 @@ def inverse(m: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(m / np.outer(d, d)) / np.outer(d, d)
 
 
-def _adf_fit(v: np.ndarray, lags: int, rows: int, constant: bool) -> tuple[float, float]:
+def adf_fit(v: np.ndarray, lags: int, rows: int, constant: bool) -> tuple[float, float]:
     """The t value of the level and the information criterion, over the last ``rows`` rows."""
     d = np.diff(v)
     x = np.column_stack([v[:-1][-rows:], *(d[len(d) - rows - k : len(d) - k] for k in range(1, lags + 1)), *([np.ones(rows)] if constant else [])])
@@ -51,8 +51,8 @@ def adf(values: np.ndarray, constant: bool = True, series: int = 1) -> tuple[flo
     v = np.asarray(values, float)
     n = len(v)
     most = max(0, min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - constant - 1))
-    best = min(range(most + 1), key=lambda k: _adf_fit(v, k, n - 1 - most, constant)[1])
-    t, _ = _adf_fit(v, best, n - 1 - best, constant)
+    best = min(range(most + 1), key=lambda k: adf_fit(v, k, n - 1 - most, constant)[1])
+    t, _ = adf_fit(v, best, n - 1 - best, constant)
     return t, unit_root_p(t, series), best
 
 
@@ -79,24 +79,26 @@ def ljung_box(values: np.ndarray, lags: int) -> tuple[float, float]:
     return float(q), chi2_tail(q, lags)
 
 
+def granger_f(predictor: np.ndarray, target: np.ndarray, k: int) -> tuple[float, int] | None:
+    """F of the predictor's last ``k`` values beside the target's own, and its degrees of freedom; none without any."""
+    y = target[k:]
+    own = [target[k - i : len(target) - i] for i in range(1, k + 1)]
+    other = [predictor[k - i : len(predictor) - i] for i in range(1, k + 1)]
+    small = np.column_stack([np.ones(len(y)), *own])
+    full = np.column_stack([small, *other])
+    df = len(y) - full.shape[1]
+    if df <= 0:
+        return None
+    a, b = ols(small, y)[2], ols(full, y)[2]
+    return (a - b) / k / max(b / df, 1e-300), df
+
+
 def granger(predictor: np.ndarray, target: np.ndarray, most: int = 4) -> float | None:
     """The least p-value over lags 1 to ``most`` of an F test that the predictor's lags add nothing; none for a short series."""
     if len(target) < most + 10:
         return None
-    best = None
-    for k in range(1, most + 1):
-        y = target[k:]
-        own = [target[k - i : len(target) - i] for i in range(1, k + 1)]
-        other = [predictor[k - i : len(predictor) - i] for i in range(1, k + 1)]
-        one = np.ones(len(y))
-        small, full = np.column_stack([one, *own]), np.column_stack([one, *own, *other])
-        df = len(y) - full.shape[1]
-        if df <= 0:
-            continue
-        a, b = ols(small, y)[2], ols(full, y)[2]
-        p = f_tail((a - b) / k / max(b / df, 1e-300), k, df)
-        best = p if best is None else min(best, p)
-    return best
+    found = [(k, granger_f(predictor, target, k)) for k in range(1, most + 1)]
+    return min((f_tail(x[0], k, x[1]) for k, x in found if x), default=None)
 
 
 def block_bootstrap(x: np.ndarray, y: np.ndarray, stat: Callable, block: int = 12, reps: int = 2000, seed: int = 12345) -> tuple[float, float]:

@@ -18,7 +18,7 @@ from sextant.functions.transforms import TRANSFORMS, apply_transform, lag
 from sextant.operators import analogues, asof, backtest, events, quality, registry, statistics, strategy, studies, vintage
 from sextant.operators.asof import asof_join
 from sextant.operators.grid import Predictor, build_grid, plan_features
-from sextant.operators.kernels import adf, block_bootstrap, case_bootstrap, correlation, engle_granger, granger, johansen, kpss, ols_hac, per_series, stl, strength
+from sextant.operators.kernels import adf, adf_fit, block_bootstrap, case_bootstrap, correlation, engle_granger, granger, granger_f, johansen, kpss, ols_hac, per_series, stl, strength
 from sextant.operators.rollup import apply_release_lag, rollup, rollup_audit
 from sextant.sources import files
 from sextant.sources.nested import p_value
@@ -682,6 +682,20 @@ def kpss_statistic(spark, d):
     return got.select("series_id", tidy("stat", 5).alias("stat"), "lags")
 
 
+@query(f"WITH {PANEL}, x AS (SELECT series_id, value - lag(value) {W} AS dv, lag(value) {W} AS v FROM panel), r AS (SELECT series_id, count(dv) AS n, regr_slope(dv, v) AS b, regr_sxx(dv, v) AS sxx, regr_syy(dv, v) - regr_slope(dv, v) * regr_sxy(dv, v) AS sse FROM x WHERE v IS NOT NULL GROUP BY 1) SELECT series_id, round(b / sqrt(sse / (n - 2) / sxx), 4) + 0.0 AS t FROM r")
+def dickey_fuller_t(spark, d):
+    """The unit-root statistic without lags."""
+    got = per_series(panel(spark, d), ["series_id"], "obs_date", lambda rows: {"t": adf_fit(rows["value"].to_numpy(float), 0, len(rows) - 1, True)[0]}, "t double")
+    return got.select("series_id", tidy("t", 4).alias("t"))
+
+
+@query(f"""WITH {PAIRS}, x AS (SELECT series_id, t AS y, lag(t) {W} AS y1, lag(p) {W} AS x1 FROM pairs), c AS (SELECT series_id, count(*) AS n, corr(y, x1) AS a, corr(y, y1) AS b, corr(x1, y1) AS c FROM x WHERE y1 IS NOT NULL GROUP BY 1), r AS (SELECT series_id, n, pow(a - b * c, 2) / ((1 - b * b) * (1 - c * c)) AS r2 FROM c)
+    SELECT series_id, round(r2 / (1 - r2) * (n - 3), 4) + 0.0 AS f FROM r""")
+def granger_f_one_lag(spark, d):
+    got = per_series(pairs(spark, d), ["series_id"], "obs_date", lambda rows: {"f": granger_f(rows["p"].to_numpy(float), rows["t"].to_numpy(float), 1)[0]}, "f double")
+    return got.select("series_id", tidy("f", 4).alias("f"))
+
+
 # Kernels: no SQL; held against numpy and published values in tests.
 
 
