@@ -192,7 +192,7 @@ def connecting(group: np.ndarray, doc: np.ndarray, root: np.ndarray, numbers: li
         ok = (top_of[x] != top_of[y]) & (np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y]))
         if part is not None:
             ok &= part[pivot] != part[rows]
-        x, y = x[ok], y[ok]
+        x, y, before = x[ok], y[ok], len(found)
         for at in range(0, len(x), 4096):
             u, v = x[at : at + 4096], y[at : at + 4096]
             both = size[u] + size[v]
@@ -207,7 +207,7 @@ def connecting(group: np.ndarray, doc: np.ndarray, root: np.ndarray, numbers: li
                     parent[ra] = rb
                     found.append((int(ids[a]), int(ids[b])))
         p += 1
-        if len(x):
+        if len(found) > before:
             top_of = np.array([top(k) for k in range(len(parent))])
 
 
