@@ -161,7 +161,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            if (k := last("p")) >= 0:
+            if (k := last(("p",))) >= 0:
                 pop_to(k)
             if tag in CLOSES:
                 shut, until = CLOSES[tag]
