@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import BROADCAST_ROWS, WORD_BYTES, components, hubs, materialise, mixed, parted, pieces, utf8
+from sextant.llm.common import BROADCAST_ROWS, WORD_BYTES, components, hubs, materialise, mixed, parted, pieces, small_side, utf8
 
 #: Bits in which the SimHashes of two linked lines of LONG words or more may differ: unrelated lines differ in some 32.
 BITS = 18
@@ -593,7 +593,8 @@ def _linked(found: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 def _links(listed: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, least: float) -> DataFrame:
     """Pairs of keys (a, b) of alike lines, which connect all alike lines that have a bucket in common."""
-    shared = _shared(listed.select("key", F.explode("blocks").alias("block")).select("block", "key"))
+    shared = materialise(_shared(listed.select("key", F.explode("blocks").alias("block")).select("block", "key")))
+    distinct = materialise(distinct.join(shared.select("key").distinct(), "key", "left_semi"))
     signed = F.when(F.col("n") < LONG, -F.col("bytes")).otherwise(F.col("bytes")).alias("size")
     found = materialise(_candidates(shared.join(distinct.select("key", "sim", signed), "key"), least))
     wanted = materialise(distinct.join(found.select("key").distinct(), "key", "left_semi").select("doc_id", "line", "key"))
@@ -609,12 +610,12 @@ def repeated_lines(docs: DataFrame, *, text: str = "text", least: float = SIMILA
     """The lines (doc_id, line) that are not their group's first occurrence; see deduplicate."""
     listed = materialise(_listed(docs, text))
     distinct = materialise(listed.where("not again").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by("line", "doc_id").alias("line"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("sim", "n", "bytes"))))
-    roots = components(_links(listed, distinct, docs, text, least))
+    roots = small_side(materialise(components(_links(listed, distinct, docs, text, least))))
     grouped = distinct.join(roots, distinct.key == roots.node).select("key", "root", "doc_id", "line")
     first = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("kept"))
     fuzzy = grouped.join(first, "root").select("key", "kept")
     plain = distinct.where("copies > 1").join(fuzzy, "key", "left_anti").select("key", F.struct("doc_id", "line").alias("kept"))
-    kept = plain.union(fuzzy)
+    kept = small_side(materialise(plain.union(fuzzy)))
     later = listed.where("not again").join(kept, "key").where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("line") != F.col("kept.line")))
     return listed.where("again").select("doc_id", "line").union(later.select("doc_id", "line"))
 
