@@ -24,6 +24,21 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
+def byte_words(texts: list[bytes], inside: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of some texts in one array, what each starts at in the joined texts, the bytes of these, and where each text starts.
+
+    A word is a longest run of bytes b of one text for which ``inside[b]``; a line feed, which must not be inside, joins the texts.
+    """
+    joined = np.frombuffer(b"\n".join(texts), np.uint8)
+    mask = inside[joined]
+    edges = np.flatnonzero(np.diff(mask, prepend=False, append=False))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined[mask])])
+    return found, starts, joined, np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The values of a string column as UTF-8; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -156,13 +171,16 @@ def hashed_coded(flat: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     coded = pa.array(flat, pa.binary()).dictionary_encode()
     if not len(coded):
         return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    distinct = coded.dictionary
+    return hashed_array(coded.dictionary), coded.indices.to_numpy()
+
+
+def hashed_array(distinct: pa.Array) -> np.ndarray:
+    """A 64-bit number for each value of an unsliced binary array of one value at least."""
     lengths = np.diff(np.frombuffer(distinct.buffers()[1], np.int32)[: len(distinct) + 1])
     buffer = np.frombuffer(distinct.buffers()[2], np.uint8)[: lengths.sum()].astype(np.uint64) + np.uint64(1)
     starts = np.cumsum(lengths) - lengths
     place = np.arange(len(buffer)) - np.repeat(starts, lengths)
-    h = mixed(np.add.reduceat(mixed(buffer + (place.astype(np.uint64) << np.uint64(9))) * _WORD_POWERS[place % 64], starts))
-    return h, coded.indices.to_numpy()
+    return mixed(np.add.reduceat(mixed(buffer + (place.astype(np.uint64) << np.uint64(9))) * _WORD_POWERS[place % 64], starts))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sextant.llm import decontaminate, html_text, line_dedup, media, near_dedup, packing, pii, substrings, toxicity, urls
+from sextant.llm import decontaminate, exact_dedup, html_text, line_dedup, media, near_dedup, packing, phrases, pii, ranked_search, substrings, toxicity, urls
 from sextant.llm.common import table
 
 
@@ -53,7 +53,19 @@ def op10_html_extraction(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op2_toxicity, op3_line_dedup, op4_near_dedup, op5_audio_features, op6_url_filters, op7_decontamination, op8_harmonic_packing, op9_suffix_arrays, op10_html_extraction)}
+def op11_exact_dedup(spark, sf_dir):
+    return exact_dedup.digest_columns(exact_dedup.find(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+def op12_ranked_search(spark, sf_dir):
+    return ranked_search.search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op13_phrase_mining(spark, sf_dir):
+    return phrases.mine(table(spark, sf_dir, "documents", "lang", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_toxicity, op3_line_dedup, op4_near_dedup, op5_audio_features, op6_url_filters, op7_decontamination, op8_harmonic_packing, op9_suffix_arrays, op10_html_extraction, op11_exact_dedup, op12_ranked_search, op13_phrase_mining)}
 
 
 # Of some queries SQL can say a part: those columns, taken from the same operators.
@@ -84,6 +96,7 @@ QUERIES |= {f.__name__: f for f in PARTS}
 
 LOWERED = f"translate(coalesce({{}}, ''), '{urls.UPPER}', '{urls.LOWER}')"
 WORDS = rf"regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 LUHN = f"list_sum([CASE WHEN k % 2 = 1 THEN d WHEN d > 4 THEN 2 * d - 9 ELSE 2 * d END for d, k in [CAST(c AS INTEGER) for c in string_split(reverse({DIGITS}), '')]]) % 10 = 0"
 
@@ -126,4 +139,35 @@ ORACLE_SQL: dict[str, str] = {
              steps AS (SELECT doc_id, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS step FROM later),
              found AS (SELECT doc_id, sum(coalesce(least(step, {substrings.LENGTH}), {substrings.LENGTH})) AS n_removed, count(*) FILTER (WHERE step IS NULL OR step > {substrings.LENGTH}) AS n_spans FROM steps GROUP BY doc_id)
         SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN found USING (doc_id)""",
+    "op11_exact_dedup": f"""
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+        FROM (SELECT doc_id, {LOWERED.format("text")} AS t FROM documents) WINDOW same AS (PARTITION BY t)""",
+    "op12_ranked_search": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED.format("text")}, '{TERM}') AS w FROM documents),
+             texts AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+             total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM texts),
+             tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM texts) GROUP BY ALL),
+             weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, total GROUP BY term, docs),
+             parts AS (SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))) AS part FROM tf JOIN weights USING (term), total),
+             asked AS (SELECT item_id, unnest(regexp_extract_all({LOWERED.format("text")}, '{TERM}')) AS term FROM benchmark),
+             scored AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM asked JOIN parts USING (term) GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+        WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 20""",
+    "op13_phrase_mining": rf"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+                        FROM (SELECT lang, unnest(string_split_regex({LOWERED.format("text")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+             words AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+             frequent AS (SELECT lang, m, phrase, count(*) AS f
+                          FROM (SELECT lang, m, array_to_string(w[s : s + m - 1], ' ') AS phrase
+                                FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM pieces, range(1, {phrases.MAX_WORDS + 1}) AS sizes(m) WHERE len(w) >= m))
+                          GROUP BY ALL HAVING count(*) >= {phrases.SUPPORT}),
+             cuts AS (SELECT c.lang, c.phrase, c.f AS a, k, x.f AS l, y.f AS r, n, CAST((CAST(1000 AS HUGEINT) * c.f * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+                      FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM frequent WHERE m > 1) c JOIN words USING (lang)
+                      JOIN frequent x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : k], ' ')
+                      JOIN frequent y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1 : c.m], ' ')),
+             best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+             inside AS (SELECT lang, array_to_string(w[s : s + z - 1], ' ') AS phrase, max(f) AS within
+                        FROM (SELECT *, unnest(range(1, m - z + 2)) AS s FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(2, m)) AS z FROM frequent WHERE m > 2)) GROUP BY ALL)
+        SELECT lang, row_number() OVER top AS rank, phrase, a, l, r, n, score FROM best LEFT JOIN inside USING (lang, phrase) WHERE within IS NULL OR 100 * within < 100 * a
+        WINDOW top AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER top <= {phrases.TOP}""",
 }
