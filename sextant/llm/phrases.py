@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.llm.common import byte_words, hashed_array, materialise, mixed, pieces, utf8
@@ -88,7 +88,7 @@ def longer(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed(hashes * np.uint64(0x9E3779B97F4A7C15) + words)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Shard]]:
+def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, Shard]]:
     """The texts of a task by language, as soon as there are enough of one for a shard, then the rest."""
     held: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
@@ -96,10 +96,10 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Shard]]:
         for lang, text in zip(batch.column("lang").to_pylist(), utf8(batch.column("text")), strict=True):
             held.setdefault(lang, []).append(text)
             sizes[lang] = sizes.get(lang, 0) + len(text)
-            if sizes[lang] >= SHARD_BYTES or sum(sizes.values()) >= 2 * SHARD_BYTES:
-                most = max(sizes, key=sizes.get)
-                sizes.pop(most)
-                yield most, Shard(held.pop(most))
+            if sizes[lang] >= most or sum(sizes.values()) >= 2 * most:
+                largest = max(sizes, key=sizes.get)
+                sizes.pop(largest)
+                yield largest, Shard(held.pop(largest))
     for lang in list(held):
         yield lang, Shard(held.pop(lang))
 
@@ -121,7 +121,7 @@ def _rows(lang: str, shard: Shard, found: tuple, most: int = 50_000) -> Iterator
         yield [pa.array([lang] * len(texts), pa.string()), texts, pa.array(counts[part], pa.int64()), pa.array(hashes[part].view(np.int64))]
 
 
-def candidates(docs: DataFrame, total: dict[str, int], support: int) -> DataFrame:
+def candidates(docs: DataFrame, total: dict[str, int], support: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(lang, hash) of the phrases, words too, that some shard has often enough for its share and that may have the support in all.
 
     A shard that doesn't tell a phrase has it fewer times than its lowered support; what all of them may have beside those that do is
@@ -131,7 +131,7 @@ def candidates(docs: DataFrame, total: dict[str, int], support: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "phrase", "n", "hash", "untold"]
-        for lang, shard in _shards(batches):
+        for lang, shard in _shards(batches, shard_bytes):
             least = max(1, -(-support * len(shard.word) // max(1, shared.value[lang])))
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((lang, pa.string()), (None, pa.string()), (0, pa.int64()), (0, pa.int64()), (least - 1, pa.int64()))], names=names)
             for found in shard.phrases(lang, lambda _, counts, least=least: counts >= least):
@@ -156,9 +156,9 @@ def _filter(found: DataFrame) -> np.ndarray:
     return words.view(np.uint64)
 
 
-def counts(docs: DataFrame, total: dict[str, int], support: int = SUPPORT) -> DataFrame:
+def counts(docs: DataFrame, total: dict[str, int], support: int = SUPPORT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(lang, phrase, f): every phrase of up to MAX_WORDS words, single words too, that occurs ``support`` times, with how often it does."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(materialise(candidates(docs, total, support))))
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(materialise(candidates(docs, total, support, shard_bytes))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -167,7 +167,7 @@ def counts(docs: DataFrame, total: dict[str, int], support: int = SUPPORT) -> Da
             place = hashes & np.uint64(64 * len(bits) - 1)
             return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
-        for lang, shard in _shards(batches):
+        for lang, shard in _shards(batches, shard_bytes):
             for found in shard.phrases(lang, wanted):
                 for arrays in _rows(lang, shard, found):
                     yield pa.RecordBatch.from_arrays(arrays[:3], names=["lang", "phrase", "n"])
@@ -176,7 +176,12 @@ def counts(docs: DataFrame, total: dict[str, int], support: int = SUPPORT) -> Da
     return docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
 
 
-def mine(docs: DataFrame, *, lang: str = "lang", text: str = "text", support: int = SUPPORT, percent: int = 100, top: int = TOP) -> DataFrame:
+def score() -> Column:
+    """floor(1000 * a * n / (l * r)), exactly, for counts of up to 15 digits."""
+    return F.expr("(cast(1000 * cast(a as decimal(15, 0)) as decimal(19, 0)) * cast(n as decimal(19, 0))) div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0)))")
+
+
+def mine(docs: DataFrame, *, lang: str = "lang", text: str = "text", support: int = SUPPORT, percent: int = 100, top: int = TOP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The ``top`` collocations of each language: lang, rank from 1, phrase, a, l, r, n, score.
 
     A-Z are lower-cased, texts cut into pieces at ``.,;:!?`` and line ends, pieces into words at spaces and tabs. Candidates are phrases of
@@ -192,14 +197,13 @@ def mine(docs: DataFrame, *, lang: str = "lang", text: str = "text", support: in
     docs = docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
     words = materialise(_counted(docs))
     total = {r.lang: r.n for r in words.collect()}
-    known = materialise(counts(docs, total, support).withColumn("w", F.split("phrase", " ")))
+    known = materialise(counts(docs, total, support, shard_bytes).withColumn("w", F.split("phrase", " ")))
     found = known.where(F.size("w") > 1).select("lang", "phrase", "w", F.col("f").alias("a"))
     cuts = found.withColumn("k", F.explode(F.expr("sequence(1, size(w) - 1)")))
     cuts = cuts.select("lang", "phrase", "a", "k", F.expr("array_join(slice(w, 1, k), ' ')").alias("first"), F.expr("array_join(slice(w, k + 1, size(w) - k), ' ')").alias("rest"))
     part = lambda name, f: known.select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
     cuts = cuts.join(part("first", "l"), ["lang", "first"]).join(part("rest", "r"), ["lang", "rest"]).join(F.broadcast(words), "lang")
-    score = F.expr("(cast(1000 * cast(a as decimal(15, 0)) as decimal(19, 0)) * cast(n as decimal(19, 0))) div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0)))")
-    best = cuts.groupBy("lang", "phrase").agg(F.min(F.struct(score.alias("score"), "k", "a", "l", "r", "n")).alias("best")).select("lang", "phrase", "best.*")
+    best = cuts.groupBy("lang", "phrase").agg(F.min(F.struct(score().alias("score"), "k", "a", "l", "r", "n")).alias("best")).select("lang", "phrase", "best.*")
     # what lies in a longer candidate lies in one that is one word longer, with as high a count
     inside = found.where(F.size("w") > 2).withColumn("phrase", F.explode(F.expr("array(array_join(slice(w, 1, size(w) - 1), ' '), array_join(slice(w, 2, size(w) - 1), ' '))")))
     inside = inside.groupBy("lang", "phrase").agg(F.max("a").alias("within"))
