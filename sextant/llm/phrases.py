@@ -23,8 +23,11 @@ MAX_WORDS, SUPPORT, TOP = 5, 100, 2000
 #: Bytes of one language that are mined as a shard; a longer text is a shard of its own.
 SHARD_BYTES = 24 << 20
 
-#: Bits for each candidate in the filter that tasks count by, and bits of the filter at most: 32 MB are broadcast, however many there are.
-FILTER_BITS, MOST_BITS = 16, 1 << 28
+#: Bits for each phrase told in the filter that tasks count by, and the logarithm of its bits at most: 32 MB are broadcast, however many there are.
+FILTER_BITS, MOST_LOG = 16, 28
+
+#: First bits of a phrase's hash, by which phrases are packed and merged.
+SEGMENT_BITS = 8
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _BREAK = np.array([chr(b) in ".,;:!?\n\x0b\x0c\r" for b in range(128)] + [False] * 128)
@@ -113,64 +116,80 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def _rows(lang: str, shard: Shard, found: tuple, most: int = 50_000) -> Iterator[list[pa.Array]]:
-    """Arrays of language, phrase, count and hash, some at a time."""
-    size, places, counts, hashes = found
+    """Arrays of language, phrase and count, some at a time."""
+    size, places, counts, _ = found
     for a in range(0, len(places), most):
         part = slice(a, a + most)
         texts = shard.text(size, places[part])
-        yield [pa.array([lang] * len(texts), pa.string()), texts, pa.array(counts[part], pa.int64()), pa.array(hashes[part].view(np.int64))]
+        yield [pa.array([lang] * len(texts), pa.string()), texts, pa.array(counts[part], pa.int64())]
 
 
-def candidates(docs: DataFrame, total: dict[str, int], support: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(lang, hash) of the phrases, words too, that some shard has often enough for its share and that may have the support in all.
+def mined(docs: DataFrame, total: dict[str, int], support: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(segment, lang, untold, hashes, counts): the phrases, words too, that a shard has often enough for its share, packed by the first bits of their hashes.
 
-    A shard that doesn't tell a phrase has it fewer times than its lowered support; what all of them may have beside those that do is
-    known, so phrases that can't come up to the support with that are no candidates.
+    ``untold`` is how often the shard may have a phrase that it doesn't tell. A row of each shard with segment -1 tells that alone.
     """
     shared = docs.sparkSession.sparkContext.broadcast(total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "phrase", "n", "hash", "untold"]
         for lang, shard in _shards(batches, shard_bytes):
             least = max(1, -(-support * len(shard.word) // max(1, shared.value[lang])))
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((lang, pa.string()), (None, pa.string()), (0, pa.int64()), (0, pa.int64()), (least - 1, pa.int64()))], names=names)
-            for found in shard.phrases(lang, lambda _, counts, least=least: counts >= least):
-                for arrays in _rows(lang, shard, found):
-                    yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(arrays[0]), least - 1), pa.int64())], names=names)
+            found = [(h, c) for _, _, c, h in shard.phrases(lang, lambda _, counts, least=least: counts >= least)]
+            hashes, counts = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+            order = np.argsort(hashes)
+            hashes, counts = hashes[order], counts[order]
+            cuts = np.searchsorted(hashes >> np.uint64(64 - SEGMENT_BITS), np.arange((1 << SEGMENT_BITS) + 1, dtype=np.uint64))
+            parts = [(-1, b"", b"")] + [(k, hashes[a:b].tobytes(), counts[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+            segment, packed, counted = zip(*parts, strict=True)
+            columns = [pa.array(segment, pa.int32()), pa.array([lang] * len(parts), pa.string()), pa.array([least - 1] * len(parts), pa.int64()), pa.array(packed, pa.binary()), pa.array(counted, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["segment", "lang", "untold", "hashes", "counts"])
 
-    mined = docs.mapInArrow(run, "lang string, phrase string, n long, hash long, untold long")
-    told = materialise(mined.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.max("hash").alias("hash"), F.sum("untold").alias("untold")))
-    all_untold = told.where("phrase is null").select("lang", F.col("untold").alias("all_untold"))
-    return told.where("phrase is not null").join(F.broadcast(all_untold), "lang").where(F.col("n") + F.col("all_untold") - F.col("untold") >= support).select("lang", "hash")
+    return docs.mapInArrow(run, "segment int, lang string, untold long, hashes binary, counts binary")
 
 
-def _filter(found: DataFrame) -> np.ndarray:
-    """One bit for each of these hashes, in 64-bit words; their number is a power of two."""
-    bits = 1 << 10
-    while bits < min(MOST_BITS, FILTER_BITS * found.count()):
-        bits *= 2
-    place = F.col("hash").bitwiseAND(bits - 1)
-    filled = found.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("set")).toArrow()
-    words = np.zeros(bits // 64, np.int64)
-    words[filled["word"].to_numpy()] = filled["set"].to_numpy()
-    return words.view(np.uint64)
+def _filter(told: DataFrame, support: int) -> np.ndarray:
+    """One bit for each phrase told that may have the support in all shards, by the first bits of its hash, in 64-bit words; their number is a power of two.
+
+    A shard that doesn't tell a phrase has it fewer times than its lowered support. What those shards may have of it together is known,
+    so phrases that can't come up to the support even with that are no candidates.
+    """
+    untold = {r.lang: r.n for r in told.where("segment < 0").groupBy("lang").agg(F.sum("untold").alias("n")).collect()}
+    most = told.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
+    log = max(SEGMENT_BITS + 6, min(MOST_LOG, (FILTER_BITS * most // 8).bit_length()))
+
+    def merge(rows: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << (log - SEGMENT_BITS), bool)
+        for lang in pc.unique(rows["lang"]).to_pylist():
+            own = rows.filter(pc.equal(rows["lang"], lang))
+            hashes, counts = (np.concatenate([np.frombuffer(x, kind) for x in own[c].to_pylist()]) for c, kind in (("hashes", np.uint64), ("counts", np.int64)))
+            known = np.repeat(own["untold"].to_numpy(), [len(x) // 8 for x in own["hashes"].to_pylist()])
+            kinds, at = np.unique(hashes, return_inverse=True)
+            highest = np.bincount(at, counts - known, len(kinds)) + untold[lang]
+            bits[((kinds[highest >= support] >> np.uint64(64 - log)) & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+        return pa.table({"segment": rows["segment"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    parts = told.where("segment >= 0").groupBy("segment").applyInArrow(merge, "segment int, bits binary").toArrow()
+    words = np.zeros((1 << SEGMENT_BITS, 1 << (log - SEGMENT_BITS - 6)), np.uint64)
+    for segment, bits in zip(parts["segment"].to_pylist(), parts["bits"].to_pylist(), strict=True):
+        words[segment] = np.frombuffer(bits, np.uint64)
+    return words.ravel()
 
 
 def counts(docs: DataFrame, total: dict[str, int], support: int = SUPPORT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(lang, phrase, f): every phrase of up to MAX_WORDS words, single words too, that occurs ``support`` times, with how often it does."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(materialise(candidates(docs, total, support, shard_bytes))))
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(materialise(mined(docs, total, support, shard_bytes)), support))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
 
         def wanted(hashes: np.ndarray, _: np.ndarray) -> np.ndarray:
-            place = hashes & np.uint64(64 * len(bits) - 1)
+            place = hashes >> np.uint64(65 - (64 * len(bits)).bit_length())
             return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
         for lang, shard in _shards(batches, shard_bytes):
             for found in shard.phrases(lang, wanted):
                 for arrays in _rows(lang, shard, found):
-                    yield pa.RecordBatch.from_arrays(arrays[:3], names=["lang", "phrase", "n"])
+                    yield pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "n"])
 
     # what isn't a candidate but shares a bit with one is counted in every shard as well, and has too few
     return docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support)

@@ -168,11 +168,11 @@ def phrase_docs(r):
     return [*out, ("en", None), ("fr", ""), ("fr", " .,! "), ("en", "no end no end " * 3000), ("de", "\x00 \x00 a")]
 
 
-@pytest.mark.parametrize(("shard", "bits"), [(1 << 20, 1 << 28), (2000, 1 << 28), (2000, 1 << 10)])
+@pytest.mark.parametrize(("shard", "bits"), [(1 << 20, 28), (2000, 28), (2000, 14)])
 def test_phrases_against_all_counts(spark, monkeypatch, shard, bits):
     """In one shard and in many; with a filter so small that it lets nearly everything through."""
-    monkeypatch.setattr(phrases, "MOST_BITS", bits)
-    monkeypatch.setattr(phrases, "FILTER_BITS", 16 if bits > 1 << 10 else 1)
+    monkeypatch.setattr(phrases, "MOST_LOG", bits)
+    monkeypatch.setattr(phrases, "FILTER_BITS", 16 if bits > 14 else 0)
     docs = phrase_docs(random.Random(13))
     df = spark.createDataFrame([(*x, 1, "n") for x in docs], "lang string, text string, rank int, n string").repartition(3)
     for support, percent, top in ((8, 100, 2000), (5, 60, 7)):
