@@ -1,4 +1,4 @@
-"""Checks of a signal, the kind of its relationship, and the gate that caps confidence; on a few numbers, so on the driver."""
+"""Checks of one signal and the kind of its relationship, from its pairs as arrays; verdicts.check_rows runs them for every signal in its task."""
 
 from __future__ import annotations
 
@@ -118,6 +118,8 @@ def outlier_sensitivity(p: np.ndarray, t: np.ndarray, share: float = 0.01, most:
     z = [np.abs((x - x.mean()) / x.std()) if x.std() > 0 else np.zeros(n) for x in (p, t)]
     keep = np.sort(np.argsort(-(z[0] + z[1]), kind="stable")[max(1, round(share * n)) :])
     full, rest = kernels.correlation(p, t), kernels.correlation(p[keep], t[keep])
+    if np.isnan(full) or np.isnan(rest):
+        return Check("outlier_sensitivity", WARN, None, most, "no correlation of a constant")
     drop = round((abs(full) - abs(rest)) / abs(full) * 100, 2) if full else 0.0
     return Check("outlier_sensitivity", WARN if drop > most else PASS, drop, most, f"{drop} % lost without the most extreme pairs")
 
@@ -146,6 +148,8 @@ def regime_split(p: np.ndarray, t: np.ndarray, at: int | None = None, least: int
     if min(at, len(p) - at) < least:
         return Check("regime_split", WARN, None, most, "too few pairs on a side")
     a, b = kernels.correlation(p[:at], t[:at]), kernels.correlation(p[at:], t[at:])
+    if np.isnan(a) or np.isnan(b):
+        return Check("regime_split", WARN, None, most, "no correlation of a constant")
     spread = 100.0 if a * b < 0 else round(abs(a - b) / max(abs(a), abs(b), 1e-12) * 100, 2)
     return Check("regime_split", WARN if spread > most else PASS, spread, most, f"r = {a:.3f} before, {b:.3f} after")
 
@@ -174,6 +178,32 @@ def relationship(profile: dict[int, float | None], *, predictor: np.ndarray | No
     return "proxy", f"lead {lead}; " + ("no Granger evidence" if p is None else f"Granger p = {p:.3f}")
 
 
+def profile_of(p: np.ndarray, t: np.ndarray, lags: range = range(7)) -> dict[int, float | None]:
+    """Correlations of the predictor some rows before with the target, of three complete pairs or more, to 4 digits."""
+    out: dict[int, float | None] = {}
+    for k in lags:
+        a, b = p[: max(0, len(p) - k)], t[k:]
+        whole = ~(np.isnan(a) | np.isnan(b))
+        r = kernels.correlation(a[whole], b[whole]) if whole.sum() >= 3 else float("nan")
+        out[k] = None if np.isnan(r) else round(r, 4)
+    return out
+
+
+def checks_of(p: np.ndarray, t: np.ndarray, *, features_tested: int | None, pre_specified: bool, direction: str | None, feature: str | None, revised: bool, vintage_handled: bool | None, vintage_source: str | None, split: bool, survives: bool) -> tuple[list[Check], tuple[str, str]]:
+    """All checks of the test pairs, in order of time with NaN for what is missing, and the kind of relationship."""
+    whole = ~(np.isnan(p) | np.isnan(t))
+    a, b, n = p[whole], t[whole], int(whole.sum())
+    r = kernels.correlation(a, b) if n >= 3 else None
+    r = None if r is None or np.isnan(r) else r
+    profile = profile_of(p, t)
+    found = [sample_size(n), missingness(len(t), int(np.isnan(t).sum())), outliers(t), stationarity_adf(t), stationarity_kpss(t), autocorrelation(t), effective_sample_size(a, b, r), lag_sensitivity(profile), outlier_sensitivity(a, b), multiple_testing(r, n, features_tested, pre_specified=pre_specified, direction=direction)]
+    if revised or vintage_handled is not None:
+        found += revisions(bool(vintage_handled), vintage_source)
+    if split:
+        found.append(regime_split(a, b))
+    return found, relationship(profile, predictor=a, target=b, survives=survives, feature=feature)
+
+
 def gate(checks: list[Check], search: dict, *, survives_oos: bool, walk_forward: bool) -> dict:
     """The lowest tier of all checks, of the search, of out-of-sample survival (medium at best) and of walk-forward (medium where off); the first lowest binds."""
     limits = [(c.name, OF_VERDICT[c.verdict]) for c in checks]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sextant.functions.columns import average_rank, pearson, ratio, tidy
 from sextant.functions.periods import YEAR, period_end
 from sextant.functions.transforms import TRANSFORMS, apply_transform, lag
-from sextant.operators import analogues, asof, backtest, events, quality, registry, statistics, strategy, studies, vintage
+from sextant.operators import analogues, asof, backtest, events, quality, registry, statistics, strategy, studies, verdicts, vintage
 from sextant.operators.asof import asof_join
 from sextant.operators.grid import Predictor, build_grid, plan_features
 from sextant.operators.kernels import adf, adf_fit, block_bootstrap, case_bootstrap, correlation, engle_granger, granger, granger_f, johansen, kpss, ols_hac, per_series, stl, strength
@@ -584,6 +584,62 @@ def json_first_value(spark, d):
     e = read(spark, d, "events", "event_id", "props")
     return e.select("event_id", F.get(F.map_values(F.from_json("props", "map<string,string>")), 0).alias("first_value"))
 
+# Verdicts on many signals: each nation's orders as a predictor of what is shipped.
+
+
+def signal_pairs(spark, d):
+    """Months of each nation with the month's shipped value, where any was shipped: train before 1999, test from then on."""
+    rows = panel(spark, d).withColumnRenamed("value", "p").join(shipped(spark, d).withColumnRenamed("value", "t"), "obs_date", "left")
+    return rows.select(F.col("series_id").alias("signal_id"), "obs_date", F.when(F.col("obs_date") < "1999-01-01", "train").otherwise("test").alias("part"), "p", "t")
+
+
+def _judged(spark, d):
+    pairs = signal_pairs(spark, d)
+    signals = pairs.select("signal_id").distinct().select("signal_id", F.lit(3).alias("features_tested"), F.lit(True).alias("regime_split"), F.when(F.length("signal_id") > 1, "medium").otherwise("high").alias("confidence_cap"))
+    return verdicts.judge(pairs, signals)
+
+
+# The checks that SQL can say, in their order among all.
+CHECK_ORDER = {"sample_size": 0, "missingness": 1, "outliers": 2, "lag_sensitivity": 7, "outlier_sensitivity": 8, "regime_split": 10}
+
+SIGNALS = f"""{PANEL}, shipped AS (SELECT last_day(CAST(l_shipdate AS DATE)) AS obs_date, sum(l_extendedprice) AS t FROM lineitem GROUP BY 1), sp AS (SELECT series_id AS signal_id, obs_date, value AS p, t, obs_date < DATE '1999-01-01' AS early FROM panel LEFT JOIN shipped USING (obs_date)), ids AS (SELECT DISTINCT signal_id FROM sp),
+    te AS (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY obs_date) AS i, lag(p) OVER (PARTITION BY signal_id ORDER BY obs_date) AS p1 FROM sp WHERE NOT early), ok AS (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY obs_date) AS k, count(*) OVER (PARTITION BY signal_id) AS n FROM te WHERE p IS NOT NULL AND t IS NOT NULL),
+    z AS (SELECT signal_id, t, abs(t - avg(t) OVER (PARTITION BY signal_id)) > 4 * stddev_pop(t) OVER (PARTITION BY signal_id) AS far FROM te WHERE t IS NOT NULL),
+    far AS (SELECT *, abs((p - avg(p) OVER s) / stddev_pop(p) OVER s) + abs((t - avg(t) OVER s) / stddev_pop(t) OVER s) AS away FROM ok WINDOW s AS (PARTITION BY signal_id)), e AS (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY away DESC, k) AS extreme FROM far),
+    r AS (SELECT signal_id, any_value(n) AS n, corr(p, t) AS r0, corr(p1, t) AS r1, corr(p, t) FILTER (WHERE extreme > greatest(1, round(0.01 * n))) AS rest, corr(p, t) FILTER (WHERE k <= n // 2) AS ra, corr(p, t) FILTER (WHERE k > n // 2) AS rb FROM e GROUP BY 1),
+    va AS (SELECT 'sample_size' AS "check", signal_id, CAST(n AS DOUBLE) AS value, CASE WHEN n >= 120 THEN 'pass' WHEN n >= 30 THEN 'warn' ELSE 'fail' END AS verdict FROM r
+           UNION ALL SELECT 'missingness', signal_id, v, CASE WHEN v >= 25 THEN 'fail' WHEN v >= 5 THEN 'warn' ELSE 'pass' END FROM (SELECT signal_id, round(100.0 * count(*) FILTER (WHERE t IS NULL) / count(*), 2) AS v FROM te GROUP BY 1)
+           UNION ALL SELECT 'outliers', signal_id, v, CASE WHEN v = 0 THEN 'pass' WHEN v / n < 0.01 THEN 'warn' ELSE 'fail' END FROM (SELECT signal_id, CAST(count(*) FILTER (WHERE far) AS DOUBLE) AS v, count(*) AS n FROM z GROUP BY 1)
+           UNION ALL SELECT 'lag_sensitivity', signal_id, v, CASE WHEN v > 30 THEN 'warn' ELSE 'pass' END FROM (SELECT signal_id, round((abs(round(r0, 4)) - abs(round(r1, 4))) / abs(round(r0, 4)) * 100, 2) AS v FROM r)
+           UNION ALL SELECT 'outlier_sensitivity', signal_id, v, CASE WHEN v > 30 THEN 'warn' ELSE 'pass' END FROM (SELECT signal_id, round((abs(r0) - abs(rest)) / abs(r0) * 100, 2) AS v FROM r)
+           UNION ALL SELECT 'regime_split', signal_id, v, CASE WHEN v > 50 THEN 'warn' ELSE 'pass' END FROM (SELECT signal_id, CASE WHEN ra * rb < 0 THEN 100.0 ELSE round(abs(ra - rb) / greatest(abs(ra), abs(rb)) * 100, 2) END AS v FROM r))"""
+
+
+@query(f'WITH {SIGNALS} SELECT signal_id, "check", verdict, round(value, 1) + 0.0 AS value FROM va')
+def signal_checks(spark, d):
+    checks = _judged(spark, d)[1].where(F.col("check").isin(*CHECK_ORDER))
+    return checks.select("signal_id", "check", "verdict", tidy("value", 1).alias("value"))
+
+
+@query(f"""WITH {SIGNALS}, places(name, place) AS (VALUES {", ".join(f"('{n}', {k})" for n, k in CHECK_ORDER.items())}), oos AS (SELECT signal_id, corr(p, t) FILTER (WHERE early) AS a, corr(p, t) FILTER (WHERE NOT early) AS b FROM sp GROUP BY 1),
+    limits AS (SELECT signal_id, "check" AS name, place, CASE verdict WHEN 'pass' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END AS tier FROM va JOIN places ON name = "check" UNION ALL SELECT signal_id, 'feature_search', 1000, CASE WHEN length(signal_id) > 1 THEN 2 ELSE 3 END FROM ids
+               UNION ALL SELECT signal_id, 'out_of_sample', 1001, CASE WHEN abs(b) >= 0.1 AND sign(a) = sign(b) AND round((a - b) / a * 100, 2) <= 50 THEN 2 ELSE 1 END FROM oos)
+    SELECT signal_id, CASE min(tier) WHEN 1 THEN 'low' WHEN 2 THEN 'medium' ELSE 'high' END AS confidence_cap, arg_min(name, tier * 10000 + place) AS binding_constraint FROM limits GROUP BY 1""")
+def signal_gate(spark, d):
+    """The gate over the checks that SQL can say, and survival by correlations alone."""
+    pairs = signal_pairs(spark, d)
+    signals = verdicts.declared(pairs.select("signal_id").distinct().select("signal_id", F.lit(True).alias("regime_split"), F.when(F.length("signal_id") > 1, "medium").otherwise("high").alias("confidence_cap")), ["signal_id"])
+    signals = signals.join(verdicts.panels(pairs, ["signal_id"]), "signal_id").withColumn("survives", backtest.survives(F.col("train.corr"), F.col("test.corr")))
+    checks = verdicts.check_rows(pairs.where("part = 'test'"), signals, ["signal_id"])
+    return verdicts.gate(checks.where(F.col("check").isin(*CHECK_ORDER)), signals, ["signal_id"])
+
+
+@query()
+def signal_verdicts(spark, d):
+    """All of a verdict; p-values have no SQL."""
+    return _judged(spark, d)[0]
+
+
 # Studies: families of trials.
 
 

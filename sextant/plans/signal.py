@@ -1,4 +1,4 @@
-"""From a spec and series to a verdict: rollup, grid, scores, checks, relationship, gate, and the files of a run."""
+"""From a spec and series to a verdict: rollup, grid, scores, the verdict of the best feature, and the files of a run."""
 
 from __future__ import annotations
 
@@ -6,16 +6,15 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.functions.special import correlation_p
 from sextant.functions.transforms import apply_transform
 from sextant.operators import validation as V
-from sextant.operators.backtest import kpi_metrics, lead_lag_profile, score_features
+from sextant.operators.backtest import score_features
 from sextant.operators.grid import Predictor, assess_search, build_grid, plan_features
 from sextant.operators.rollup import apply_release_lag, rollup, rollup_audit
+from sextant.operators.verdicts import DECLARED, as_checks, judge
 from sextant.operators.vintage import first_vintage
 from sextant.plans import render
 from sextant.sources.files import read_series, read_vintages
@@ -50,7 +49,7 @@ def run_signal(spark: SparkSession, spec: SignalSpec, target: DataFrame, predict
     """The verdict on ``spec`` over ``target`` (obs_date, value) and long ``predictors`` (series_id, obs_date, value).
 
     All features are scored in one job; what comes to the driver are their scores, and the pairs of the best one (a rolled-up
-    series), for the checks.
+    series), for the page of the run. The verdict is that of verdicts.judge, for one signal.
     """
     rolled, audits = None, []
     target = target.select(F.lit(spec.target.dataset_id).alias("series_id"), "obs_date", "value")
@@ -74,29 +73,17 @@ def run_signal(spark: SparkSession, spec: SignalSpec, target: DataFrame, predict
     pairs = grid.where(F.col("feature_id") == best["feature_id"]).join(target.select("obs_date", F.col("value").alias("t")), "obs_date").select("obs_date", F.col("value").alias("p"), "t")
     part = F.when(F.col("obs_date").between(*(F.lit(x).cast("date") for x in train)), "train").when(F.col("obs_date").between(*(F.lit(x).cast("date") for x in test)), "test")
     pairs = pairs.withColumn("part", part).where("part is not null")
-    panel = {r["part"]: r.asDict() for r in kpi_metrics(pairs, ["part"]).collect()}
-    lead = {r["lag"]: r["corr"] for r in lead_lag_profile(pairs.where("part = 'test'"), ["part"]).collect()}
     rows = pairs.orderBy("obs_date").collect()
-    whole = [r for r in rows if r["part"] == "test" and r["p"] is not None and r["t"] is not None]
-    p, t = (np.array([r[c] for r in whole], float) for c in ("p", "t"))
-    r_test, n = best["r_test"], best["n_test"]
+    pairs = spark.createDataFrame(rows, pairs.schema).withColumn("signal_id", F.lit(spec.signal_id))
     pre = spec.pre_specified_feature == best["feature_id"]
     search = assess_search(len(features), len({f.lag for f in features}), pre_specified=pre, out_of_sample=best["survives_oos"]) | {"truncated": cut}
-    survives = bool(best["survives_oos"])
-    if survives and n > 3:
-        value = correlation_p(r_test, n)
-        value = V.one_sided(value, r_test, spec.hypothesis.get("expected_direction")) if pre else min(1.0, value * len(features))
-        survives = value < 0.05
-    raw = np.array([np.nan if r["t"] is None else r["t"] for r in rows if r["part"] == "test"], float)
-    checks = [V.sample_size(n), V.missingness(len(raw), int(np.isnan(raw).sum())), V.outliers(raw), V.stationarity_adf(raw), V.stationarity_kpss(raw), V.autocorrelation(raw), V.effective_sample_size(p, t, r_test), V.lag_sensitivity(lead), V.outlier_sensitivity(p, t), V.multiple_testing(r_test, n, len(features), pre_specified=pre)]
-    if spec.target.revised or vintage_handled is not None:
-        checks += V.revisions(bool(vintage_handled), vintage_source)
-    if spec.regime_split:
-        checks.append(V.regime_split(p, t))
-    kind = V.relationship(lead, predictor=p, target=t, survives=survives, feature=best["feature_id"])
-    verdict = V.gate(checks, search, survives_oos=survives, walk_forward=spec.walk_forward)
-    advice = [f"{c.name}: {c.explanation}" for c in checks if c.verdict != V.PASS] + ([] if survives else ["do not use: the relationship is not there out of sample"])
-    summary = RunSummary(spec.signal_id, best["feature_id"], panel.get("train", {}), panel.get("test", {}), lead, best["oos_degradation_pct"], survives, checks, kind, verdict, search, audits, scores, advice, run_dir)
+    said = {"signal_id": spec.signal_id, "features_tested": len(features), "pre_specified": pre, "direction": spec.hypothesis.get("expected_direction"), "feature": best["feature_id"], "confidence_cap": search["confidence_cap"], "revised": bool(spec.target.revised), "vintage_handled": vintage_handled, "vintage_source": vintage_source, "regime_split": bool(spec.regime_split), "walk_forward": bool(spec.walk_forward)}
+    signals = spark.createDataFrame([said], "signal_id string, " + ", ".join(f"{n} {kind}" for n, (kind, _) in DECLARED.items()))
+    verdicts, checked = judge(pairs, signals)
+    v, checks = verdicts.first(), as_checks(checked.collect())
+    metrics = lambda part: part.asDict() if part else {}
+    kind, verdict, survives = (v.relationship, v.justification), {"confidence_cap": v.confidence_cap, "binding_constraint": v.binding_constraint}, v.survives_oos
+    summary = RunSummary(spec.signal_id, best["feature_id"], metrics(v.train), metrics(v.test), v.lead_lag or {}, best["oos_degradation_pct"], survives, checks, kind, verdict, search, audits, scores, v.recommendations, run_dir)
     if run_dir:
         render.write_run(Path(run_dir), spec, summary, registry_commit, [(r["obs_date"], r["p"], r["t"]) for r in rows])
     return summary
