@@ -1,7 +1,8 @@
 """Phrase collocations: phrases of several words that stand together far more often than their parts would by chance.
 
-Partitioned mining: every shard of a task finds all phrases of its own that reach the support lowered to the shard's share of the words of
-their language; a phrase that reaches the whole support must do so in one shard at least. These phrases are then counted in all shards.
+Partitioned mining: every shard of a task finds all phrases of its own that reach the support lowered in proportion to the shard's share of
+the words of their language (to half of it); a phrase that reaches the whole support must do so in one shard at least. Those that may reach
+it with what other shards haven't told are then counted in all shards.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from sextant.llm.common import byte_words, hashed_array, materialise, mixed, pie
 #: Words of a phrase at most, occurrences of a candidate at least, phrases of a language that are returned.
 MAX_WORDS, SUPPORT, TOP = 5, 100, 2000
 
+#: Shards tell phrases from this part of the support that their share of the words asks for: the less is untold, the fewer are counted in vain.
+TOLD_FROM = 2
+
 #: Bytes of one language that are mined as a shard; a longer text is a shard of its own.
 SHARD_BYTES = 24 << 20
 
@@ -133,7 +137,7 @@ def mined(docs: DataFrame, total: dict[str, int], support: int, shard_bytes: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, shard in _shards(batches, shard_bytes):
-            least = max(1, -(-support * len(shard.word) // max(1, shared.value[lang])))
+            least = max(1, -(-support * len(shard.word) // (TOLD_FROM * max(1, shared.value[lang]))))
             found = [(h, c) for _, _, c, h in shard.phrases(lang, lambda _, counts, least=least: counts >= least)]
             hashes, counts = (np.concatenate([x[k] for x in found]) for k in (0, 1))
             order = np.argsort(hashes)
