@@ -189,14 +189,14 @@ def profile_of(p: np.ndarray, t: np.ndarray, lags: range = range(7)) -> dict[int
     return out
 
 
-def checks_of(p: np.ndarray, t: np.ndarray, *, features_tested: int | None, pre_specified: bool, direction: str | None, feature: str | None, revised: bool, vintage_handled: bool | None, vintage_source: str | None, split: bool, survives: bool) -> tuple[list[Check], tuple[str, str]]:
-    """All checks of the test pairs, in order of time with NaN for what is missing, and the kind of relationship."""
+def checks_of(p: np.ndarray, t: np.ndarray, *, features_tested: int | None, pre_specified: bool, feature: str | None, revised: bool, vintage_handled: bool | None, vintage_source: str | None, split: bool, survives: bool) -> tuple[list[Check], tuple[str, str]]:
+    """All checks of the test pairs, in order of time with NaN for what is missing, and the kind of relationship. P-values are two-sided here."""
     whole = ~(np.isnan(p) | np.isnan(t))
     a, b, n = p[whole], t[whole], int(whole.sum())
     r = kernels.correlation(a, b) if n >= 3 else None
     r = None if r is None or np.isnan(r) else r
     profile = profile_of(p, t)
-    found = [sample_size(n), missingness(len(t), int(np.isnan(t).sum())), outliers(t), stationarity_adf(t), stationarity_kpss(t), autocorrelation(t), effective_sample_size(a, b, r), lag_sensitivity(profile), outlier_sensitivity(a, b), multiple_testing(r, n, features_tested, pre_specified=pre_specified, direction=direction)]
+    found = [sample_size(n), missingness(len(t), int(np.isnan(t).sum())), outliers(t), stationarity_adf(t), stationarity_kpss(t), autocorrelation(t), effective_sample_size(a, b, r), lag_sensitivity(profile), outlier_sensitivity(a, b), multiple_testing(r, n, features_tested, pre_specified=pre_specified)]
     if revised or vintage_handled is not None:
         found += revisions(bool(vintage_handled), vintage_source)
     if split:

@@ -60,7 +60,7 @@ def check_rows(pairs: DataFrame, signals: DataFrame, by: list[str], date: str =
     signal are left out. Null in p or t is a missing value.
     """
     names = ["ordinal", "check", "verdict", "value", "threshold", "explanation"]
-    wanted = ["features_tested", "pre_specified", "direction", "feature", "revised", "vintage_handled", "vintage_source", "survives"]
+    wanted = ["features_tested", "pre_specified", "feature", "revised", "vintage_handled", "vintage_source", "survives"]
     kinds = [pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
 
     def run(rows: pa.Table, said: pa.Table) -> pa.Table:

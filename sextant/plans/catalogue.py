@@ -609,10 +609,10 @@ SIGNALS = f"""{PANEL}, shipped AS (SELECT last_day(CAST(l_shipdate AS DATE)) AS
     r AS (SELECT signal_id, any_value(n) AS n, corr(p, t) AS r0, corr(p1, t) AS r1, corr(p, t) FILTER (WHERE extreme > greatest(1, round(0.01 * n))) AS rest, corr(p, t) FILTER (WHERE k <= n // 2) AS ra, corr(p, t) FILTER (WHERE k > n // 2) AS rb FROM e GROUP BY 1),
     va AS (SELECT 'sample_size' AS "check", signal_id, CAST(n AS DOUBLE) AS value, CASE WHEN n >= 120 THEN 'pass' WHEN n >= 30 THEN 'warn' ELSE 'fail' END AS verdict FROM r
            UNION ALL SELECT 'missingness', signal_id, v, CASE WHEN v >= 25 THEN 'fail' WHEN v >= 5 THEN 'warn' ELSE 'pass' END FROM (SELECT signal_id, round(100.0 * count(*) FILTER (WHERE t IS NULL) / count(*), 2) AS v FROM te GROUP BY 1)
-           UNION ALL SELECT 'outliers', signal_id, v, CASE WHEN v = 0 THEN 'pass' WHEN v / n < 0.01 THEN 'warn' ELSE 'fail' END FROM (SELECT signal_id, CAST(count(*) FILTER (WHERE far) AS DOUBLE) AS v, count(*) AS n FROM z GROUP BY 1)
-           UNION ALL SELECT 'lag_sensitivity', signal_id, v, CASE WHEN v > 30 THEN 'warn' ELSE 'pass' END FROM (SELECT signal_id, round((abs(round(r0, 4)) - abs(round(r1, 4))) / abs(round(r0, 4)) * 100, 2) AS v FROM r)
-           UNION ALL SELECT 'outlier_sensitivity', signal_id, v, CASE WHEN v > 30 THEN 'warn' ELSE 'pass' END FROM (SELECT signal_id, round((abs(r0) - abs(rest)) / abs(r0) * 100, 2) AS v FROM r)
-           UNION ALL SELECT 'regime_split', signal_id, v, CASE WHEN v > 50 THEN 'warn' ELSE 'pass' END FROM (SELECT signal_id, CASE WHEN ra * rb < 0 THEN 100.0 ELSE round(abs(ra - rb) / greatest(abs(ra), abs(rb)) * 100, 2) END AS v FROM r))"""
+           UNION ALL SELECT 'outliers', signal_id, v, CASE WHEN v = 0 AND n >= 4 THEN 'pass' WHEN n < 4 OR v / n < 0.01 THEN 'warn' ELSE 'fail' END FROM (SELECT signal_id, CASE WHEN count(*) >= 4 THEN CAST(count(*) FILTER (WHERE far) AS DOUBLE) END AS v, count(*) AS n FROM z GROUP BY 1)
+           UNION ALL SELECT 'lag_sensitivity', signal_id, v, CASE WHEN v <= 30 THEN 'pass' ELSE 'warn' END FROM (SELECT signal_id, round((abs(round(r0, 4)) - abs(round(r1, 4))) / abs(round(r0, 4)) * 100, 2) AS v FROM r)
+           UNION ALL SELECT 'outlier_sensitivity', signal_id, v, CASE WHEN v <= 30 THEN 'pass' ELSE 'warn' END FROM (SELECT signal_id, CASE WHEN n >= 20 THEN round((abs(r0) - abs(rest)) / abs(r0) * 100, 2) END AS v FROM r)
+           UNION ALL SELECT 'regime_split', signal_id, v, CASE WHEN v <= 50 THEN 'pass' ELSE 'warn' END FROM (SELECT signal_id, CASE WHEN n // 2 < 8 THEN NULL WHEN ra * rb < 0 THEN 100.0 ELSE round(abs(ra - rb) / greatest(abs(ra), abs(rb)) * 100, 2) END AS v FROM r))"""
 
 
 @query(f'WITH {SIGNALS} SELECT signal_id, "check", verdict, round(value, 1) + 0.0 AS value FROM va')

@@ -50,7 +50,7 @@ def test_every_signal_gets_its_checks(spark, cases):
     for name, (p, t, said) in cases.items():
         own = {n: said.get(n, default) for n, (_, default) in verdicts.DECLARED.items()}
         half = len(p) // 2
-        wanted, kind = validation.checks_of(p[half:], t[half:], split=own["regime_split"], survives=out[name].survives_oos, **{n: own[n] for n in ("features_tested", "pre_specified", "direction", "feature", "revised", "vintage_handled", "vintage_source")})
+        wanted, kind = validation.checks_of(p[half:], t[half:], split=own["regime_split"], survives=out[name].survives_oos, **{n: own[n] for n in ("features_tested", "pre_specified", "feature", "revised", "vintage_handled", "vintage_source")})
         assert [c.as_dict() for c in verdicts.as_checks(rows[name])] == [c.as_dict() | {"threshold": None if c.threshold is None else float(c.threshold)} for c in wanted], name
         assert (out[name].relationship, out[name].justification) == kind
         capped = validation.gate(wanted, own, survives_oos=out[name].survives_oos, walk_forward=own["walk_forward"])
