@@ -1,7 +1,7 @@
 """Phrase collocations: phrases of several words that stand together far more often than their parts would by chance.
 
 Partitioned mining: every shard of a task finds all phrases of its own that reach the support lowered in proportion to the shard's share of
-the words of their language (to half of it); a phrase that reaches the whole support must do so in one shard at least. Those that may reach
+the words of their language; a phrase that reaches the whole support must do so in one shard at least. Those that may reach
 it with what other shards haven't told are then counted in all shards.
 """
 
@@ -21,9 +21,6 @@ from sextant.llm.common import byte_words, hashed_array, materialise, mixed, pie
 #: Words of a phrase at most, occurrences of a candidate at least, phrases of a language that are returned.
 MAX_WORDS, SUPPORT, TOP = 5, 100, 2000
 
-#: Shards tell phrases from this part of the support that their share of the words asks for: the less is untold, the fewer are counted in vain.
-TOLD_FROM = 2
-
 #: Bytes of one language that are mined as a shard; a longer text is a shard of its own.
 SHARD_BYTES = 24 << 20
 
@@ -119,13 +116,10 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.groupBy("lang").agg(F.sum(n.cast("long")).alias("n"))
 
 
-def _rows(lang: str, shard: Shard, found: tuple, most: int = 50_000) -> Iterator[list[pa.Array]]:
-    """Arrays of language, phrase and count, some at a time."""
-    size, places, counts, _ = found
-    for a in range(0, len(places), most):
-        part = slice(a, a + most)
-        texts = shard.text(size, places[part])
-        yield [pa.array([lang] * len(texts), pa.string()), texts, pa.array(counts[part], pa.int64())]
+def _segments(hashes: np.ndarray) -> list[tuple[int, int, int]]:
+    """(segment, start, end) of the runs of hashes in order that share their first bits."""
+    cuts = np.searchsorted(hashes >> np.uint64(64 - SEGMENT_BITS), np.arange((1 << SEGMENT_BITS) + 1, dtype=np.uint64))
+    return [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b]
 
 
 def mined(docs: DataFrame, total: dict[str, int], support: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -137,13 +131,12 @@ def mined(docs: DataFrame, total: dict[str, int], support: int, shard_bytes: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, shard in _shards(batches, shard_bytes):
-            least = max(1, -(-support * len(shard.word) // (TOLD_FROM * max(1, shared.value[lang]))))
+            least = max(1, -(-support * len(shard.word) // max(1, shared.value[lang])))
             found = [(h, c) for _, _, c, h in shard.phrases(lang, lambda _, counts, least=least: counts >= least)]
             hashes, counts = (np.concatenate([x[k] for x in found]) for k in (0, 1))
             order = np.argsort(hashes)
             hashes, counts = hashes[order], counts[order]
-            cuts = np.searchsorted(hashes >> np.uint64(64 - SEGMENT_BITS), np.arange((1 << SEGMENT_BITS) + 1, dtype=np.uint64))
-            parts = [(-1, b"", b"")] + [(k, hashes[a:b].tobytes(), counts[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+            parts = [(-1, b"", b"")] + [(k, hashes[a:b].tobytes(), counts[a:b].tobytes()) for k, a, b in _segments(hashes)]
             segment, packed, counted = zip(*parts, strict=True)
             columns = [pa.array(segment, pa.int32()), pa.array([lang] * len(parts), pa.string()), pa.array([least - 1] * len(parts), pa.int64()), pa.array(packed, pa.binary()), pa.array(counted, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["segment", "lang", "untold", "hashes", "counts"])
@@ -191,12 +184,25 @@ def counts(docs: DataFrame, total: dict[str, int], support: int = SUPPORT, shard
             return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
         for lang, shard in _shards(batches, shard_bytes):
-            for found in shard.phrases(lang, wanted):
-                for arrays in _rows(lang, shard, found):
-                    yield pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "n"])
+            found = [x for x in shard.phrases(lang, wanted) if len(x[1])]
+            if not found:
+                continue
+            hashes, counted = (np.concatenate([x[k] for x in found]) for k in (3, 2))
+            order = np.argsort(hashes)
+            texts = pa.concat_arrays([shard.text(size, places) for size, places, _, _ in found]).take(pa.array(order))
+            parts = _segments(hashes[order])
+            offsets = pa.array([a for _, a, _ in parts] + [len(order)], pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (texts, pa.array(counted[order], pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in parts], pa.int32()), pa.array([lang] * len(parts), pa.string()), *lists], names=["segment", "lang", "phrases", "counts"])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        each = pa.table({"phrase": pc.list_flatten(rows["phrases"]), "f": pc.list_flatten(rows["counts"])}).group_by("phrase").aggregate([("f", "sum")])
+        often = each.filter(pc.greater_equal(each["f_sum"], support))
+        return pa.table({"lang": pa.array([rows["lang"][0].as_py()] * len(often), pa.string()), "phrase": often["phrase"], "f": often["f_sum"]})
 
     # what isn't a candidate but shares a bit with one is counted in every shard as well, and has too few
-    return docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
+    packed = docs.mapInArrow(run, "segment int, lang string, phrases array<string>, counts array<long>")
+    return packed.groupBy("lang", "segment").applyInArrow(merge, "lang string, phrase string, f long")
 
 
 def score() -> Column:
