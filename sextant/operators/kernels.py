@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from sextant.functions.special import chi2_tail, correlation_p, f_tail, kpss_p, student_two_sided, unit_root_p
+from sextant.functions.special import chi2_tail, f_tail, kpss_p, student_two_sided, unit_root_p
 
 
 def per_series(df: DataFrame, by: list[str], order: str, kernel: Callable[[pd.DataFrame], dict], schema: str) -> DataFrame:
@@ -250,13 +250,3 @@ def stationarity(values: np.ndarray) -> dict:
     k, pk, _ = kpss(v)
     verdict = {(True, True): "stationary", (False, False): "non-stationary", (True, False): "difference-stationary", (False, True): "trend-stationary"}[pa < 0.05, pk >= 0.05]
     return {"adf": a, "adf_p": pa, "kpss": k, "kpss_p": pk, "verdict": verdict}
-
-
-def lag_table(p: np.ndarray, t: np.ndarray, lags=(1, 2, 5, 10, 20, 60)) -> list[dict]:
-    """Correlation of the predictor some rows before with the target, with its p-value."""
-    out = []
-    for k in lags:
-        if len(p) - k >= 3:
-            r = correlation(p[:-k], t[k:])
-            out.append({"lag": k, "r": r, "p": correlation_p(r, len(p) - k)})
-    return out

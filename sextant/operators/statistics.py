@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,19 +55,60 @@ def correlation_interval(r: str, n: str) -> list:
     return [F.tanh(z - half).alias("ci_low"), F.tanh(z + half).alias("ci_high"), F.sqrt(ratio(1 - F.col(r) * F.col(r), F.col(n) - 2)).alias("se")]
 
 
+def _left_sums(y: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each place the sums of the rows of ``weights`` over the places before it with a smaller or equal y: merges of halves, of all lengths at once."""
+    n = len(y)
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort((np.arange(n), y))] = np.arange(n)
+    out, place, width = np.zeros_like(weights), np.arange(n), 1
+    while width < n:
+        # places in order of rank within each pair of halves; the left half's sums so far are what the right half gets
+        order = np.lexsort((rank, place // (2 * width)))
+        left = (order // width) % 2 == 0
+        sums = np.cumsum(np.where(left, weights[:, order], 0), axis=1)
+        first = np.arange(0, n, 2 * width)
+        before = np.concatenate([np.zeros((len(weights), 1)), sums], axis=1)[:, first]
+        own = sums - before[:, place // (2 * width)]
+        out[:, order[~left]] += own[:, ~left]
+        width *= 2
+    return out
+
+
+def distance_moments(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
+    """Distance covariance, and both distance variances, of n pairs in n log n: no distance is ever held."""
+    a, b, n = a - a.mean(), b - b.mean(), len(a)
+    rows = []
+    for v in (a, b):
+        order = np.argsort(v, kind="stable")
+        s, before = v[order], np.concatenate([[0.0], np.cumsum(v[order])[:-1]])
+        row = np.empty(n)
+        row[order] = (2 * np.arange(n) - n) * s - 2 * before  # sums of distances to all others; the whole sum is 0
+        rows.append(row)
+    order = np.argsort(a, kind="stable")
+    x, y = a[order], b[order]
+    weights = np.stack([np.ones(n), x, y, x * y])
+    low = _left_sums(y, weights)
+    all_ = np.cumsum(weights, axis=1) - weights
+    # (x - x')(y - y') over pairs with x' before x, once as it is and once turned where y' is above y
+    signed = lambda w: x * y * w[0] - y * w[1] - x * w[2] + w[3]
+    products = 2 * (2 * signed(low) - signed(all_)).sum()
+    mean = lambda total, r, s: max(0.0, total / n**2 - 2 * (r @ s) / n**3 + r.sum() * s.sum() / n**4)
+    square = lambda v: 2 * n * (v @ v)
+    return mean(products, *rows), mean(square(a), rows[0], rows[0]), mean(square(b), rows[1], rows[1])
+
+
 def distance_correlation(pairs: DataFrame, by: list[str], a: str = "p", b: str = "t") -> DataFrame:
-    """Distance correlation of each group (a rolled-up series, of thousands of rows at most).
+    """(by, n, dcor): the distance correlation of each group's complete pairs, 0 for a constant; a group is sorted in one task, in n log n."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        x, y = (rows[c].to_numpy() for c in ("a", "b"))
+        xy, xx, yy = distance_moments(x, y) if np.ptp(x) and np.ptp(y) else (0.0, 0.0, 0.0)
+        value = np.sqrt(xy / np.sqrt(xx * yy)) if xx > 0 and yy > 0 else 0.0
+        return pa.table({**{k: rows[k][:1] for k in by}, "n": pa.array([len(x)], pa.int64()), "dcor": pa.array([value], pa.float64())})
 
-    The double-centred products reduce to sums of products of distances, of row means and of grand means, so the pairs of rows are
-    only aggregated, never kept: mean(AB) - 2 mean(row A x row B) + mean(A) mean(B).
-    """
-    rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("a", "b")))
-    other = rows.select(*by, F.col("a").alias("a2"), F.col("b").alias("b2"))
-    da, db = F.abs(F.col("a") - F.col("a2")), F.abs(F.col("b") - F.col("b2"))
-    each = rows.join(other, by).groupBy(*by, "i").agg(F.avg(da).alias("ra"), F.avg(db).alias("rb"), F.avg(da * db).alias("ab"), F.avg(da * da).alias("aa"), F.avg(db * db).alias("bb"))
-    cov = lambda p, x, y: F.avg(p) - 2 * F.avg(F.col(x) * F.col(y)) + F.avg(x) * F.avg(y)
-    got = each.groupBy(*by).agg(cov("ab", "ra", "rb").alias("xy"), cov("aa", "ra", "ra").alias("xx"), cov("bb", "rb", "rb").alias("yy"), F.count(F.lit(1)).alias("n"))
-    return got.select(*by, "n", F.sqrt(F.greatest(F.lit(0.0), F.coalesce(ratio("xy", F.sqrt(F.greatest(F.lit(0.0), F.col("xx") * F.col("yy")))), F.lit(0.0)))).alias("dcor"))
+    rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    fields = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in by)
+    return rows.groupBy(*by).applyInArrow(run, f"{fields}, n long, dcor double")
 
 
 def tails(pairs: DataFrame, by: list[str], share: float = 0.2, a: str = "p") -> DataFrame:
@@ -94,7 +137,7 @@ def bonferroni(tests: DataFrame, p: str = "p", alpha: float = 0.05, by: list[str
 
 
 def moments(rows: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """n, sums and sums of products of columns over complete rows: all that least squares and principal components need."""
+    """n, sums and sums of products of columns over complete rows: all that least squares over a few of them need; wide.products is for many."""
     whole = rows.dropna(subset=columns)
     names = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     return whole.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"s_{c}") for c in columns), *(F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for a, b in names))

@@ -1,7 +1,7 @@
 """Studies over families of trials: momentum and persistence of revisions, predictors by lag, dependence over rolling windows.
 
-A trial is a row: series, units, horizons, terms and lags are columns. What is done row by row in Python (p-values, bootstraps) runs
-over trials, of which there are tens, or over one rolled-up series at a time.
+A trial is a row: series, units, horizons, terms and lags are columns. P-values are taken of trials, of which there are far fewer than
+observations; bootstraps are those of resampling, without resampled rows.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from sextant.functions.columns import average_rank, pearson, ratio
-from sextant.functions.special import correlation_p, normal_cdf
+from sextant.functions.special import normal_cdf
 from sextant.operators import quality, statistics, vintage
-from sextant.operators.kernels import block_bootstrap, correlation, per_series
+from sextant.operators.resampling import bootstrap
+from sextant.operators.verdicts import p_values
 
 UNITS = ("growth_rev", "rel_level_rev")
 HORIZONS = (30, 90, 180)
@@ -24,7 +25,13 @@ HORIZONS = (30, 90, 180)
 
 def p_of(r: str, n: str) -> Column:
     """The two-sided p-value of correlations ``r`` over ``n`` pairs; of trials, not of observations."""
-    return F.udf(correlation_p, "double")(F.col(r), F.col(n).cast("double"))
+    return p_values(F.col(r), F.col(n).cast("double"))
+
+
+@pandas_udf(DoubleType())
+def two_sided(z: pd.Series) -> pd.Series:
+    """The two-sided p-values of normal scores."""
+    return pd.Series([None if np.isnan(x) else 2 * (1 - normal_cdf(abs(x))) for x in z], dtype=float)
 
 
 def momentum_pairs(vintages: DataFrame, *, horizons=HORIZONS, units=UNITS) -> DataFrame:
@@ -44,10 +51,10 @@ def momentum_trials(pairs: DataFrame, *, split: str, primary: tuple[str, int] =
     keys = ["series_id", "unit", "horizon"]
     late = F.col("obs_date") >= F.lit(split).cast("date")
     counts = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("full_n"), F.count(F.when(late, 1)).alias("oos_n"), pearson("x", "y").alias("full_r"), pearson("x", "y", late, least=4).alias("oos_r")).where(F.col("full_n") >= least)
-    limits = per_series(pairs, keys, "obs_date", lambda rows: dict(zip(("ci_low", "ci_high"), block_bootstrap(rows["x"].to_numpy(float), rows["y"].to_numpy(float), correlation, reps=reps), strict=True)), "ci_low double, ci_high double")
+    limits = bootstrap(pairs, keys, "correlation", reps=reps)
     rows = counts.join(limits, keys).withColumn("primary", (F.col("unit") == primary[0]) & (F.col("horizon") == primary[1])).withColumn("full_p", p_of("full_r", "full_n")).withColumn("oos_p", p_of("oos_r", "oos_n"))
-    family = F.count(F.lit(1)).over(Window.partitionBy("primary"))  # of trials
-    rows = rows.withColumn("full_p_bonferroni", F.when(F.col("primary"), F.least(F.col("full_p") * family, F.lit(1.0))))
+    family = counts.where((F.col("unit") == primary[0]) & (F.col("horizon") == primary[1])).agg(F.count(F.lit(1)).alias("_family"))  # one row
+    rows = rows.crossJoin(F.broadcast(family)).withColumn("full_p_bonferroni", F.when(F.col("primary"), F.least(F.col("full_p") * F.col("_family"), F.lit(1.0)))).drop("_family")
     return rows.withColumn("primary_survives", F.coalesce((F.col("full_p_bonferroni") < alpha) & ((F.col("ci_low") > 0) | (F.col("ci_high") < 0)), F.lit(False)))
 
 
@@ -57,8 +64,7 @@ def sign_persistence(table: DataFrame, unit: str = "growth_rev", *, by: list[str
     signs = table.where(F.col(unit).isNotNull() & (F.col(unit) != 0)).select(*by, "obs_date", F.col(unit).alias("value"))
     same = signs.withColumn("same", (F.signum("value") == F.lag(F.signum("value")).over(Window.partitionBy(*by).orderBy("obs_date"))).cast("double")).where("same is not null")
     share = same.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("same").alias("same_sign_share")).where(F.col("n_pairs") + 1 >= 2 * block)
-    limits = per_series(same, by, "obs_date", lambda rows: dict(zip(("share_ci_low", "share_ci_high"), block_bootstrap(v := rows["same"].to_numpy(float), v, lambda a, _: a.mean(), block, reps), strict=True)), "share_ci_low double, share_ci_high double")
-    two_sided = F.udf(lambda z: None if z is None else 2 * (1 - normal_cdf(abs(z))), "double")
+    limits = bootstrap(same, by, "mean", x="same", y=None, block=block, reps=reps, low="share_ci_low", high="share_ci_high")
     runs = statistics.runs_test(signs, by).select(*by, "runs", "expected_runs", F.col("z").alias("runs_z"), two_sided("z").alias("runs_p"))
     return share.join(limits, by).join(runs, by)
 
@@ -66,11 +72,11 @@ def sign_persistence(table: DataFrame, unit: str = "growth_rev", *, by: list[str
 def family_test(pairs: DataFrame, lags: list[int], train_end: str, *, alpha: float = 0.05, by: str = "term") -> DataFrame:
     """quality.family_matrix with p-values before and after ``train_end``, corrected for the number of trials, and what survives."""
     rows = quality.family_matrix(pairs, lags, train_end, by=by)
-    trials = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))  # terms by lags: tens of rows
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("_trials"))))  # one row
     for side in ("train", "test"):
-        rows = rows.withColumn(f"p_{side}", p_of(f"r_{side}", f"n_{side}")).withColumn(f"p_{side}_bonferroni", F.least(F.col(f"p_{side}") * trials, F.lit(1.0)))
+        rows = rows.withColumn(f"p_{side}", p_of(f"r_{side}", f"n_{side}")).withColumn(f"p_{side}_bonferroni", F.least(F.col(f"p_{side}") * F.col("_trials"), F.lit(1.0)))
         rows = rows.withColumn(f"survives_{side}", F.coalesce(F.col(f"p_{side}_bonferroni") < alpha, F.lit(False)))
-    return rows
+    return rows.drop("_trials")
 
 
 def _lagged(pairs: DataFrame, lags: list[int], by: list[str], date: str) -> DataFrame:

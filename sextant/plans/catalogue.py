@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from sextant.functions.columns import average_rank, pearson, ratio, tidy
 from sextant.functions.periods import YEAR, period_end
 from sextant.functions.transforms import TRANSFORMS, apply_transform, lag
-from sextant.operators import analogues, asof, backtest, events, quality, registry, statistics, strategy, studies, verdicts, vintage
+from sextant.operators import analogues, asof, backtest, cointegration, events, quality, registry, resampling, statistics, strategy, studies, verdicts, vintage, wide
 from sextant.operators.asof import asof_join
 from sextant.operators.grid import Predictor, build_grid, plan_features
-from sextant.operators.kernels import adf, adf_fit, block_bootstrap, case_bootstrap, correlation, engle_granger, granger, granger_f, johansen, kpss, ols_hac, per_series, stl, strength
+from sextant.operators.kernels import adf, adf_fit, engle_granger, granger, granger_f, johansen, kpss, ols_hac, per_series, stl, strength
 from sextant.operators.rollup import apply_release_lag, rollup, rollup_audit
 from sextant.sources import files
 from sextant.sources.nested import p_value
@@ -651,18 +651,40 @@ TRIALS = f"""{VINTAGES}, {_rev(30, "_30")}, {_rev(90, "_90")}, rv AS (SELECT 30
     tp AS (SELECT a.horizon, a.unit, a.obs_date, arg_max(b.v, b.obs_date) AS x, any_value(a.v) AS y FROM lv a JOIN lv b ON a.horizon = b.horizon AND a.unit = b.unit AND b.obs_date < a.obs_date AND b.knowable_date <= a.first_release_date GROUP BY 1, 2, 3)"""
 
 
-@query(f"WITH {TRIALS} SELECT 'all' AS series_id, unit, CAST(horizon AS INTEGER) AS horizon, count(*) AS full_n, count(*) FILTER (WHERE obs_date >= DATE '1999-01-01') AS oos_n, round(corr(x, y), 4) + 0.0 AS full_r, round(corr(x, y) FILTER (WHERE obs_date >= DATE '1999-01-01'), 4) + 0.0 AS oos_r, unit = 'growth_rev' AND horizon = 90 AS \"primary\" FROM tp GROUP BY unit, horizon")
+def bootstrap_sql(rows: str, keys: str, statistic: str, block: int = 12, reps: int = 2000, seed: int = 12345) -> str:
+    """Tables that end in ``limits`` (keys, low, high), from the table ``rows`` (keys, i from 1, x, y): blocks by the same hashes, statistics of the drawn rows themselves."""
+    return f"""bn AS (SELECT {keys}, count(*) AS n, CAST(ceil(count(*) / {block}.0) AS BIGINT) AS k FROM {rows} GROUP BY ALL HAVING count(*) >= {2 * block}), bj AS (SELECT *, unnest(range(k)) AS j FROM bn), br AS (SELECT *, unnest(range({reps})) AS r FROM bj),
+    bd AS (SELECT {keys}, r, CAST('0x' || substr(md5('{seed}:' || r || ':' || j), 1, 8) AS BIGINT) % (n - {block - 1}) AS s, CASE WHEN j < k - 1 THEN {block} ELSE n - (k - 1) * {block} END AS m FROM br), bi AS (SELECT {keys}, r, unnest(range(s + 1, s + m + 1)) AS i FROM bd),
+    bs AS (SELECT {keys}, r, {statistic} AS v FROM bi JOIN {rows} USING ({keys}, i) GROUP BY ALL), limits AS (SELECT {keys}, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM bs WHERE isfinite(v) GROUP BY ALL)"""
+
+
+def student_sql(r: str, n: str) -> str:
+    """The two-sided p-value of a correlation: Simpson's rule over Student's density, in the angle at which it has no tail."""
+    df, steps = f"({n} - 2)", 400
+    area = f"list_sum([CASE WHEN g IN (0, {steps}) THEN 1 WHEN g % 2 = 1 THEN 4 ELSE 2 END * pow(cos(asin(least(1, abs({r}))) * g / {steps}), {df} - 1) for g in range({steps + 1})]) * asin(least(1, abs({r}))) / {steps} / 3"
+    return f"CASE WHEN {n} > 2 THEN greatest(0, 1 - 2 * {area} * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi())) END"
+
+
+NORMAL_SQL = "1 - 2 * list_sum([CASE WHEN g IN (0, 400) THEN 1 WHEN g % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(abs(z) * g / 400, 2) / 2) for g in range(401)]) * abs(z) / 400 / 3 / sqrt(2 * pi())"
+
+
+@query(f"""WITH {TRIALS}, trials AS (SELECT unit, CAST(horizon AS INTEGER) AS horizon, count(*) AS full_n, count(*) FILTER (WHERE obs_date >= DATE '1999-01-01') AS oos_n, {corr_sql("x", "y")} AS full_r, CASE WHEN count(*) FILTER (WHERE obs_date >= DATE '1999-01-01') >= 4 THEN {corr_sql("x", "y", "obs_date >= DATE '1999-01-01'")} END AS oos_r, unit = 'growth_rev' AND horizon = 90 AS "primary" FROM tp GROUP BY unit, horizon HAVING count(*) >= 8),
+    bx AS (SELECT unit, CAST(horizon AS INTEGER) AS horizon, x, y, row_number() OVER (PARTITION BY unit, horizon ORDER BY obs_date) AS i FROM tp WHERE x IS NOT NULL AND y IS NOT NULL), {bootstrap_sql("bx", "unit, horizon", "corr(x, y)")},
+    tested AS (SELECT *, {student_sql("full_r", "full_n")} AS full_p, {student_sql("oos_r", "oos_n")} AS oos_p FROM trials LEFT JOIN limits USING (unit, horizon)), corrected AS (SELECT *, CASE WHEN "primary" THEN least(full_p * count(*) FILTER (WHERE "primary") OVER (), 1) END AS full_p_bonferroni FROM tested)
+    SELECT 'all' AS series_id, unit, horizon, full_n, oos_n, round(full_r, 4) + 0.0 AS full_r, round(oos_r, 4) + 0.0 AS oos_r, "primary", round(low, 4) + 0.0 AS ci_low, round(high, 4) + 0.0 AS ci_high, round(full_p, 4) + 0.0 AS full_p, round(oos_p, 4) + 0.0 AS oos_p, round(full_p_bonferroni, 4) + 0.0 AS full_p_bonferroni, coalesce(full_p_bonferroni < 0.05 AND (low > 0 OR high < 0), FALSE) AS primary_survives FROM corrected""")
 def momentum_trials(spark, d):
     v = vintages(spark, d)
-    trials = studies.momentum_trials(studies.momentum_pairs(v, horizons=(30, 90), units=("level_rev", "growth_rev")), split="1999-01-01", reps=50)
-    return trials.select("series_id", "unit", "horizon", "full_n", "oos_n", tidy("full_r", 4).alias("full_r"), tidy("oos_r", 4).alias("oos_r"), "primary")
+    trials = studies.momentum_trials(studies.momentum_pairs(v, horizons=(30, 90), units=("level_rev", "growth_rev")), split="1999-01-01")
+    return trials.select("series_id", "unit", "horizon", "full_n", "oos_n", "primary", "primary_survives", *(tidy(c, 4).alias(c) for c in ("full_r", "oos_r", "ci_low", "ci_high", "full_p", "oos_p", "full_p_bonferroni")))
 
 
-@query(f"""WITH {PANEL}, g AS (SELECT series_id, obs_date, value - lag(value) {W} AS x FROM panel), s AS (SELECT series_id, sign(x) AS s, lag(sign(x)) {W} AS b FROM g WHERE x IS NOT NULL AND x <> 0)
-    SELECT series_id, count(b) AS n_pairs, round(avg(CAST(s = b AS INT)), 5) + 0.0 AS same_sign_share, CAST(1 + count(*) FILTER (WHERE s <> b) AS BIGINT) AS runs FROM s GROUP BY 1 HAVING count(b) >= 23""")
+@query(f"""WITH {PANEL}, g AS (SELECT series_id, obs_date, value - lag(value) {W} AS x FROM panel), s AS (SELECT series_id, obs_date, sign(x) AS s, lag(sign(x)) {W} AS b FROM g WHERE x IS NOT NULL AND x <> 0), bx AS (SELECT series_id, CAST(s = b AS INT) AS x, row_number() {W} AS i FROM s WHERE b IS NOT NULL), {bootstrap_sql("bx", "series_id", "avg(x)")},
+    c AS (SELECT series_id, count(b) AS n_pairs, avg(CAST(s = b AS INT)) AS share, CAST(1 + count(*) FILTER (WHERE s <> b) AS BIGINT) AS runs, CAST(count(*) FILTER (WHERE s > 0) AS DOUBLE) AS up, CAST(count(*) FILTER (WHERE s < 0) AS DOUBLE) AS down FROM s GROUP BY 1 HAVING count(b) >= 23),
+    e AS (SELECT *, 2 * up * down / (up + down) + 1 AS expected, 2 * up * down * (2 * up * down - up - down) / (pow(up + down, 2) * (up + down - 1)) AS var FROM c), w AS (SELECT *, (runs - expected) / nullif(sqrt(var), 0) AS z FROM e)
+    SELECT series_id, n_pairs, round(share, 5) + 0.0 AS same_sign_share, runs, round(low, 4) + 0.0 AS share_ci_low, round(high, 4) + 0.0 AS share_ci_high, round(expected, 4) + 0.0 AS expected_runs, round(z, 4) + 0.0 AS runs_z, round({NORMAL_SQL}, 4) + 0.0 AS runs_p FROM w LEFT JOIN limits USING (series_id)""")
 def sign_persistence(spark, d):
-    got = studies.sign_persistence(apply_transform(panel(spark, d), "diff", out="x"), "x", reps=50)
-    return got.select("series_id", "n_pairs", tidy("same_sign_share", 5).alias("same_sign_share"), F.col("runs").cast("long").alias("runs"))
+    got = studies.sign_persistence(apply_transform(panel(spark, d), "diff", out="x"), "x")
+    return got.select("series_id", "n_pairs", tidy("same_sign_share", 5).alias("same_sign_share"), F.col("runs").cast("long").alias("runs"), *(tidy(c, 4).alias(c) for c in ("share_ci_low", "share_ci_high", "expected_runs", "runs_z", "runs_p")))
 
 
 @query(f"""WITH {PAIRS}, x AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY obs_date) AS i FROM pairs), dd AS (SELECT o.series_id, o.obs_date, a.i, b.i AS j, abs(a.p - b.p) AS da, abs(a.t - b.t) AS db FROM x o JOIN x a ON a.series_id = o.series_id AND a.i BETWEEN o.i - 12 AND o.i - 1 JOIN x b ON b.series_id = o.series_id AND b.i BETWEEN o.i - 12 AND o.i - 1 WHERE o.i > 12),
@@ -752,6 +774,42 @@ def granger_f_one_lag(spark, d):
     return got.select("series_id", tidy("f", 4).alias("f"))
 
 
+# Many columns, and every two series.
+
+MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("SELECT a, b, n, round(r, 5) + 0.0 AS r FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, corr({a}, {b}) AS r FROM lineitem WHERE {' AND '.join(f'{c} IS NOT NULL' for c in MEASURES)}" for a in MEASURES for b in MEASURES) + ")")
+def correlation_matrix(spark, d):
+    return wide.correlation_matrix(read(spark, d, "lineitem", *MEASURES), MEASURES).select("a", "b", "n", tidy("r", 5).alias("r"))
+
+
+@query()
+def principal_components(spark, d):
+    return wide.principal_components(read(spark, d, "lineitem", *MEASURES), MEASURES)
+
+
+PANEL_PAIRS = f"""{PANEL}, m AS (SELECT x.series_id AS a, y.series_id AS b, obs_date, x.value AS va, y.value AS vb FROM panel x JOIN panel y USING (obs_date) WHERE x.series_id < y.series_id), l AS (SELECT *, lag(va) OVER w AS la, lag(vb) OVER w AS lb FROM m WINDOW w AS (PARTITION BY a, b ORDER BY obs_date)),
+    fit AS (SELECT a, b, count(*) AS n, regr_slope(va, vb) AS slope, regr_intercept(va, vb) AS icept FROM m GROUP BY 1, 2 HAVING count(*) >= 20), e AS (SELECT a, b, obs_date, va - icept - slope * vb AS e FROM m JOIN fit USING (a, b)), de AS (SELECT a, b, e - lag(e) OVER w AS de, lag(e) OVER w AS le FROM e WINDOW w AS (PARTITION BY a, b ORDER BY obs_date)),
+    df AS (SELECT a, b, sum(de * le) / sum(le * le) / sqrt((sum(de * de) - pow(sum(de * le), 2) / sum(le * le)) / (count(*) - 1) / sum(le * le)) AS stat FROM de WHERE le IS NOT NULL GROUP BY 1, 2),
+    c AS (SELECT a, b, count(*) AS k, var_pop(va - la) AS aa, var_pop(vb - lb) AS bb, covar_pop(va - la, vb - lb) AS ab, var_pop(la) AS pp, var_pop(lb) AS qq, covar_pop(la, lb) AS pq, covar_pop(va - la, la) AS ap, covar_pop(va - la, lb) AS aq, covar_pop(vb - lb, la) AS bp, covar_pop(vb - lb, lb) AS bq FROM l WHERE la IS NOT NULL GROUP BY 1, 2),
+    j AS (SELECT *, (pp * qq - pq * pq) AS d1, (aa * bb - ab * ab) AS d0, bb * ap * ap - 2 * ab * ap * bp + aa * bp * bp AS g11, bb * aq * aq - 2 * ab * aq * bq + aa * bq * bq AS g22, bb * ap * aq - ab * (ap * bq + aq * bp) + aa * bp * bq AS g12 FROM c),
+    tr AS (SELECT a, b, -k * ln(1 - (qq * g11 - 2 * pq * g12 + pp * g22) / (d1 * d0) + pow(ap * bq - aq * bp, 2) / (d1 * d0)) AS trace FROM j)"""
+
+
+@query(f"WITH {PANEL_PAIRS} SELECT a, b, n, round(slope, 4) + 0.0 AS slope, round(stat, 4) + 0.0 AS stat, round(trace, 3) + 0.0 AS trace FROM fit JOIN df USING (a, b) JOIN tr USING (a, b)")
+def cointegrated_pairs(spark, d):
+    """Every two nations: without lagged differences, Engle and Granger's statistic and Johansen's trace are those of moments."""
+    found = cointegration.all_pairs(panel(spark, d), lags=0, differences=0, tile_series=8)
+    return found.select("a", "b", "n", tidy("slope", 4).alias("slope"), tidy("stat", 4).alias("stat"), tidy(F.col("trace")[0], 3).alias("trace"))
+
+
+@query()
+def cointegration_tests(spark, d):
+    """The same with chosen lags, p-values, both traces and the rank; these have no SQL."""
+    return cointegration.all_pairs(panel(spark, d), tile_series=8)
+
+
 # Kernels: no SQL; held against numpy and published values in tests.
 
 
@@ -771,5 +829,16 @@ def _by_pairs(kernel, schema):
 query(name="kernel_granger")(_by_pairs(lambda p, t: {"p": granger(p, t)}, "p double"))
 query(name="kernel_ols_hac")(_by_pairs(lambda p, t: {k: v for k, v in ols_hac(p[:, None], t).items() if k in ("coef", "t", "r2", "f_p")}, "coef array<double>, t array<double>, r2 double, f_p double"))
 query(name="kernel_cointegration")(_by_pairs(lambda p, t: dict(zip(("stat", "p"), engle_granger(p, t), strict=True)) | {"trace": [x["trace"] for x in johansen(np.column_stack([p, t]))]}, "stat double, p double, trace array<double>"))
-query(name="kernel_block_bootstrap")(_by_pairs(lambda p, t: dict(zip(("low", "high"), block_bootstrap(p, t, correlation, reps=500), strict=True)), "low double, high double"))
-query(name="kernel_case_bootstrap")(_by_pairs(lambda p, t: dict(zip(("low", "high"), case_bootstrap(np.column_stack([p * 0 + 1, p]), t, 1, reps=200), strict=True)), "low double, high double"))
+
+
+def _resampled(block: int, statistic: str, sql: str):
+    """The interval of each priority's months by 2,000 replicates."""
+
+    @query(f"WITH {PAIRS}, bx AS (SELECT series_id, p AS x, t AS y, row_number() {W} AS i FROM pairs), {bootstrap_sql('bx', 'series_id', sql, block)}, ids AS (SELECT DISTINCT series_id FROM pairs) SELECT series_id, round(low, 5) + 0.0 AS low, round(high, 5) + 0.0 AS high FROM ids LEFT JOIN limits USING (series_id)", f"kernel_{'block' if block > 1 else 'case'}_bootstrap")
+    def run(spark, d):
+        got = resampling.bootstrap(pairs(spark, d), ["series_id"], statistic, x="p", y="t", block=block, low="low", high="high")
+        return got.select("series_id", tidy("low", 5).alias("low"), tidy("high", 5).alias("high"))
+
+
+_resampled(12, "correlation", "corr(x, y)")
+_resampled(1, "slope", "regr_slope(y, x)")
