@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -63,6 +65,14 @@ def kept(name: str, make: Callable[[], T]) -> T:
     return _KEPT[name]
 
 
+def trimmed() -> None:
+    """Gives memory that earlier tasks of this worker have freed back to the system, where its C library can."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20, uses: str | None = None) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that a column of strings takes about ``size`` bytes in each; a longer row stands alone.
 
@@ -102,11 +112,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset, one in the warehouse, or of this machine if all runs here."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset, one of this machine, if all runs here."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
-        here = spark.sparkContext.master.split("[")[0] == "local"
-        place = "file://" + tempfile.mkdtemp(prefix="sextant-") if here else f"{spark.conf.get('spark.sql.warehouse.dir')}/_sextant"
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = "file://" + tempfile.mkdtemp(prefix="sextant-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place
 

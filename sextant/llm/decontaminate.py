@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import WORD_BYTES, pieces, utf8, words
+from sextant.llm.common import WORD_BYTES, materialise, pieces, utf8, words
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -261,6 +261,10 @@ def match_items(docs: DataFrame, items: DataFrame, *, text: str = "text", item_i
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name in kept)
         out = out.mapInArrow(run, fields if done else f"{fields}, {SPANS}")
+        if not last:
+            # what is found is written before the next block, so that a task holds one automaton, and so does the driver
+            out = materialise(out)
+            automaton.destroy()
     return out
 
 
@@ -284,12 +288,11 @@ def cut_words(value: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, value[at:]])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", min_words: int = 10, max_coverage: float = 0.5, window: int = 10) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", max_coverage: float = 0.5, window: int = 10) -> DataFrame:
     """``docs`` without what they share with the items.
 
     A run of hit words, whole windows or all the words of a shorter item, goes from the text; a document goes if
     its hit words are more than ``max_coverage`` of its words. Others stay as they are.
-    ``min_words`` has no effect and stays for callers: each run is a whole window or item, so none is too short to go.
     """
     kept = docs.columns
 

@@ -10,13 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import BROADCAST_ROWS, WORD_BYTES, components, hubs, materialise, mixed, parted, pieces, small_side, utf8
+from sextant.llm.common import BROADCAST_ROWS, WORD_BYTES, components, hubs, materialise, mixed, parted, pieces, small_side, trimmed, utf8
 
 #: Bits in which the SimHashes of two linked lines of LONG words or more may differ: unrelated lines differ in some 32.
 BITS = 18
 SIMILARITY = 0.9
-#: Lines of fewer words are only compared as they are: one word more or less makes them another line.
+#: Lines of fewer words, which any line of a script without spaces is, meet by their bytes: those of at least TINY bytes by what is left without
+#: one, which is all that may differ below TWICE bytes, others by the least hash of runs of 8 bytes, or of GRAM bytes where they are MANY or longer.
+#: These ranges overlap by a tenth, as lengths of alike lines may differ.
 FEWEST = 4
+TINY, TWICE, MANY = 10, 20, 48
 #: Lines of up to SHORT words meet by what is left without one word, of PAIRED words also without two; lines of LONG words or more
 #: by the least hash of their runs of GRAM bytes in each of BINS bins of hashes. The ranges overlap, as edits join and split words.
 SHORT, PAIRED, LONG = 13, range(6, 11), 11
@@ -26,6 +29,7 @@ PART = 4_000
 _RANDOM = np.random.default_rng(33)
 _GRAM = _RANDOM.integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
 _PLACES = _RANDOM.integers(1, 1 << 63, SHORT, dtype=np.uint64) | np.uint64(1)
+_BYTES = _RANDOM.integers(1, 1 << 63, TWICE + TWICE // 10, dtype=np.uint64) | np.uint64(1)
 LINE_BYTES = bytes(10 if b == 10 else c for b, c in enumerate(WORD_BYTES))
 
 
@@ -86,15 +90,15 @@ def signatures(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
     return key.view(np.int64), np.packbits(2 * ones > sizes[:, None], axis=1).view(np.int64).ravel()
 
 
-def least_in_bins(buffer: np.ndarray, at: np.ndarray, line: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of n lines the least hash of their runs in each bin, and where there is one. A run is the GRAM bytes from a word's first (``at``, of ``line``) on, inside the line."""
-    inside = at + GRAM <= ends[line]
+def least_in_bins(buffer: np.ndarray, at: np.ndarray, line: np.ndarray, ends: np.ndarray, n: int, gram: int = GRAM, bins: int = BINS) -> tuple[np.ndarray, np.ndarray]:
+    """Of n lines the least hash of their runs in each bin, and where there is one. A run is the ``gram`` bytes, 8 or 16, from a word's first (``at``, of ``line``) on, inside the line."""
+    inside = at + gram <= ends[line]
     at, line = at[inside], line[inside]
     eight = np.ndarray((len(buffer) - 7,), np.dtype("<u8"), buffer, strides=(1,))
-    runs = mixed(eight[at] * _GRAM[0] + eight[at + 8] * _GRAM[1])
-    kind = (runs >> np.uint64(40)).astype(np.uint8) % np.uint8(BINS)
-    least, some = np.zeros((n, BINS), np.uint64), np.zeros((n, BINS), bool)
-    for k in range(BINS):
+    runs = mixed(eight[at] * _GRAM[0] + eight[at + 8] * _GRAM[1] if gram > 8 else eight[at] * _GRAM[1])
+    kind = (runs >> np.uint64(40)).astype(np.uint8) % np.uint8(bins)
+    least, some = np.zeros((n, bins), np.uint64), np.zeros((n, bins), bool)
+    for k in range(bins):
         spots = np.flatnonzero(kind == k)
         if len(spots):
             of = line[spots]
@@ -112,10 +116,43 @@ def least_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return least_in_bins(buffer, at, np.searchsorted(np.cumsum(lengths), at, side="right"), np.cumsum(lengths) - 1, len(texts))
 
 
+def without_one(held: np.ndarray) -> np.ndarray:
+    """For each row of bytes, all of one length, a hash of the whole, and of what is left without each of them."""
+    n = held.shape[1]
+    held = held.astype(np.uint64) + np.uint64(1)
+    left = np.concatenate([np.zeros((len(held), 1), np.uint64), np.cumsum(held * _BYTES[:n], axis=1)], axis=1)
+    right = np.cumsum((held[:, 1:] * _BYTES[: n - 1])[:, ::-1], axis=1)[:, ::-1]  # of the bytes after each, a place further down
+    rest = left[:, :-1] + np.concatenate([right, np.zeros((len(held), 1), np.uint64)], axis=1)
+    return mixed(np.concatenate([left[:, -1:] + np.uint64(n), rest + np.uint64(n - 1)], axis=1))
+
+
+def few_words(lines: Lines, chosen: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The buckets of those chosen lines that have up to FEWEST words, by their bytes; with one word more than has to be, as an edit may split a word."""
+    which, found = [], []
+    size, start = lines.bytes[chosen], lines.starts[lines.first[chosen]]
+    few = lines.sizes[chosen] <= FEWEST
+    for n in np.unique(size[few & (size >= TINY) & (size <= 1.1 * TWICE)]).tolist():
+        own = np.flatnonzero(few & (size == n))
+        values = without_one(lines.buffer[start[own][:, None] + np.arange(n)])
+        which.append(np.repeat(own, n + 1))
+        found.append(values.ravel())
+    for gram, bins, own in ((8, 3 * BINS, np.flatnonzero(few & (size >= TWICE) & (size <= 1.1 * MANY))), (GRAM, 2 * BINS, np.flatnonzero(few & (size >= MANY)))):
+        if len(own):
+            place = np.arange(size[own].sum()) - np.repeat(np.cumsum(size[own]) - size[own], size[own]) + np.repeat(start[own], size[own])
+            line = np.repeat(np.arange(len(own)), size[own])
+            begins = lines.buffer[place] & 0xC0 != 0x80  # a code point
+            least, some = least_in_bins(lines.buffer, place[begins], line[begins], start[own] + size[own], len(own), gram, bins)
+            line, kind = np.nonzero(some)
+            which.append(own[line])
+            found.append(least[some])
+    return which, found
+
+
 def blocks(lines: Lines, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of chosen lines, as place among those and number of the bucket, in their order; lines of fewer words than FEWEST are in none."""
+    """The buckets of chosen lines, as place among those and number of the bucket, in their order."""
     sizes, begin = lines.sizes[chosen], lines.first[chosen]
-    which, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    which, found = few_words(lines, chosen)
+    which, found = [np.zeros(0, np.int64), *which], [np.zeros(0, np.uint64), *found]
     own = np.flatnonzero((sizes >= FEWEST) & (sizes <= SHORT))
     for n in np.unique(sizes[own]).tolist():
         some = own[sizes[own] == n]
@@ -142,6 +179,7 @@ def _listed(docs: DataFrame, text: str) -> DataFrame:
     """A row for each line with words: document, line number, key, SimHash, number of words, bytes, buckets, whether the document has the key before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         for batch in pieces(batches, text, 2 << 20):
             texts = utf8(batch.column(text))
             lines = Lines(texts)
@@ -623,9 +661,9 @@ def repeated_lines(docs: DataFrame, *, text: str = "text", least: float = SIMILA
 def deduplicate(docs: DataFrame, *, text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """``docs`` with the lines of ``text`` that are left, and ``n_lines``, the lines before, and ``n_removed``, the lines that went.
 
-    Lines are normalised to their words (lower case for A-Z, punctuation as white space). Lines of the same words are copies; lines
-    of FEWEST words or more are linked if their edit similarity is ``least`` or more. Candidates are all pairs that share a
-    bucket (see SHORT), whatever its size, apart from long lines whose SimHashes differ in more than BITS of 64 bits. Of a connected group the
+    Lines are normalised to their words (lower case for A-Z, punctuation as white space). Lines of the same words are copies; others
+    are linked if their edit similarity, of bytes, is ``least`` or more, which takes TINY bytes at least. Candidates are all pairs that share a
+    bucket (see FEWEST and SHORT), whatever its size, apart from long lines whose SimHashes differ in more than BITS of 64 bits. Of a connected group the
     occurrence with the smallest document id, and there the smallest line number, stays. Lines without words stay. Null stays
     null, with no lines; rows without an id stay whole, rows of one id (a long) count as one document, so that repeated rows lose
     the same lines. An empty table gives an empty table. Columns by the names of the result are replaced.

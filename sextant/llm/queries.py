@@ -171,3 +171,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT lang, row_number() OVER top AS rank, phrase, a, l, r, n, score FROM best LEFT JOIN inside USING (lang, phrase) WHERE within IS NULL OR 100 * within < 100 * a
         WINDOW top AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER top <= {phrases.TOP}""",
 }
+
+ORACLE_SQL["op7_decontamination"] = ORACLE_SQL["llm_decontamination_hits"]

@@ -254,7 +254,7 @@ def slow_lines(texts):
 
     for i, a in enumerate(keys):
         for b in keys[:i]:
-            if min(len(a), len(b)) >= line_dedup.FEWEST and line_dedup.alike(b" ".join(a), b" ".join(b)):
+            if line_dedup.alike(b" ".join(a), b" ".join(b)):
                 root[top(a)] = top(b)
     keep = {}
     for k in keys:
@@ -297,6 +297,32 @@ def test_lines_alike_meet(spark):
     assert all(texts[d] == texts[d - 1] for d, _ in gone - want)
 
 
+def test_lines_of_few_words_meet(spark):
+    """Lines without spaces, as Chinese, Japanese or Thai have them, and lines of one to three words, against the edit similarity alone."""
+    r = random.Random(5)
+    sign = lambda: chr(r.choice([0x4E00, 0x0E01, 0x3042]) + r.randrange(40))
+    texts, want = [], set()
+    for k in range(600):
+        line = [sign() for _ in range(r.randint(10, 90))] if k % 2 else list(prose(r, r.randint(1, 3)))
+        copy = list(line)
+        for _ in range(r.randint(1, 3) if k % 2 else 1):
+            at = r.randrange(len(copy))
+            copy[at : at + r.randint(0, 1)] = sign() if k % 2 else r.choice("aeiou ")
+        line, copy = "".join(line), "".join(copy)
+        a, b = (b" ".join(w[0]) for w in (words_of_lines(x.encode()) for x in (line, copy)))
+        if a != b and line_dedup.alike(a, b):
+            want.add((len(texts) + 1, 0))
+        texts += [line, copy]
+    gone = {tuple(x) for x in line_dedup.repeated_lines(docs_of(spark, texts)).collect()}
+    assert len(want) > 250 and len(gone & want) >= 0.96 * len(want), [(texts[d - 1], texts[d]) for d, _ in want - gone]
+
+
+def test_what_is_left_without_one_byte():
+    held = np.frombuffer(b"abcdebcde", np.uint8)
+    whole, rest = line_dedup.without_one(held[None, :5])[0], line_dedup.without_one(held[None, 5:])[0]
+    assert rest[0] == whole[1] and len({*whole.tolist(), *rest.tolist()}) == 6 + 5 - 1
+
+
 def test_band_equals_edit_distance():
     r = random.Random(15)
     texts = []
