@@ -56,7 +56,14 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--target", required=True)
     p.add_argument("--lags", default="0,1,2")
     p.add_argument("--train-end", required=True)
-    for p in (commands.choices[n] for n in ("run-revision-momentum", "run-reference-class", "run-family")):
+    p = commands.add_parser("run-sell-the-news")
+    p.add_argument("--features", help="CSV of events with their features; else they are made of:")
+    p.add_argument("--events", help="CSV of event_id, ticker, catalyst_date")
+    p.add_argument("--prices", help="CSV of ticker, date, close")
+    p.add_argument("--market", help="ticker of the market among the prices")
+    p.add_argument("--news", help="CSV of ticker, date, article_count, avg_tone")
+    p.add_argument("--reps", type=int, default=2000)
+    for p in (commands.choices[n] for n in ("run-revision-momentum", "run-reference-class", "run-family", "run-sell-the-news")):
         p.add_argument("--out", required=True)
     p = commands.add_parser("analyse")
     p.add_argument("mode")
@@ -136,11 +143,41 @@ def study(spark, a):
     if a.command == "run-reference-class":
         chosen = {k: v for k in ("disease_area", "moa", "target", "indication", "phase") if (v := getattr(a, k))}
         return S.reference_class_study(files.read_corpus(spark, a.corpus), a.out, like=a.like, filters=chosen)
+    if a.command == "run-sell-the-news":
+        return S.sell_the_news_study(sell_the_news_features(spark, a), a.out, reps=a.reps)
     frames = [files.read_series(spark, path, name) for name, path in named(a.predictor)]
     target = files.read_series(spark, a.target, "target").select("obs_date", F.col("value").alias("t"))
     pairs = reduce(lambda x, y: x.unionByName(y), frames).select(F.col("series_id").alias("term"), "obs_date", F.col("value").alias("p")).join(target, "obs_date")
     return S.family_study(pairs, a.out, lags=[int(x) for x in a.lags.split(",")], train_end=a.train_end)
 
 
+def sell_the_news_features(spark, a):
+    """The events' features, from a file of them or from events, prices and news."""
+    from pyspark.sql import functions as F
+
+    from sextant.operators.events import NAMED, event_features
+    from sextant.plans.study import ArgumentsError
+
+    kinds = {"event_id": "string", "ticker": "string", "catalyst_date": "date", "date": "date"}
+
+    def table(path: str, *needed: str):
+        rows = spark.read.option("header", True).csv(path)
+        if lacking := [c for c in needed if c not in rows.columns]:
+            raise ArgumentsError(f"{path} has no column {', '.join(lacking)}")
+        return rows.select(*needed, *(c for c in rows.columns if c not in needed)).select(*(F.expr(f"try_cast(`{c}` as {kinds.get(c, 'double' if c in needed else 'string')})").alias(c) for c in [*needed, *(c for c in rows.columns if c not in needed)]))
+
+    if a.features:
+        return table(a.features, "event_id", "catalyst_date", *NAMED)
+    if not (a.events and a.prices):
+        raise ArgumentsError("give --features, or --events and --prices")
+    prices = table(a.prices, "ticker", "date", "close")
+    market = prices.where(F.col("ticker") == a.market).select("date", "close") if a.market else None
+    if market is not None and market.isEmpty():
+        raise ArgumentsError(f"there are no prices of {a.market}")
+    news = table(a.news, "ticker", "date", "article_count", "avg_tone") if a.news else None
+    found = event_features(table(a.events, "event_id", "ticker", "catalyst_date"), prices, news, market=market)
+    return found if a.news else found.withColumn("pre_news_intensity", F.lit(None).cast("double"))
+
+
 if __name__ == "__main__":
     sys.exit(main())

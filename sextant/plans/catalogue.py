@@ -451,6 +451,32 @@ def quintile_spread(spark, d):
     return got.select("ticker", tidy("q1", 4).alias("q1"), tidy("q5", 4).alias("q5"), tidy("spread", 4).alias("spread"), tidy("top_tercile_share_negative", 4).alias("share"), "n")
 
 
+NEWS = "news AS (SELECT c_mktsegment AS ticker, CAST(o_orderdate AS DATE) AS date, count(*) AS k FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment < 'G' GROUP BY 1, 2)"
+
+
+def _news(spark, d):
+    """Orders a day as articles, of some segments only."""
+    o, c = read(spark, d, "orders", "o_custkey", "o_orderdate", "o_totalprice"), read(spark, d, "customer", "c_custkey", "c_mktsegment")
+    rows = o.join(c, o.o_custkey == c.c_custkey).where("c_mktsegment < 'G'")
+    return rows.groupBy(F.col("c_mktsegment").alias("ticker"), F.to_date("o_orderdate").alias("date")).agg(F.count(F.lit(1)).alias("article_count"), F.avg("o_totalprice").alias("avg_tone"))
+
+
+@query(f"""WITH {FEATURES}, {NEWS}, told AS (SELECT event_id, sum(k) AS told FROM ev JOIN news USING (ticker) WHERE news.date BETWEEN ev.date - 30 AND ev.date - 2 GROUP BY 1), r AS (SELECT ticker, pre_runup AS x, post_drift AS y, coalesce(event_reaction, 0) AS c, told FROM feats LEFT JOIN told USING (event_id) WHERE pre_runup IS NOT NULL AND post_drift IS NOT NULL),
+    g AS (SELECT *, count(*) OVER w AS n, count(told) OVER w >= 0.5 * count(*) OVER w AS uses, coalesce(told, avg(told) OVER w) AS v FROM r WINDOW w AS (PARTITION BY ticker)), z AS (SELECT ticker, n, uses, y - avg(y) OVER w AS y, c - avg(c) OVER w AS c, (x - avg(x) OVER w) / stddev_samp(x) OVER w AS a, CASE WHEN uses THEN coalesce((v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0), 0) ELSE 0 END AS b FROM g WHERE n >= 12 WINDOW w AS (PARTITION BY ticker)),
+    s1 AS (SELECT *, b - c * sum(b * c) OVER w / sum(c * c) OVER w AS rb, a - c * sum(a * c) OVER w / sum(c * c) OVER w AS ra FROM z WINDOW w AS (PARTITION BY ticker)), s2 AS (SELECT *, ra - rb * coalesce(sum(ra * rb) OVER w / nullif(sum(rb * rb) OVER w, 0), 0) AS rr, rb - ra * sum(ra * rb) OVER w / sum(ra * ra) OVER w AS rn FROM s1 WINDOW w AS (PARTITION BY ticker))
+    SELECT ticker, any_value(n) AS n, any_value(uses) AS uses_news, round(sum(rr * y) / sum(rr * rr), 5) + 0.0 AS runup_coef, CASE WHEN any_value(uses) THEN round(sum(rn * y) / sum(rn * rn), 5) + 0.0 END AS news_coef FROM s2 GROUP BY 1""")
+def event_regression(spark, d):
+    """Each segment's drift after events on run-up, news before them where it is known, and reaction; in SQL by residuals, one regressor after the other."""
+    got = events.event_regression(events.event_features(_events(spark, d), _prices(spark, d), _news(spark, d)), ["ticker"])
+    return got.select("ticker", "n", "uses_news", tidy("runup_coef", 5).alias("runup_coef"), tidy("news_coef", 5).alias("news_coef"))
+
+
+@query()
+def sell_the_news(spark, d):
+    """The whole cross-section; intervals are drawn by a generator that SQL hasn't."""
+    return events.sell_the_news(events.event_features(_events(spark, d), _prices(spark, d), _news(spark, d)), ["ticker"])
+
+
 # Strategies.
 
 STRAT = f"{PRICES}, sg AS (SELECT *, ret AS s, greatest(-1.0, least(1.0, ret / nullif(stddev_samp(ret) OVER (PARTITION BY ticker), 0) / 3)) AS k FROM rets), ps AS (SELECT *, lag(k) OVER (PARTITION BY ticker ORDER BY date) AS pos FROM sg), tn AS (SELECT *, abs(pos - coalesce(lag(pos) OVER (PARTITION BY ticker ORDER BY date), 0)) AS turn FROM ps), net AS (SELECT *, pos * ret - turn * 0.001 AS net FROM tn)"

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.operators import analogues, kernels, quality, statistics, studies, vintage
+from sextant.operators import analogues, events, kernels, quality, statistics, studies, vintage
 
 
 class ArgumentsError(ValueError):
@@ -30,7 +30,7 @@ def write_tables(folder: str, tables: dict[str, DataFrame], title: str, shown: i
 
 
 def revision_study(vintages: DataFrame, folder: str, *, split: str, horizons=studies.HORIZONS, units=studies.UNITS, primary=("growth_rev", 90), reps: int = 2000) -> dict:
-    """Momentum trials, persistence of signs and lag-one autocorrelations of revisions, over timely observations."""
+    """Momentum trials and persistence of signs of revisions, over timely observations."""
     timely = vintage.timely(vintages)
     pairs = studies.momentum_pairs(timely, horizons=horizons, units=units)
     table = vintage.revisions(timely, primary[1])
@@ -59,6 +59,15 @@ def family_study(pairs: DataFrame, folder: str, *, lags: list[int], train_end: s
     return write_tables(folder, {"family": studies.family_test(pairs, lags, train_end)}, "A family of predictors")
 
 
+def sell_the_news_study(features: DataFrame, folder: str, *, by: list[str] | None = None, reps: int = 2000) -> dict:
+    """The cross-section of events by run-up, and the events' features; groups of all events, or by columns of the features."""
+    keyed = features if by else features.withColumn("family", F.lit("all"))
+    found = events.sell_the_news(keyed, by or ["family"], reps=reps)
+    if found.isEmpty():
+        raise ArgumentsError(f"no group has {events.LEAST_EVENTS} events with run-up and drift")
+    return write_tables(folder, {"cross-section": found, "event-features": features.orderBy("catalyst_date", "event_id")}, "Selling the news")
+
+
 # Single analyses of columns of one table, by the name of the mode: what they need, and what they give.
 
 

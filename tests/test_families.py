@@ -113,3 +113,69 @@ def test_traces_are_those_of_canonical_correlations():
     q = [np.linalg.qr(m - m.mean(0))[0] for m in (d, level)]
     eig = np.linalg.svd(q[0].T @ q[1], compute_uv=False) ** 2
     assert np.allclose([t["trace"] for t in kernels.johansen(x, 0)], [-199 * np.log(1 - eig[k:]).sum() for k in range(3)])
+
+
+# The published events with their features, in order of their dates.
+EVENTS = """event_id,ticker,catalyst_date,pre_runup,event_reaction,post_drift,pre_news_intensity,pre_news_tone
+SRPT-EXONDYS-2016,SRPT,2016-09-19,0.4060695061547105,0.775083467580894,0.0197809808640681,,
+AMRN-REDUCEIT-2018,AMRN,2018-09-24,0.06439618611813736,3.217754287552819,0.6908808409518135,,
+BMRN-ROCTAVIAN-2020,BMRN,2020-08-18,0.17216460866465866,-0.3740663629582873,0.0023937728187439777,,
+ACAD-HARMONY-2021,ACAD,2021-04-05,-0.5024016910424641,-0.2016331735929242,-0.01587037646215428,,
+BIIB-ADUHELM-2021,BIIB,2021-06-07,0.13800570360068154,0.37950343757095106,-0.08677599530090341,,
+AXSM-AUVELITY-2022,AXSM,2022-08-19,0.31836588505097707,0.5108831200670548,-0.053707564911064876,,
+ESPR-CLEAR-2022,ESPR,2022-12-07,0.1428574838419293,-0.1641823209445652,0.1603551785641839,,
+MDGL-MAESTRONASH-2022,MDGL,2022-12-19,0.022779030743439344,2.7581238410449815,0.14891448261849805,,
+SRPT-ELEVIDYS-2023,SRPT,2023-06-22,-0.10869281696250588,-0.10805917273995891,-0.06568106144771801,,
+CYTK-SEQUOIA-2023,CYTK,2023-12-27,0.2863797044959858,0.8112680013642362,-0.006587768634263802,,
+VKTX-VENTURE-2024,VKTX,2024-02-27,0.9804411173475311,1.278543570086992,0.023276102204027538,,
+INSM-ASPEN-2024,INSM,2024-05-28,-0.05754966963403618,1.2516019342223874,0.16791554285763455,,
+"""
+
+
+def test_selling_the_news_gives_the_published_values(spark, tmp_path, capsys):
+    from sextant.cli import main
+
+    path = tmp_path / "features.csv"
+    path.write_text(EVENTS)
+    assert main(["run-sell-the-news", "--features", str(path), "--out", str(tmp_path / "out")]) == 0
+    import json
+
+    found = json.loads(capsys.readouterr().out)["cross-section"][0]
+    assert [round(float(found[c]), 4) for c in ("runup_coef", "runup_ci_low", "runup_ci_high")] == [-0.0442, -0.1043, 0.0355]
+    assert [round(float(found[f"q{k}"]), 4) for k in range(1, 6)] == [0.0288, 0.251, 0.0814, -0.0301, 0.0215] and round(float(found["spread"]), 4) == -0.0073
+    assert (found["n"], found["uses_news"], found["confirmed"], found["top_tercile_share_negative"]) == ("12", "false", "false", "0.5") and round(float(found["corr"]), 3) == -0.094
+    path.write_text("\n".join(EVENTS.split("\n")[:9]))
+    assert main(["run-sell-the-news", "--features", str(path), "--out", str(tmp_path / "out")]) == 2
+    assert main(["run-sell-the-news", "--events", str(path), "--out", str(tmp_path / "out")]) == 2
+
+
+def test_event_regression_equals_least_squares(spark):
+    """With news where half of the events have it, and without."""
+    from sextant.operators import events
+
+    r = np.random.default_rng(6)
+    rows, want = [], {}
+    for group, share in (("often", 0.5), ("seldom", 0.4), ("few", 1.0)):
+        n = 40 if group != "few" else 11
+        x, c, v, y = (r.normal(size=n) for _ in range(4))
+        news = np.where(np.arange(n) < share * n, v, np.nan)
+        rows += [(group, f"{group}{k}", day(k), float(x[k]), float(y[k]), None if np.isnan(news[k]) else float(news[k]), float(c[k]) if k else None) for k in range(n)]
+        z = lambda a: (a - a.mean()) / a.std(ddof=1)
+        columns = [np.ones(n), z(x), *([z(np.where(np.isnan(news), np.nanmean(news), news))] if share >= 0.5 else []), np.where(np.arange(n) > 0, c, 0)]
+        want[group] = np.linalg.lstsq(np.column_stack(columns), y, rcond=None)[0]
+    df = spark.createDataFrame(rows, "family string, event_id string, catalyst_date date, pre_runup double, post_drift double, pre_news_intensity double, event_reaction double")
+    got = {g.family: g for g in events.event_regression(df, ["family"]).collect()}
+    assert set(got) == {"often", "seldom"} and got["often"].uses_news and not got["seldom"].uses_news and got["seldom"].news_coef is None
+    assert np.allclose([got["often"].runup_coef, got["often"].news_coef, got["often"].reaction_coef], want["often"][1:]) and np.allclose([got["seldom"].runup_coef, got["seldom"].reaction_coef], want["seldom"][1:])
+    whole = {g.family: g for g in events.sell_the_news(df, ["family"], reps=50).collect()}
+    assert whole["often"].runup_ci_low < whole["often"].runup_coef < whole["often"].runup_ci_high and whole["often"].news_ci_low is not None and whole["seldom"].news_ci_low is None
+    assert events.sell_the_news(df.limit(0), ["family"]).collect() == []
+
+
+def test_returns_less_the_market(spark):
+    from sextant.operators import events
+
+    prices = spark.createDataFrame([("a", day(k), float(100 + k * k)) for k in (0, 1, 2, 4, 5)], "ticker string, date date, close double")
+    market = spark.createDataFrame([(day(k), float(50 + k)) for k in range(5)], "date date, close double")
+    got = {(g.date, g.rn): g.ret for g in events.less_market(prices, market).collect()}
+    assert set(got) == {(day(1), 1), (day(2), 2), (day(4), 3)} and np.isclose(got[day(4), 3], 116 / 104 - 54 / 53)
