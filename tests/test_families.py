@@ -179,3 +179,19 @@ def test_returns_less_the_market(spark):
     market = spark.createDataFrame([(day(k), float(50 + k)) for k in range(5)], "date date, close double")
     got = {(g.date, g.rn): g.ret for g in events.less_market(prices, market).collect()}
     assert set(got) == {(day(1), 1), (day(2), 2), (day(4), 3)} and np.isclose(got[day(4), 3], 116 / 104 - 54 / 53)
+
+
+def test_analogues_are_counted_as_they_are_retrieved(spark):
+    """Without a pair of events: the same numbers and worth, with unknown fields, many tags, none, and other weights."""
+    from sextant.operators import analogues
+
+    r = np.random.default_rng(3)
+    pick = lambda *of: of[r.integers(len(of))]
+    rows = [(str(k), pick("d", "e", ""), pick("i", "j", "k", None), pick("M", "m", "n", ""), pick("t", "u", "v"), pick("x", "y"), pick("1", "2", "3"), None if k % 17 == 0 else sorted(r.choice(list("abcde"), r.integers(0, 5)).tolist(), key=lambda _: r.random()), pick("success", "failure", "mixed", None)) for k in range(150)]
+    c = spark.createDataFrame(rows, "event_id string, disease_area string, indication string, moa string, target string, modality string, phase string, tags array<string>, outcome string").repartition(3)
+    for options in ({}, {"least": 6}, {"weights": analogues.WEIGHTS | {"tag": 2, "target": 4}, "least": 5}):
+        want = {x.query_id: (x.n, x.weighted_success_rate) for x in analogues.base_rates(analogues.retrieve(c, c, **options), ["query_id"]).collect()}
+        got = {x.query_id: (x.n, x.p) for x in analogues.counted_rates(c, c, **options).collect()}
+        assert len(want) > 50 and set(got) == set(want) and all(got[k][0] == want[k][0] and np.isclose(got[k][1], want[k][1]) for k in want), options
+    with pytest.raises(ValueError):
+        analogues.counted_rates(c, c.withColumn("tags", F.array(*(F.lit(str(k)) for k in range(7)))))
