@@ -471,6 +471,7 @@ def _shared(rows: DataFrame) -> DataFrame:
     """Of rows (block, key) those whose bucket has several keys, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         last, sent = None, False  # the last row, and whether it went out already
         for batch in batches:
             block, key = batch.column("block").to_numpy(), batch.column("key").to_numpy()
@@ -500,6 +501,7 @@ def _candidates(dealt: DataFrame, least: float) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         held, dealt_before = None, 0  # the rows of the last bucket, and how many of them are dealt out already
 
         def done(rows: list[np.ndarray], before: int, more: bool = False) -> pa.RecordBatch:
@@ -558,6 +560,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     by_doc = F.broadcast(by_doc) if n <= BROADCAST_ROWS else by_doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         for batch in pieces(batches, text):
             keys, found = [], []
             for value, own in zip(utf8(batch.column(text)), batch.column("wanted").to_pylist(), strict=True):
@@ -581,6 +584,7 @@ def _starred(found: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("words").alias("of_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("words").alias("of_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         for batch in batches:
             n = batch.num_rows
             linked = alike_pairs(batch.column("of_a").to_pylist() + batch.column("of_b").to_pylist(), np.arange(n), np.arange(n, 2 * n), least)
@@ -599,6 +603,7 @@ def _linked(found: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     names = (*COLUMNS, "root", "part", "low", "high", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         held: list[pa.RecordBatch] = []
 
         def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -675,6 +680,7 @@ def deduplicate(docs: DataFrame, *, text: str = "text", least: float = SIMILARIT
     joined, kept = concerned.join(gone.hint("merge"), "doc_id", "left"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         for batch in pieces(batches, text):
             values, n_lines, n_removed = [], [], []
             for value, own in zip(batch.column(text).to_pylist(), batch.column(mark).to_pylist(), strict=True):

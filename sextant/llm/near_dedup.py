@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import components, hashed_words, hubs, materialise, mixed, pieces, small_side, utf8, words
+from sextant.llm.common import components, hashed_words, hubs, materialise, mixed, pieces, small_side, trimmed, utf8, words
 
 RUN = 5
 SIMILARITY = 0.8
@@ -72,6 +72,7 @@ def _sketched(docs: DataFrame, text: str) -> DataFrame:
     """A row for each document: its id, a key of its words (of its text, if that has none), its number of words, its sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         for batch in pieces(batches, text):
             texts = utf8(batch.column(text))
             split = [words(t) for t in texts]
@@ -133,6 +134,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("hashes").alias("of_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("hashes").alias("of_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True):
@@ -146,6 +148,7 @@ def _word_numbers(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
     """A 32-bit number for each word of the documents in ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         for batch in pieces(batches, text):
             found = [(h >> np.uint64(32)).astype(np.uint32).tobytes() for h in hashed_words([words(t) for t in utf8(batch.column(text))])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "hashes"])
@@ -218,6 +221,7 @@ def _connected(rows: DataFrame, numbers: DataFrame, least: float) -> DataFrame:
     dealt = dealt.select("bucket", "doc_id", "root", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")).join(numbers, "doc_id").select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         held: list[pa.RecordBatch] = []
 
         def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
