@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.columns import ratio
+from sextant.sources.sniff import number, numeric_columns
 
 
 def missing_by_field(rows: DataFrame, most: float = 0.2) -> DataFrame:
@@ -18,11 +19,18 @@ def missing_by_field(rows: DataFrame, most: float = 0.2) -> DataFrame:
 
 def outliers_by_field(rows: DataFrame, key: str, fields: list[str], z: float = 4.0, least: int = 4) -> DataFrame:
     """Rows (key, field, value, z) beyond ``z`` sample deviations; what is no number is left out, and so are fields of fewer than ``least``."""
-    long = rows.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.expr(f"try_cast(`{c}` as double)").alias("v")) for c in fields))).alias("x")).select(key, "x.field", F.col("x.v").alias("value")).where("value is not null")
+    long = rows.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("field"), number(c).alias("v")) for c in fields))).alias("x")).select(key, "x.field", F.col("x.v").alias("value")).where("value is not null")
     stats = long.groupBy("field").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"), F.count(F.lit(1)).alias("_n"))
     return long.join(F.broadcast(stats), "field").withColumn("z", ratio(F.col("value") - F.col("_m"), "_s")).where((F.col("_n") >= least) & (F.abs("z") > z)).select(key, "field", "value", "z")
 
 
+def audit(rows: DataFrame, key: str, order: list[str] | None = None, z: float = 4.0) -> tuple[DataFrame, DataFrame]:
+    """missing_by_field of all fields, and outliers_by_field of those that the first rows show to be numbers, but for the key."""
+    numeric = [c for c in numeric_columns(rows, order) if c != key]
+    none = rows.sparkSession.createDataFrame([], f"`{key}` {rows.schema[key].dataType.simpleString()}, field string, value double, z double")
+    return missing_by_field(rows), outliers_by_field(rows, key, numeric, z) if numeric else none
+
+
 def source_warnings(name: str) -> list[str]:
     """What a source's name hints at: values known only later, and names that are there only because they lasted."""
     name = name.lower()

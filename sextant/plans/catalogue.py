@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sextant.functions.columns import average_rank, pearson, ratio, tidy
 from sextant.functions.periods import YEAR, period_end
 from sextant.functions.transforms import TRANSFORMS, apply_transform, lag
-from sextant.operators import analogues, asof, backtest, cointegration, events, quality, registry, resampling, statistics, strategy, studies, verdicts, vintage, wide
+from sextant.operators import analogues, asof, backtest, cointegration, events, locks, quality, registry, resampling, statistics, strategy, studies, verdicts, vintage, wide
 from sextant.operators.asof import asof_join
 from sextant.operators.grid import Predictor, build_grid, plan_features
 from sextant.operators.kernels import adf, adf_fit, engle_granger, granger, granger_f, johansen, kpss, ols_hac, per_series, stl, strength
@@ -610,6 +610,45 @@ def json_first_value(spark, d):
     e = read(spark, d, "events", "event_id", "props")
     return e.select("event_id", F.get(F.map_values(F.from_json("props", "map<string,string>")), 0).alias("first_value"))
 
+PART_FIELDS = ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+
+
+def _as_text(spark, d):
+    """Parts as a file of text would have them."""
+    p = read(spark, d, "part", "p_partkey", *(c for c in PART_FIELDS if c != "p_partkey"))
+    return p.select("p_partkey", *(F.col(c).cast("string").alias(c) for c in PART_FIELDS if c != "p_partkey"))
+
+
+@query("WITH t AS (SELECT p_partkey, " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in PART_FIELDS[1:]) + " FROM part), f AS (SELECT * FROM t ORDER BY p_partkey LIMIT 20), long AS (" + " UNION ALL ".join(f"SELECT p_partkey, '{c}' AS field, TRY_CAST({c} AS DOUBLE) AS value FROM t WHERE (SELECT bool_and(TRY_CAST({c} AS DOUBLE) IS NOT NULL) FROM f)" for c in PART_FIELDS[1:]) + "), s AS (SELECT field, avg(value) AS m, stddev_samp(value) AS sd FROM long GROUP BY 1 HAVING count(value) >= 4) SELECT p_partkey, field, round((value - m) / sd, 5) + 0.0 AS z FROM long JOIN s USING (field) WHERE abs((value - m) / sd) > 1.5")
+def sniffed_outliers(spark, d):
+    """Outliers of the fields that the first rows show to be numbers."""
+    return quality.audit(_as_text(spark, d), "p_partkey", ["p_partkey"], z=1.5)[1].select("p_partkey", "field", tidy("z", 5).alias("z"))
+
+
+LOCKED = ("p_brand", "p_partkey", "p_size", "p_type")
+
+
+def _row_md5(price: str) -> str:
+    return "md5(" + " || '|' || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("p_brand", "p_partkey", price, "p_type")) + ")"
+
+
+@query(f"WITH a AS (SELECT p_partkey, {_row_md5('p_size')} AS d FROM part), b AS (SELECT p_partkey, {_row_md5('s')} AS d FROM (SELECT p_partkey, p_brand, p_type, CASE WHEN p_size > 40 THEN p_size + 1 ELSE p_size END AS s FROM part WHERE p_size <> 7 UNION ALL SELECT -p_partkey, p_brand, p_type, p_size FROM part WHERE p_size = 9)) SELECT p_partkey, CASE WHEN a.d IS NULL THEN 'added' WHEN b.d IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (p_partkey) WHERE a.d IS DISTINCT FROM b.d")
+def table_changes(spark, d):
+    """What differs between the parts and a later state of them: some gone, some new, some of another size."""
+    old = read(spark, d, "part", *LOCKED)
+    new = old.where("p_size != 7").withColumn("p_size", F.when(F.col("p_size") > 40, F.col("p_size") + 1).otherwise(F.col("p_size")))
+    return locks.changes(old, new.unionByName(old.where("p_size = 9").withColumn("p_partkey", -F.col("p_partkey"))), "p_partkey")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, CAST(sum(CAST('0x' || substr(m, 1, 8) AS BIGINT)) AS BIGINT) AS low, CAST(sum(CAST('0x' || substr(m, 9, 8) AS BIGINT)) AS BIGINT) AS high FROM (SELECT md5({' || chr(124) || '.join(f'coalesce(length(CAST({c} AS VARCHAR)) || chr(58) || CAST({c} AS VARCHAR), chr(45))' for c in sorted(cs))}) AS m FROM {t})" for t, cs in (("nation", ("n_nationkey", "n_name", "n_regionkey")), ("part", LOCKED))))
+def table_digests(spark, d):
+    found = None
+    for t, columns in (("nation", ("n_nationkey", "n_name", "n_regionkey")), ("part", LOCKED)):
+        got = locks.digest(read(spark, d, t, *columns)).select(F.lit(t).alias("name"), "n", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
+        found = got if found is None else found.union(got)
+    return found
+
+
 # Verdicts on many signals: each nation's orders as a predictor of what is shipped.
 
 

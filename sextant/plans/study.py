@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.operators import analogues, events, kernels, quality, statistics, studies, vintage
+from sextant.operators import analogues, cointegration, events, kernels, quality, statistics, studies, vintage, wide
 
 
 class ArgumentsError(ValueError):
@@ -89,6 +89,22 @@ def _granger(df: DataFrame, x: str, y: str) -> dict:
     return {"p": kernels.granger(*_array(df, x, y))}
 
 
+def _quality(df: DataFrame) -> dict:
+    """Missing values of all fields, and outliers of those that are numbers by their first rows, by date."""
+    key = "date" if "date" in df.columns else df.columns[0]
+    missing, far = quality.audit(df, key, [key])
+    return {"missing": _rows(missing), "outliers": _rows(far.orderBy("field", key))}
+
+
+def _numbers(df: DataFrame) -> list[str]:
+    return [c for c, kind in df.dtypes if kind == "double"]
+
+
+def _long(df: DataFrame) -> DataFrame:
+    """Every column of numbers as a series by date."""
+    return df.select(F.col("date").alias("obs_date"), F.explode(F.array(*(F.struct(F.lit(c).alias("series_id"), F.col(c).alias("value")) for c in _numbers(df)))).alias("x")).select("x.series_id", "obs_date", "x.value")
+
+
 MODES: dict[str, tuple[tuple[str, ...], Callable[..., Any]]] = {
     "correlation": (("x", "y"), lambda df, x, y: _rows(studies.lag_stability(_pairs(df, x, y), [0]).drop("series_id", "best"))[0]),
     "regression": (("x", "y"), lambda df, x, y: kernels.ols_hac((v := _array(df, x, y))[0][:, None], v[1])),
@@ -98,7 +114,10 @@ MODES: dict[str, tuple[tuple[str, ...], Callable[..., Any]]] = {
     "cointegration": (("x", "y"), lambda df, x, y: dict(zip(("stat", "p"), kernels.engle_granger(*_array(df, x, y)), strict=True))),
     "stationarity": (("x",), lambda df, x: kernels.stationarity(_array(df, x)[0])),
     "decomposition": (("x",), lambda df, x: kernels.strength(kernels.stl(_array(df, x)[0], 12))),
-    "quality": ((), lambda df: _rows(quality.missing_by_field(df))),
+    "quality": ((), _quality),
+    "components": ((), lambda df: _rows(wide.principal_components(df, _numbers(df)).orderBy("component", "column"))),
+    "correlations": ((), lambda df: _rows(wide.correlation_matrix(df, _numbers(df)).orderBy("a", "b"))),
+    "pairs": ((), lambda df: _rows(cointegration.all_pairs(_long(df)).orderBy("a", "b"))),
 }
 
 

@@ -16,7 +16,8 @@ from sextant.operators.asof import asof_join
 from sextant.operators.grid import Predictor, assess_search, plan_features
 from sextant.plans import catalogue, render
 from sextant.plans.signal import run_signal, run_signal_from_paths
-from sextant.sources import connectors, files, generators, nested, specs
+from sextant.sources import connectors, files, nested, specs
+from tests import made
 from sextant.streaming import stream_rollup
 
 SF = "/root/testdata/sf0.001"
@@ -38,9 +39,9 @@ SPEC = {
 
 
 def run(spark, planted, seed, **more):
-    counts, returns = generators.counts_and_returns(seed, planted=planted)
+    counts, returns = made.counts_and_returns(seed, planted=planted)
     d = {**SPEC, "feature_grid": SPEC["feature_grid"] | more.pop("grid", {})}
-    return run_signal(spark, specs.parse_signal(d), generators.to_series(spark, returns, "returns"), generators.to_series(spark, counts, "counts"), **more)
+    return run_signal(spark, specs.parse_signal(d), made.to_series(spark, returns, "returns"), made.to_series(spark, counts, "counts"), **more)
 
 
 def test_planted_signal_gives_the_published_values(spark, tmp_path):
@@ -66,7 +67,7 @@ def test_null_control_is_refused(spark):
 
 
 def test_run_from_files_and_vintages(spark, tmp_path):
-    counts, returns = generators.counts_and_returns()
+    counts, returns = made.counts_and_returns()
     counts.rename(columns={"obs_date": "date"}).to_csv(tmp_path / "c.csv", index=False)
     returns.assign(vintage_date=returns["obs_date"]).rename(columns={"obs_date": "observation_date"}).to_csv(tmp_path / "v.csv", index=False)
     s = run_signal_from_paths(spark, specs.parse_signal(SPEC), {"counts": str(tmp_path / "c.csv")}, target_vintages=str(tmp_path / "v.csv"))
