@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from sextant.llm.common import WORD_BYTES, byte_words, materialise, pieces, utf8, words
 
 #: Documents of a tree at most, and of a leaf.
-TREE_ROWS, LEAF_ROWS = 8192, 32
+TREE_ROWS, LEAF_ROWS = 4096, 8
 
 #: Numbers of a tree's centroids at most: with many terms, trees get fewer documents. Entries of its documents at most.
 TREE_CELLS, TREE_ENTRIES = 8 << 20, 4 << 20
 
 #: Groups of terms; a ball has a radius in each.
-BANDS = 256
+BANDS = 1024
 
 #: A document in so many is searched first, so that all other trees start with the k-th scores of these.
 FIRST = 16

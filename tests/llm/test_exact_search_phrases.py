@@ -138,7 +138,7 @@ def test_bounds_hold_and_balls_are_left_out():
             top = np.lexsort((np.arange(rows), -scores))[:10]
             top = top[scores[top] > 0]
             assert best.id.tolist() == top.tolist() and best.score.tolist() == scores[top].tolist()
-        assert leaders is None or scored < leaves / 3
+        assert leaders is None or scored < leaves / 5
 
 
 # 13
