@@ -43,9 +43,11 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies, that with the smallest id, and one row of each id.
 
-    Of a near copy the stage before has left the lines in which it was changed, which tell nothing of what it is a copy of. So
-    documents are judged by their texts in ``documents``; those that aren't there by the text that they have. Empty texts are
-    copies of one another, null ones too; rows without an id stay.
+    Judged are, one after the other, the whole texts in ``documents`` and the texts that the stage before has left. Of a near copy
+    that stage has left the lines in which it was changed, which tell nothing of what it is a copy of: such go by their whole texts.
+    Of the documents that stay, those go whose texts have become near copies, as those of unlike documents can once their repeated
+    lines are gone. That comes second, so that no document goes for one that goes itself. Ids that aren't in ``documents`` are
+    judged by the text that they have. Empty texts are copies of one another, null ones too; rows without an id stay.
     """
     docs = docs.select(*COLUMNS)
     whole = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -55,7 +57,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     new = materialise(kept.join(known, "doc_id", "left_anti"))
     if not new.isEmpty():
         whole = whole.union(docs.join(small_side(new), "doc_id", "left_semi").select("doc_id", "text"))
-    return near_dedup.deduplicate(docs, judged=whole)
+    return near_dedup.deduplicate(materialise(near_dedup.deduplicate(docs, judged=whole)))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

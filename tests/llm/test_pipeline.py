@@ -103,3 +103,17 @@ def test_near_copies_go_by_their_whole_texts(spark, tmp_path):
     other = spark.createDataFrame([(50, changed[9], "en", "x", 1), (51, changed[9] + "!", "en", "x", 1)], left.schema)
     kept = corpus_pipeline.without_near_copies(spark, left.union(other), str(tmp_path))
     assert {x.doc_id: x.text for x in kept.collect()} == {0: "\n".join(lines), 2: "\n".join(own), 50: changed[9]}
+
+
+def test_near_copies_go_by_the_texts_that_line_dedup_leaves(spark, tmp_path):
+    """Of unlike documents that without their repeated lines are near copies one stays, but none goes for a document that goes itself."""
+    r = random.Random(9)
+    first, second = ([prose(r, 12) for _ in range(12)] for _ in range(2))
+    own, other = prose(r, 40), prose(r, 30)
+    in_lines = lambda x: "\n".join(" ".join(x.split()[k : k + 10]) for k in range(0, 40, 10)).strip()  # the same words, but none of the lines
+    texts = ["\n".join(first), "\n".join(second), "\n".join([*first[:8], own]), "\n".join([*second[:8], in_lines(own)]), "\n".join([*first, other]), in_lines(other)]
+    docs = written(spark, tmp_path, texts, [])
+    left = corpus_pipeline.without_repeated_lines(spark, docs, str(tmp_path))
+    assert {x.doc_id: x.text for x in left.collect()} == {0: texts[0], 1: texts[1], 2: own, 3: in_lines(own), 4: other, 5: texts[5]}
+    kept = corpus_pipeline.without_near_copies(spark, left, str(tmp_path))
+    assert {x.doc_id: x.text for x in kept.collect()} == {0: texts[0], 1: texts[1], 2: own, 5: texts[5]}
