@@ -126,6 +126,23 @@ def without_one(held: np.ndarray) -> np.ndarray:
     return mixed(np.concatenate([left[:, -1:] + np.uint64(n), rest + np.uint64(n - 1)], axis=1))
 
 
+def without_words(words: np.ndarray, most: int) -> np.ndarray:
+    """For each row of words, all of one number, a hash of the whole, of what is left without each of them, and with ``most`` of 2 without each two."""
+    n = words.shape[1]
+    left_out = [np.array(list(combinations(range(n), k)), np.int64) for k in range(most + 1)]
+    # sums of the words before each place, as they stand and one and two places further down
+    sums = [np.zeros((n + 1, len(words)), np.uint64) for _ in range(most + 1)]
+    for k, x in enumerate(sums):
+        np.cumsum((words[:, k:] * _PLACES[: n - k]).T, axis=0, out=x[k + 1 :])
+    found = []
+    for k, out in enumerate(left_out):
+        value = np.repeat(sums[k][n:], len(out), axis=0)
+        for i in range(k):
+            value += sums[i][out[:, i]] - sums[i + 1][out[:, i] + 1]
+        found.append(mixed(value + np.uint64(n - k)))
+    return np.ascontiguousarray(np.concatenate(found).T)
+
+
 def few_words(lines: Lines, chosen: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The buckets of those chosen lines that have up to FEWEST words, by their bytes; with one word more than has to be, as an edit may split a word."""
     which, found = [], []
@@ -156,12 +173,9 @@ def blocks(lines: Lines, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     own = np.flatnonzero((sizes >= FEWEST) & (sizes <= SHORT))
     for n in np.unique(sizes[own]).tolist():
         some = own[sizes[own] == n]
-        words = lines.words[begin[some][:, None] + np.arange(n)]
-        for left_out in range(3 if n in PAIRED else 2):
-            stay = np.array(list(combinations(range(n), n - left_out)))
-            values = mixed((words[:, stay] * _PLACES[: n - left_out]).sum(2) + np.uint64(n - left_out))
-            which.append(np.repeat(some, values.shape[1]))
-            found.append(values.ravel())
+        values = without_words(lines.words[begin[some][:, None] + np.arange(n)], 2 if n in PAIRED else 1)
+        which.append(np.repeat(some, values.shape[1]))
+        found.append(values.ravel())
     own = np.flatnonzero(sizes >= LONG)
     if len(own):
         word = np.arange(sizes[own].sum()) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own]) + np.repeat(begin[own], sizes[own])
@@ -175,8 +189,19 @@ def blocks(lines: Lines, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which[order], found[order]
 
 
+def _packed(numbers: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """64-bit numbers as the bytes of rows that have so many of them each."""
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.append(0, np.cumsum(counts) * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(numbers))])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of _packed, and how many each row has."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.int64, (ends[-1] - ends[0]) // 8, ends[0]), np.diff(ends) // 8
+
+
 def _listed(docs: DataFrame, text: str) -> DataFrame:
-    """A row for each line with words: document, line number, key, SimHash, number of words, bytes, buckets, whether the document has the key before."""
+    """A row for each line with words: document, line number, key, SimHash, number of words, bytes, buckets (64-bit numbers in a row), whether the document has the key before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trimmed()
@@ -196,11 +221,11 @@ def _listed(docs: DataFrame, text: str) -> DataFrame:
             which, found = blocks(lines, first)
             counts = np.zeros(len(doc), np.int64)
             counts[first] = np.bincount(which, minlength=len(first))
-            buckets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(found))
+            buckets = _packed(found, counts)
             own = [pa.array(doc), pa.array(number), pa.array(key), pa.array(sim), pa.array(lines.sizes, pa.int32()), pa.array(lines.bytes, pa.int32()), buckets, pa.array(again)]
             yield pa.RecordBatch.from_arrays(own, names=["doc_id", "line", "key", "sim", "n", "bytes", "blocks", "again"])
 
-    return docs.select("doc_id", text).where("doc_id is not null").mapInArrow(run, "doc_id long, line int, key long, sim long, n int, bytes int, blocks array<long>, again boolean")
+    return docs.select("doc_id", text).where("doc_id is not null").mapInArrow(run, "doc_id long, line int, key long, sim long, n int, bytes int, blocks binary, again boolean")
 
 
 def differing(a: bytes, b: bytes) -> tuple[bytes, bytes]:
@@ -267,7 +292,28 @@ def alike(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
     if longer - min(len(a), len(b)) > most:
         return False
     a, b = differing(a, b)
-    return max(len(a), len(b)) <= most or distance(a, b, most) <= most
+    return max(len(a), len(b)) <= most or (within(a, b, most) if len(a) >= len(b) else within(b, a, most))
+
+
+def within(a: bytes, b: bytes, most: int) -> bool:
+    """Whether the edit distance is ``most`` or less; b is no longer than a. As in _within, a band of the table is followed, here in one number."""
+    own, other = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    more = np.bincount(own, minlength=256) - np.bincount(other, minlength=256)
+    if max(more.clip(min=0).sum(), -more.clip(max=0).sum()) > most:  # bytes that one has and the other has not
+        return False
+    front, far = most + 1, len(a) - len(b)
+    full = (1 << 2 * front) - 1
+    where = {x: int.from_bytes(np.packbits(own == x, bitorder="little").tobytes(), "little") << front for x in np.unique(own).tolist()}
+    up, down, at = full ^ (1 << front) - 1, 0, front + far
+    for c, x in enumerate(b):
+        same = where.get(x, 0) >> c & full
+        zero = ((same & up) + up ^ up | same | down) & full
+        far += 1 - (zero >> at & 1)
+        if far > most:
+            return False
+        rise, moved = down | full & ~(zero | up), zero >> 1
+        up, down = zero & up | full & ~(moved | rise), moved & rise
+    return True
 
 
 #: Bands of up to so many 64-bit numbers are worked on side by side for many pairs; wider ones (lines of over 2,500 bytes) and few ones pair by pair.
@@ -467,30 +513,86 @@ def spanning(group: np.ndarray, key: np.ndarray, sim: np.ndarray, signed: np.nda
     return ends.min(1), ends.max(1)
 
 
+#: Numbers of buckets that a task sends at once, and that it holds at most of a slot beside one for each bucket; lines for which there is a slot.
+SENT, KEPT, SLOT_LINES = 1 << 19, 1 << 21, 1 << 11
+
+
+def several(block: np.ndarray, key: np.ndarray, sent: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The rows (block, key) of buckets that have several keys, but those ``sent`` already, each once; and a row for each bucket, with whether it is sent."""
+    order = np.argsort(block)
+    same = block[order[1:]] == block[order[:-1]]
+    many = np.append(False, same) | np.append(same, False)
+    alone, order = order[~many], order[many]
+    order = order[np.lexsort((~sent[order], key[order], block[order]))]
+    b, k, s = block[order], key[order], sent[order]
+    fresh = np.append(True, (b[1:] != b[:-1]) | (k[1:] != k[:-1]))[: len(b)]
+    b, k, s = b[fresh], k[fresh], s[fresh]
+    first = _edges(b)[:-1]
+    sizes = np.diff(np.append(first, len(b)))
+    shared = sizes > 1
+    out = np.repeat(shared, sizes) & ~s
+    gone = shared | (np.logical_or.reduceat(s, first) if len(first) else shared)
+    # of a bucket that was sent the row that stays is one that was sent, too
+    return (b[out], k[out]), (np.append(block[alone], b[first]), np.append(key[alone], k[first]), np.append(sent[alone], gone))
+
+
 def _shared(rows: DataFrame) -> DataFrame:
-    """Of rows (block, key) those whose bucket has several keys, each once."""
+    """Of rows (key, block), or (key, blocks) with the bytes of all buckets of a line, the rows (block, key) whose bucket has several keys.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Buckets go to slots by their first bits, those of many lines in one row. In a slot of more than KEPT rows one may come twice.
+    """
+    bits, column = (rows.count() // SLOT_LINES).bit_length(), "blocks" if "blocks" in rows.columns else "block"
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trimmed()
-        last, sent = None, False  # the last row, and whether it went out already
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            block, key = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            slot = (block.view(np.uint64) >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32) if bits else np.zeros(len(block), np.uint16)
+            order = np.argsort(slot, kind="stable")
+            edges = _edges(slot[order])
+            return pa.RecordBatch.from_arrays([pa.array(slot[order][edges[:-1]].astype(np.int64)), *(_packed(x[order], np.diff(edges)) for x in (block, key))], names=["slot", "blocks", "keys"])
+
         for batch in batches:
-            block, key = batch.column("block").to_numpy(), batch.column("key").to_numpy()
-            if not len(block):
-                continue
-            if last is not None:
-                block, key = np.append(last[0], block), np.append(last[1], key)
-            fresh = np.concatenate(([True], (block[1:] != block[:-1]) | (key[1:] != key[:-1])))
-            block, key = block[fresh], key[fresh]
-            sizes = np.diff(_edges(block))
-            shared = sizes > 1
-            shared[0] |= sent
-            last = block[-1], key[-1]
-            many = np.repeat(shared, sizes)
-            many[0] &= not sent
-            sent = bool(shared[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(block[many]), pa.array(key[many])], names=["block", "key"])
-
-    return rows.repartition("block").sortWithinPartitions("block", "key").mapInArrow(run, "block long, key long")
+            own = batch.column(column)
+            block, counts = _unpacked(own) if column == "blocks" else (own.to_numpy(), 1)
+            if len(block):
+                held.append((block, np.repeat(batch.column("key").to_numpy(), counts)))
+                if sum(len(x) for x, _ in held) >= SENT:
+                    yield out()
+        if held:
+            yield out()
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
+        slot, held, n = None, [], 0
+
+        def done(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["block", "key"])
+
+        for batch in batches:
+            slots = batch.column("slot").to_numpy()
+            (block, counts), (key, _) = (_unpacked(batch.column(c)) for c in ("blocks", "keys"))
+            ends, edges = np.append(0, np.cumsum(counts)), _edges(slots)
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if held and slots[low] != slot:
+                    yield done(several(*(np.concatenate(x) for x in zip(*held, strict=True)))[0])
+                    held, n = [], 0
+                own = slice(ends[low], ends[high])
+                slot = slots[low]
+                held.append((block[own].copy(), key[own].copy(), np.zeros(own.stop - own.start, bool)))
+                n += own.stop - own.start
+                if n >= KEPT:
+                    found, left = several(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    yield done(found)
+                    held, n = [left], 0
+        if held:
+            yield done(several(*(np.concatenate(x) for x in zip(*held, strict=True)))[0])
+
+    dealt = rows.select("key", column).mapInArrow(sent, "slot long, blocks binary, keys binary")
+    return dealt.repartition("slot").sortWithinPartitions("slot").mapInArrow(met, "block long, key long")
 
 
 def _candidates(dealt: DataFrame, least: float) -> DataFrame:
@@ -636,14 +738,14 @@ def _linked(found: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 def _links(listed: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, least: float) -> DataFrame:
     """Pairs of keys (a, b) of alike lines, which connect all alike lines that have a bucket in common."""
-    shared = materialise(_shared(listed.select("key", F.explode("blocks").alias("block")).select("block", "key")))
-    distinct = materialise(distinct.join(shared.select("key").distinct(), "key", "left_semi"))
+    shared = materialise(_shared(listed))
     signed = F.when(F.col("n") < LONG, -F.col("bytes")).otherwise(F.col("bytes")).alias("size")
     found = materialise(_candidates(shared.join(distinct.select("key", "sim", signed), "key"), least))
-    wanted = materialise(distinct.join(found.select("key").distinct(), "key", "left_semi").select("doc_id", "line", "key"))
+    wanted = materialise(distinct.select("doc_id", "line", "key").join(small_side(materialise(found.select("key").distinct())), "key", "left_semi"))
     texts = materialise(_texts(docs, wanted, text))
     links = materialise(_starred(found, texts, least))
-    rooted = found.join(hubs(links), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    # the centre of a bucket of up to PART rows has been compared with all of them
+    rooted = found.where("part is not null or key != centre").join(hubs(links), "key", "left").withColumn("root", F.coalesce("root", "key"))
     rooted = materialise(rooted.select(*COLUMNS, "part", "root"))
     open_ = rooted.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("block")
     return links.union(_linked(materialise(rooted.join(open_, "block", "left_semi")), texts, least))
