@@ -30,6 +30,8 @@ _RANDOM = np.random.default_rng(33)
 _GRAM = _RANDOM.integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
 _PLACES = _RANDOM.integers(1, 1 << 63, SHORT, dtype=np.uint64) | np.uint64(1)
 _BYTES = _RANDOM.integers(1, 1 << 63, TWICE + TWICE // 10, dtype=np.uint64) | np.uint64(1)
+#: Of each byte its bits, a byte for each, as one number.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 LINE_BYTES = bytes(10 if b == 10 else c for b, c in enumerate(WORD_BYTES))
 
 
@@ -81,11 +83,11 @@ def signatures(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
     sizes, starts, flat = lines.sizes, lines.first, lines.words
     place = (np.arange(len(flat)) - np.repeat(starts, sizes)).astype(np.uint64)
     key = mixed(np.add.reduceat(mixed(flat + place * np.uint64(0x9E3779B97F4A7C15)), starts) + sizes.astype(np.uint64))
-    bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)  # a byte for each bit, eight to a number
+    octets = flat.view(np.uint8).reshape(-1, 8)
     parts = -(-sizes // 255)  # of up to 255 words, so that no byte runs over
     first = np.cumsum(parts) - parts
     at = (np.arange(parts.sum()) - np.repeat(first, parts)) * 255 + np.repeat(starts, parts)
-    ones = np.add.reduceat(bits, at, axis=0).view(np.uint8).astype(np.int32)
+    ones = np.stack([np.add.reduceat(_BITS[octets[:, k]], at) for k in range(8)], axis=1).view(np.uint8).astype(np.int32)
     ones = ones if len(ones) == len(sizes) else np.add.reduceat(ones, first, axis=0)
     return key.view(np.int64), np.packbits(2 * ones > sizes[:, None], axis=1).view(np.int64).ravel()
 
