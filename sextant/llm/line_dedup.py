@@ -32,6 +32,8 @@ _PLACES = _RANDOM.integers(1, 1 << 63, SHORT, dtype=np.uint64) | np.uint64(1)
 _BYTES = _RANDOM.integers(1, 1 << 63, TWICE + TWICE // 10, dtype=np.uint64) | np.uint64(1)
 #: Of each byte its bits, a byte for each, as one number.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+#: The first k of eight bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 LINE_BYTES = bytes(10 if b == 10 else c for b, c in enumerate(WORD_BYTES))
 
 
@@ -42,12 +44,14 @@ class Lines:
         raw = np.frombuffer(b"\n".join(texts).translate(LINE_BYTES) + b"\n", np.uint8)
         word = raw > 32
         before = np.concatenate(([False], word[:-1]))
-        starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(~word & before)
-        newline = np.flatnonzero(raw == 10)
-        number = np.searchsorted(newline, starts)  # of the line in all texts
-        first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1]))) if len(number) else np.zeros(0, np.int64)
+        edges = np.flatnonzero(word != before)  # where a word begins and where it ends, in turn, as the last byte is none's
+        starts, ends = edges[::2], edges[1::2]
+        upto = np.searchsorted(starts, np.flatnonzero(raw == 10))  # words before each line's end
+        sizes = np.diff(upto, prepend=0)
         #: Words of each line, and its number among all lines; bytes of each line, with one space between words.
-        self.sizes, self.number = np.diff(np.append(first, len(starts))), number[first]
+        self.number = np.flatnonzero(sizes)
+        self.sizes = sizes[self.number]
+        first = upto[self.number] - self.sizes
         lengths = ends - starts
         self.bytes = (np.add.reduceat(lengths, first) + self.sizes - 1) if len(first) else np.zeros(0, np.int64)
         #: All words with a byte after each, and where words begin.
@@ -67,12 +71,11 @@ class Lines:
 def word_numbers(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A 64-bit number for each word, eight bytes of all words at a time."""
     eight = np.ndarray((len(buffer) - 7,), np.dtype("<u8"), buffer, strides=(1,))
-    out = lengths.astype(np.uint64) * _GRAM[0]
-    left, which = lengths, np.arange(len(starts))
-    at = starts
+    out = mixed(lengths.astype(np.uint64) * _GRAM[0] * _GRAM[1] + (eight[starts] & _FIRST[np.minimum(lengths, 8)]))
+    which = np.flatnonzero(lengths > 8)
+    at, left = starts[which] + 8, lengths[which] - 8
     while len(which):
-        keep = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.minimum(left, 8).astype(np.uint64) * np.uint64(8))
-        out[which] = mixed(out[which] * _GRAM[1] + (eight[at] & keep))
+        out[which] = mixed(out[which] * _GRAM[1] + (eight[at] & _FIRST[np.minimum(left, 8)]))
         longer = left > 8
         which, at, left = which[longer], at[longer] + 8, left[longer] - 8
     return out
@@ -203,7 +206,7 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _listed(docs: DataFrame, text: str) -> DataFrame:
-    """A row for each line with words: document, line number, key, SimHash, number of words, bytes, buckets (64-bit numbers in a row), whether the document has the key before."""
+    """A row for each line with words: document, line number, key, SimHash, size (see COLUMNS), buckets (64-bit numbers in a row), whether the document has the key before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trimmed()
@@ -224,10 +227,11 @@ def _listed(docs: DataFrame, text: str) -> DataFrame:
             counts = np.zeros(len(doc), np.int64)
             counts[first] = np.bincount(which, minlength=len(first))
             buckets = _packed(found, counts)
-            own = [pa.array(doc), pa.array(number), pa.array(key), pa.array(sim), pa.array(lines.sizes, pa.int32()), pa.array(lines.bytes, pa.int32()), buckets, pa.array(again)]
-            yield pa.RecordBatch.from_arrays(own, names=["doc_id", "line", "key", "sim", "n", "bytes", "blocks", "again"])
+            size = np.where(lines.sizes < LONG, -lines.bytes, lines.bytes)
+            own = [pa.array(doc), pa.array(number), pa.array(key), pa.array(sim), pa.array(size, pa.int32()), buckets, pa.array(again)]
+            yield pa.RecordBatch.from_arrays(own, names=["doc_id", "line", "key", "sim", "size", "blocks", "again"])
 
-    return docs.select("doc_id", text).where("doc_id is not null").mapInArrow(run, "doc_id long, line int, key long, sim long, n int, bytes int, blocks binary, again boolean")
+    return docs.select("doc_id", text).where("doc_id is not null").mapInArrow(run, "doc_id long, line int, key long, sim long, size int, blocks binary, again boolean")
 
 
 def differing(a: bytes, b: bytes) -> tuple[bytes, bytes]:
@@ -298,13 +302,13 @@ def alike(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
 
 
 def within(a: bytes, b: bytes, most: int) -> bool:
-    """Whether the edit distance is ``most`` or less; b is no longer than a. As in _within, a band of the table is followed, here in one number."""
+    """Whether the edit distance is ``most`` or less; b is no longer than a, nor shorter by more. As in _within, a band of the table is followed, here in one number."""
     own, other = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
     more = np.bincount(own, minlength=256) - np.bincount(other, minlength=256)
     if max(more.clip(min=0).sum(), -more.clip(max=0).sum()) > most:  # bytes that one has and the other has not
         return False
-    front, far = most + 1, len(a) - len(b)
-    full = (1 << 2 * front) - 1
+    far = len(a) - len(b)
+    front, full = (most - far) // 2, (1 << most + 1) - 1
     where = {x: int.from_bytes(np.packbits(own == x, bitorder="little").tobytes(), "little") << front for x in np.unique(own).tolist()}
     up, down, at = full ^ (1 << front) - 1, 0, front + far
     for c, x in enumerate(b):
@@ -318,28 +322,29 @@ def within(a: bytes, b: bytes, most: int) -> bool:
     return True
 
 
-#: Bands of up to so many 64-bit numbers are worked on side by side for many pairs; wider ones (lines of over 2,500 bytes) and few ones pair by pair.
+#: Bands of up to so many 64-bit numbers are worked on side by side for many pairs; wider ones (lines of over 5,000 bytes) and few ones pair by pair.
 WORDS_WIDE = 8
 
 
 def _within(a: list[bytes], b: list[bytes], most: np.ndarray, wide: int) -> np.ndarray:
     """Whether the edit distance of a[k] and b[k] is ``most[k]`` or less, for all pairs side by side; b[k] is no longer than a[k].
 
-    Of the table of distances only a band around the diagonal is followed, one bit for a place, ``wide`` numbers of 64 bits for a
-    column; the distance is read along the diagonal that ends in the last cell, and a pair is left as soon as it is over ``most``.
+    Of the table of distances only a band of ``most[k] + 1`` diagonals is followed, one bit for a place, ``wide`` numbers of 64 bits for a
+    column: who goes further from the first cell's diagonal and from the last one's needs more edits. The distance is read along the
+    diagonal that ends in the last cell, and a pair is left as soon as it is over ``most``.
     """
     order = np.argsort([-len(x) for x in b], kind="stable")
     a, b, most = [a[k] for k in order.tolist()], [b[k] for k in order.tolist()], most[order]
     la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    n, front, bits = len(a), 32 * wide, 64 * wide
-    held = np.zeros((n, front + int(la.max()) + bits), np.uint8)
-    held[np.repeat(np.arange(n), la), np.arange(la.sum()) - np.repeat(np.cumsum(la) - la, la) + front] = np.frombuffer(b"".join(a), np.uint8)
+    n, front, bits = len(a), (most - (la - lb)) // 2, 64 * wide
+    held = np.zeros((n, int(front.max()) + int(la.max()) + bits), np.uint8)
+    held[np.repeat(np.arange(n), la), np.arange(la.sum()) - np.repeat(np.cumsum(la) - la - front, la)] = np.frombuffer(b"".join(a), np.uint8)
     other = np.zeros((int(lb.max(initial=0)), n), np.uint8)
     other[np.arange(lb.sum()) - np.repeat(np.cumsum(lb) - lb, lb), np.repeat(np.arange(n), lb)] = np.frombuffer(b"".join(b), np.uint8)
     far, which = la - lb, np.arange(n)
     word, shift = (front + far) // 64, ((front + far) % 64).astype(np.uint64)
     full, one, top = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(1), np.uint64(63)
-    up = [np.full(n, (0 if 64 * w + 63 < front else 0xFFFFFFFFFFFFFFFF << max(0, front - 64 * w)) & 0xFFFFFFFFFFFFFFFF, np.uint64) for w in range(wide)]
+    up = [np.where(front - 64 * w < 64, full << np.clip(front - 64 * w, 0, 63).astype(np.uint64), np.uint64(0)) for w in range(wide)]
     down = [np.zeros(n, np.uint64) for _ in range(wide)]
     out = np.zeros(n, bool)
     for c in range(len(other)):
@@ -355,7 +360,7 @@ def _within(a: list[bytes], b: list[bytes], most: np.ndarray, wide: int) -> np.n
             up, down = [x[keep] for x in up], [x[keep] for x in down]
             if not len(far):
                 return out[np.argsort(order)]
-        same = np.packbits(held[:, c : c + bits] == other[c][:, None], axis=1, bitorder="little").view(np.uint64)
+        same = np.packbits((held[:, c : c + bits] == other[c][:, None]).ravel(), bitorder="little").view(np.uint64).reshape(-1, wide)
         zeros, rises, falls, carry = [], [], [], None
         for w in range(wide):
             x, v = same[:, w], up[w]
@@ -382,15 +387,27 @@ def _within(a: list[bytes], b: list[bytes], most: np.ndarray, wide: int) -> np.n
     return out[np.argsort(order)]
 
 
-def alike_pairs(texts: list[bytes], i: np.ndarray, j: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
-    """alike for the pairs texts[i[k]], texts[j[k]]."""
+#: Pairs whose pair_counts are further apart than so much for each edit they may have are seldom told by at_most.
+HOPEFUL = 1.25
+
+
+def alike_pairs(texts: list[bytes], i: np.ndarray, j: np.ndarray, least: float = SIMILARITY, counts: np.ndarray | None = None) -> np.ndarray:
+    """alike for the pairs texts[i[k]], texts[j[k]]; ``counts`` are the pair_counts of all texts, where they are known."""
     size = np.array([len(x) for x in texts])
     swap = size[i] < size[j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
     most = ((1 - least) * size[i] + 1e-9).astype(np.int64)
     out = np.zeros(len(i), bool)
     left = np.flatnonzero(size[i] - size[j] <= most)
-    wide = most[left] // 32 + 1
+    if counts is None:
+        used, place = np.unique(np.concatenate((i[left], j[left])), return_inverse=True)
+        apart = _apart(pair_counts([texts[k] for k in used.tolist()]), place[: len(left)], place[len(left) :])
+    else:
+        apart = _apart(counts, i[left], j[left])
+    left, apart = left[apart <= 4 * most[left]], apart[apart <= 4 * most[left]]
+    hopeful = np.zeros(len(i), bool)
+    hopeful[left] = apart <= HOPEFUL * most[left]
+    wide = most[left] // 64 + 1
     for w in np.unique(wide).tolist():
         own = left[wide == w]
         if w > WORDS_WIDE:
@@ -399,9 +416,9 @@ def alike_pairs(texts: list[bytes], i: np.ndarray, j: np.ndarray, least: float =
         own = own[np.argsort(size[j[own]], kind="stable")]
         for at in range(0, len(own), 4096 // w):
             part = own[at : at + 4096 // w]
-            few = [at_most(texts[x], texts[y], most_) <= most_ for x, y, most_ in zip(i[part].tolist(), j[part].tolist(), most[part].tolist(), strict=True)]
-            out[part[few]] = True
-            rest = part[~np.array(few, bool)]
+            likely = part[hopeful[part]]
+            out[likely] = [at_most(texts[x], texts[y], most_) <= most_ for x, y, most_ in zip(i[likely].tolist(), j[likely].tolist(), most[likely].tolist(), strict=True)]
+            rest = part[~out[part]]
             if len(rest):
                 out[rest] = _within([texts[k] for k in i[rest].tolist()], [texts[k] for k in j[rest].tolist()], most[rest], w) if len(rest) >= 24 * w else [alike(texts[x], texts[y], least) for x, y in zip(i[rest].tolist(), j[rest].tolist(), strict=True)]
     return out
@@ -432,15 +449,22 @@ def _edges(*columns: np.ndarray) -> np.ndarray:
 
 
 def pair_counts(texts: list[bytes]) -> np.ndarray:
-    """How many of each text's pairs of neighbouring bytes there are, by hash in COUNTERS counters."""
-    lengths = np.array([len(x) for x in texts])
-    every = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
-    inside = np.ones(len(every), bool)
-    inside[np.cumsum(lengths)[lengths > 0] - 1] = False
-    spots = np.flatnonzero(inside)
-    slots = (every[spots] * 31 + every[spots + 1] * 7) % COUNTERS
-    owner = np.repeat(np.arange(len(texts)), lengths)[spots]
-    return np.bincount(owner * COUNTERS + slots, minlength=len(texts) * COUNTERS).reshape(-1, COUNTERS).clip(max=30_000).astype(np.int16)
+    """How many of each text's pairs of neighbouring bytes there are, by hash in COUNTERS counters, which are as many as a byte has values."""
+    every = np.frombuffer(b"".join(texts), np.uint8)
+    slots = every[:-1] * np.uint8(31) + every[1:] * np.uint8(7)
+    out, end = np.zeros((len(texts), COUNTERS), np.int16), 0
+    for k, text in enumerate(texts):
+        start, end = end, end + len(text)
+        if len(text) > 1:
+            own = np.bincount(slots[start : end - 1], minlength=COUNTERS)
+            out[k] = own if len(text) < 30_000 else own.clip(max=30_000)
+    return out
+
+
+def _apart(counts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How far the pair_counts of the pairs are apart: an edit is in two pairs of bytes before and after, so that it moves this by 4 at most."""
+    parts = [np.abs(counts[i[at : at + 4096]] - counts[j[at : at + 4096]]).sum(1, dtype=np.int32) for at in range(0, len(i), 4096)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
 def spanning(group: np.ndarray, key: np.ndarray, sim: np.ndarray, signed: np.ndarray, texts: list[bytes], least: float, part: np.ndarray | None = None, known: np.ndarray | None = None, bins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -473,7 +497,8 @@ def spanning(group: np.ndarray, key: np.ndarray, sim: np.ndarray, signed: np.nda
             chosen = [texts[k] for k in first_row[own].tolist()]
             mins[own], some[own] = least_runs(chosen)
         at_bin = np.where(some[node] & (mins[node] == bins.view(np.uint64)[:, None]), np.arange(BINS), BINS).min(1) % BINS  # 0: by left-out words, or first
-    counts = pair_counts([texts[k] for k in first_row.tolist()])
+    own_texts = [texts[k] for k in first_row.tolist()]
+    counts = pair_counts(own_texts)
     most = (1 - least) * np.abs(signed[first_row]) + 1e-9
     found: list[tuple[int, int]] = []
     waiting: list[np.ndarray] = []
@@ -491,16 +516,14 @@ def spanning(group: np.ndarray, key: np.ndarray, sim: np.ndarray, signed: np.nda
                 x2, y2 = x[late], y[late]
                 ok[late[((mins[x2] == mins[y2]) & some[x2] & some[y2] & (np.arange(BINS) < at_bin[rows[late]][:, None])).any(1)]] = False
             x, y = x[ok], y[ok]
-            for at in range(0, len(x), 4096):
-                u, v = x[at : at + 4096], y[at : at + 4096]
-                few = np.abs(counts[u] - counts[v]).sum(1, dtype=np.int32) <= 4 * np.maximum(most[u], most[v])  # an edit is in two pairs of bytes before and after
-                waiting.append(np.minimum(u[few], v[few]) << 32 | np.maximum(u[few], v[few]))
+            few = _apart(counts, x, y) <= 4 * np.maximum(most[x], most[y])
+            waiting.append(np.minimum(x[few], y[few]) << 32 | np.maximum(x[few], y[few]))
         p += 1
         if waiting and (not len(rows) or p >= upto or sum(map(len, waiting)) > 100_000):
             both = np.unique(np.concatenate(waiting))
             waiting.clear()
             x, y = both >> 32, both & 0xFFFFFFFF
-            linked = alike_pairs(texts, first_row[x], first_row[y], least)
+            linked = alike_pairs(own_texts, x, y, least, counts)
             for a, b in zip(x[linked].tolist(), y[linked].tolist(), strict=True):
                 ra, rb = top(a), top(b)
                 if ra != rb:
@@ -658,7 +681,7 @@ def _candidates(dealt: DataFrame, least: float) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """The normalised lines that ``wanted`` (doc_id, line, key) names."""
+    """The normalised lines that ``wanted`` (doc_id, line, key) names, as a written table."""
     n = wanted.count()
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "key")).alias("wanted"))
     by_doc = F.broadcast(by_doc) if n <= BROADCAST_ROWS else by_doc
@@ -675,7 +698,9 @@ def _texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
                         found.append(b" ".join(lines[w["line"]].translate(WORD_BYTES).split()))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], names=["key", "words"])
 
-    return docs.select("doc_id", text).join(by_doc, "doc_id").mapInArrow(run, "key long, words binary").dropDuplicates(["key"])
+    found = materialise(docs.select("doc_id", text).join(by_doc, "doc_id").mapInArrow(run, "key long, words binary"))
+    # each line is found, and again only in another row of its document's id
+    return found if found.count() == n else materialise(found.dropDuplicates(["key"]))
 
 
 #: Rows and bytes of lines that a task holds at once; one bucket, or square of a larger one, is held whole.
@@ -740,11 +765,9 @@ def _linked(found: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 def _links(listed: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, least: float) -> DataFrame:
     """Pairs of keys (a, b) of alike lines, which connect all alike lines that have a bucket in common."""
-    shared = materialise(_shared(listed))
-    signed = F.when(F.col("n") < LONG, -F.col("bytes")).otherwise(F.col("bytes")).alias("size")
-    found = materialise(_candidates(shared.join(distinct.select("key", "sim", signed), "key"), least))
+    found = materialise(_candidates(_shared(listed).join(distinct.select("key", "sim", "size"), "key"), least))
     wanted = materialise(distinct.select("doc_id", "line", "key").join(small_side(materialise(found.select("key").distinct())), "key", "left_semi"))
-    texts = materialise(_texts(docs, wanted, text))
+    texts = _texts(docs, wanted, text)
     links = materialise(_starred(found, texts, least))
     # the centre of a bucket of up to PART rows has been compared with all of them
     rooted = found.where("part is not null or key != centre").join(hubs(links), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -756,15 +779,15 @@ def _links(listed: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, l
 def repeated_lines(docs: DataFrame, *, text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The lines (doc_id, line) that are not their group's first occurrence; see deduplicate."""
     listed = materialise(_listed(docs, text))
-    distinct = materialise(listed.where("not again").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by("line", "doc_id").alias("line"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("sim", "n", "bytes"))))
+    distinct = materialise(listed.where("not again").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by("line", "doc_id").alias("line"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("sim", "size"))))
     roots = small_side(materialise(components(_links(listed, distinct, docs, text, least))))
-    grouped = distinct.join(roots, distinct.key == roots.node).select("key", "root", "doc_id", "line")
+    repeated = distinct.join(roots, distinct.key == roots.node, "left").where("root is not null or copies > 1")
+    repeated = materialise(repeated.select("key", "root", "doc_id", "line"))
+    grouped = repeated.where("root is not null")
     first = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("kept"))
-    fuzzy = grouped.join(first, "root").select("key", "kept")
-    plain = distinct.where("copies > 1").join(fuzzy, "key", "left_anti").select("key", F.struct("doc_id", "line").alias("kept"))
-    kept = small_side(materialise(plain.union(fuzzy)))
-    later = listed.where("not again").join(kept, "key").where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("line") != F.col("kept.line")))
-    return listed.where("again").select("doc_id", "line").union(later.select("doc_id", "line"))
+    plain = repeated.where("root is null").select("key", F.struct("doc_id", "line").alias("kept"))
+    kept = small_side(materialise(plain.union(grouped.join(first, "root").select("key", "kept"))))
+    return listed.join(kept, "key", "left").where("again or doc_id != kept.doc_id or line != kept.line").select("doc_id", "line")
 
 
 def deduplicate(docs: DataFrame, *, text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -781,7 +804,7 @@ def deduplicate(docs: DataFrame, *, text: str = "text", least: float = SIMILARIT
     mark = "_gone" + "_" * max(map(len, docs.columns))  # no column of docs
     gone = materialise(repeated_lines(docs, text=text, least=least).groupBy("doc_id").agg(F.collect_set("line").alias(mark)))
     concerned, others = parted(docs, gone.select("doc_id"))
-    joined, kept = concerned.join(gone.hint("merge"), "doc_id", "left"), docs.columns
+    joined, kept = concerned.join(gone.hint("shuffle_hash"), "doc_id", "left"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trimmed()

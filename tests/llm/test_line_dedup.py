@@ -63,3 +63,61 @@ def test_band_of_one_pair():
         d = line_dedup.distance(a, bytes(b))
         for most in {max(d - 1, 0), d, d + 1, d + 9}:
             assert len(long) - len(short) > most or line_dedup.within(long, short, most) == (d <= most)
+
+
+def test_band_of_as_many_diagonals_as_edits():
+    """One number of 64 bits does for up to 63 edits, whatever the lengths differ by; before, it did for 31."""
+    r = random.Random(6)
+    for wide in (1, 2, 3):
+        a, b, most, want = [], [], [], []
+        for _ in range(120):
+            text = bytes(r.choice(b"abcde ") for _ in range(r.randint(100, 300)))
+            other = bytearray(text)
+            for _ in range(r.randint(0, 12 * wide)):
+                at = r.randint(0, len(other))
+                other[at : at + r.choice([0, 1, 9])] = bytes(r.choice(b"abx") for _ in range(r.choice([0, 1, 9])))
+            long, short = sorted((text, bytes(other)), key=len, reverse=True)
+            d = line_dedup.distance(long, short)
+            for k in {d - 1, d, d + 3, 64 * wide - 1}:
+                if len(long) - len(short) <= k < 64 * wide:
+                    a, b, most, want = [*a, long], [*b, short], [*most, k], [*want, d <= k]
+        assert line_dedup._within(a, b, np.array(most), wide).tolist() == want and len(set(want)) == 2
+        assert [line_dedup.within(x, y, k) for x, y, k in zip(a, b, most, strict=True)] == want
+
+
+def test_pairs_of_other_bytes_are_not_aligned(monkeypatch):
+    """Pairs of bytes tell some unlike lines apart."""
+
+    def refused(*_):
+        raise AssertionError
+
+    lines = [b"abcdefghij klmnopqrst " * 9, b"tsrqponmlk jihgfedcba " * 9, b"abcdefghij klmnopqrst " * 8 + b"abcdefghij klmnopqrsx "]
+    counts = line_dedup.pair_counts([*lines, b"", b"a"])
+    for line, own in zip([*lines, b"", b"a"], counts, strict=True):
+        want = np.zeros(line_dedup.COUNTERS, int)
+        for x, y in zip(line, line[1:]):
+            want[(31 * x + 7 * y) % line_dedup.COUNTERS] += 1
+        assert own.tolist() == want.tolist()
+    for name in ("within", "_within"):
+        monkeypatch.setattr(line_dedup, name, refused)
+    for known in (None, counts):
+        assert line_dedup.alike_pairs(lines, np.array([0, 0]), np.array([1, 2]), counts=known).tolist() == [False, True]
+    monkeypatch.setattr(line_dedup, "at_most", refused)
+    assert line_dedup.alike_pairs(lines, np.array([0, 1]), np.array([1, 2])).tolist() == [False, False]
+
+
+def test_lines_again_and_alike_go_once(spark):
+    """A line again in its document, again elsewhere, and alike to another that is there again: all from one reading of the lines, each once."""
+    start = "alpha bravo charlie delta echo foxtrot golf"
+    texts = [f"{start}\nsome other words of a line here", f"{start}\n{start}", f"{start}s\n{start}s\n{start}", "nothing like the rest of these lines"]
+    gone = sorted(tuple(x) for x in line_dedup.repeated_lines(docs_of(spark, texts, extra=False)).collect())
+    assert [x[1] for x in gone] == [0, 1, 0, 1, 2] and len({x[0] for x in gone}) == 2
+
+
+def test_lines_of_repeated_rows_are_read_once(spark):
+    """Lines of rows that a document has twice come once."""
+    docs = spark.createDataFrame([(1, "one line of words\nand another"), (1, "one line of words\nand another"), (2, "a third line")], "doc_id long, text string")
+    wanted = spark.createDataFrame([(1, 0, 11), (1, 1, 12), (2, 0, 13)], "doc_id long, line int, key long")
+    for some in (docs, docs.distinct()):
+        got = sorted(tuple(x) for x in line_dedup._texts(some, wanted, "text").collect())
+        assert [(k, bytes(w)) for k, w in got] == [(11, b"one line of words"), (12, b"and another"), (13, b"a third line")]
