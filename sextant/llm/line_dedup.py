@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ _RANDOM = np.random.default_rng(33)
 _GRAM = _RANDOM.integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
 _PLACES = _RANDOM.integers(1, 1 << 63, SHORT, dtype=np.uint64) | np.uint64(1)
 _BYTES = _RANDOM.integers(1, 1 << 63, TWICE + TWICE // 10, dtype=np.uint64) | np.uint64(1)
-#: Of each byte its bits, a byte for each, as one number.
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+#: The lowest bit of each of eight bytes.
+_LOW = np.uint64(0x0101010101010101)
 #: The first k of eight bytes.
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 LINE_BYTES = bytes(10 if b == 10 else c for b, c in enumerate(WORD_BYTES))
@@ -86,13 +87,18 @@ def signatures(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
     sizes, starts, flat = lines.sizes, lines.first, lines.words
     place = (np.arange(len(flat)) - np.repeat(starts, sizes)).astype(np.uint64)
     key = mixed(np.add.reduceat(mixed(flat + place * np.uint64(0x9E3779B97F4A7C15)), starts) + sizes.astype(np.uint64))
-    octets = flat.view(np.uint8).reshape(-1, 8)
     parts = -(-sizes // 255)  # of up to 255 words, so that no byte runs over
     first = np.cumsum(parts) - parts
     at = (np.arange(parts.sum()) - np.repeat(first, parts)) * 255 + np.repeat(starts, parts)
-    ones = np.stack([np.add.reduceat(_BITS[octets[:, k]], at) for k in range(8)], axis=1).view(np.uint8).astype(np.int32)
-    ones = ones if len(ones) == len(sizes) else np.add.reduceat(ones, first, axis=0)
-    return key.view(np.int64), np.packbits(2 * ones > sizes[:, None], axis=1).view(np.int64).ravel()
+    sim = np.zeros((len(sizes), 8), np.uint8)
+    for k in range(8):  # of each of the eight bytes that bit
+        ones = np.add.reduceat(flat >> np.uint64(k) & _LOW, at).view(np.uint8).reshape(-1, 8)
+        if len(ones) == len(sizes):
+            more = ones > (sizes // 2).astype(np.uint8)[:, None]
+        else:
+            more = np.add.reduceat(ones, first, axis=0, dtype=np.int64) > (sizes // 2)[:, None]
+        sim |= more.view(np.uint8) << np.uint8(k)
+    return key.view(np.int64), sim.view(np.int64).ravel()
 
 
 def least_in_bins(buffer: np.ndarray, at: np.ndarray, line: np.ndarray, ends: np.ndarray, n: int, gram: int = GRAM, bins: int = BINS) -> tuple[np.ndarray, np.ndarray]:
@@ -809,20 +815,25 @@ def deduplicate(docs: DataFrame, *, text: str = "text", least: float = SIMILARIT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trimmed()
         for batch in pieces(batches, text):
-            values, n_lines, n_removed = [], [], []
-            for value, own in zip(batch.column(text).to_pylist(), batch.column(mark).to_pylist(), strict=True):
-                lines = [] if value is None else value.split("\n")
-                n_lines.append(len(lines))
-                drop = set(own or ())
-                n_removed.append(len(drop))
-                values.append("\n".join(x for k, x in enumerate(lines) if k not in drop) if drop else value)
-            columns = [pa.array(values, batch.column(c).type) if c == text else batch.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=[*kept, "n_lines", "n_removed"])
+            values, left = batch.column(text), []
+            mask = pc.and_(batch.column(mark).is_valid(), values.is_valid())
+            n_lines = pc.fill_null(pc.add(pc.count_substring(values, "\n").cast(pa.int64()), 1), 0)
+            n_removed = np.zeros(batch.num_rows, np.int64)
+            touched = np.flatnonzero(mask.to_numpy(zero_copy_only=False))
+            for at, value, own in zip(touched.tolist(), values.filter(mask).to_pylist(), batch.column(mark).filter(mask).to_pylist(), strict=True):
+                drop = set(own)
+                n_removed[at] = len(drop)
+                left.append("\n".join(x for k, x in enumerate(value.split("\n")) if k not in drop))
+            values = pc.replace_with_mask(values, mask, pa.array(left, values.type)) if left else values
+            columns = [values if c == text else batch.column(c) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, n_lines, pa.array(n_removed)], names=[*kept, "n_lines", "n_removed"])
 
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
-    joined = joined.select(*kept, mark)
-    joined = joined if others is None else joined.union(others.withColumn(mark, F.lit(None).cast("array<int>")))
-    return joined.mapInArrow(run, f"{fields}n_lines long, n_removed long")
+    done = joined.select(*kept, mark).mapInArrow(run, f"{fields}n_lines long, n_removed long")
+    if others is None:
+        return done
+    n_lines = F.octet_length(others[text]) - F.octet_length(F.replace(others[text], F.lit("\n"), F.lit(""))) + 1
+    return done.union(others.select(*kept, F.coalesce(n_lines.cast("long"), F.lit(0).cast("long")), F.lit(0).cast("long")))
 
 
 def digest(done: DataFrame) -> DataFrame:

@@ -121,3 +121,22 @@ def test_lines_of_repeated_rows_are_read_once(spark):
     for some in (docs, docs.distinct()):
         got = sorted(tuple(x) for x in line_dedup._texts(some, wanted, "text").collect())
         assert [(k, bytes(w)) for k, w in got] == [(11, b"one line of words"), (12, b"and another"), (13, b"a third line")]
+
+
+def test_simhash_is_the_majority_of_bits():
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randrange(n)}" for _ in range(n)).encode() for n in (1, 2, 7, 40, 255, 256, 511, 900)]
+    for some in (texts[:5], texts):
+        lines = line_dedup.Lines([b"\n".join(some)])
+        for own, first, size in zip(line_dedup.signatures(lines)[1].tolist(), lines.first, lines.sizes, strict=True):
+            words = lines.words[first : first + size].tolist()
+            assert own & 0xFFFFFFFFFFFFFFFF == sum(1 << k for k in range(64) if 2 * sum(w >> k & 1 for w in words) > len(words))
+
+
+def test_documents_without_repeated_lines_stay_as_they_are(spark):
+    """Lines are counted alike in documents that lose some and in those that lose none, and null stays null, in a repeated row, too."""
+    same = "the very same words are here"
+    rows = [(1, f"{same}\n\nof one"), (2, f"of two\n{same}\n"), (3, "\n\nÄ\n"), (4, ""), (5, None), (None, f"{same}\n{same}"), (6, same), (6, None)]
+    done = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(x.doc_id, x.text, x.n_lines, x.n_removed) for x in done.collect()}
+    assert got == {(1, rows[0][1], 3, 0), (2, "of two\n", 3, 1), (3, "\n\nÄ\n", 4, 0), (4, "", 1, 0), (5, None, 0, 0), (None, f"{same}\n{same}", 2, 0), (6, "", 1, 1), (6, None, 0, 0)}
