@@ -195,3 +195,17 @@ def test_analogues_are_counted_as_they_are_retrieved(spark):
         assert len(want) > 50 and set(got) == set(want) and all(got[k][0] == want[k][0] and np.isclose(got[k][1], want[k][1]) for k in want), options
     with pytest.raises(ValueError):
         analogues.counted_rates(c, c.withColumn("tags", F.array(*(F.lit(str(k)) for k in range(7)))))
+
+
+def test_analogues_of_a_small_file_are_counted_without_broadcasts(spark, tmp_path):
+    """Keys outgrow the size that is guessed from a file, so they are no broadcast; events that say the same are counted as one, each by its own outcome."""
+    from sextant.operators import analogues
+
+    rows = [(f"{copy}-{k}", "d", f"i{k % 3}", f"m{k % 5}", f"t{k % 4}", f"{k % 2}", f"{k % 7}", ["b", f"a{k % 2}"] if copy else [f"a{k % 2}", "b", None], ("success", "failure", "mixed", None)[(k + copy) % 4]) for k in range(60) for copy in range(3)]
+    spark.createDataFrame(rows, "event_id string, disease_area string, indication string, moa string, target string, modality string, phase string, tags array<string>, outcome string").write.parquet(where := str(tmp_path / "c"))
+    c = spark.read.parquet(where)
+    assert "Broadcast" not in analogues.leave_one_out(c)._jdf.queryExecution().executedPlan().toString()
+    want = {x.query_id: (x.n, x.weighted_success_rate) for x in analogues.base_rates(analogues.retrieve(c, c), ["query_id"]).collect()}
+    got = {x.query_id: (x.n, x.p, x.outcome) for x in analogues.counted_rates(c, c, keep=("outcome",)).collect()}
+    assert len(got) == 180 and set(got) == set(want) and all(got[k][0] == want[k][0] and np.isclose(got[k][1], want[k][1]) for k in want)
+    assert all(got[r[0]][2] == r[-1] for r in rows)
