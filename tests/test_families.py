@@ -197,6 +197,33 @@ def test_analogues_are_counted_as_they_are_retrieved(spark):
         analogues.counted_rates(c, c.withColumn("tags", F.array(*(F.lit(str(k)) for k in range(7)))))
 
 
+def test_analogues_are_retrieved_without_shuffling_pairs(spark, monkeypatch):
+    """Pairs come from joins alone, also where groups are dealt: as a brute force finds them, with unknown fields, few tags, many, and none."""
+    from sextant.operators import analogues, asof
+
+    r = np.random.default_rng(4)
+    pick = lambda *of: of[r.integers(len(of))]
+    ddl = "event_id string, disease_area string, indication string, moa string, target string, modality string, phase string, tags array<string>, outcome string"
+    for most in (3, 8):
+        rows = [(str(k), pick("d", "e", "", None), pick("i", "j", None), pick("M", "m", "n", ""), pick("t", "u", "v"), pick("x", "y"), pick("1", "2"), None if k % 17 == 0 else [*r.choice(list("abcdefgh"), r.integers(0, most + 1), replace=False).tolist(), "a", None], "success") for k in range(120)]
+        said = [[x or None if n != 3 else x.lower() or None for n, x in enumerate(row[:7])] + [{t for t in row[7] or () if t}] for row in rows]
+
+        def score(a, b):
+            same = [x is not None and x == y for x, y in zip(a[:7], b[:7], strict=True)]
+            return 0 if same[0] or not any(same[2:5]) else 2 * same[1] + 3 * same[2] + (3 if same[3] else 2 * same[4]) + same[5] + same[6] + len(a[7] & b[7])
+
+        want = sorted((a[0], b[0], n) for a in said for b in said if (n := score(a, b)) >= 4)
+        c = spark.createDataFrame(rows, ddl).repartition(3)
+        for pairs in (asof.PAIRS, 90):
+            monkeypatch.setattr(asof, "PAIRS", pairs)
+            got = analogues.retrieve(c, c)
+            assert "Aggregate" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and plan.count("SortMergeJoin") == 3
+            assert len(want) > 2000 and sorted((x.query_id, x.event_id, x.score) for x in got.collect()) == want
+            one = analogues.retrieve(c.where("event_id = '5'"), c)
+            assert sorted((x.query_id, x.event_id, x.score) for x in one.collect()) == [x for x in want if x[0] == "5"]
+        monkeypatch.undo()
+
+
 def test_analogues_of_a_small_file_are_counted_without_broadcasts(spark, tmp_path):
     """Keys outgrow the size that is guessed from a file, so they are no broadcast; events that say the same are counted as one, each by its own outcome."""
     from sextant.operators import analogues
